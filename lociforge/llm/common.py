@@ -229,3 +229,21 @@ def word_tokenizer(path: str) -> WordTokenizer:
     if path not in _tokenizers:
         _tokenizers[path] = WordTokenizer(path)
     return _tokenizers[path]
+
+
+# --- files on the shared storage ----------------------------------------------------------------------------------
+
+
+def open_file(uri: str, mode: str):
+    """A stream on any storage that pyarrow knows by URI (file, hdfs, s3, gs): 'r' seekable, 'w' new, folders made as needed."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri if ":" in uri else f"file://{uri}")
+    if mode == "r":
+        return store.open_input_file(path)
+    store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    return store.open_output_stream(path, compression=None)
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -7,15 +7,45 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents, tokenizer_path
+from .decision_list import judge, labelled, learn
+from .ngram_join import jaccard_groups
 from .packing import pack
+from .repair import round_trip
+from .toxicity import fit_chain, score_chain
 
 
 def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_path())
 
 
+def op8_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(documents(spark, sf_dir), tokenizer_path())
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return score_chain(docs, fit_chain(docs, labels(spark, sf_dir)))
+
+
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(documents(spark, sf_dir))
+
+
+def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return judge(docs, learn(labelled(docs, labels(spark, sf_dir))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity_chain": op1_toxicity_chain,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op6_harmonic_packing": op6_harmonic_packing,
+    "op8_repair_shards": op8_repair_shards,
+    "op10_decision_list": op10_decision_list,
 }
 
 ORACLES: dict[str, str] = {}
