@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import search
 from .common import documents, tokenizer_path
 from .decision_list import judge, labelled, learn
+from .licences import scan_licences
+from .mixing import mix_words
 from .ngram_join import jaccard_groups
 from .packing import pack
 from .repair import round_trip
 from .toxicity import fit_chain, score_chain
+from .url_filter import ORACLE as URL_ORACLE
+from .url_filter import judge_urls, listed_urls
+from .warc import ORACLE as WARC_ORACLE
+from .warc import round_trip as warc_round_trip
 
 
 def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,12 +47,45 @@ def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs, learn(labelled(docs, labels(spark, sf_dir))))
 
 
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
+def op2_mixture_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_words(documents(spark, sf_dir))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = pages(spark, sf_dir)
+    return judge_urls(p, listed_urls(p, labels(spark, sf_dir)))
+
+
+def op4_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(pages(spark, sf_dir))
+
+
+def op5_projected_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_chain": op1_toxicity_chain,
+    "op2_mixture_tree": op2_mixture_tree,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_warc_chunks": op4_warc_chunks,
+    "op5_projected_kdtree": op5_projected_kdtree,
     "op6_harmonic_packing": op6_harmonic_packing,
+    "op7_url_filter": op7_url_filter,
     "op8_repair_shards": op8_repair_shards,
+    "op9_licence_scan": op9_licence_scan,
     "op10_decision_list": op10_decision_list,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_warc_chunks": WARC_ORACLE,
+    "op7_url_filter": URL_ORACLE,
+}

@@ -64,16 +64,17 @@ def feature_counts(rows: DataFrame, n_categories: int) -> DataFrame:
     return made.groupBy("feature").agg(*(F.sum(x).alias(x) for x in names))
 
 
-def choose_features(counts: DataFrame, totals: list[int], per_category: int, min_rows: int = 5) -> list[bytes]:
-    """The features of the largest chi-square statistic for each category: at most `per_category` times the categories."""
+def choose_features(counts: DataFrame, totals: list[int], per_category: int, min_rows: int = 5, least: float = 20.0) -> list[bytes]:
+    """The features of the largest chi-square statistics for each category, `least` or more, which few of very many
+    features without any bearing reach: at most `per_category` times the categories."""
     n = float(max(1, totals[0]))
     chosen: set[bytes] = set()
     for i, pos in enumerate(totals[1:]):
         if not 0 < pos < totals[0]:
             continue
         cross = F.col(f"n{i}") * n - F.col("n") * float(pos)
-        score = cross * cross / (F.col("n") * (n - F.col("n") + 0.5) * float(pos) * (n - pos))
-        top = counts.where(f"n >= {min_rows}").orderBy(score.desc(), "feature").limit(per_category)
+        score = n * (cross / (float(pos) * (n - pos))) * (cross / (F.col("n") * (n - F.col("n") + 0.5)))
+        top = counts.where(f"n >= {min_rows}").withColumn("score", score).where(f"score >= {least}").orderBy(F.desc("score"), "feature").limit(per_category)
         chosen |= {bytes(x["feature"]) for x in top.select("feature").collect()}
     return sorted(chosen)
 
