@@ -5,9 +5,9 @@ set; all work below is on classes. Shingles are ordered rarest first by the coun
 corpus, then by hash: any total order gives exact results, a rare-first one short lists. Two sets of Jaccard similarity
 of at least the threshold share a shingle among the first few of each, so only these prefixes are dealt out and met.
 
-Short lists of one shingle give their pairs at once. Long ones, as large groups of near copies make them, are first
-joined to one leader each; only members that the links found so far leave in other components are paired afterwards.
-No link between components is lost and no list is cut.
+The sets that share a shingle in their prefixes form a list. Each list is first joined to one leader; only members that
+the links found so far leave in other components are paired afterwards, so that a large group of near copies costs few
+more comparisons than it has members. No link between components is lost and no list is cut.
 """
 
 from __future__ import annotations
@@ -18,16 +18,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import mix64, shingle_sets, shuffle_partitions, texts_of, written
+from .common import bucketed, mix64, shingle_sets, shuffle_partitions, texts_of, written
 from .components import components
 
 #: Hash buckets whose counts order the shingles, and how many of them travel in one row.
 SKETCH_BITS, CHUNK_BITS = 20, 14
 #: Bits of the filter that spares documents without candidates from being sent.
 NEEDED_BITS, NEEDED_CHUNK_BITS = 23, 17
-#: Lists of a shingle up to this long give all their pairs at once.
-SHORT_LIST = 12
 
 
 def set_id(s: np.ndarray) -> int:
@@ -37,6 +36,17 @@ def set_id(s: np.ndarray) -> int:
     return int(mix64(np.array([both], np.uint64)).view(np.int64)[0])
 
 
+def _with_set_id(width: int, text_at: int):
+    """Adds the set's name (null for none) to whole rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sid = [set_id(s) if len(s) else None for s in shingle_sets(texts_of(b, b.schema.names[text_at]), width)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sid, pa.int64())], [*b.schema.names, "__own"])
+
+    return run
+
+
 def _chunks(bits: int, per: int, values: np.ndarray) -> Iterator[tuple[int, bytes, int]]:
     kind = "u1" if values.max(initial=0) < 256 else "<u2" if values.max() < 65536 else "<u8"
     for i, x in enumerate(values.astype(kind).reshape(1 << (bits - per), 1 << per)):
@@ -159,69 +169,46 @@ def _meets(na, pa_, nb, pb, percent: int):
 
 
 def meetings(prefix: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Walks the keys' lists in order. Short lists give candidate pairs (a, b); longer ones their members (key, a, np)."""
+    """The members (key, sid, np) of all lists of at least two sets. Rows are walked in order of their keys, batch by
+    batch; a list of exactly two that fail the filters is left out at once."""
     dealt = prefix.repartition(parts, "key").sortWithinPartitions("key", "np", "sid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = tuple(np.empty(0, np.int64) for _ in range(3))
-        open_key, sent = None, False  # a list that was found long and is being passed on
+        nothing = tuple(np.empty(0, np.int64) for _ in range(3))
+        kept, passing = nothing, None  # a list that may go on in the next batch; the key of one that is being passed on
 
-        def pairs(key, sid, packed):
-            """All pairs of neighbours up to SHORT_LIST apart with the same key, in lists of at most that length."""
-            a, b = [], []
-            n, at = packed >> 32, packed & 0xFFFFFFFF
-            for step in range(1, SHORT_LIST):
-                i = np.flatnonzero(key[step:] == key[:-step])
-                if not len(i):
-                    break
-                j = i + step
-                i = i[ok := _meets(n[i], at[i], n[j], at[j], percent) & (sid[i] != sid[j])]
-                a.append(sid[i])
-                b.append(sid[j[ok]])
-            a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
-            both = np.unique(np.column_stack((np.minimum(a, b), np.maximum(a, b))), axis=0)
-            return both[:, 0], both[:, 1]
-
-        def out(key, a, b, packed):
-            none = pa.nulls(len(a), pa.int64())
-            cols = [none if x is None else pa.array(x, pa.int64()) for x in (key, a, b, packed)]
-            return pa.RecordBatch.from_arrays(cols, ["key", "a", "b", "np"])
-
-        def emit(key, sid, packed, last: bool):
-            nonlocal kept, open_key, sent
+        def members(key, sid, packed, last: bool):
+            nonlocal kept, passing
             again = np.concatenate(([False], (key[1:] == key[:-1]) & (sid[1:] == sid[:-1])))
             key, sid, packed = key[~again], sid[~again], packed[~again]
             cuts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
             size = np.diff(cuts)
-            if not last and len(size):  # the last list may go on in the next batch
-                if size[-1] <= SHORT_LIST and key[-1] != open_key:
-                    kept = key[cuts[-2] :], sid[cuts[-2] :], packed[cuts[-2] :]
-                    cuts, size = cuts[:-1], size[:-1]
-                else:
-                    kept = tuple(np.empty(0, np.int64) for _ in range(3))
-            key, sid, packed = key[: cuts[-1]], sid[: cuts[-1]], packed[: cuts[-1]]
-            if not len(key):
-                return
-            long_ = np.repeat((size > SHORT_LIST) | (key[cuts[:-1]] == open_key if open_key is not None else False), size)
-            if not last:
-                open_key = int(key[-1]) if long_[-1] and not len(kept[0]) else None
-            several = np.repeat(size > 1, size) & ~long_
-            if several.any():
-                a, b = pairs(key[several], sid[several], packed[several])
-                if len(a):
-                    yield out(None, a, b, None)
-            if long_.any():
-                yield out(key[long_], sid[long_], None, packed[long_])
+            kept = nothing
+            if not last and size[-1] <= 2 and key[-1] != passing:
+                kept = key[cuts[-2] :], sid[cuts[-2] :], packed[cuts[-2] :]
+                cuts, size = cuts[:-1], size[:-1]
+                key, sid, packed = key[: cuts[-1]], sid[: cuts[-1]], packed[: cuts[-1]]
+            if not len(size):
+                return None
+            go = size > 2
+            i = cuts[:-1][size == 2]
+            n, at = packed >> 32, packed & 0xFFFFFFFF
+            go[size == 2] = _meets(n[i], at[i], n[i + 1], at[i + 1], percent)
+            if passing is not None:
+                go |= key[cuts[:-1]] == passing
+            if not last and not len(kept[0]):
+                passing = int(key[-1])
+            go = np.repeat(go, size)
+            return pa.RecordBatch.from_arrays([pa.array(x[go]) for x in (key, sid, packed)], ["key", "sid", "np"])
 
         for batch in batches:
             cols = [np.concatenate((k, batch.column(i).to_numpy())) for i, k in enumerate(kept)]
-            kept = tuple(np.empty(0, np.int64) for _ in range(3))
-            if len(cols[0]):
-                yield from emit(*cols, False)
-        if len(kept[0]):
-            yield from emit(*kept, True)
+            if len(cols[0]) and (out := members(*cols, False)) is not None:
+                yield out
+        if len(kept[0]) and (out := members(*kept, True)) is not None:
+            yield out
 
-    return dealt.mapInArrow(run, "key long, a long, b long, np long")
+    return dealt.mapInArrow(run, "key long, sid long, np long")
 
 
 def _marks(sids: DataFrame, parts: int) -> np.ndarray:
@@ -269,7 +256,7 @@ def needed_sets(docs: DataFrame, width: int, sids: DataFrame, parts: int) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], ["sid", "keys"])
 
     found = docs.select("text").mapInArrow(run, "sid long, keys binary").join(sids.select("sid").distinct(), "sid", "left_semi")
-    return written(found.groupBy("sid").agg(F.first("keys").alias("keys")), "sets")
+    return bucketed(found.groupBy("sid").agg(F.first("keys").alias("keys")), "sid", parts, "sets")
 
 
 def may_overlap(x: np.ndarray, y: np.ndarray, least: int, depth: int = 3) -> bool:
@@ -313,20 +300,28 @@ def _met(percent: int) -> str:
     )
 
 
-def _long_lists(members: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links that join the components within long lists. Two rounds pair members with a leader of their list, the one
-    that is in most long lists; then the pairs of different components that are left are compared outright."""
-    tried = None
+def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) enough to give every component of the full join.
+
+    Two rounds pair the members of each list with one leader, the one that is in most lists, later one of another
+    component; then all pairs of different components that are left in a list are compared outright.
+    """
+    links = tried = None
     for turn in range(3):
-        root = components(links)
-        now = members.join(root, members.sid == root.node, "left").select("key", "sid", "np", F.coalesce("root", "sid").alias("root"))
-        mixed = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        now = written(now.join(mixed, "key", "left_semi"), "members")
-        if now.isEmpty():
-            return links
+        if turn == 0:
+            now = members.withColumn("root", F.col("sid"))
+        else:
+            root = components(links)
+            now = members.join(root, members.sid == root.node, "left").select("key", "sid", "np", F.coalesce("root", "sid").alias("root"))
+            mixed = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+            members = now = written(now.join(mixed, "key", "left_semi"), "members")
+            members = members.drop("root")
+            if now.isEmpty():
+                break
         if turn < 2:
             often = now.groupBy("sid").agg(F.count("*").alias("often"))
-            pick = F.struct("often", F.xxhash64("sid", F.lit(turn)).alias("tie"), "sid", "np", "root")
+            turn_of = F.xxhash64("root", F.lit(turn)) if turn else F.lit(0)
+            pick = F.struct(turn_of.alias("turn"), "often", "sid", "np", "root")
             right = now.join(often, "sid").groupBy("key").agg(F.max(pick).alias("x")).select("key", "x.sid", "x.np", "x.root")
         else:
             right = now
@@ -336,10 +331,21 @@ def _long_lists(members: DataFrame, links: DataFrame, sets: DataFrame, percent:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         tried = pairs if tried is None else tried.union(pairs)
-        links = links.union(written(verified(pairs, sets, percent), "links"))
+        new = written(verified(pairs, sets, percent), "links")
+        links = new if links is None else links.union(new)
     return links
 
 
+def _classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, sid) of every row, and (node, root) of the classes that have links; `docs` has doc_id and text."""
+    parts = shuffle_partitions(docs.sparkSession)
+    about = written(describe(docs, width), "sets")
+    rarity = rarity_classes(_table(about.where("chunk is not null"), SKETCH_BITS, CHUNK_BITS, parts))
+    members = written(meetings(prefixes(docs, width, percent, rarity), percent, parts), "members")
+    links = _links(members, needed_sets(docs, width, members.select("sid"), parts), percent)
+    return about.where("chunk is null").select("doc_id", "n", "sid"), components(links)
+
+
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
     """Near-duplicate groups: documents are linked when 100 * shared shingles >= percent * all their shingles.
 
@@ -351,23 +357,26 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     id are compared as separate texts; a null id is kept and never names a component while another id is in it; an
     empty table gives no rows; other columns are not read. Sets are compared by 64-bit hashes of their shingles.
     """
-    spark = docs.sparkSession
-    docs = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text")
-    parts = shuffle_partitions(spark)
-    about = written(describe(docs, width), "sets")
-    rarity = rarity_classes(_table(about.where("chunk is not null"), SKETCH_BITS, CHUNK_BITS, parts))
-    mine = about.where("chunk is null").select("doc_id", "n", "sid")
-    met = written(meetings(prefixes(docs, width, percent, rarity), percent, parts), "meetings")
-    pairs = written(met.where("b is not null").select("a", "b").distinct(), "pairs")
-    members = met.where("b is null").select("key", F.col("a").alias("sid"), "np")
-    sids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).union(members.select("sid"))
-    sets = needed_sets(docs, width, sids, parts)
-    links = written(verified(pairs, sets, percent), "links")
-    if not members.isEmpty():
-        links = _long_lists(members, links, sets, percent)
-    root = components(links)
+    mine, root = _classes(docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text"), width, percent)
     named = mine.join(root, mine.sid == root.node, "left").select("doc_id", "n", F.coalesce("root", "sid").alias("root"))
     group = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("component_size"))
     return named.join(group, "root", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("component_size", F.lit(1)).alias("component_size")
     )
+
+
+def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of `docs`, with all their columns as they are, of which one of each group of near duplicates stays: the
+    row of the least doc_id (a null id only if the group has no other; of equal ids, one). Rows without words all stay.
+    """
+    mine, root = _classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width, percent)
+    named = mine.where("sid is not null").join(root, mine.sid == root.node, "left").select("doc_id", "sid", F.coalesce("root", "sid").alias("root"))
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sid")).alias("x"))
+    first = first.select(F.col("x.doc_id").alias("__id"), F.col("x.sid").alias("__sid"))
+    own = docs.mapInArrow(_with_set_id(width, docs.columns.index("text")), T.StructType([*docs.schema.fields, T.StructField("__own", T.LongType())]))
+    own = own.withColumn("__key", F.col("doc_id").cast("long"))
+    own = own.withColumn("__k", F.when(F.col("__own").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("__key", "__own")))
+    first = first.withColumn("__fk", F.xxhash64("__id", "__sid"))
+    met = own.join(first, (F.col("__k") == F.col("__fk")) & F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sid")), "left")
+    stays = met.where("__own is null or __sid is not null")
+    return stays.dropDuplicates(["__k", "__key", "__own"]).select(*(F.col(f"`{c}`") for c in docs.columns))
