@@ -1,10 +1,558 @@
-"""The queries over the supplied tables, and their SQL."""
+"""The queries over the supplied tables, and their SQL. Each applies one operator to a whole view; doubles are rounded alike on both sides."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import columns as c
+from ..functions.tails import two_sided_p, two_sided_p_sql
+from ..operators import cells, contrib, effects, graph, linkage, meta, models, programs, ranges, select, stats
+from .views import view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded, without a negative zero; whole numbers as longs."""
+    kinds = dict(df.dtypes)
+    fix = {"double": lambda x: F.round(x, digits) + 0.0, "float": lambda x: F.round(x.cast("double"), digits) + 0.0, "int": lambda x: x.cast("long"), "decimal(20,0)": lambda x: x.cast("long")}
+    return df.select(*(fix.get(kinds[n], lambda x: x)(F.col(n)).alias(n) for n in df.columns))
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its oracle."""
+
+    def put(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: tidy(f(lambda v: view(spark, sf_dir, v)))
+        if sql:
+            ORACLES[f.__name__] = with_views(sql)
+        return f
+
+    return put
+
+
+def r(x: str, name: str) -> str:
+    return f"round({x}, 6) + 0e0 as {name}"
+
+
+IVW = f"""select rsid, gene, count(*) as n_merged,
+  case when count(*) = 1 then min(beta) else sum(beta / (se * se)) / sum(1 / (se * se)) end as beta,
+  case when count(*) = 1 then min(se) else sqrt(1 / sum(1 / (se * se))) end as se,
+  {two_sided_p_sql('(case when count(*) = 1 then min(beta) else sum(beta / (se * se)) / sum(1 / (se * se)) end / case when count(*) = 1 then min(se) else sqrt(1 / sum(1 / (se * se))) end)')} as pvalue
+  from {{src}} group by rsid, gene"""
+
+
+# --- catalogue
+
+
+@query(f"""with kept as (select * from v_qtl where pvalue < 0.5e0 and rsid in (select rsid from v_variant where pval <= 0.5e0)),
+  m as ({IVW.format(src='kept')}), k as (select *, row_number() over (partition by rsid order by pvalue, gene) as rn from m)
+select rsid, gene, {r('beta', 'beta')}, {r('se', 'se')}, {r('pvalue', 'pvalue')}, n_merged from k where rn = 1""")
+def qtl_ivw_best(v):
+    kept = linkage.semi(v("v_qtl").where(F.col("pvalue") < 0.5), meta.filter_assoc(v("v_variant"), 0.5), ["rsid"])
+    return select.best_per_key(meta.ivw_merge(kept, ["rsid", "gene"]), ["rsid"], [F.col("pvalue"), F.col("gene")])
+
+
+@query(f"select rsid, gene, {r('beta', 'beta')}, {r('se', 'se')}, {r('pvalue', 'pvalue')}, n_merged from ({IVW.format(src='v_qtl')}) t")
+def a4_ivw_merge(v):
+    return meta.ivw_merge(v("v_qtl"), ["rsid", "gene"])
+
+
+@query(f"""select gene, tissue, {r('case when n = 1 then b1 when n > 1 then b / w end', 'mr_beta')}, {r('case when n = 1 then s1 when n > 1 then sqrt(1 / w) end', 'mr_se')}, n as n_merged
+from (select gene, tissue, count(case when se > 0 then 1 end) as n, sum(beta / (se * se)) as b, sum(1 / (se * se)) as w, min(beta) as b1, min(se) as s1 from v_mr group by 1, 2) t""")
+def a5_ivw_guarded(v):
+    d = v("v_mr").select("gene", "tissue", F.col("beta").alias("mr_beta"), F.col("se").alias("mr_se"), F.col("pvalue").alias("mr_pvalue"), F.lit("IVW").alias("method_used"))
+    return meta.ivw_merge_guarded(d, ["gene", "tissue"]).drop("mr_pvalue", "method_used")
+
+
+@query(f"""with b as (select gene, tissue, min(row(pvalue, beta, se, confidence)) as x from v_mr group by 1, 2),
+ t as (select gene, max(case when tissue = 'blood' then x end) as a, max(case when tissue = 'brain' then x end) as c from b group by 1)
+select gene, {r('''case when a is not null and c is not null then case when a[2] * c[2] > 0 then (a[2] / (a[3] * a[3]) + c[2] / (c[3] * c[3])) / (1 / (a[3] * a[3]) + 1 / (c[3] * c[3])) end else coalesce(a[2], c[2]) end''', 'beta')},
+ {r('case when a is not null and c is not null then case when a[2] * c[2] > 0 then a[4] + c[4] end else coalesce(a[4], c[4]) end', 'confidence')},
+ case when a is not null and c is not null then case when a[2] * c[2] > 0 then 'concordant' else 'discordant' end when a is not null then 'blood' else 'brain' end as status from t""")
+def a6_union_labels(v):
+    return meta.union_labels(v("v_mr"))
+
+
+@query("""with x as (select gene, min(sign(beta)) * max(sign(beta)) < 0 as conflict, count(*) as n from v_mr group by 1),
+ k as (select m.*, x.conflict, x.n, row_number() over (partition by m.gene order by pvalue, abs(beta) desc, beta) as rn from v_mr m join x on x.gene = m.gene)
+select gene, round(beta, 6) + 0e0 as beta, round(pvalue, 6) + 0e0 as pvalue, n as n_rows, conflict, case when n = 1 then 'single' when conflict then 'strongest_p' else 'concordant' end as reason from k where rn = 1""")
+def a11_collapse_genes(v):
+    return meta.collapse_genes(v("v_mr")).select("gene", "beta", "pvalue", "n_rows", "conflict", "reason")
+
+
+@query("select type, count(*) as n_raw, count(case when pvalue < 0.1e0 then 1 end) as n_kept, round(100e0 * count(case when pvalue < 0.1e0 then 1 end) / count(*), 6) + 0e0 as percent from v_qtl group by 1")
+def a42_retention(v):
+    return meta.retention(v("v_qtl"), "type", F.col("pvalue") < 0.1)
+
+
+@query("""with s as (select distinct case when pvalue < 0.5e0 then 'low' else 'high' end as cell_type, gene from v_qtl where beta > 20),
+ b as (select distinct gene from v_mr where pvalue < 0.001e0)
+select cell_type, count(*) as n_genes, count(b.gene) as n_captured, round(count(b.gene) * 1e0 / count(*), 6) + 0e0 as fraction from s left join b on b.gene = s.gene group by 1""")
+def a37_captured_counts(v):
+    sc = v("v_qtl").where("beta > 20").select(F.when(F.col("pvalue") < 0.5, "low").otherwise("high").alias("cell_type"), "gene")
+    return meta.captured_counts(sc, v("v_mr").where("pvalue < 0.001"))
+
+
+def _mr_rows(v):
+    q = v("v_qtl").where("beta <> 0 and type = 'NO'").groupBy("rsid", "gene").agg(F.min("beta").alias("beta"), F.min("se").alias("se"), F.min("vid").alias("vid"))
+    g = v("v_variant").groupBy("rsid").agg(F.min("beta").alias("gb"), F.min("se").alias("gs"))
+    return q.join(g, "rsid").select("gene", F.col("rsid").alias("snp"), F.col("beta").alias("beta_exposure"), F.col("se").alias("se_exposure"), F.col("gb").alias("beta_outcome"), F.col("gs").alias("se_outcome"))
+
+
+MR_ROWS = """q as (select rsid, gene, min(beta) as bx0, min(se) as sx from v_qtl where beta <> 0 and type = 'NO' group by 1, 2),
+ g as (select rsid, min(beta) as gb, min(se) as gs from v_variant group by 1),
+ d as (select gene, rsid as snp, abs(bx0) as bx, gb * sign(bx0) as bo, 1 / (gs * gs) as w, gs from q join g using (rsid)),
+ m as (select gene, count(*) as n, sum(w) as sw, sum(w * bx) as sx, sum(w * bo) as sy, sum(w * bx * bx) as sxx, sum(w * bx * bo) as sxy, sum(w * bo * bo) as syy from d group by 1 having count(*) >= 3)"""
+
+
+@query(f"""with {MR_ROWS},
+ e as (select *, (sw * sxy - sx * sy) / (sw * sxx - sx * sx) as slope from m), f as (select *, (sy - slope * sx) / sw as cut from e)
+select gene, n as nsnp, 'Inverse variance weighted' as method, {r('sxy / sxx', 'b')}, {r('sqrt(1 / sxx) * greatest(1e0, sqrt(greatest(0e0, syy - sxy / sxx * sxy) / (n - 1)))', 'se')} from m
+union all
+select gene, n, 'MR Egger', round(slope, 6) + 0e0, round(sqrt(sw / (sw * sxx - sx * sx)) * greatest(1e0, sqrt(greatest(0e0, syy - cut * sy - slope * sxy) / (n - 2))), 6) + 0e0 from f""")
+def t14_mr_estimate(v):
+    return meta.mr_estimate(_mr_rows(v), boot=1).where("nsnp >= 3 and method <> 'Weighted median'").select("gene", "nsnp", "method", "b", "se")
+
+
+@query(f"""with {MR_ROWS}, one as (select d.* from d join m using (gene)),
+ cum as (select gene, bo / bx as ratio, (sum(bx * bx * w) over (partition by gene order by bo / bx, snp rows unbounded preceding) - bx * bx * w / 2) / sum(bx * bx * w) over (partition by gene) as pt from one),
+ g as (select gene, count(*) as nsnp, max(case when pt < 0.5e0 then row(pt, ratio) end) as lo, min(case when pt >= 0.5e0 then row(pt, ratio) end) as hi from cum group by 1)
+select gene, nsnp, {r('coalesce(lo[2] + (hi[2] - lo[2]) * (0.5e0 - lo[1]) / (hi[1] - lo[1]), lo[2], hi[2])', 'b')} from g""")
+def t14_weighted_median(v):
+    return meta.mr_estimate(_mr_rows(v), boot=2).where("method = 'Weighted median'").select("gene", "nsnp", "b")
+
+
+# --- range and key joins
+
+
+@query("select v.rsid, v.vid, v.chrom, v.pos, i.identifier, i.component, round(i.mean_signal, 6) + 0e0 as mean_signal from v_variant v join v_interval i on v.chrom = i.chrom and i.start < v.pos and v.pos <= i.stop")
+def j1_interval_join(v):
+    i = v("v_interval").withColumnRenamed("stop", "end")
+    return ranges.interval_join(v("v_variant"), i).select("rsid", "vid", "chrom", "pos", "identifier", "component", "mean_signal")
+
+
+@query("select v.rsid, v.chrom, v.pos, v.pos - 100 as window_start, v.pos + 99 as window_end, g.gene from v_variant v join v_gene g on v.chrom = g.chrom and g.tx_end >= v.pos - 100 and g.tx_start <= v.pos + 99")
+def j2_window_overlap(v):
+    return ranges.window_overlap_join(v("v_variant"), v("v_gene"), 100, 99, bin_size=256).select("rsid", "chrom", "pos", "window_start", "window_end", "gene")
+
+
+@query("select q.rsid, q.gene, round(q.beta, 6) + 0e0 as beta, q.pvalue is not null and v.ref < 'C' as low_ref from v_qtl q join v_variant v on v.rsid = q.rsid where q.vid = v.vid and q.type = 'NO'")
+def j3_join_checked(v):
+    d = linkage.join_checked(v("v_qtl").where("type = 'NO'"), v("v_variant").select("rsid", F.col("vid").alias("vid2"), "ref"), ["rsid"], [("vid", "vid2")])
+    return d.select("rsid", "gene", "beta", (F.col("pvalue").isNotNull() & (F.col("ref") < "C")).alias("low_ref"))
+
+
+@query("""with h as (select v.rsid, i.identifier, i.mean_signal, row_number() over (partition by v.rsid order by i.mean_signal desc, i.identifier) as rn from v_variant v join v_interval i on v.chrom = i.chrom and i.start < v.pos and v.pos <= i.stop),
+ g as (select *, row_number() over (partition by rsid order by pval, vid) as rn from v_variant), m as (select g.rsid, g.pval, h.identifier, row_number() over (partition by h.identifier order by g.pval, g.rsid) as k from g join h using (rsid) where g.rn = 1 and h.rn = 1)
+select rsid, identifier, round(pval, 6) + 0e0 as pval from m where k = 1""")
+def j4_gwas_peak_join(v):
+    hits = ranges.interval_join(v("v_variant").select("rsid", "chrom", "pos"), v("v_interval").withColumnRenamed("stop", "end")).select("rsid", "identifier", "mean_signal")
+    return linkage.gwas_peak_join(v("v_variant").select("rsid", "vid", "pval"), hits).select("rsid", "identifier", "pval")
+
+
+@query("""with a as (select gene, min(pvalue) as p from v_mr where tissue = 'brain' group by 1)
+select g.gene, g.tx_start, round(a.p, 6) + 0e0 as p, g.gene in (select gene from v_qtl where beta > 24) as top from v_gene g left join a on a.gene = g.gene""")
+def j5_j7_attach_flag(v):
+    a = v("v_mr").where("tissue = 'brain'").groupBy("gene").agg(F.min("pvalue").alias("p"))
+    return linkage.flag_member(linkage.attach(v("v_gene"), a, ["gene"]), v("v_qtl").where("beta > 24"), ["gene"], "top").select("gene", "tx_start", "p", "top")
+
+
+@query("select rsid, gene, type from v_qtl where rsid not in (select rsid from v_qtl group by rsid having min(type) <> max(type))")
+def j8_drop_ambiguous(v):
+    return linkage.drop_ambiguous(v("v_qtl"), ["rsid"], "type").select("rsid", "gene", "type")
+
+
+@query("""with a as (select vid as k, min(rsid) as x from v_variant where vid % 5 = 0 group by 1), b as (select vid as k, min(rsid) as x from v_variant where vid % 3 = 0 group by 1)
+select q.vid, q.gene, coalesce(a.x, b.x) as hit, coalesce(a.x, b.x) is not null as linked from (select distinct vid, gene from v_qtl) q left join a on a.k = q.vid left join b on b.k = q.vid + 1""")
+def j10_lookup_two_keys(v):
+    q = v("v_qtl").select("vid", "gene").distinct().withColumns({"k1": F.col("vid"), "k2": F.col("vid") + 1})
+    a = v("v_variant").where("vid % 5 = 0").select(F.col("vid").alias("k1"), F.col("rsid").alias("hit"))
+    b = v("v_variant").where("vid % 3 = 0").select(F.col("vid").alias("k2"), F.col("rsid").alias("hit"))
+    return linkage.lookup_two_keys(q, a, "k1", b, "k2", ["hit"]).select("vid", "gene", "hit", "linked")
+
+
+LD_SIDES = "q as (select distinct vid from v_qtl where pvalue < 0.3e0), g as (select distinct vid from v_variant where pval < 0.3e0)"
+
+
+@query(f"""with {LD_SIDES}, e as (select variant1 as qtl_vid, variant2 as gwas_vid, r2 from v_ld where r2 >= 0.5e0 and variant1 in (select vid from q) and variant2 in (select vid from g)
+ union all select q.vid, q.vid, 1e0 from q join g on g.vid = q.vid) select qtl_vid, gwas_vid, round(max(r2), 6) + 0e0 as r2 from e group by 1, 2""")
+def j11_ld_link(v):
+    return linkage.ld_link(v("v_qtl").where("pvalue < 0.3"), v("v_variant").where("pval < 0.3"), v("v_ld"), 0.5).drop("r")
+
+
+@query("""with reg as (select distinct vid from v_variant), e as (select variant1 as reg_vid, variant2 as gwas_vid, r2 from v_ld where r2 > 0.4e0 union all select vid, vid, 1e0 from reg),
+ k as (select reg_vid, gwas_vid, r2, pval, row_number() over (partition by reg_vid order by pval, r2 desc, gwas_vid) as rn from e join v_variant g on g.vid = e.gwas_vid where g.pval < 0.4e0)
+select reg_vid, gwas_vid, round(r2, 6) + 0e0 as r2, round(pval, 6) + 0e0 as pval from k where rn = 1""")
+def j12_ld_best_proxy(v):
+    return linkage.ld_best_proxy(v("v_variant"), v("v_variant").where("pval < 0.4"), v("v_ld"), 0.4).drop("r")
+
+
+@query("""with n as (select distinct vid from v_variant where pval < 0.3e0), e as (select variant1, variant2, r2 from v_ld where variant1 in (select vid from n) and variant2 in (select vid from n))
+select u, v, round(max(r2), 6) + 0e0 as r2 from (select variant1 as u, variant2 as v, r2 from e union all select variant2, variant1, r2 from e) t group by 1, 2""")
+def j13_ld_adjacency(v):
+    return linkage.ld_adjacency(v("v_ld"), v("v_variant").where("pval < 0.3"))
+
+
+@query("""with recursive n as (select gene, vid, min(pvalue) as p from v_qtl where pvalue < 0.05e0 group by 1, 2),
+ e as (select a.gene, a.vid as u, b.vid as w from n a join n b on a.gene = b.gene and abs(a.vid - b.vid) between 1 and 3 join (select distinct vid from v_variant) x on x.vid = a.vid join (select distinct vid from v_variant) y on y.vid = b.vid),
+ reach as (select gene, vid as u, vid as root from n union select e.gene, e.w, r.root from reach r join e on e.gene = r.gene and e.u = r.u),
+ block as (select gene, u, min(root) as root from reach group by 1, 2),
+ k as (select n.gene, n.vid, n.p, row_number() over (partition by n.gene, b.root order by n.p, n.vid) as rn from n join block b on b.gene = n.gene and b.u = n.vid)
+select gene, vid, round(p, 6) + 0e0 as p from k where rn = 1""")
+def m15_ld_prune(v):
+    n = v("v_qtl").where("pvalue < 0.05").groupBy("gene", "vid").agg(F.min("pvalue").alias("p"))
+    adj = linkage.ld_adjacency(v("v_ld"), v("v_variant"))
+    return linkage.ld_prune(n, adj, ["gene"], "vid", "p").select("gene", "vid", "p")
+
+
+@query("select 'in_both' as part, count(*) as n from (select gene from v_gene intersect select gene_u from v_ppi) t union all select 'a_only', count(*) from (select gene from v_gene except select gene_u from v_ppi) t union all select 'b_only', count(*) from (select gene_u from v_ppi except select gene from v_gene) t")
+def o3_set_overlap(v):
+    o = select.set_overlap(v("v_gene"), v("v_ppi").select(F.col("gene_u").alias("gene")), ["gene"])
+    d = o.agg(F.count_if(F.col("in_a") & F.col("in_b")).alias("in_both"), F.count_if(F.col("in_a") & ~F.col("in_b")).alias("a_only"), F.count_if(~F.col("in_a") & F.col("in_b")).alias("b_only"))
+    return d.unpivot([], ["in_both", "a_only", "b_only"], "part", "n")
+
+
+# --- selection and windows
+
+
+@query("with k as (select *, row_number() over (partition by chrom, component order by mean_signal desc, identifier) as rn from v_interval) select chrom, component, identifier, round(mean_signal, 6) + 0e0 as mean_signal from k where rn = 1")
+def a1_best_interval(v):
+    return select.best_per_key(v("v_interval"), ["chrom", "component"], [F.desc("mean_signal"), F.col("identifier")]).select("chrom", "component", "identifier", "mean_signal")
+
+
+@query("""with p as (select concat(chrom, '_', cast(start % 50 as varchar)) as rsid, substr(component, 1, 3) as component, identifier, mean_signal from v_interval),
+ b as (select rsid, component, max(row(mean_signal, identifier)) as x from p where component in ('ECO', 'LAR', 'PRO', 'STA') group by 1, 2)
+select rsid, component, x[2] as identifier, round(x[1], 6) + 0e0 as mean_signal from b""")
+def a2_a3_pivot_melt(v):
+    p = v("v_interval").select(F.concat_ws("_", "chrom", F.expr("start % 50")).alias("rsid"), F.substring("component", 1, 3).alias("component"), "identifier", "mean_signal")
+    names = ["ECO", "LAR", "PRO", "STA"]
+    return select.melt_components(select.pivot_components(p, names), names)
+
+
+@query("select gene, vid, round(beta, 6) + 0e0 as beta, round(rank() over (partition by gene order by beta) + (count(*) over (partition by gene, beta) - 1) / 2e0, 6) + 0e0 as rank from (select distinct gene, vid, beta from v_qtl) t")
+def w1_avg_rank(v):
+    return select.avg_rank(v("v_qtl").select("gene", "vid", "beta").distinct(), "beta", ["gene"])
+
+
+@query("select gene, vid, row_number() over (partition by gene order by w desc, vid) as rank, round(w / sum(w) over (partition by gene), 6) + 0e0 as share from (select gene, vid, sum(se) as w from v_qtl group by 1, 2) t")
+def w2_w3_rank_share(v):
+    d = v("v_qtl").groupBy("gene", "vid").agg(F.sum("se").alias("w"))
+    return select.share(select.unique_rank(d, "w", ["gene"], ["vid"]), "w", ["gene"]).select("gene", "vid", "rank", "share")
+
+
+@query("""with g as (select gene, sum(beta) as score, gene in (select gene from v_gene where tx_start % 3 = 0) as hit from v_qtl group by 1),
+ s as (select *, case when hit then abs(score) / sum(case when hit then abs(score) else 0 end) over () else -1e0 / sum(case when hit then 0 else 1 end) over () end as step from g)
+select gene, hit, round(sum(step) over (order by score desc, gene rows unbounded preceding), 5) + 0e0 as es from s""")
+def w5_running_es(v):
+    g = v("v_qtl").groupBy("gene").agg(F.sum("beta").alias("score"))
+    g = linkage.flag_member(g, v("v_gene").where("tx_start % 3 = 0"), ["gene"], "hit")
+    return select.running_es(g, [], "score", "hit", "gene").select("gene", "hit", F.round("es", 5).alias("es"))
+
+
+@query("""with k as (select gene, vid, row_number() over (partition by gene order by pvalue, vid, beta) as rn from v_qtl), n as (select least(3, min(c)) as m from (select count(*) as c from v_qtl group by gene) t)
+select gene, vid from k, n where rn <= m""")
+def w6_top_n_balanced(v):
+    return select.top_n(v("v_qtl"), ["gene"], [F.col("pvalue"), F.col("vid"), F.col("beta")], 3, balanced=True).select("gene", "vid")
+
+
+@query("""with p as (select distinct chrom, pos from v_variant), n as (select *, case when pos - lag(pos) over (partition by chrom order by pos) <= 7 then 0 else 1 end as new from p),
+ i as (select *, sum(new) over (partition by chrom order by pos rows unbounded preceding) as island from n) select chrom, min(pos) as start, max(pos) as "end", count(*) as n from i group by chrom, island""")
+def w7_coalesce_positions(v):
+    return select.coalesce_positions(v("v_variant"), 7)
+
+
+@query("select cast(least(floor(pval * 10), 9) as bigint) as bin, count(*) as n, round(avg(pval), 6) + 0e0 as mean_pred, round(avg(case when beta > 0 then 1e0 else 0e0 end), 6) + 0e0 as observed from v_variant group by 1")
+def w9_binned_curve(v):
+    return select.binned_curve(v("v_variant").withColumn("y", F.col("beta") > 0), "pval", "y")
+
+
+@query("""with c as (select cell_type, grp, count(*) as n from v_cell group by 1, 2), q as (select *, least(n, 100) as base from c), f as (select cell_type, sum(n) as total from q group by 1)
+select cell_type, cast(least(total, 200) as bigint) as n from f""")
+def r1_balanced_sizes(v):
+    return select.balanced_sample(v("v_cell"), ["cell_type"], "grp", ["event_id"], cap=200).groupBy("cell_type").agg(F.count("*").alias("n"))
+
+
+@query("with c as (select cell_type, count(case when grp = 'case' then 1 end) as a, count(case when grp = 'control' then 1 end) as b from v_cell where event_id % 3 <> 0 or grp = 'control' group by 1) select cell_type, a as n_case, least(a, b) as n_control from c")
+def r2_matched_sizes(v):
+    d = select.match_controls(v("v_cell").where("event_id % 3 <> 0 or grp = 'control'"), ["cell_type"], "grp", ["event_id"])
+    return d.groupBy("cell_type").agg(F.count_if(F.col("grp") == "case").alias("n_case"), F.count_if(F.col("grp") == "control").alias("n_control"))
+
+
+@query("with n as (select count(*) as n from v_gene), f as (select unnest([0, 1, 2, 3, 4]) as fold), p as (select unnest([0, 1]) as repeat) select repeat, cast(fold as bigint) as fold, cast((n + 4 - fold) // 5 as bigint) as n from n, f, p")
+def r3_fold_sizes(v):
+    return select.assign_folds(v("v_gene"), ["gene"], 5, 2).groupBy("repeat", "fold").agg(F.count("*").alias("n"))
+
+
+# --- effects and contributions
+
+
+@query("""with least_p as (select min(gwas_pval) as m from v_link where gwas_pval > 0), w as (select reg_vid, gwas_rsid, gene, n, r2 * -log10(greatest(gwas_pval, m)) as weight from v_link, least_p),
+ cap as (select quantile_cont(weight, 0.99) as c from w where weight > 0) select reg_vid, gwas_rsid, gene, cast(n as bigint) as n, round(least(weight, c), 6) + 0e0 as weight from w, cap""")
+def p24_gwas_weight(v):
+    return effects.gwas_weight(v("v_link")).select("reg_vid", "gwas_rsid", "gene", "n", "weight")
+
+
+@query("""with m as (select median(beta) as med from v_variant), d as (select median(abs(beta - med)) as mad from v_variant, m) select vid, round((beta - med) / mad, 6) + 0e0 as robust_z from v_variant, m, d""")
+def p30_robust_z(v):
+    return effects.robust_z(v("v_variant"), "beta").select("vid", "robust_z")
+
+
+@query(f"select vid, round({two_sided_p_sql('(beta / se)')}, 6) + 0e0 as p, chrom in ('chr1', 'chr6', 'chr19') as test from v_variant")
+def p33_two_sided_p(v):
+    return v("v_variant").select("vid", two_sided_p(F.col("beta") / F.col("se")).alias("p"), (c.chrom_split(F.col("chrom")) == "test").alias("test"))
+
+
+@query("""select reg_rsid, round(max(abs(gwas_beta)), 6) + 0e0 as max_abs_beta, round(min(gwas_se), 6) + 0e0 as min_se, round(min(gwas_pval), 6) + 0e0 as min_pval, round(max(abs(r)), 6) + 0e0 as max_abs_r,
+ round(max(r2), 6) + 0e0 as max_r2, round(max(r2 * n), 6) + 0e0 as max_weight, count(distinct gwas_rsid) as n_loci from v_link group by 1""")
+def a7_link_rollup(v):
+    return effects.link_rollup(v("v_link").withColumn("weight", F.col("r2") * F.col("n")))
+
+
+@query("""with z as (select gene, gwas_rsid, max(abs(gwas_beta / gwas_se)) as z, sum(abs(effect)) as e, count(*) as n from v_link group by 1, 2), g as (select gene, avg(z * e) as score, count(*) as n_gwas, sum(n) as n_variants from z group by 1)
+select gene, round(score, 6) + 0e0 as score, n_gwas, cast(n_variants as bigint) as n_variants from g""")
+def a10_gene_scores(v):
+    return effects.gene_scores(v("v_link").withColumns({"gwas_z": F.col("gwas_beta") / F.col("gwas_se"), "effect_z": F.col("effect")})).drop("rank")
+
+
+@query("select metric, value from (select count(*) * 1e0 as keys, avg(n) as mean, median(n) * 1e0 as median, min(n) * 1e0 as least, max(n) * 1e0 as most, count(case when n > 1 then 1 end) * 1e0 as violations from (select gene, count(distinct reg_rsid) as n from v_link group by 1) t) s unpivot (value for metric in (keys, mean, median, least, most, violations))")
+def a36_selection_stats(v):
+    return effects.selection_stats(v("v_link"), ["gene"], "reg_rsid").where("metric not in ('items', 'rows')")
+
+
+DECOMPOSED = """w as (select gene, reg_rsid, gwas_rsid, sum(r2) as weight, sum(effect) as effect, max(pred) as pred from v_link group by 1, 2, 3),
+ s as (select *, case when sum(weight) over g > 0 then weight / sum(weight) over g else 1e0 / count(*) over g end as share from w window g as (partition by gene)), d as (select *, share * effect as contribution from s)"""
+
+
+def _decomposed(v):
+    d = v("v_link").groupBy("gene", "reg_rsid", "gwas_rsid").agg(F.sum("r2").alias("weight"), F.sum("effect").alias("effect"), F.max("pred").alias("pred"))
+    return contrib.decompose(d)
+
+
+@query(f"""with {DECOMPOSED} select gene, reg_rsid, gwas_rsid, round(share, 6) + 0e0 as share, round(contribution, 6) + 0e0 as contribution,
+ coalesce(round(contribution / nullif(sum(abs(contribution)) over (partition by gene), 0), 6) + 0e0, 0e0) as relative, case when effect * pred > 0 then 'concordant' when effect * pred < 0 then 'discordant' else 'unresolved' end as support from d""")
+def a31_decompose(v):
+    return _decomposed(v).select("gene", "reg_rsid", "gwas_rsid", "share", "contribution", "relative", "support")
+
+
+@query(f"""with {DECOMPOSED} select gene, count(*) as n_rows, count(distinct reg_rsid) as n_variants, count(distinct gwas_rsid) as n_loci, round(1 / sum(share * share), 5) + 0e0 as effective_n,
+ round(-sum(case when share > 0 then share * ln(share) else 0 end), 6) + 0e0 as entropy, round(sum(contribution), 6) + 0e0 as total from d group by 1""")
+def a32_decompose_summary(v):
+    d = contrib.decompose_summary(_decomposed(v))
+    return d.select("gene", "n_rows", "n_variants", "n_loci", F.round("effective_n", 5).alias("effective_n"), "entropy", "total")
+
+
+CONTEXT = "ctx as (select cell_type, disease, avg(score) / 100 as cscore from v_cell group by 1, 2)"
+
+
+@query(f"""with {DECOMPOSED}, {CONTEXT}, x as (select gene, cell_type, disease, contribution * cscore as value from d cross join ctx), a as (select cell_type, disease, gene, sum(value) as value, sum(abs(value)) as av, count(*) as n_rows from x group by 1, 2, 3)
+select cell_type, disease, gene, round(value, 5) + 0e0 as value, round(av / sum(av) over (partition by cell_type, disease), 6) + 0e0 as share, n_rows from a""")
+def a33_a34_deconvolve(v):
+    ctx = v("v_cell").groupBy("cell_type", "disease").agg((F.avg("score") / 100).alias("cscore"))
+    d = contrib.deconvolve_rollup(contrib.deconvolve(_decomposed(v), ctx), ["gene"])
+    return d.select("cell_type", "disease", "gene", F.round("value", 5).alias("value"), "share", "n_rows")
+
+
+# --- statistics
+
+
+@query(f"""with d as (select cell_type, grp, floor(score) as x from v_cell), k as (select *, rank() over (partition by cell_type order by x) + (count(*) over (partition by cell_type, x) - 1) / 2e0 as r, count(*) over (partition by cell_type, x) * 1e0 as t from d),
+ g as (select cell_type, count(case when grp = 'case' then 1 end) * 1e0 as n1, count(case when grp = 'control' then 1 end) * 1e0 as n2, sum(case when grp = 'case' then r end) as r1, sum(t * t - 1) as ties from k group by 1),
+ u as (select *, r1 - n1 * (n1 + 1) / 2 as u, n1 + n2 as n from g), z as (select *, greatest(0e0, abs(u - n1 * n2 / 2) - 0.5e0) / sqrt(n1 * n2 / 12 * (n + 1 - ties / (n * (n - 1)))) as z from u)
+select cell_type, cast(n1 as bigint) as n1, cast(n2 as bigint) as n2, round(u, 6) + 0e0 as u, round(least(1e0, {two_sided_p_sql('z')}), 6) + 0e0 as p, round(2 * u / (n1 * n2) - 1, 6) + 0e0 as rank_biserial from z""")
+def t1_mann_whitney(v):
+    return stats.mann_whitney(v("v_cell").withColumn("x", F.floor("score")), ["cell_type"], "grp", "x").select("cell_type", "n1", "n2", "u", "p", "rank_biserial")
+
+
+@query(f"""with k as (select cell_type, grp, rank() over (partition by cell_type order by score) + (count(*) over (partition by cell_type, score) - 1) / 2e0 as r from v_cell),
+ g as (select cell_type, count(case when grp = 'case' then 1 end) * 1e0 as n1, count(case when grp = 'control' then 1 end) * 1e0 as n2, sum(case when grp = 'case' then r end) as r1 from k group by 1),
+ z as (select *, (r1 - n1 * (n1 + 1) / 2 - n1 * n2 / 2) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12) as z from g) select cell_type, cast(n1 as bigint) as n1, cast(n2 as bigint) as n2, round(z, 6) + 0e0 as z, round({two_sided_p_sql('z')}, 6) + 0e0 as p from z""")
+def t2_rank_sum(v):
+    return stats.rank_sum(v("v_cell"), ["cell_type"], "grp", "score")
+
+
+@query("""with k as (select disease, cell_type, rank() over (partition by disease order by x) + (count(*) over (partition by disease, x) - 1) / 2e0 as r, count(*) over (partition by disease, x) * 1e0 as t from (select disease, cell_type, floor(score) as x from v_cell) d),
+ p as (select disease, cell_type, count(*) * 1e0 as m, sum(r) as r, sum(t * t - 1) as t from k group by 1, 2), g as (select disease, count(*) as n_groups, sum(m) as n, sum(r * r / m) as q, sum(t) as t from p group by 1)
+select disease, n_groups, cast(n as bigint) as n, round((12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - t / (n * n * n - n)), 5) + 0e0 as h from g""")
+def t3_kruskal(v):
+    d = stats.kruskal(v("v_cell").withColumn("x", F.floor("score")), ["disease"], "cell_type", "x")
+    return d.select("disease", "n_groups", "n", F.round("h", 5).alias("h"))
+
+
+@query("""with k as (select chrom, rank() over (partition by chrom order by beta) + (count(*) over (partition by chrom, beta) - 1) / 2e0 as x, rank() over (partition by chrom order by pval) + (count(*) over (partition by chrom, pval) - 1) / 2e0 as y from v_variant)
+select chrom, count(*) as n, round(corr(x, y), 6) + 0e0 as r from k group by 1""")
+def t4_spearman(v):
+    return stats.correlate(v("v_variant"), ["chrom"], "beta", "pval").drop("p")
+
+
+FISHER = """t as (select cell_type, count(case when grp = 'case' and score > 60 then 1 end) as a, count(case when grp = 'case' and score <= 60 then 1 end) as b, count(case when grp = 'control' and score > 60 then 1 end) as c, count(case when grp = 'control' and score <= 60 then 1 end) as d from v_cell where event_id % 20 = 0 group by 1)"""
+
+
+@query(f"""with {FISHER}, k as (select *, unnest(generate_series(greatest(0, (a + b) + (a + c) - (a + b + c + d)), least(a + b, a + c))) as x from t),
+ l as (select *, -(lgamma(x + 1) + lgamma(a + b - x + 1) + lgamma(a + c - x + 1) + lgamma(d - a + x + 1)) as lp from k), o as (select cell_type, max(case when x = a then lp end) as seen, max(lp) as top from l group by 1)
+select l.cell_type, a, b, c, d, round(case when b * c > 0 then a * d * 1e0 / (b * c) end, 6) + 0e0 as odds_ratio, round(least(1e0, sum(case when lp <= seen + 1e-7 then exp(lp - top) else 0 end) / sum(exp(lp - top))), 6) + 0e0 as p from l join o using (cell_type) group by 1, 2, 3, 4, 5""")
+def t5_fisher(v):
+    x = v("v_cell").where("event_id % 20 = 0")
+    n = lambda g, cond: F.count_if((F.col("grp") == g) & cond)
+    hi, lo = F.col("score") > 60, F.col("score") <= 60
+    t = x.groupBy("cell_type").agg(n("case", hi).alias("a"), n("case", lo).alias("b"), n("control", hi).alias("c"), n("control", lo).alias("d"))
+    d = stats.fisher_2x2(t)
+    return d.withColumn("odds_ratio", F.when(F.col("b") * F.col("c") > 0, F.col("odds_ratio")))
+
+
+@query("""with g as (select gene, tissue, min(pvalue) as p from v_mr group by 1, 2), k as (select *, p * count(*) over (partition by tissue) / (rank() over (partition by tissue order by p) + count(*) over (partition by tissue, p) - 1) as q from g)
+select gene, tissue, round(p, 6) + 0e0 as p, round(least(1e0, min(q) over (partition by tissue order by p desc range unbounded preceding)), 6) + 0e0 as fdr from k""")
+def t8_bh_fdr(v):
+    return stats.bh_fdr(v("v_mr").groupBy("gene", "tissue").agg(F.min("pvalue").alias("p")), "p", ["tissue"])
+
+
+@query("""with d as (select cell_type, case when grp = 'case' then 1e0 else 0e0 end as y, score / 101 as p from v_cell), k as (select *, rank() over (partition by cell_type order by p) + (count(*) over (partition by cell_type, p) - 1) / 2e0 as r,
+ sum(y) over (partition by cell_type order by p desc range unbounded preceding) / count(*) over (partition by cell_type order by p desc range unbounded preceding) as prec from d)
+select cell_type, count(*) as n, sum(y) as n_pos, round(sum(prec * y) / sum(y), 6) + 0e0 as average_precision, round(avg((y - p) * (y - p)), 6) + 0e0 as brier, round((sum(case when y = 1 then r end) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))), 6) + 0e0 as auroc from k group by 1""")
+def t12_binary_metrics(v):
+    d = v("v_cell").withColumns({"y": (F.col("grp") == "case").cast("int"), "p": F.col("score") / 101})
+    return stats.binary_metrics(d, "y", "p", ["cell_type"]).drop("ece")
+
+
+@query("select chrom, count(*) as n, round(sqrt(avg((beta - af_alt) * (beta - af_alt))), 6) + 0e0 as rmse, round(avg(abs(beta - af_alt)), 6) + 0e0 as mae, round(corr(beta, af_alt), 6) + 0e0 as pearson, round(avg(case when sign(beta) = sign(af_alt) then 1e0 else 0e0 end), 6) + 0e0 as sign_accuracy from v_variant group by 1")
+def t12_regression_metrics(v):
+    return stats.regression_metrics(v("v_variant"), "beta", "af_alt", ["chrom"]).drop("r2", "spearman")
+
+
+# --- network and models
+
+
+@query("""with e as (select distinct least(gene_u, gene_v) as u, greatest(gene_u, gene_v) as v from v_ppi where gene_u <> gene_v), n as (select gene, count(*) as degree from (select u as gene from e union all select v from e) t group by 1)
+select gene, degree, round(ln(1 + degree), 6) + 0e0 as log_degree, row_number() over (order by gene) - 1 as node_id from n""")
+def m1_build_graph(v):
+    return graph.build_graph(v("v_ppi"))[1]
+
+
+def _walk_sql(steps: int) -> str:
+    out = ["""e as (select distinct least(gene_u, gene_v) as u, greatest(gene_u, gene_v) as v from v_ppi where gene_u <> gene_v), b as (select u, v from e union all select v, u from e),
+ t as (select u as gene, v as near, 1e0 / count(*) over (partition by u) as share from b), s as (select gene, case when tx_start % 7 = 0 then 1e0 else 0e0 end as f from v_gene), f0 as (select * from s)"""]
+    for i in range(1, steps + 1):
+        out.append(f"f{i} as (select gene, sum(f) as f from (select t.gene, 0.7e0 * share * f.f as f from t join f{i - 1} f on f.gene = t.near union all select gene, 0.3e0 * f from s) x group by 1)")
+    return "with " + ",\n".join(out) + f" select gene, round(f, 6) + 0e0 as f from f{steps}"
+
+
+@query(_walk_sql(6))
+def m2_rwr_six_steps(v):
+    seeds = v("v_gene").select("gene", F.when(F.expr("tx_start % 7 = 0"), 1.0).otherwise(0.0).alias("f"))
+    return graph.rwr(graph.build_graph(v("v_ppi"))[0], seeds, [0.3], ["f"], max_iter=6).select("gene", "f")
+
+
+@query()
+def m3_rwr_cross_validation(v):
+    labels = v("v_mr").groupBy("gene").agg(F.avg("beta").alias("beta"), F.avg("confidence").alias("confidence"))
+    return graph.rwr_cv(graph.build_graph(v("v_ppi"))[0], labels, [0.3, 0.7], 3, max_iter=20)[1]
+
+
+def _features(v):
+    q = v("v_qtl").groupBy("gene").agg(F.avg("se").alias("x1"), F.avg("pvalue").alias("x2"), F.count("*").cast("double").alias("x3"))
+    m = v("v_mr").where("k % 3 > 0").groupBy("gene").agg(F.avg("beta").alias("y"), F.avg("confidence").alias("w"))
+    return q.join(m, "gene", "left")
+
+
+@query()
+def m5_weighted_ridge(v):
+    return models.weighted_ridge(_features(v), ["x1", "x2", "x3"], "y", "w")[0]
+
+
+@query()
+def m7_calibrated(v):
+    d = v("v_variant").select("vid", F.col("beta").alias("score"), (F.col("af_alt") + F.col("beta") / 4 > 0.5).cast("int").alias("y"))
+    return models.calibrate(d, "score", "y")[1]
+
+
+@query("""with d as (select gene, avg(case when tissue = 'brain' then beta end) as a, avg(case when tissue = 'blood' then beta end) as b, min(beta) as c from v_mr group by 1), e as (select *, (a + b + c) / 3 as m from d where a is not null and b is not null)
+select gene, round(m, 6) + 0e0 as ens_mean, round(least(a, b, c), 6) + 0e0 as ens_min, round(greatest(a, b, c), 6) + 0e0 as ens_max, round((case when sign(a) = sign(m) then 1 else 0 end + case when sign(b) = sign(m) then 1 else 0 end + case when sign(c) = sign(m) then 1 else 0 end) / 3e0, 6) + 0e0 as agreement from e""")
+def m10_ensemble(v):
+    side = lambda t: F.avg(F.when(F.col("tissue") == t, F.col("beta")))
+    d = v("v_mr").groupBy("gene").agg(side("brain").alias("a"), side("blood").alias("b"), F.min("beta").alias("c")).where("a is not null and b is not null")
+    return models.ensemble(d, ["a", "b", "c"]).select("gene", "ens_mean", "ens_min", "ens_max", "agreement")
+
+
+# --- cells and programs
+
+
+@query("""with n as (select cell_type, grp, count(*) as n_cells from v_cell group by 1, 2 having count(*) >= 20)
+select c.cell_type, c.grp, e.gene, round(sum(e.value), 6) + 0e0 as value, n_cells from v_cell c join v_expr e on e.sample_id = c.sample_id join n on n.cell_type = c.cell_type and n.grp = c.grp group by 1, 2, 3, n_cells""")
+def a15_pseudobulk(v):
+    return cells.pseudobulk(v("v_cell"), v("v_expr"), ["cell_type", "grp"]).select("cell_type", "grp", "gene", "value", "n_cells")
+
+
+@query("select sample_id, gene, round(log2(value * 1e6 / sum(value) over (partition by sample_id) + 1), 6) + 0e0 as value from v_expr where value > 0")
+def a16_log2cpm(v):
+    return cells.log2cpm(v("v_expr").where("value > 0").withColumn("value", F.col("value").cast("double")))
+
+
+@query("select sample_id, gene, round((value - avg(value) over g) / nullif(stddev_pop(value) over g, 0), 6) + 0e0 as z from v_expr window g as (partition by gene)")
+def a19_zscore_by_gene(v):
+    return programs.zscore_by_gene(v("v_expr").withColumn("value", F.col("value").cast("double"))).drop("value")
+
+
+@query("""with z as (select e.sample_id, e.gene, (value - avg(value) over g) / nullif(stddev_pop(value) over g, 0) as z from v_expr e where gene in (select gene from v_program) window g as (partition by gene)),
+ s as (select sample_id, program, avg(z) as score from z join v_program p using (gene) where z is not null group by 1, 2)
+select sample_id, round(max(case when program = 'risk' then score end), 6) + 0e0 as risk, round(max(case when program = 'protective' then score end), 6) + 0e0 as protective, round(max(case when program = 'risk' then score end) - max(case when program = 'protective' then score end), 6) + 0e0 as rstar from s group by 1""")
+def a21_a22_rstar(v):
+    e = v("v_expr").withColumn("value", F.col("value").cast("double"))
+    return programs.rstar(programs.mean_z_scores(e, v("v_program")))
+
+
+@query("with n as (select count(distinct gene) as m from v_expr) select sample_id, count(case when value > 0 then 1 end) as n_genes, round(sum(value), 6) + 0e0 as n_counts, round(count(case when value > 0 then 1 end) * 1e0 / m, 6) + 0e0 as detected_fraction from v_expr, n group by 1, m")
+def a20_cell_qc(v):
+    return cells.cell_qc(v("v_expr").withColumn("value", F.col("value").cast("double")))
+
+
+@query("select cell_type, grp, count(score) as n, round(avg(score), 6) + 0e0 as mean, round(median(score), 6) + 0e0 as median, round(stddev_samp(score), 6) + 0e0 as sd, round(stddev_samp(score) / sqrt(count(score)), 6) + 0e0 as sem from v_cell group by 1, 2")
+def a24_summarize(v):
+    return cells.summarize(v("v_cell"), ["cell_type", "grp"], "score")
+
+
+@query("""select cell_type, count(case when grp = 'case' then 1 end) as n_case, count(case when grp = 'control' then 1 end) as n_control, count(distinct case when grp = 'case' then donor_id end) as donors_case,
+ round(avg(case when grp = 'case' then score end) - avg(case when grp = 'control' then score end), 6) + 0e0 as delta_mean, round(median(case when grp = 'case' then score end) - median(case when grp = 'control' then score end), 6) + 0e0 as delta_median from v_cell group by 1""")
+def a25_compare_groups(v):
+    return cells.compare_groups(v("v_cell"), ["cell_type"], "score", group="grp", donor="donor_id").select("cell_type", "n_case", "n_control", "donors_case", "delta_mean", "delta_median")
+
+
+@query("with g as (select cell_type, disease, median(score) as m, count(*) as n from v_cell group by 1, 2 having count(*) >= 20) select g.cell_type, g.disease, g.n, round(g.m - c.m, 6) + 0e0 as delta from g join g c on c.cell_type = g.cell_type and c.disease = 'normal' where g.disease <> 'normal'")
+def a27_shifted_delta(v):
+    return cells.shifted_delta(v("v_cell"))
+
+
+@query("""with t as (select cell_type, quantile_cont(score, 0.95) as threshold from v_cell where grp = 'control' group by 1)
+select c.cell_type, round(threshold, 6) + 0e0 as threshold, count(case when grp = 'case' and score > threshold then 1 end) as case_hi, count(case when grp = 'control' and score > threshold then 1 end) as control_hi from v_cell c join t using (cell_type) group by 1, threshold""")
+def a28_extreme_burden(v):
+    return cells.extreme_burden(v("v_cell"), ["cell_type"], "score", group="grp").select("cell_type", "threshold", "case_hi", "control_hi")
+
+
+@query("with q as (select cell_type, quantile_cont(score, 0.9) as cut from v_cell where grp = 'case' group by 1) select cell_type, score >= cut as high, count(*) as n from v_cell join q using (cell_type) group by 1, 2")
+def a29_assign_high(v):
+    return cells.assign_high(v("v_cell"), "score", ["cell_type"], within="cases", group="grp").groupBy("cell_type", "high").agg(F.count("*").alias("n"))
+
+
+@query("with d as (select cell_type, donor_id, grp, avg(score) as score, count(*) as n_cells from v_cell group by 1, 2, 3) select cell_type, cast(donor_id as bigint) as donor_id, grp, round(score, 6) + 0e0 as score, n_cells from d")
+def a26_donor_mean(v):
+    return cells.donor_mean(v("v_cell"), ["cell_type"], "score", group="grp")
+
+
+@query()
+def t17_gsva(v):
+    e = v("v_expr").withColumn("value", F.col("value").cast("double"))
+    return programs.gsva(e, v("v_program"), min_size=3)
+
+
+@query()
+def t16_cell_rank_score(v):
+    return programs.cell_rank_score(v("v_expr"), v("v_program"), min_hits=1)
+
+
+@query()
+def t10_gsea(v):
+    g = v("v_qtl").groupBy("gene").agg(F.sum("beta").alias("score"))
+    return stats.gsea(linkage.flag_member(g, v("v_gene").where("tx_start % 3 = 0"), ["gene"], "hit"), "score", "hit", "gene", n=200)
