@@ -127,7 +127,7 @@ def palindromic(a1: Column, a2: Column) -> Column:
 
 def labels(c: Column) -> Column:
     """The labels of a composite one (a||b; c,d/e), in order."""
-    return F.filter(F.transform(F.split(c, r"\|\||[;,/]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, r"\|\||[;,/]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def abbreviate(c: Column, names: dict[str, str], initials: bool = False) -> Column:

@@ -121,8 +121,8 @@ def t14_mr_estimate(v):
 
 @query(f"""with {MR_ROWS}, one as (select d.* from d join m using (gene)),
  cum as (select gene, bo / bx as ratio, (sum(bx * bx * w) over (partition by gene order by bo / bx, snp rows unbounded preceding) - bx * bx * w / 2) / sum(bx * bx * w) over (partition by gene) as pt from one),
- g as (select gene, count(*) as nsnp, max(case when pt < 0.5e0 then row(pt, ratio) end) as lo, min(case when pt >= 0.5e0 then row(pt, ratio) end) as hi from cum group by 1)
-select gene, nsnp, {r('coalesce(lo[2] + (hi[2] - lo[2]) * (0.5e0 - lo[1]) / (hi[1] - lo[1]), lo[2], hi[2])', 'b')} from g""")
+ a as (select gene, count(*) as nsnp, max(case when pt < 0.5e0 then row(pt, ratio) end) as lo, min(case when pt >= 0.5e0 then row(pt, ratio) end) as hi from cum group by 1)
+select gene, nsnp, {r('coalesce(lo[2] + (hi[2] - lo[2]) * (0.5e0 - lo[1]) / (hi[1] - lo[1]), lo[2], hi[2])', 'b')} from a""")
 def t14_weighted_median(v):
     return meta.mr_estimate(_mr_rows(v), boot=2).where("method = 'Weighted median'").select("gene", "nsnp", "b")
 
