@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP_CHARS, words, written
+from .common import words, written
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -26,24 +26,34 @@ FEATURES = {
     "dup_line_share": "n_dup_lines / greatest(n_lines, 1)",
     "repeat_share": "n_repeat_words / greatest(n_words, 1)",
     "words_per_line": "n_words / greatest(n_lines, 1)",
-    "upper_share": "n_upper / greatest(word_chars, 1)",
-    "digit_share": "n_digits / greatest(word_chars, 1)",
     "distinct_share": "n_distinct_words / greatest(n_words, 1)",
 }
 MAX_TRAIN_ROWS = 12_000
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_distinct_words")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words")
 
 
-def _without(c: Column, chars: str) -> Column:
-    return F.length(c) - F.length(F.translate(c, chars, ""))
+def _count_of(c: Column, chars: str) -> Column:
+    """How many of the given characters a text has."""
+    bare = c
+    for x in chars:
+        bare = F.replace(bare, F.lit(x), F.lit(""))
+    return F.length(c) - F.length(bare)
+
+
+def _windows(df: DataFrame) -> DataFrame:
+    """Adds __h, 64-bit hashes of all windows of eight words of __words, by pairing hashes of one, two and four words with
+    those that far behind; each step is one pass over the array."""
+    df = df.withColumn("__h1", F.transform("__words", lambda w: F.xxhash64(w)))
+    for n in (1, 2, 4):
+        behind = F.slice(f"__h{n}", F.lit(n + 1), F.size("__words"))
+        df = df.withColumn(f"__h{2 * n}", F.zip_with(f"__h{n}", behind, lambda x, y: F.xxhash64(x, y)))
+    return df.withColumn("__h", F.when(F.size("__words") >= WINDOW, F.slice("__h8", F.lit(1), F.size("__words") - (WINDOW - 1))))
 
 
 def _repeat_words(df: DataFrame) -> DataFrame:
-    """Adds __repeats from __words: words inside windows that are found twice or more. Windows are compared by 64-bit hashes;
-    only texts in which hashes repeat are sorted to find out where."""
-    size = F.size("__words")
-    hashes = F.transform(F.sequence(F.lit(1), size - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("__words", i, WINDOW)))
-    df = df.withColumn("__h", F.when(size >= WINDOW, hashes))
+    """Adds __repeats from __words: words inside windows that are found twice or more; only texts in which hashes repeat
+    are sorted to find out where."""
+    df = _windows(df)
     again = F.size(F.array_distinct("__h")) < F.size("__h")
     df = df.withColumn("__s", F.when(again, F.array_sort(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     same = lambda i: F.coalesce(F.get("__s", i)["h"] == F.get("__s", i + 1)["h"], F.lit(False))
@@ -68,13 +78,11 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.col("__text")
     made = {
         "n_words": F.size("__words"),
-        "word_chars": F.length(text) - _without(text, GAP_CHARS),
-        "n_symbols": _without(text, SYMBOLS),
+        "word_chars": F.length(F.array_join("__words", "")),
+        "n_symbols": _count_of(text, SYMBOLS),
         "n_dup_lines": F.size("__lines") - F.size(F.array_distinct("__lines")),
         "n_repeat_words": F.col("__repeats"),
         "n_lines": F.size("__lines"),
-        "n_upper": _without(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-        "n_digits": _without(text, "0123456789"),
         "n_distinct_words": F.size(F.array_distinct("__words")),
     }
     return df.select(*(F.col(f"`{c}`") for c in keep), *(x.cast("long").alias(n) for n, x in made.items()))
@@ -210,5 +218,8 @@ def judge(docs: DataFrame, rules: DecisionList, id_col: str = "doc_id", text_col
 def keep_good(docs: DataFrame, rules: DecisionList) -> DataFrame:
     """The rows of `docs`, with all their columns as they are, that `judge` keeps."""
     plain = [F.col(f"`{c}`").alias(f"__col{i}") for i, c in enumerate(docs.columns)]
-    s = statistics(docs.select(*plain, F.col("text").alias("__judged")), "__judged").where(~base_failed() & ~rules.rejects())
+    s = statistics(docs.select(*plain, F.col("text").alias("__judged")), "__judged")
+    # The row number, never negative, keeps the filter above the counts: pushed below, it would repeat them inside each other.
+    keep = ~base_failed() & ~rules.rejects() & (F.monotonically_increasing_id() >= 0)
+    s = s.withColumn("__keep", keep).where("__keep")
     return s.select(*(F.col(f"__col{i}").alias(c) for i, c in enumerate(docs.columns)))
