@@ -55,14 +55,8 @@ def bucketed(df: DataFrame, key: str, parts: int, name: str) -> DataFrame:
 
 def words(text: Column) -> Column:
     """The words of a text, in order; none for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_GAP), lambda w: w != "")
-
-
-def n_words(text: Column) -> Column:
-    """The number of words: pieces between gaps, less the empty ones at either end."""
-    t = F.coalesce(text, F.lit(""))
-    inner = F.regexp_replace(t, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    return F.when(inner == "", F.lit(0)).otherwise(F.size(F.split(inner, WORD_GAP))).cast("long")
+    inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(GAP_CHARS))
+    return F.when(inner != "", F.split(inner, WORD_GAP)).otherwise(F.array().cast("array<string>"))
 
 
 def texts_of(batch: pa.RecordBatch, column: str) -> Iterator[bytes]:
@@ -180,7 +174,7 @@ class WordTokenizer:
     other. Words repeat, so their ids are kept, up to `room` of them. Texts with special tokens are encoded as a whole.
     """
 
-    def __init__(self, path: str, room: int = 500_000):
+    def __init__(self, path: str, room: int = 400_000):
         from tokenizers import Tokenizer
 
         self.t, self.room, self.known = Tokenizer.from_file(path), room, {}

@@ -30,7 +30,7 @@ MANIFEST = "part long, shard long, path string, n_docs long, n_ids long, n_symbo
 _BUCKETS = 17
 
 
-def grammar(ids: np.ndarray, first: int, end_id: int, rounds: int = 6, per_round: int = 1024, min_count: int = 8) -> tuple[np.ndarray, np.ndarray]:
+def grammar(ids: np.ndarray, first: int, end_id: int, rounds: int = 4, per_round: int = 2048, min_count: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """Symbols and rules (left, right) of a Re-Pair grammar over ids below `first`.
 
     Each round replaces the most frequent pairs, at most `per_round`, from left to right without overlaps. Pairs are
@@ -133,7 +133,7 @@ class Shard:
         return expand(self.symbols[int(self.symbol_at[i]) : int(self.symbol_at[i + 1])], *self._table)
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = 1 << 21) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = 1 << 20) -> DataFrame:
     """Encodes whole texts, orders documents by id over the cluster and writes grammar shards of about `shard_ids` ids.
 
     Returns the manifest, already written to the shared folder: a file that a lost task left behind is not in it.
