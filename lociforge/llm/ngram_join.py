@@ -8,15 +8,19 @@ of at least the threshold share a shingle among the first few of each, so only t
 The sets that share a shingle in their prefixes form a list. Each list is first joined to one leader; only members that
 the links found so far leave in other components are paired afterwards, so that a large group of near copies costs few
 more comparisons than it has members. No link between components is lost and no list is cut.
+
+Prefixes are SHARED - 1 longer than one common shingle asks for, so two linked sets have at least SHARED of them in common
+(or all that their overlap allows). Sets in fewer lists, as chance makes them, are left out before any comparison.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +29,10 @@ from .components import components
 
 #: Hash buckets whose counts order the shingles, and how many of them travel in one row.
 SKETCH_BITS, CHUNK_BITS = 20, 14
+#: Shingles that two linked sets have in common in their prefixes.
+SHARED = 4
+#: Documents to an Arrow batch, and bytes to a batch that goes back, about.
+BATCH_ROWS, BATCH_BYTES = 2000, 1 << 22
 #: Bits of the filter that spares documents without candidates from being sent.
 NEEDED_BITS, NEEDED_CHUNK_BITS = 23, 17
 
@@ -133,39 +141,50 @@ def least_overlap(na, nb, percent: int):
     return -(-percent * (na + nb) // (100 + percent))
 
 
+def least_lists(n: str, percent: int) -> str:
+    """SQL of how many lists a set of n must be in to be linked at all."""
+    return f"least({SHARED}, ceil({percent} * {n} / 100))"
+
+
 def prefixes(docs: DataFrame, width: int, percent: int, rarity: np.ndarray) -> DataFrame:
     """Rows (key, sid, np) of each set's prefix; np packs set size and position. Sets seen before in the task are left out."""
 
+    def out(keys: list, sids: list, sizes: list) -> pa.RecordBatch:
+        p = np.array([x[1] for x in sizes])
+        at = np.arange(p.sum()) - np.repeat(np.cumsum(p) - p, p)
+        packed = (np.repeat(np.array([x[0] for x in sizes], np.int64), p) << 32) | at
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array(sids, np.int64), p)), pa.array(packed)], ["key", "sid", "np"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            keys, sids, sizes = [], [], []
+            keys, sids, sizes, held = [], [], [], 0
             for s in shingle_sets(texts_of(batch, "text"), width):
                 if not len(s) or (sid := set_id(s)) in seen:
                     continue
                 if len(seen) >= 200_000:
                     seen.clear()
                 seen.add(sid)
-                p = int(probe_length(len(s), percent))
-                keys.append(order_keys(s, rarity)[:p])
+                p = min(len(s), int(probe_length(len(s), percent)) + SHARED - 1)
+                keys.append(order_keys(s, rarity)[:p].view(np.int64))
                 sids.append(sid)
                 sizes.append((len(s), p))
+                held += 24 * p
+                if held > BATCH_BYTES:
+                    yield out(keys, sids, sizes)
+                    keys, sids, sizes, held = [], [], [], 0
             if keys:
-                p = np.array([x[1] for x in sizes])
-                at = np.arange(p.sum()) - np.repeat(np.cumsum(p) - p, p)
-                packed = (np.repeat(np.array([x[0] for x in sizes], np.int64), p) << 32) | at
-                key = np.concatenate(keys).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(np.array(sids, np.int64), p)), pa.array(packed)], ["key", "sid", "np"])
+                yield out(keys, sids, sizes)
 
     return docs.select("text").mapInArrow(run, "key long, sid long, np long")
 
 
 def _meets(na, pa_, nb, pb, percent: int):
-    """Length, prefix and positional filters for a (not longer) and b at the places of a shared key. At the first key that
-    two sets share, the rest behind it bounds the overlap; pairs that fail there fail at every later one."""
+    """Length, prefix and positional filters for a (not longer) and b at the places of a shared key, if it is among the
+    first SHARED that they share: those, and the rest behind the key, bound the overlap."""
     fits = 100 * na >= percent * nb
-    fits &= pa_ < index_length(na, percent)
-    return fits & (1 + np.minimum(na - pa_, nb - pb) - 1 >= least_overlap(na, nb, percent))
+    fits &= pa_ < index_length(na, percent) + SHARED - 1
+    return fits & (np.minimum(na - pa_, nb - pb) + SHARED - 1 >= least_overlap(na, nb, percent))
 
 
 def meetings(prefix: DataFrame, percent: int, parts: int) -> DataFrame:
@@ -244,7 +263,7 @@ def needed_sets(docs: DataFrame, width: int, sids: DataFrame, parts: int) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mark, seen = np.unpackbits(bits).astype(bool), set()
         for batch in batches:
-            names, sets = [], []
+            names, sets, held = [], [], 0
             for s in shingle_sets(texts_of(batch, "text"), width):
                 if not len(s) or (sid := set_id(s)) in seen or not mark[(sid & 0xFFFFFFFFFFFFFFFF) >> (64 - NEEDED_BITS)]:
                     continue
@@ -253,6 +272,10 @@ def needed_sets(docs: DataFrame, width: int, sids: DataFrame, parts: int) -> Dat
                 seen.add(sid)
                 names.append(sid)
                 sets.append(s.tobytes())
+                held += s.nbytes
+                if held > BATCH_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], ["sid", "keys"])
+                    names, sets, held = [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], ["sid", "keys"])
 
     found = docs.select("text").mapInArrow(run, "sid long, keys binary").join(sids.select("sid").distinct(), "sid", "left_semi")
@@ -296,7 +319,7 @@ def _met(percent: int) -> str:
     at = {s: f"({s}.np & 4294967295)" for s in "lr"}
     return (
         f"least({n['l']}, {n['r']}) * 100 >= {percent} * greatest({n['l']}, {n['r']}) and "
-        f"least({n['l']} - {at['l']}, {n['r']} - {at['r']}) * {100 + percent} >= {percent} * ({n['l']} + {n['r']})"
+        f"(least({n['l']} - {at['l']}, {n['r']} - {at['r']}) + {SHARED - 1}) * {100 + percent} >= {percent} * ({n['l']} + {n['r']})"
     )
 
 
@@ -326,7 +349,9 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         else:
             right = now
         pairs = now.alias("l").join(right.alias("r"), "key").where(f"l.root <> r.root and {_met(percent)}")
-        pairs = pairs.selectExpr("least(l.sid, r.sid) as a", "greatest(l.sid, r.sid) as b").distinct()
+        overlap = f"ceil({percent} * (shiftright(l.np, 32) + shiftright(r.np, 32)) / {100 + percent})"
+        pairs = pairs.selectExpr("least(l.sid, r.sid) as a", "greatest(l.sid, r.sid) as b", "key", f"least({SHARED}, {overlap}) as least")
+        pairs = pairs.groupBy("a", "b").agg(F.countDistinct("key").alias("lists") if turn == 2 else F.count("*").alias("lists"), F.min("least").alias("least")).where("lists >= least").select("a", "b")
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
@@ -336,14 +361,38 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return links
 
 
+def _in_enough_lists(members: DataFrame, percent: int) -> DataFrame:
+    """Members of sets that are in as many lists as a link takes, in lists that still have two; done twice over."""
+    for _ in range(2):
+        n = members.groupBy("sid").agg(F.count("*").alias("lists"), F.expr("shiftright(min(np), 32)").alias("n")).where(f"lists >= {least_lists('n', percent)}")
+        members = members.join(n.select("sid"), "sid", "left_semi")
+        several = members.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi")
+        members = written(members.join(several.select("key"), "key", "left_semi"), "members")
+    return members
+
+
+@contextmanager
+def _small_batches(spark: SparkSession):
+    """Fewer rows to an Arrow batch while jobs run that hold whole sets."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, sid) of every row, and (node, root) of the classes that have links; `docs` has doc_id and text."""
     parts = shuffle_partitions(docs.sparkSession)
-    about = written(describe(docs, width), "sets")
-    rarity = rarity_classes(_table(about.where("chunk is not null"), SKETCH_BITS, CHUNK_BITS, parts))
-    members = written(meetings(prefixes(docs, width, percent, rarity), percent, parts), "members")
-    links = _links(members, needed_sets(docs, width, members.select("sid"), parts), percent)
-    return about.where("chunk is null").select("doc_id", "n", "sid"), components(links)
+    with _small_batches(docs.sparkSession):
+        about = written(describe(docs, width), "sets")
+        rarity = rarity_classes(_table(about.where("chunk is not null"), SKETCH_BITS, CHUNK_BITS, parts))
+        members = written(meetings(prefixes(docs, width, percent, rarity), percent, parts), "members")
+        members = _in_enough_lists(members, percent)
+        links = _links(members, needed_sets(docs, width, members.select("sid"), parts), percent)
+        return about.where("chunk is null").select("doc_id", "n", "sid"), components(links)
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
