@@ -174,7 +174,7 @@ class WordTokenizer:
     other. Words repeat, so their ids are kept, up to `room` of them. Texts with special tokens are encoded as a whole.
     """
 
-    def __init__(self, path: str, room: int = 400_000):
+    def __init__(self, path: str, room: int = 600_000):
         from tokenizers import Tokenizer
 
         self.t, self.room, self.known = Tokenizer.from_file(path), room, {}
@@ -186,13 +186,15 @@ class WordTokenizer:
         return np.array(self.t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, missing: set[bytes]) -> None:
-        known, plain = self.known, {}
+        known, plain, other = self.known, {}, []
         for w in missing:
             stem = w.rstrip(b".,")
             if stem and stem.decode().isalpha():
                 plain.setdefault(stem, []).append(w)
             else:
-                known[w] = self._ids(w.decode())
+                other.append(w)
+        for w, e in zip(other, self.t.encode_batch_fast([w.decode() for w in other], add_special_tokens=False), strict=True):
+            known[w] = np.array(e.ids, "<u4").tobytes()
         tails = {w[len(stem) :] for stem, full in plain.items() for w in full}
         tails = {x: self._ids(x.decode()) if x else b"" for x in tails}
         stems = list(plain)

@@ -30,6 +30,10 @@ MANIFEST = "part long, shard long, path string, n_docs long, n_ids long, n_symbo
 _BUCKETS = 17
 
 
+def _bucket(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(32 - _BUCKETS)
+
+
 def grammar(ids: np.ndarray, first: int, end_id: int, rounds: int = 4, per_round: int = 2048, min_count: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """Symbols and rules (left, right) of a Re-Pair grammar over ids below `first`.
 
@@ -43,27 +47,32 @@ def grammar(ids: np.ndarray, first: int, end_id: int, rounds: int = 4, per_round
         if len(seq) < 2:
             break
         a, b = seq[:-1], seq[1:]
-        bucket = (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(32 - _BUCKETS)
+        bucket = _bucket(a, b)
         count = np.bincount(bucket, minlength=1 << _BUCKETS)
         least = max(min_count, int(np.partition(count, -per_round)[-per_round]))
         at = np.flatnonzero((count >= least)[bucket] & ~closed[a])
         pairs = (a[at].astype(np.uint64) << np.uint64(32)) | b[at]
         kinds, n = np.unique(pairs, return_counts=True)
-        top = np.lexsort((kinds, -n))[:per_round]
-        kinds = np.sort(kinds[top[n[top] >= min_count]])
+        top = np.argsort(-n, kind="stable")[:per_round]
+        kinds = kinds[top[n[top] >= min_count]]
         if not len(kinds):
             break
-        rule = np.minimum(np.searchsorted(kinds, pairs), len(kinds) - 1)
-        hit = kinds[rule] == pairs
+        new = np.column_stack((kinds >> np.uint64(32), kinds & np.uint64(0xFFFFFFFF))).astype(np.uint32)
+        slot = _bucket(new[:, 0], new[:, 1])
+        rule_at = np.full(1 << _BUCKETS, -1, np.int32)
+        rule_at[slot[::-1]] = np.arange(len(kinds))[::-1]  # of kinds in one bucket the most frequent; the others wait a round
+        own = rule_at[slot] == np.arange(len(kinds))
+        rule_at[slot[own]] = np.arange(own.sum())
+        kinds, new = kinds[own], new[own]
+        rule = rule_at[bucket[at]]
+        hit = (rule >= 0) & (kinds[rule] == pairs)
         at, rule = at[hit], rule[hit]
         fresh = np.concatenate(([True], np.diff(at) > 1))  # in a run of neighbours every other pair is taken
         start = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
         even = (np.arange(len(at)) - start) % 2 == 0
         at, rule = at[even], rule[even]
-        new = np.column_stack((kinds >> np.uint64(32), kinds & np.uint64(0xFFFFFFFF))).astype(np.uint32)
         base = first + len(rules)
         closed[base : base + len(new)] = closed[new[:, 1]]
-        seq = seq.copy()
         seq[at] = base + rule
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
