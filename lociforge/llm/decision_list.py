@@ -26,10 +26,12 @@ FEATURES = {
     "dup_line_share": "n_dup_lines / greatest(n_lines, 1)",
     "repeat_share": "n_repeat_words / greatest(n_words, 1)",
     "words_per_line": "n_words / greatest(n_lines, 1)",
+    "upper_share": "n_upper / greatest(word_chars, 1)",
+    "digit_share": "n_digits / greatest(word_chars, 1)",
     "distinct_share": "n_distinct_words / greatest(n_words, 1)",
 }
 MAX_TRAIN_ROWS = 12_000
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_distinct_words")
 
 
 def _count_of(c: Column, chars: str) -> Column:
@@ -40,6 +42,11 @@ def _count_of(c: Column, chars: str) -> Column:
     return F.length(c) - F.length(bare)
 
 
+def _without(c: Column, runs: str) -> Column:
+    """How many characters a text loses with all matches of a pattern."""
+    return F.length(c) - F.length(F.regexp_replace(c, runs, ""))
+
+
 def _windows(df: DataFrame) -> DataFrame:
     """Adds __h, 64-bit hashes of all windows of eight words of __words, by pairing hashes of one, two and four words with
     those that far behind; each step is one pass over the array."""
@@ -83,6 +90,8 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_dup_lines": F.size("__lines") - F.size(F.array_distinct("__lines")),
         "n_repeat_words": F.col("__repeats"),
         "n_lines": F.size("__lines"),
+        "n_upper": _without(text, "[A-Z]+"),
+        "n_digits": _without(text, "[0-9]+"),
         "n_distinct_words": F.size(F.array_distinct("__words")),
     }
     return df.select(*(F.col(f"`{c}`") for c in keep), *(x.cast("long").alias(n) for n, x in made.items()))

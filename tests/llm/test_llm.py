@@ -484,3 +484,25 @@ def test_decision_list_on_held_out_rows(spark):
     empty = decision_list.learn(decision_list.labelled(docs, labels.limit(0)))
     assert empty.rules == ()
     assert decision_list.judge(empty_docs(spark), rules).count() == 0
+
+
+@pytest.mark.parametrize("feature", ["upper_share", "digit_share"])
+def test_decision_list_learns_shouting_and_digit_junk(spark, feature):
+    spoilt = {"upper_share": lambda w: w.upper(), "digit_share": lambda w: w.translate(str.maketrans("abcdefghij", "0123456789"))}[feature]
+    r, rows, labs = random.Random(6), [], []
+    for i in range(600):
+        bad = r.random() < 0.3
+        ws = ["".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 9))) for _ in range(r.randrange(40, 90))]
+        rows.append((i, " ".join(map(spoilt, ws) if bad else ws), "en", "s", 1))
+        labs.append((i, int(not bad), 0))
+    docs, labels = spark.createDataFrame(rows, DOC), spark.createDataFrame(labs, "doc_id long, quality int, toxic int")
+    rules = decision_list.learn(decision_list.labelled(docs, labels.where("doc_id < 400")))
+    assert feature in {c.feature for rule in rules.rules for c in rule}
+    assert {x["doc_id"]: x["kept"] for x in decision_list.judge(docs, rules).collect()} == {i: bool(q) for i, q, _ in labs}
+    assert {x["doc_id"] for x in decision_list.keep_good(docs, rules).collect()} == {i for i, q, _ in labs if q}
+
+
+def test_upper_and_digit_counts_equal_brute_force(spark):
+    docs = some_docs(spark).unionByName(some_docs(spark).limit(1).withColumns({"text": F.lit("A1 ÀB ٣ zZ9 😀 Q\n0"), "doc_id": F.lit(78)}))
+    got = sorted(str((x["doc_id"], x["n_upper"], x["n_digits"])) for x in decision_list.statistics(docs).collect())
+    assert got == sorted(str((d["doc_id"], len(re.findall("[A-Z]", d["text"] or "")), len(re.findall("[0-9]", d["text"] or "")))) for d in docs.collect())
