@@ -34,36 +34,35 @@ def _bucket(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(32 - _BUCKETS)
 
 
-def grammar(ids: np.ndarray, first: int, end_id: int, rounds: int = 4, per_round: int = 2048, min_count: int = 8) -> tuple[np.ndarray, np.ndarray]:
+def grammar(ids: np.ndarray, first: int, end_id: int, per_round: int = 2048, min_count: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """Symbols and rules (left, right) of a Re-Pair grammar over ids below `first`.
 
-    Each round replaces the most frequent pairs, at most `per_round`, from left to right without overlaps. Pairs are
-    counted in hashed buckets first, and only those in the fullest buckets exactly. Nothing is joined behind an end id.
+    Each round replaces the most frequent pairs, at most `per_round`, from left to right without overlaps, until no pair
+    is found `min_count` times. Pairs are counted in hashed buckets first, and only those in the fullest buckets exactly,
+    or in all that may hold a frequent pair where the fullest have too few. Nothing is joined behind an end id.
     """
-    seq, rules = ids.astype(np.uint32), np.empty((0, 2), np.uint32)
-    closed = np.zeros(first + rounds * per_round, bool)
+    seq, rules = ids.astype(np.uint32), [np.empty((0, 2), np.uint32)]
+    closed = np.zeros(first + len(ids), bool)  # every rule makes the sequence shorter
     closed[end_id] = True
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    base = first
+    while len(seq) > 1:
         a, b = seq[:-1], seq[1:]
-        bucket = _bucket(a, b)
-        count = np.bincount(bucket, minlength=1 << _BUCKETS)
-        least = max(min_count, int(np.partition(count, -per_round)[-per_round]))
-        at = np.flatnonzero((count >= least)[bucket] & ~closed[a])
-        pairs = (a[at].astype(np.uint64) << np.uint64(32)) | b[at]
-        kinds, n = np.unique(pairs, return_counts=True)
-        top = np.argsort(-n, kind="stable")[:per_round]
-        kinds = kinds[top[n[top] >= min_count]]
+        bucket, free = _bucket(a, b), ~closed[a]
+        count = np.bincount(bucket[free], minlength=1 << _BUCKETS)
+        for least in sorted({max(min_count, int(np.partition(count, -per_round)[-per_round])), min_count}, reverse=True):
+            at = np.flatnonzero((count >= least)[bucket] & free)
+            pairs = (a[at].astype(np.uint64) << np.uint64(32)) | b[at]
+            kinds, n = np.unique(pairs, return_counts=True)
+            top = np.argsort(-n, kind="stable")[:per_round]
+            kinds = kinds[top[n[top] >= min_count]]
+            if len(kinds) == per_round:
+                break
         if not len(kinds):
             break
         new = np.column_stack((kinds >> np.uint64(32), kinds & np.uint64(0xFFFFFFFF))).astype(np.uint32)
         slot = _bucket(new[:, 0], new[:, 1])
         rule_at = np.full(1 << _BUCKETS, -1, np.int32)
         rule_at[slot[::-1]] = np.arange(len(kinds))[::-1]  # of kinds in one bucket the most frequent; the others wait a round
-        own = rule_at[slot] == np.arange(len(kinds))
-        rule_at[slot[own]] = np.arange(own.sum())
-        kinds, new = kinds[own], new[own]
         rule = rule_at[bucket[at]]
         hit = (rule >= 0) & (kinds[rule] == pairs)
         at, rule = at[hit], rule[hit]
@@ -71,13 +70,15 @@ def grammar(ids: np.ndarray, first: int, end_id: int, rounds: int = 4, per_round
         start = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
         even = (np.arange(len(at)) - start) % 2 == 0
         at, rule = at[even], rule[even]
-        base = first + len(rules)
+        used = np.bincount(rule, minlength=len(kinds)) > 0  # not those whose places all went to their neighbours
+        new, rule = new[used], (np.cumsum(used) - 1)[rule]
         closed[base : base + len(new)] = closed[new[:, 1]]
         seq[at] = base + rule
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq, rules = seq[keep], np.concatenate((rules, new))
-    return seq, rules
+        seq, base = seq[keep], base + len(new)
+        rules.append(new)
+    return seq, np.concatenate(rules)
 
 
 def expansions(rules: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -6,7 +6,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -377,6 +377,21 @@ def test_grammar_shrinks_and_expands():
         assert shard.ids(i).tolist() == raws[i].tolist()
 
 
+@pytest.mark.parametrize("per_round", [16, 2048])
+def test_grammar_leaves_no_frequent_pair(per_round):
+    r = np.random.default_rng(2)
+    passage = r.integers(2, 90, 200)
+    ids = np.concatenate([np.concatenate((passage, r.integers(2, 90, r.integers(0, 9)), [1] * (i % 3 == 0))) for i in range(1000)] + [np.full(5000, 7), [1]])
+    symbols, rules = repair.grammar(ids, 100, 1, per_round=per_round)
+    table = repair.expansions(rules, 100)
+    assert repair.expand(symbols, *table).tolist() == ids.tolist() and table[2].max() >= 200
+    ends = [repair.expand(np.array([x]), *table)[-1] == 1 for x in range(100 + len(rules))]
+    assert not any(ends[left] for left, _ in rules.tolist())
+    left = Counter((a, b) for a, b in zip(symbols[:-1].tolist(), symbols[1:].tolist(), strict=True) if not ends[a])
+    assert max(left.values(), default=0) < 8
+    assert set(range(100, 100 + len(rules))) <= {*symbols.tolist(), *rules.ravel().tolist()}
+
+
 # --- 7
 
 
