@@ -1,6 +1,7 @@
 """Licence scans by conditional compression.
 
-A block of text that begins at a line with a licence cue is compressed alone and with each template as a raw zstandard
+A block of text that leads to a licence cue, from a line, a sentence or the word where a template holding the cue would
+begin, is compressed alone and with each template as a raw zstandard
 dictionary. Templates are ranked by the bytes they save; in that order they are compared with the block word by word,
 and the first whose wording differs by few enough words is the finding.
 """
@@ -9,6 +10,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,6 +46,11 @@ def plain_words(text: str) -> list[str]:
     return [w for x in _WORD.findall(text.lower()) if (w := x.strip(".,;:()\"'[]*#/"))]
 
 
+def _cue_kind(cue: str) -> str:
+    """Spellings of a cue in one form."""
+    return " ".join(cue.lower().split()).replace("licence", "license")
+
+
 def changed_words(a: list[str], b: list[str]) -> int:
     """Words to be put in, taken out or replaced to make b of a."""
     ops = difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
@@ -61,32 +68,57 @@ class Scanner:
             d = z.ZstdCompressionDict(text.encode(), dict_type=z.DICT_TYPE_RAWCONTENT)
             self.templates.append((name, plain_words(text), len(_WORD.findall(text)), z.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_dict_id=False)))
 
-    def at(self, text: str, start: int) -> tuple | None:
-        """The finding at a line start: (name, end of the block, its bytes alone, saved bytes, changed words)."""
+        self.cue_at: dict[str, dict[int, list]] = {}  # by cue: words before it in a template, templates
+        for t, text in zip(self.templates, templates.values(), strict=True):
+            starts = [m.start() for m in _WORD.finditer(text)]
+            for m in self.cue.finditer(text):
+                same = self.cue_at.setdefault(_cue_kind(m.group()), {}).setdefault(bisect_right(starts, m.start()) - 1, [])
+                if t not in same:
+                    same.append(t)
+
+    def at(self, text: str, start: int, templates: list | None = None) -> tuple | None:
+        """The finding at a word start: (name, end of the block, its bytes alone, saved bytes, changed words, their share).
+
+        Blocks are ranked at a template's length; the wording is compared with as many words more as may be changed."""
+        templates = self.templates if templates is None else templates
         ends: dict[int, int] = {}
-        longest = max(n for _, _, n, _ in self.templates)
+        longest = max(n + int(self.max_changed * len(words)) for _, words, n, _ in templates)
         for i, m in enumerate(_WORD.finditer(text, start), 1):
             ends[i] = m.end()
             if i == longest:
                 break
         ranked = []
-        for name, words, n, packer in self.templates:
-            end = ends[min(n, len(ends))]
-            block = text[start:end]
-            alone = len(self.plain.compress(raw := block.encode()))
-            saved = alone - len(packer.compress(raw))
+        for name, words, n, packer in templates:
+            alone, saved = self.sizes(text[start : ends[min(n, len(ends))]], packer)
             if saved >= self.min_saved * alone:
-                ranked.append((saved / alone, saved, name, words, end, block, alone))
+                ranked.append((saved / alone, saved, name, words, n, packer))
         ranked.sort(key=lambda x: (-x[0], -x[1], x[2]))
-        for _, saved, name, words, end, block, alone in ranked:
-            changed = changed_words(words, plain_words(block))
+        for _, _, name, words, n, packer in ranked:
+            tried = sorted({min(n + more, len(ends)) for more in range(int(self.max_changed * len(words)) + 1)})
+            changed, n = min((changed_words(words, plain_words(text[start : ends[k]])), k) for k in tried)
             if changed <= self.max_changed * len(words):
-                return name, end, alone, saved, changed
+                return name, ends[n], *self.sizes(text[start : ends[n]], packer), changed, changed / len(words)
         return None
 
+    def sizes(self, block: str, packer) -> tuple[int, int]:
+        """Bytes of a block compressed alone, and how many the template saves."""
+        alone = len(self.plain.compress(raw := block.encode()))
+        return alone, alone - len(packer.compress(raw))
+
+    def before(self, text: str, floor: int, cue: int, n: int) -> list[int]:
+        """Starts of the word that holds the cue and of up to n words before it, the nearest first."""
+        size = 512
+        while True:
+            low = max(floor, cue - size)
+            starts = [x.start() for x in _WORD.finditer(text, low, cue + 1)]
+            if low == floor or len(starts) > n + 1:  # the first may be cut in two
+                return starts[::-1][: n + 1]
+            size *= 2
+
     def scan(self, text: str) -> Iterator[tuple]:
-        """(start, *finding) for every line with a cue that isn't inside an earlier finding."""
-        done = 0
+        """(start, *finding) for every cue that isn't inside an earlier finding: of the starts that lead to it the one with
+        the least share of changed words."""
+        done = floor = 0
         for m in self.cue.finditer(text):
             if m.start() < done:
                 continue
@@ -94,18 +126,26 @@ class Scanner:
             before = text[line : m.start()]
             sentence = max((x.end() for x in _SENTENCE.finditer(before)), default=0)
             done = m.end()
+            best = None
             for s in sorted({line + sentence, line + len(before) - len(before.lstrip())}, reverse=True):  # the nearest first
-                if found := self.at(text, s):
-                    yield s, *found
-                    done = max(done, found[1])
-                    break
+                if (found := self.at(text, s)) and (best is None or found[-1] < best[-1]):
+                    best = s, *found
+            if best is None or best[-1]:
+                by_offset = self.cue_at.get(_cue_kind(m.group()), {})
+                starts = self.before(text, floor, m.start(), max(by_offset, default=0))
+                for k in sorted(by_offset):
+                    if k < len(starts) and (found := self.at(text, starts[k], by_offset[k])) and (best is None or found[-1] < best[-1]):
+                        best = starts[k], *found
+            if best:
+                yield best[:-1]
+                done = floor = max(done, best[2])
 
 
 def scan_licences(docs: DataFrame, templates: dict[str, str] = TEMPLATES, min_saved: float = 0.25, max_changed: float = 0.2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per finding: doc_id, start (code points before it), licence, block_bytes (compressed alone), saved_bytes,
     changed_words.
 
-    Whole texts are searched, from each line or sentence that leads to a cue. Null and empty texts have no finding, nor
+    Whole texts are searched, from each line, sentence or template's first word that leads to a cue. Null and empty texts have no finding, nor
     do texts without cues, which don't leave Spark; null ids stay; rows with the same id are searched one by one; of
     templates that save alike the first by name is tried first; an empty table gives no rows; other columns are not read.
     """

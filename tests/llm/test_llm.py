@@ -454,6 +454,26 @@ def test_licences(spark):
     assert licences.scan_licences(docs.limit(0)).count() == 0
 
 
+def test_licences_inside_sentences():
+    scanner = licences.Scanner(licences.TEMPLATES, 0.25, 0.2)
+    gpl = licences.TEMPLATES["GPL-notice"].replace("redistribute it", "freely redistribute it")
+    cases = [
+        ("This article is licensed under CC BY 4.0.", "licensed", "CC-BY-4.0", 0),
+        ("This software is released under the MIT License.", "released", "MIT", 0),
+        ("Copyright 2020 A. Body, all rights reserved.", "all", "all-rights-reserved", 0),
+        ("x " * 400 + "and (all rights reserved)", "(all", "all-rights-reserved", 0),
+        ("w" * 5000 + " our text is licensed under the Apache License, Version 2.0.", "licensed", "Apache-2.0", 0),
+        ("Note that " + gpl + " and more", "This", "GPL-notice", 1),
+        ("Now licensed under CC BY-SA 4.0 and so on", "licensed", "CC-BY-SA-4.0", 0),
+    ]
+    for text, first, name, changed in cases:
+        got = [(text[s:].split()[0], kind, n) for s, kind, _, _, _, n in scanner.scan(text)]
+        assert got == [(first, name, changed)], text
+    assert not list(scanner.scan("My driving licence is under the seat, with permission of a free software group, copyright or not."))
+    two = "It is released under the MIT License and its text is licensed under CC BY 4.0, all rights reserved."
+    assert [x[1] for x in scanner.scan(two)] == ["MIT", "CC-BY-4.0", "all-rights-reserved"]
+
+
 # --- 10
 
 
