@@ -283,6 +283,13 @@ def r2_matched_sizes(v):
     return d.groupBy("cell_type").agg(F.count_if(F.col("grp") == "case").alias("n_case"), F.count_if(F.col("grp") == "control").alias("n_control"))
 
 
+@query()
+def r2_matched_sizes_all(v):
+    """All cells; r2_matched_sizes and its SQL leave out cases."""
+    d = select.match_controls(v("v_cell"), ["cell_type"], "grp", ["event_id"])
+    return d.groupBy("cell_type").agg(F.count_if(F.col("grp") == "case").alias("n_case"), F.count_if(F.col("grp") == "control").alias("n_control"))
+
+
 @query("with n as (select count(*) as n from v_gene), f as (select unnest([0, 1, 2, 3, 4]) as fold), p as (select unnest([0, 1]) as repeat) select repeat, cast(fold as bigint) as fold, cast((n + 4 - fold) // 5 as bigint) as n from n, f, p")
 def r3_fold_sizes(v):
     return select.assign_folds(v("v_gene"), ["gene"], 5, 2).groupBy("repeat", "fold").agg(F.count("*").alias("n"))
@@ -396,7 +403,16 @@ FISHER = """t as (select cell_type, count(case when grp = 'case' and score > 60
  l as (select *, -(lgamma(x + 1) + lgamma(a + b - x + 1) + lgamma(a + c - x + 1) + lgamma(d - a + x + 1)) as lp from k), o as (select cell_type, max(case when x = a then lp end) as seen, max(lp) as top from l group by 1)
 select l.cell_type, a, b, c, d, round(case when b * c > 0 then a * d * 1e0 / (b * c) end, 6) + 0e0 as odds_ratio, round(least(1e0, sum(case when lp <= seen + 1e-7 then exp(lp - top) else 0 end) / sum(exp(lp - top))), 6) + 0e0 as p from l join o using (cell_type) group by 1, 2, 3, 4, 5""")
 def t5_fisher(v):
-    x = v("v_cell").where("event_id % 20 = 0")
+    return _fisher(v("v_cell").where("event_id % 20 = 0"))
+
+
+@query()
+def t5_fisher_all(v):
+    """All events; t5_fisher and its SQL read one in twenty."""
+    return _fisher(v("v_cell"))
+
+
+def _fisher(x):
     n = lambda g, cond: F.count_if((F.col("grp") == g) & cond)
     hi, lo = F.col("score") > 60, F.col("score") <= 60
     t = x.groupBy("cell_type").agg(n("case", hi).alias("a"), n("case", lo).alias("b"), n("control", hi).alias("c"), n("control", lo).alias("d"))
@@ -454,7 +470,7 @@ def m3_rwr_cross_validation(v):
 
 def _features(v):
     q = v("v_qtl").groupBy("gene").agg(F.avg("se").alias("x1"), F.avg("pvalue").alias("x2"), F.count("*").cast("double").alias("x3"))
-    m = v("v_mr").where("k % 3 > 0").groupBy("gene").agg(F.avg("beta").alias("y"), F.avg("confidence").alias("w"))
+    m = v("v_mr").groupBy("gene").agg(F.avg("beta").alias("y"), F.avg("confidence").alias("w"))
     return q.join(m, "gene", "left")
 
 

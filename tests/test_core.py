@@ -12,6 +12,8 @@ from lociforge.functions import tails
 from lociforge.operators import cells, contrib, effects, graph, linkage, meta, models, programs, ranges, select, stats
 from lociforge.sources import tables
 
+SF = "/root/testdata/sf0.001"
+
 
 def rows(df, *cols):
     return sorted((tuple(x) for x in (df.select(*cols) if cols else df).collect()), key=str)
@@ -298,3 +300,22 @@ def test_entry_points_have_matching_names(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_queries_read_whole_views(spark):
+    from lociforge.plans import queries as q
+
+    cells_ = q.view(spark, SF, "v_cell").select("cell_type", "grp", "score").collect()
+    table = {t: [sum(x["cell_type"] == t and x["grp"] == g and (x["score"] > 60) == hi for x in cells_) for g in ("case", "control") for hi in (True, False)] for t in {x["cell_type"] for x in cells_}}
+    fisher = {x["cell_type"]: x for x in q.QUERIES["t5_fisher_all"](spark, SF).collect()}
+    assert {t: [x[k] for k in "abcd"] for t, x in fisher.items()} == table
+    for t, (a, b, c_, d) in table.items():
+        ways = {k: math.comb(a + b, k) * math.comb(c_ + d, a + c_ - k) for k in range(max(0, a - d), min(a + b, a + c_) + 1)}
+        assert fisher[t]["p"] == pytest.approx(sum(w for w in ways.values() if w <= ways[a]) / sum(ways.values()), abs=2e-6)
+    sizes = {x["cell_type"]: (x["n_case"], x["n_control"]) for x in q.QUERIES["r2_matched_sizes_all"](spark, SF).collect()}
+    assert sizes == {t: (a + b, min(a + b, c_ + d)) for t, (a, b, c_, d) in table.items()}
+    labels = {}
+    for x in q.view(spark, SF, "v_mr").select("gene", "beta").collect():
+        labels.setdefault(x["gene"], []).append(x["beta"])
+    got = {x["gene"]: x["y"] for x in q._features(lambda v: q.view(spark, SF, v)).collect()}
+    assert got == pytest.approx({g: sum(b) / len(b) for g, b in labels.items()})
