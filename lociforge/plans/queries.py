@@ -119,6 +119,12 @@ def t14_mr_estimate(v):
     return meta.mr_estimate(_mr_rows(v), boot=1).where("nsnp >= 3 and method <> 'Weighted median'").select("gene", "nsnp", "method", "b", "se")
 
 
+@query()
+def t14_mr_all(v):
+    """Every number of SNPs, every method and its error; t14_mr_estimate and its SQL begin at three SNPs, without medians."""
+    return meta.mr_estimate(_mr_rows(v))
+
+
 @query(f"""with {MR_ROWS}, one as (select d.* from d join m using (gene)),
  cum as (select gene, bo / bx as ratio, (sum(bx * bx * w) over (partition by gene order by bo / bx, snp rows unbounded preceding) - bx * bx * w / 2) / sum(bx * bx * w) over (partition by gene) as pt from one),
  a as (select gene, count(*) as nsnp, max(case when pt < 0.5e0 then row(pt, ratio) end) as lo, min(case when pt >= 0.5e0 then row(pt, ratio) end) as hi from cum group by 1)
@@ -462,10 +468,17 @@ def m2_rwr_six_steps(v):
     return graph.rwr(graph.build_graph(v("v_ppi"))[0], seeds, [0.3], ["f"], max_iter=6).select("gene", "f")
 
 
+@query()
+def m2_rwr(v):
+    """The walk to its end; m2_rwr_six_steps and its SQL stop before."""
+    seeds = v("v_gene").select("gene", F.when(F.expr("tx_start % 7 = 0"), 1.0).otherwise(0.0).alias("f"))
+    return graph.rwr(graph.build_graph(v("v_ppi"))[0], seeds, [0.3], ["f"]).select("gene", "f")
+
+
 @query()
 def m3_rwr_cross_validation(v):
     labels = v("v_mr").groupBy("gene").agg(F.avg("beta").alias("beta"), F.avg("confidence").alias("confidence"))
-    return graph.rwr_cv(graph.build_graph(v("v_ppi"))[0], labels, [0.3, 0.7], 3, max_iter=20)[1]
+    return graph.rwr_cv(graph.build_graph(v("v_ppi"))[0], labels, [0.1, 0.2, 0.3, 0.5, 0.7], 5, 5)[1]
 
 
 def _features(v):
@@ -571,4 +584,4 @@ def t16_cell_rank_score(v):
 @query()
 def t10_gsea(v):
     g = v("v_qtl").groupBy("gene").agg(F.sum("beta").alias("score"))
-    return stats.gsea(linkage.flag_member(g, v("v_gene").where("tx_start % 3 = 0"), ["gene"], "hit"), "score", "hit", "gene", n=200)
+    return stats.gsea(linkage.flag_member(g, v("v_gene").where("tx_start % 3 = 0"), ["gene"], "hit"), "score", "hit", "gene")

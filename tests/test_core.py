@@ -2,6 +2,7 @@
 
 import math
 import random
+from unittest.mock import MagicMock
 
 import numpy as np
 import pytest
@@ -319,3 +320,40 @@ def test_queries_read_whole_views(spark):
         labels.setdefault(x["gene"], []).append(x["beta"])
     got = {x["gene"]: x["y"] for x in q._features(lambda v: q.view(spark, SF, v)).collect()}
     assert got == pytest.approx({g: sum(b) / len(b) for g, b in labels.items()})
+
+
+def test_walk_and_mr_queries_are_whole(spark):
+    from lociforge.plans import queries as q
+
+    edges = {(x["u"], x["v"]) for x in graph.build_graph(q.view(spark, SF, "v_ppi"))[0].collect()}
+    seed = {x["gene"]: float(x["tx_start"] % 7 == 0) for x in q.view(spark, SF, "v_gene").collect()}
+    names = sorted({g for e in edges for g in e} | set(seed))
+    a, s = np.zeros((len(names), len(names))), np.array([seed.get(g, 0.0) for g in names])
+    for u, w in edges:
+        a[names.index(u), names.index(w)] = a[names.index(w), names.index(u)] = 1
+    a /= np.maximum(a.sum(1, keepdims=True), 1)
+    want = dict(zip(names, np.linalg.solve(np.eye(len(names)) - 0.7 * a, 0.3 * s), strict=True))
+    got = {x["gene"]: x["f"] for x in q.QUERIES["m2_rwr"](spark, SF).collect()}
+    assert got == pytest.approx({g: want[g] for g in got}, abs=2e-6) and all(want[g] == 0 for g in set(names) - set(got))
+    snps = {}
+    for x in q._mr_rows(lambda v: q.view(spark, SF, v)).collect():
+        snps[x["gene"]] = snps.get(x["gene"], 0) + 1
+    mr = q.QUERIES["t14_mr_all"](spark, SF).collect()
+    assert {x["gene"]: x["nsnp"] for x in mr} == snps
+    assert all(x["se"] > 0 for x in mr if x["method"] == "Weighted median") and any(n >= 3 for n in snps.values())
+
+
+def test_queries_call_operators_in_full(monkeypatch):
+    from lociforge.plans import queries as q
+
+    seen, df = {}, MagicMock()
+    monkeypatch.setattr(q, "tidy", lambda x: x)
+    monkeypatch.setattr(q, "view", lambda *a: df)
+    monkeypatch.setattr(q, "F", MagicMock())
+    monkeypatch.setattr(graph, "build_graph", lambda *a: (df, df))
+    monkeypatch.setattr(linkage, "flag_member", lambda *a: df)
+    monkeypatch.setattr(graph, "rwr_cv", lambda *a, **k: seen.update(m3=(a[2:], k)) or (df, df))
+    monkeypatch.setattr(stats, "gsea", lambda *a, **k: seen.update(t10=k) or df)
+    q.QUERIES["m3_rwr_cross_validation"](None, SF)
+    q.QUERIES["t10_gsea"](None, SF)
+    assert seen == {"m3": (([0.1, 0.2, 0.3, 0.5, 0.7], 5, 5), {}), "t10": {}}
