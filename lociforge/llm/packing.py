@@ -11,12 +11,11 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import texts_of, word_tokenizer
+from .common import arrow_map, texts_of, word_tokenizer
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, class_k int"
 TASK_BITS = 36
@@ -35,50 +34,50 @@ def cut_lengths(n: int, capacity: int, tail: int) -> list[int]:
 
 
 class HarmonicBins:
-    """The open bins of one task. `add` gives a piece its place; `close` opens no more and is called once at the end."""
+    """The open bins of one task. `add` gives a piece its place; `close` opens no more and is called once at the end.
+
+    A piece is a tuple with its length at LENGTH; where it is placed, its sequence, its offset there and its class follow.
+    """
+
+    LENGTH = 2
 
     def __init__(self, capacity: int, first_id: int):
         self.capacity, self.next_id, self.open = capacity, first_id, {}
 
-    def _new(self) -> int:
-        self.next_id += 1
-        return self.next_id - 1
-
-    def add(self, piece: dict) -> Iterator[dict]:
+    def add(self, piece: tuple) -> Iterator[tuple]:
         """The pieces of a bin, once it is full with the fixed count of its class."""
-        k = self.capacity // piece["length"]
+        k = self.capacity // piece[self.LENGTH]
         held = self.open.setdefault(k, [])
-        held.append(piece | {"class_k": k})
+        held.append(piece)
         if len(held) == k:
             yield from self._place(held)
             self.open[k] = []
 
-    def _place(self, pieces: list[dict]) -> Iterator[dict]:
-        at, sequence = 0, self._new()
+    def _place(self, pieces: list[tuple]) -> Iterator[tuple]:
+        at, sequence = 0, self.next_id
+        self.next_id += 1
         for x in pieces:
-            yield x | {"sequence_id": sequence, "offset": at}
-            at += x["length"]
+            yield (*x, sequence, at, self.capacity // x[self.LENGTH])
+            at += x[self.LENGTH]
 
-    def close(self) -> Iterator[dict]:
+    def close(self) -> Iterator[tuple]:
         """Bins left open: equal powers of two make sequences of a power of two, without padding; the others share bins, longest first."""
         rest = []
         for k, held in sorted(self.open.items()):
-            size = held[0]["length"] if held else 0
-            if held and size * k == self.capacity and all(x["length"] == size for x in held):
-                n = 1 << 30
+            size = held[0][self.LENGTH] if held else 0
+            if held and size * k == self.capacity and all(x[self.LENGTH] == size for x in held):
                 while held:
-                    n = min(n, len(held))
-                    n = 1 << (n.bit_length() - 1)
+                    n = 1 << (len(held).bit_length() - 1)
                     yield from self._place(held[:n])
                     held = held[n:]
             else:
                 rest += held
         bins: list[list] = []
-        for x in sorted(rest, key=lambda x: -x["length"]):
-            fit = next((b for b in bins if b[0] + x["length"] <= self.capacity), None)
+        for x in sorted(rest, key=lambda x: -x[self.LENGTH]):
+            fit = next((b for b in bins if b[0] + x[self.LENGTH] <= self.capacity), None)
             if fit is None:
                 bins.append(fit := [0, []])
-            fit[0] += x["length"]
+            fit[0] += x[self.LENGTH]
             fit[1].append(x)
         for _, pieces in bins:
             yield from self._place(pieces)
@@ -97,28 +96,28 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """
     assert capacity & (capacity - 1) == 0 and 1 <= tail <= capacity, "the capacity is a power of two"
     names = [x.split()[0] for x in SCHEMA.split(", ")]
+    kinds = [pa.int32() if n == "class_k" else pa.int64() for n in names]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, end = word_tokenizer(tokenizer), np.array([end_id], "<u4").tobytes()
-        schema = pa.schema([(n, pa.int32() if n == "class_k" else pa.int64()) for n in names])
-        bins, out = HarmonicBins(capacity, TaskContext.get().partitionId() << TASK_BITS), []
-
-        def full() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_pylist(out, schema)
-            out.clear()
-            return made
+    def table(pieces: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*pieces, strict=True) if pieces else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, bins, out = word_tokenizer(tokenizer), HarmonicBins(capacity, TaskContext.get().partitionId() << TASK_BITS), []
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch, batch.schema.names[1]), strict=True):
-                raw = t.encode(text) + end
-                n, at = len(raw) // 4, 0
-                for size in cut_lengths(n, capacity, tail):
-                    piece = {"doc_id": doc, "start": at, "length": size, "ids_crc32": zlib.crc32(raw[4 * at : 4 * (at + size)]), "doc_tokens": n}
-                    out.extend(bins.add(piece))
-                    at += size
+            docs = iter(batch.column(0).to_pylist())
+            for ids, ends in t.batches(texts_of(batch, batch.schema.names[1]), end_id):
+                raw, first = memoryview(ids.astype("<u4").tobytes()), 0
+                for end in ends.tolist():
+                    doc, n, at = next(docs), end - first, 0
+                    for size in cut_lengths(n, capacity, tail):
+                        out.extend(bins.add((doc, at, size, zlib.crc32(raw[4 * (first + at) : 4 * (first + at + size)]), n)))
+                        at += size
+                    first = end
                 if len(out) >= 10_000:
-                    yield full()
+                    yield table(out)
+                    out = []
         out.extend(bins.close())
-        yield full()
+        yield table(out)
 
-    return docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text").mapInArrow(run, SCHEMA)
+    return arrow_map(docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text"), run, SCHEMA)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, open_file, shuffle_partitions, texts_of, word_tokenizer, written
+from .common import arrow_map, new_path, open_file, shuffle_partitions, texts_of, word_tokenizer, written
 
 MAGIC = b"RPG1"
 MANIFEST = "part long, shard long, path string, n_docs long, n_ids long, n_symbols long, n_rules long"
@@ -117,7 +117,7 @@ def shard_bytes(doc_ids: list, raws: list[bytes], first: int, end_id: int, **how
 
 
 class Shard:
-    """A shard file opened for decoding: `ids(i)` expands one document alone."""
+    """A shard file opened for decoding: `ids(i)` expands one document alone, `token(i, place)` gives one id of it."""
 
     def __init__(self, data: bytes):
         if data[:4] != MAGIC:
@@ -137,10 +137,30 @@ class Shard:
         self.doc_ids = [x if ok else None for x, ok in zip(ids.tolist(), there.tolist(), strict=True)]
         self.symbol_at, self.id_at = take("<u8", docs + 1), take("<u8", docs + 1)
         self.symbols = take(f"<u{width}", symbols)
-        self._table = expansions(self.rules, self.first)
+        self._table = None
+
+    def _own(self, i: int) -> np.ndarray:
+        return self.symbols[int(self.symbol_at[i]) : int(self.symbol_at[i + 1])]
 
     def ids(self, i: int) -> np.ndarray:
-        return expand(self.symbols[int(self.symbol_at[i]) : int(self.symbol_at[i + 1])], *self._table)
+        if self._table is None:
+            self._table = expansions(self.rules, self.first)
+        return expand(self._own(i), *self._table)
+
+    def token(self, i: int, place: int) -> int:
+        """The id at a place of a document, from 0: whole symbols are passed by their expansion lengths, and then one is
+        followed down its rules, so nothing is expanded. A place outside the document is an IndexError."""
+        own = self._own(i)
+        reach = np.cumsum(np.where(own < self.first, 1, self.size[np.maximum(own, self.first) - self.first] if len(self.size) else 1))
+        if not 0 <= place < (reach[-1] if len(reach) else 0):
+            raise IndexError(place)
+        k = int(np.searchsorted(reach, place, side="right"))
+        symbol, place = int(own[k]), place - (int(reach[k - 1]) if k else 0)
+        while symbol >= self.first:
+            left, right = self.rules[symbol - self.first].tolist()
+            n = int(self.size[left - self.first]) if left >= self.first else 1
+            symbol, place = (left, place) if place < n else (right, place - n)
+        return symbol
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = 1 << 20) -> DataFrame:
@@ -155,8 +175,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1,
     names = [x.split()[0] for x in MANIFEST.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, end, part = word_tokenizer(tokenizer), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
-        first, shard, ids, raws, held = len(t.ends), 0, [], [], 0
+        t, part = word_tokenizer(tokenizer), TaskContext.get().partitionId()
+        first, shard, ids, raws, held = t.size, 0, [], [], 0
 
         def flush() -> pa.RecordBatch:
             data, n_ids, n_symbols, n_rules = shard_bytes(ids, raws, first, end_id)
@@ -169,18 +189,20 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1,
             return pa.RecordBatch.from_pylist([row], pa.schema([(n, pa.string() if n == "path" else pa.int64()) for n in names]))
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch, "text"), strict=True):
-                raw = t.encode(text) + end
-                ids.append(doc)
-                raws.append(raw)
-                held += len(raw) // 4
-                if held >= shard_ids:
-                    yield flush()
-                    shard, held = shard + 1, 0
+            docs = iter(batch.column(0).to_pylist())
+            for made, ends in t.batches(texts_of(batch, "text"), end_id):
+                raw, at = made.astype("<u4").tobytes(), 0
+                for end in ends.tolist():
+                    ids.append(next(docs))
+                    raws.append(raw[4 * at : 4 * end])
+                    held, at = held + end - at, end
+                    if held >= shard_ids:
+                        yield flush()
+                        shard, held = shard + 1, 0
         if ids:
             yield flush()
 
-    return written(ordered.mapInArrow(run, MANIFEST), "shard-manifest")
+    return written(arrow_map(ordered, run, MANIFEST), "shard-manifest")
 
 
 def read_shards(spark: SparkSession, manifest: DataFrame) -> DataFrame:
@@ -202,7 +224,7 @@ def read_shards(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                 at = shard.id_at.astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, pa.int64()), pa.array(first + at[:-1]), pa.array(np.diff(at)), pa.array(sums, pa.int64())], schema=schema)
 
-    return files.repartition(shuffle_partitions(spark)).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return arrow_map(files.repartition(shuffle_partitions(spark)), run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:

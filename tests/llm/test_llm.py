@@ -32,7 +32,7 @@ def some_docs(spark, extra: bool = True):
     rows = [(0, base), (1, base), (1, base), (2, " ".join(near)), (3, None), (4, ""), (5, " \t\n"), (6, "one two"), (7, "One  TWO"), (8, prose(2, 60_000)), (None, prose(3, 50)), (10, "a b c d e f g h " * 20), (11, prose(4, 200) + "\nline x\nline x\n### $$"), (None, base), (13, prose(5, 90))]
     df = spark.createDataFrame([(i, t, "en", f"s{(i or 0) % 4}" if i != 13 else None, len(t or "")) for i, t in rows], DOC)
     if extra:  # names that the operators use inside
-        df = df.selectExpr("*", "1 as n", "'x' as sid", "2 as chunk", "3 as range", "4 as size", "5 as h", "'k' as kept", "6 as n_words", "7 as key", "8 as root", "9 as __own_", "10 as cols", "11 as a", "12 as b")
+        df = df.selectExpr("*", "1 as n", "'x' as sid", "2 as chunk", "3 as range", "4 as size", "5 as h", "'k' as kept", "6 as n_words", "7 as key", "8 as root", "9 as __own", "13 as __key", "14 as __k", "15 as k", "16 as own", "10 as cols", "11 as a", "12 as b")
     return df
 
 
@@ -64,9 +64,25 @@ def test_shingle_sets():
 
 def test_tokenizer_equals_the_library_on_whole_texts():
     t = WordTokenizer(tokenizer_path(), room=300)
-    for x in ["", "Hello, World.", "don't stop... e\u0301 \u0130I \u00a0x\u2003y", prose(9, 900), "a <|endoftext|> b <|EndOfText|>", "The end.,. .,", "ΑΣ ß ﬁ", "x" * 5000]:
-        want = t.t.encode(x, add_special_tokens=False).ids
-        assert np.frombuffer(t.encode(x.encode()), "<u4").tolist() == want
+    texts = ["", "Hello, World.", "don't stop... e\u0301 \u0130I \u00a0x\u2003y", prose(9, 900), "a <|endoftext|> b <|EndOfText|>", "The end.,. .,", "ΑΣ ß ﬁ", "x" * 5000]
+    texts += ["x" * 24, "x" * 25 + " " + "x" * 24 + "y " + "x" * 24, "W\u030a w\u030a", "Éé×÷ª²\x1c\x00 İ'S '' '", "y" * 24 + "z " + "y" * 24, " \n", "12'3 a</w>b", "Über-straße №5 don’t “q”"]
+    want = [t.t.encode(x, add_special_tokens=False).ids for x in texts]
+    for x, ids in zip(texts, want, strict=True):
+        assert t.encode([x.encode()])[0].tolist() == ids
+    for block in (8, 100, 1 << 19, 1 << 19):
+        got, ends = t.encode([x.encode() for x in texts], block=block)
+        assert [x.tolist() for x in np.split(got, ends)[:-1]] == want
+        got, ends = t.encode([x.encode() for x in texts], 7, block)
+        assert [x.tolist() for x in np.split(got, ends)[:-1]] == [x + [7] for x in want]
+
+
+def test_tokenizer_of_another_kind_encodes_whole_texts():
+    import public_tokenizers
+
+    t = WordTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["", "Hello  World", "a <|endoftext|> b"]
+    got, ends = t.encode([x.encode() for x in texts])
+    assert [x.tolist() for x in np.split(got, ends)[:-1]] == [t.t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
 # --- 1
@@ -374,7 +390,11 @@ def test_grammar_shrinks_and_expands():
     shard = repair.Shard(data)
     assert n_rules and n_symbols < 0.8 * n_ids and shard.doc_ids == [4, None, 6, 7, 8]
     for i in (3, 0, 4):
+        assert [repair.Shard(data).token(i, 0), *(shard.token(i, at) for at in range(1, len(raws[i])))] == raws[i].tolist()
         assert shard.ids(i).tolist() == raws[i].tolist()
+        for at in (-1, len(raws[i])):
+            with pytest.raises(IndexError):
+                shard.token(i, at)
 
 
 @pytest.mark.parametrize("per_round", [16, 2048])
