@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import arrow_map, texts_of
 
 #: The wording of the notices that are looked for.
 TEMPLATES = {
@@ -161,4 +161,4 @@ def scan_licences(docs: DataFrame, templates: dict[str, str] = TEMPLATES, min_sa
             cols = zip(*found, strict=True) if found else [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, kinds, strict=True)], schema=pa.schema(kinds))
 
-    return rows.mapInArrow(run, "doc_id long, start long, licence string, block_bytes long, saved_bytes long, changed_words long")
+    return arrow_map(rows, run, "doc_id long, start long, licence string, block_bytes long, saved_bytes long, changed_words long")

@@ -16,23 +16,22 @@ Prefixes are SHARED - 1 longer than one common shingle asks for, so two linked s
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bucketed, mix64, shingle_sets, shuffle_partitions, texts_of, written
+from .common import arrow_map, bucketed, mix64, shingle_sets, shuffle_partitions, texts_of, written
 from .components import components
 
 #: Hash buckets whose counts order the shingles, and how many of them travel in one row.
 SKETCH_BITS, CHUNK_BITS = 20, 14
 #: Shingles that two linked sets have in common in their prefixes.
 SHARED = 4
-#: Documents to an Arrow batch, and bytes to a batch that goes back, about.
-BATCH_ROWS, BATCH_BYTES = 2000, 1 << 22
+#: Bytes to a batch that goes back, about.
+BATCH_BYTES = 1 << 22
 #: Bits of the filter that spares documents without candidates from being sent.
 NEEDED_BITS, NEEDED_CHUNK_BITS = 23, 17
 
@@ -50,7 +49,7 @@ def _with_set_id(width: int, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sid = [set_id(s) if len(s) else None for s in shingle_sets(texts_of(b, b.schema.names[text_at]), width)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sid, pa.int64())], [*b.schema.names, "__own"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sid, pa.int64())], [*b.schema.names, "sid"])
 
     return run
 
@@ -89,7 +88,7 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
         none = [None] * len(made)
         yield _rows({"doc_id": none, "n": none, "sid": none, "chunk": [x[0] for x in made], "counts": [x[1] for x in made], "itemsize": [x[2] for x in made]}, kinds)
 
-    return docs.mapInArrow(run, "doc_id long, n int, sid long, chunk int, counts binary, itemsize int")
+    return arrow_map(docs, run, "doc_id long, n int, sid long, chunk int, counts binary, itemsize int")
 
 
 def summed(chunks: DataFrame, per: int, parts: int) -> DataFrame:
@@ -104,7 +103,7 @@ def summed(chunks: DataFrame, per: int, parts: int) -> DataFrame:
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in total.values()], pa.binary())], ["chunk", "counts"])
 
-    return chunks.select("chunk", "counts", "itemsize").repartition(parts, "chunk").mapInArrow(run, "chunk int, counts binary")
+    return arrow_map(chunks.select("chunk", "counts", "itemsize").repartition(parts, "chunk"), run, "chunk int, counts binary")
 
 
 def _table(chunks: DataFrame, bits: int, per: int, parts: int) -> np.ndarray:
@@ -176,7 +175,7 @@ def prefixes(docs: DataFrame, width: int, percent: int, rarity: np.ndarray) -> D
             if keys:
                 yield out(keys, sids, sizes)
 
-    return docs.select("text").mapInArrow(run, "key long, sid long, np long")
+    return arrow_map(docs.select("text"), run, "key long, sid long, np long")
 
 
 def _meets(na, pa_, nb, pb, percent: int):
@@ -227,7 +226,7 @@ def meetings(prefix: DataFrame, percent: int, parts: int) -> DataFrame:
         if len(kept[0]) and (out := members(*kept, True)) is not None:
             yield out
 
-    return dealt.mapInArrow(run, "key long, sid long, np long")
+    return arrow_map(dealt, run, "key long, sid long, np long")
 
 
 def _marks(sids: DataFrame, parts: int) -> np.ndarray:
@@ -250,7 +249,7 @@ def _marks(sids: DataFrame, parts: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["chunk", "bits"])
 
     kind, out = "chunk int, bits binary", np.zeros(1 << (NEEDED_BITS - 3), np.uint8)
-    for x in sids.mapInArrow(run, kind).repartition(parts, "chunk").mapInArrow(unite, kind).collect():
+    for x in arrow_map(arrow_map(sids, run, kind).repartition(parts, "chunk"), unite, kind).collect():
         raw = np.frombuffer(x["bits"], np.uint8)
         out[x["chunk"] * len(raw) : (x["chunk"] + 1) * len(raw)] = raw
     return out
@@ -278,7 +277,7 @@ def needed_sets(docs: DataFrame, width: int, sids: DataFrame, parts: int) -> Dat
                     names, sets, held = [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], ["sid", "keys"])
 
-    found = docs.select("text").mapInArrow(run, "sid long, keys binary").join(sids.select("sid").distinct(), "sid", "left_semi")
+    found = arrow_map(docs.select("text"), run, "sid long, keys binary").join(sids.select("sid").distinct(), "sid", "left_semi")
     return bucketed(found.groupBy("sid").agg(F.first("keys").alias("keys")), "sid", parts, "sets")
 
 
@@ -310,7 +309,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     b.append(j.as_py())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return arrow_map(both.select("a", "b", "x", "y"), run, "a long, b long")
 
 
 def _met(percent: int) -> str:
@@ -371,28 +370,15 @@ def _in_enough_lists(members: DataFrame, percent: int) -> DataFrame:
     return members
 
 
-@contextmanager
-def _small_batches(spark: SparkSession):
-    """Fewer rows to an Arrow batch while jobs run that hold whole sets."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, BATCH_ROWS)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def _classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, sid) of every row, and (node, root) of the classes that have links; `docs` has doc_id and text."""
     parts = shuffle_partitions(docs.sparkSession)
-    with _small_batches(docs.sparkSession):
-        about = written(describe(docs, width), "sets")
-        rarity = rarity_classes(_table(about.where("chunk is not null"), SKETCH_BITS, CHUNK_BITS, parts))
-        members = written(meetings(prefixes(docs, width, percent, rarity), percent, parts), "members")
-        members = _in_enough_lists(members, percent)
-        links = _links(members, needed_sets(docs, width, members.select("sid"), parts), percent)
-        return about.where("chunk is null").select("doc_id", "n", "sid"), components(links)
+    about = written(describe(docs, width), "sets")
+    rarity = rarity_classes(_table(about.where("chunk is not null"), SKETCH_BITS, CHUNK_BITS, parts))
+    members = written(meetings(prefixes(docs, width, percent, rarity), percent, parts), "members")
+    members = _in_enough_lists(members, percent)
+    links = _links(members, needed_sets(docs, width, members.select("sid"), parts), percent)
+    return about.where("chunk is null").select("doc_id", "n", "sid"), components(links)
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
@@ -421,11 +407,11 @@ def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 75) -> Dat
     mine, root = _classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width, percent)
     named = mine.where("sid is not null").join(root, mine.sid == root.node, "left").select("doc_id", "sid", F.coalesce("root", "sid").alias("root"))
     first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sid")).alias("x"))
-    first = first.select(F.col("x.doc_id").alias("__id"), F.col("x.sid").alias("__sid"))
-    own = docs.mapInArrow(_with_set_id(width, docs.columns.index("text")), T.StructType([*docs.schema.fields, T.StructField("__own", T.LongType())]))
-    own = own.withColumn("__key", F.col("doc_id").cast("long"))
-    own = own.withColumn("__k", F.when(F.col("__own").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("__key", "__own")))
-    first = first.withColumn("__fk", F.xxhash64("__id", "__sid"))
-    met = own.join(first, (F.col("__k") == F.col("__fk")) & F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sid")), "left")
-    stays = met.where("__own is null or __sid is not null")
-    return stays.dropDuplicates(["__k", "__key", "__own"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    first = first.select(F.col("x.doc_id").alias("doc_id"), F.col("x.sid").alias("sid")).withColumn("k", F.xxhash64("doc_id", "sid")).alias("first")
+    names = [f"c{i}" for i in range(len(docs.columns))]  # whatever the columns are called, none clashes with those below
+    own = arrow_map(docs.toDF(*names), _with_set_id(width, docs.columns.index("text")), T.StructType([*docs.toDF(*names).schema.fields, T.StructField("sid", T.LongType())]))
+    own = own.withColumn("doc_id", F.col(names[docs.columns.index("doc_id")]).cast("long"))
+    own = own.withColumn("k", F.when(F.col("sid").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("doc_id", "sid"))).alias("own")
+    met = own.join(first, (F.col("own.k") == F.col("first.k")) & F.col("own.doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("own.sid") == F.col("first.sid")), "left")
+    stays = met.where("own.sid is null or first.sid is not null").select("own.*").dropDuplicates(["k", "doc_id", "sid"])
+    return stays.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import arrow_map, texts_of
 
 #: Categories of the labels table, in chain order: name and condition.
 CATEGORIES = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"), ("toxic_low_quality", "toxic = 1 and quality = 0"))
@@ -60,7 +60,7 @@ def feature_counts(rows: DataFrame, n_categories: int) -> DataFrame:
         cols = [pa.array(kinds, pa.binary()), *(pa.array([c[k] for k in kinds], pa.int64()) for c in seen)]
         yield pa.RecordBatch.from_arrays(cols, ["feature", *names])
 
-    made = rows.mapInArrow(run, "feature binary, " + ", ".join(f"{x} long" for x in names))
+    made = arrow_map(rows, run, "feature binary, " + ", ".join(f"{x} long" for x in names))
     return made.groupBy("feature").agg(*(F.sum(x).alias(x) for x in names))
 
 
@@ -147,7 +147,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, max_row
             rest = [batch.column(c) for c in ("__id", *(f"y{i}" for i in range(n_cat)))]
             yield pa.RecordBatch.from_arrays([rest[0], pa.array(cols, pa.list_(pa.int32())), *rest[1:]], ["__id", "cols", *(f"y{i}" for i in range(n_cat))])
 
-    got = rows.mapInArrow(encode, "__id long, cols array<int>, " + ", ".join(f"y{i} int" for i in range(n_cat))).collect()
+    got = arrow_map(rows, encode, "__id long, cols array<int>, " + ", ".join(f"y{i} int" for i in range(n_cat))).collect()
     rows.unpersist()
     got.sort(key=lambda x: (x["__id"], x["cols"]))
     row = np.repeat(np.arange(len(got)), [len(x["cols"]) for x in got])
@@ -186,7 +186,7 @@ def score_chain(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", *(f"p_{n}" for n in chain.names), "toxic"])
 
     schema = "doc_id long, " + ", ".join(f"p_{n} double" for n in chain.names) + ", toxic boolean"
-    return docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text").mapInArrow(run, schema)
+    return arrow_map(docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text"), run, schema)
 
 
 def reject_toxic(docs: DataFrame, chain: Chain, judged: str = "toxic", threshold: float = 0.5) -> DataFrame:
@@ -198,4 +198,4 @@ def reject_toxic(docs: DataFrame, chain: Chain, judged: str = "toxic", threshold
             keep = [chain.score(t)[at] < threshold for t in texts_of(batch, "text")]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)

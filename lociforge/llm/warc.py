@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, open_file, shuffle_partitions, written
+from .common import arrow_map, new_path, open_file, shuffle_partitions, written
 
 CHUNK = 1 << 20
 #: An archive is closed and the next one begun beyond so many bytes.
@@ -108,7 +108,7 @@ def write_archives(records: DataFrame, folder: str, date: str = "2024-01-01T00:0
         if out is not None:
             yield row()
 
-    return written(chunk_rows(records, chunk).mapInArrow(run, "path string, records long, bytes long"), "archives")
+    return written(arrow_map(chunk_rows(records, chunk), run, "path string, records long, bytes long"), "archives")
 
 
 def _fields(f: io.BufferedReader) -> dict[str, str] | None:
@@ -180,7 +180,7 @@ def read_archives(spark: SparkSession, manifest: DataFrame, chunk: int = CHUNK,
                     if rows:
                         yield batch_of(rows)
 
-    return manifest.select("path").repartition(shuffle_partitions(spark)).mapInArrow(run, CHUNK_ROWS)
+    return arrow_map(manifest.select("path").repartition(shuffle_partitions(spark)), run, CHUNK_ROWS)
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
