@@ -2,42 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as c
 from ..functions.tails import two_sided_p, two_sided_p_sql
 from ..operators import cells, contrib, effects, graph, linkage, meta, models, programs, ranges, select, stats
-from .views import view, with_views
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, without a negative zero; whole numbers as longs."""
-    kinds = dict(df.dtypes)
-    fix = {"double": lambda x: F.round(x, digits) + 0.0, "float": lambda x: F.round(x.cast("double"), digits) + 0.0, "int": lambda x: x.cast("long"), "decimal(20,0)": lambda x: x.cast("long")}
-    return df.select(*(fix.get(kinds[n], lambda x: x)(F.col(n)).alias(n) for n in df.columns))
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its oracle."""
-
-    def put(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: tidy(f(lambda v: view(spark, sf_dir, v)))
-        if sql:
-            ORACLES[f.__name__] = with_views(sql)
-        return f
-
-    return put
-
-
-def r(x: str, name: str) -> str:
-    return f"round({x}, 6) + 0e0 as {name}"
-
+from .registry import ORACLES, QUERIES, query, r
 
 IVW = f"""select rsid, gene, count(*) as n_merged,
   case when count(*) = 1 then min(beta) else sum(beta / (se * se)) / sum(1 / (se * se)) end as beta,
@@ -585,3 +555,8 @@ def t16_cell_rank_score(v):
 def t10_gsea(v):
     g = v("v_qtl").groupBy("gene").agg(F.sum("beta").alias("score"))
     return stats.gsea(linkage.flag_member(g, v("v_gene").where("tx_start % 3 = 0"), ["gene"], "hit"), "score", "hit", "gene")
+
+
+from . import column_queries, join_queries, model_queries, source_queries  # noqa: E402, F401  they register theirs too
+
+__all__ = ["ORACLES", "QUERIES"]

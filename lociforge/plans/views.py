@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")
@@ -27,6 +29,7 @@ VIEWS = {
     "v_cell": """select user_id as sample_id, user_id as donor_id, event_type as cell_type, case when user_id % 2 = 0 then 'case' else 'control' end as grp,
         case when user_id % 2 = 0 then 'PD' else 'normal' end as disease, value as score, event_id from events""",
     "v_expr": """select user_id as sample_id, concat('g', cast(event_id % 40 as string)) as gene, sum(floor(value)) as value from events group by 1, 2""",
+    "v_track": """select vec_id, embedding as d from embeddings where embedding is not null""",
     "v_program": """select concat('g', cast(r_regionkey * 3 + 1 as string)) as gene, 'risk' as program, 'risk' as direction from region
         union all select concat('g', cast(r_regionkey * 3 + 20 as string)), 'protective', 'protective' from region""",
     "v_link": """select l_orderkey as reg_vid, concat('rs', cast(l_orderkey as string)) as reg_rsid, concat('rs', cast(l_partkey as string)) as gwas_rsid,
@@ -37,12 +40,9 @@ VIEWS = {
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view over the tables of a folder."""
-    sql = VIEWS[name]
-    for t in TABLES:
-        if f" {t}" in sql.replace("\n", " "):
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    return spark.sql(sql)
+    """A view over the tables of a folder, which are read by path: nothing is registered in the caller's session."""
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b(from|join) {t}\b", VIEWS[name])}
+    return spark.sql(re.sub(r"\b(from|join) (" + "|".join(TABLES) + r")\b", r"\1 {\2}", VIEWS[name]), **tables)
 
 
 def with_views(sql: str) -> str:
@@ -50,6 +50,8 @@ def with_views(sql: str) -> str:
     used = [v for v in VIEWS if v in sql]
     body = ",\n".join(f"{v} as ({VIEWS[v].replace('as string)', 'as varchar)')})" for v in used)
     sql = sql.lstrip()
+    if not used:
+        return sql
     for head in ("with recursive ", "with "):
         if sql.startswith(head):
             return f"{head}{body},\n{sql[len(head):]}"
