@@ -48,37 +48,47 @@ def link_rollup(df: DataFrame, key: str = "reg_rsid") -> DataFrame:
 
 
 def gene_blocks(deltas: DataFrame, ann: DataFrame, key: str = "rsid", gene: str = "gene", d: str = "d", active: float = 1e-8) -> DataFrame:
-    """Features of each gene over its linked and background variants.
+    """Features of each gene over its linked and its background variants, one row a (gene, linked).
 
-    Scalars are plain aggregates; track vectors are summed as vectors in the same grouped pass (Summarizer), so rows are
-    not exploded by track. `ann` has the key, weight, locus and dhs of linked variants; a variant is linked if it is there.
+    `ann` has per variant: linked, weight, locus (the GWAS variant), r2, gwas_beta, gwas_pval, dhs and af_alt, null where it
+    has none; a variant that isn't there is background. Scalars are plain aggregates over rows and tracks; the signed,
+    absolute, weighted signed and weighted absolute sums of tracks are vector sums in the same grouped pass. Means divide by
+    rows, weighted ones by the sum of weights; a track is active where its absolute sum is above `active`.
     """
-    a = ann.select(key, "weight", "locus", "dhs").withColumn("linked", F.lit(True))
-    x = deltas.join(a, key, "left").na.fill(False, ["linked"]).na.fill(0.0, ["weight"])
-    absolute = F.transform(d, lambda v: F.abs(v.cast("double")))
-    x = x.withColumns({
-        "s": F.aggregate(F.transform(d, lambda v: v.cast("double")), F.lit(0.0), lambda s, v: s + v), "sa": F.aggregate(absolute, F.lit(0.0), lambda s, v: s + v),
-        "ss": F.aggregate(F.transform(d, lambda v: v.cast("double") * v), F.lit(0.0), lambda s, v: s + v), "mx": F.array_max(absolute),
-        "vec": array_to_vector(F.transform(d, lambda v: v.cast("double"))), "wvec": array_to_vector(F.transform(absolute, lambda v: v * F.col("weight"))),
-    })
+    a = ann.select(key, "linked", "weight", "locus", "r2", "gwas_beta", "gwas_pval", "dhs", "af_alt")
+    x = deltas.join(a, key, "left").withColumns({"linked": F.coalesce("linked", F.lit(False)), "weight": F.coalesce(F.col("weight").cast("double"), F.lit(0.0))})
+    x = x.withColumn("weight", F.when(F.col("linked"), F.col("weight")).otherwise(0.0)).withColumn("__d", F.transform(d, lambda v: v.cast("double"))).withColumn("__a", F.transform("__d", lambda v: F.abs(v)))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v)
+    vector = lambda c, w=None: vector_to_array(Summarizer.sum(array_to_vector(F.transform(c, lambda v: v * F.col(w)) if w else F.col(c))))
+    x = x.withColumns({"__s": total(F.col("__d")), "__sa": total(F.col("__a")), "__ss": total(F.transform("__d", lambda v: v * v)), "__mx": F.array_max("__a"), "__n": F.size(d)})
+    # Apart from the vector sums, since several distinct counts repeat the rows with nulls in the other columns.
+    kinds = x.groupBy(gene, "linked").agg(F.countDistinct(key).alias("n_snvs"), F.countDistinct("dhs").alias("n_dhs"), F.countDistinct("locus").alias("n_loci"))
     g = x.groupBy(gene, "linked").agg(
-        F.count("*").alias("n_rows"), F.countDistinct(key).alias("n_snv"), F.countDistinct("dhs").alias("n_dhs"), F.countDistinct("locus").alias("n_loci"),
-        F.sum("sa").alias("sum_abs"), F.sum("ss").alias("sum_sq"), F.sum("s").alias("sum_d"), F.max("mx").alias("max_abs"), F.sum(F.col("sa") * F.col("weight")).alias("weighted_abs"),
-        vector_to_array(Summarizer.sum(F.col("vec"))).alias("track_sum"), vector_to_array(Summarizer.sum(F.col("wvec"))).alias("weighted_track_sum"),
+        F.count("*").alias("n_rows"), F.sum("__sa").alias("sum_abs"), F.sum("__ss").alias("__sq"), F.sum("__s").alias("__sum"), F.max("__mx").alias("max_abs"), F.sum("__n").alias("__cells"),
+        F.max("r2").alias("max_r2"), F.max(F.abs("gwas_beta")).alias("max_abs_gwas_beta"), F.min("gwas_pval").alias("min_gwas_pval"), F.max("weight").alias("max_weight"), F.sum("weight").alias("sum_weight"),
+        F.avg("af_alt").alias("mean_af"), F.min("af_alt").alias("min_af"), F.max("af_alt").alias("max_af"),
+        vector("__d").alias("signed_sum"), vector("__a").alias("abs_sum"), vector("__d", "weight").alias("weighted_signed_sum"), vector("__a", "weight").alias("weighted_abs_sum"),
+    ).join(kinds, [gene, "linked"])
+    cells = F.greatest("__cells", F.lit(1))
+    mean = F.col("sum_abs") / cells
+    per = lambda c, by, name: F.transform(c, lambda v: v / F.greatest(by, F.lit(1e-12))).alias(name)
+    return g.select(
+        gene, "linked", "n_rows", "n_snvs", "n_dhs", mean.alias("mean_abs"), "sum_abs", "max_abs", (F.col("__sum") / cells).alias("mean_signed"), F.sqrt(F.greatest(F.col("__sq") / cells - mean * mean, F.lit(0.0))).alias("std_abs"),
+        F.size(F.filter("abs_sum", lambda v: v > active)).alias("active_tracks"), "n_loci", "max_r2", "max_abs_gwas_beta", "min_gwas_pval", "max_weight", (F.col("sum_weight") / F.col("n_rows")).alias("mean_weight"), "mean_af", "min_af", "max_af",
+        per("signed_sum", F.col("n_rows").cast("double"), "signed_mean"), per("abs_sum", F.col("n_rows").cast("double"), "abs_mean"), per("weighted_signed_sum", F.col("sum_weight"), "weighted_signed_mean"), per("weighted_abs_sum", F.col("sum_weight"), "weighted_abs_mean"),
     )
-    return g.withColumn("active_tracks", F.size(F.filter("track_sum", lambda v: F.abs(v) > active)))
 
 
-def gene_contrasts(blocks: DataFrame, gene: str = "gene") -> DataFrame:
-    """One row a gene: linked and background sums side by side, with their ratios and the share that is linked."""
-    cols = ("n_rows", "n_snv", "sum_abs", "sum_d", "max_abs", "weighted_abs")
+def gene_contrasts(blocks: DataFrame, gene: str = "gene", eps: float = 1e-12) -> DataFrame:
+    """One row a gene: both blocks' scalars side by side (0 where a gene has none), the linked share of absolute sums and of
+    variants, the ratio of means, and the specificity score: the difference of log(1 + absolute sum)."""
+    cols = ("n_rows", "n_snvs", "sum_abs", "mean_abs", "max_abs", "active_tracks")
     side = {True: "linked", False: "background"}
     g = blocks.groupBy(gene).agg(*(F.coalesce(F.max(F.when(F.col("linked") == k, F.col(c))), F.lit(0)).alias(f"{n}_{c}") for k, n in side.items() for c in cols))
-    mean = {n: F.try_divide(F.col(f"{n}_sum_abs"), F.col(f"{n}_n_rows")) for n in side.values()}
+    part = lambda c: F.col(f"linked_{c}") / (F.col(f"linked_{c}") + F.col(f"background_{c}") + eps)
     return g.withColumns({
-        "linked_mean_abs": mean["linked"], "background_mean_abs": mean["background"], "mean_abs_ratio": F.try_divide(mean["linked"], mean["background"]),
-        "linked_share": F.try_divide(F.col("linked_sum_abs"), F.col("linked_sum_abs") + F.col("background_sum_abs")),
-        "max_ratio": F.try_divide(F.col("linked_max_abs"), F.col("background_max_abs")), "row_share": F.try_divide(F.col("linked_n_rows"), F.col("linked_n_rows") + F.col("background_n_rows")),
+        "linked_fraction_abs": part("sum_abs"), "linked_background_abs_ratio": F.col("linked_mean_abs") / (F.col("background_mean_abs") + eps),
+        "linked_specificity_score": F.log1p("linked_sum_abs") - F.log1p("background_sum_abs"), "linked_variant_fraction": part("n_snvs"),
     })
 
 

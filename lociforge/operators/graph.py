@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import clean_gene
 from .linkage import checkpointed
 from .select import assign_folds, top_n
-from .stats import regression_metrics
+from .stats import binary_metrics, regression_metrics
 
 
 def build_graph(edges: DataFrame, u: str = "gene_u", v: str = "gene_v") -> tuple[DataFrame, DataFrame]:
@@ -49,22 +49,25 @@ def rwr(edges: DataFrame, seeds: DataFrame, alphas: list[float] = (0.3,), signal
     return f
 
 
-def rwr_predict(edges: DataFrame, labels: DataFrame, alphas: list[float] = (0.3,), keys: list[str] = (), eps: float = 1e-12, **how) -> DataFrame:
-    """Signed prediction: the walk of confidence * beta over that of confidence."""
+def rwr_predict(edges: DataFrame, labels: DataFrame, alphas: list[float] = (0.3,), keys: list[str] = (), eps: float = 1e-12, with_mass: bool = False, **how) -> DataFrame:
+    """Signed prediction: the walk of confidence * beta over that of confidence (kept as mass if asked for)."""
     seeds = labels.select(*keys, "gene", (F.col("confidence") * F.col("beta")).alias("signed"), F.col("confidence").alias("mass"))
     f = rwr(edges, seeds, alphas, ["signed", "mass"], keys, **how)
-    return f.withColumn("pred", F.col("signed") / (F.col("mass") + eps)).drop("signed", "mass")
+    return f.withColumn("pred", F.col("signed") / (F.col("mass") + eps)).drop("signed", *([] if with_mass else ["mass"]))
 
 
 def rwr_cv(edges: DataFrame, labels: DataFrame, alphas: list[float], k: int = 5, repeats: int = 1, seed: int = 1, **how) -> tuple[DataFrame, DataFrame]:
-    """Out-of-fold predictions (repeat, fold, alpha, gene, beta, pred) and metrics of each alpha, best first (least rmse)."""
+    """Out-of-fold predictions (repeat, fold, alpha, gene, beta, pred) and metrics of each alpha, best first: the
+    largest auroc of the direction, then the largest sign accuracy, then the least rmse."""
     folds = checkpointed(assign_folds(labels, ["gene"], k, repeats, seed))
     held = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("held")
     train = folds.select("*", held).where("held <> fold").select("repeat", "held", "gene", "beta", "confidence")
     pred = rwr_predict(edges, train, alphas, ["repeat", "held"], **how)
     test = folds.select("repeat", F.col("fold").alias("held"), "gene", "beta").crossJoin(F.broadcast(labels.sparkSession.createDataFrame([(float(a),) for a in alphas], "alpha double")))
     oof = test.join(pred, ["repeat", "held", "alpha", "gene"], "left").na.fill(0.0, ["pred"]).withColumnRenamed("held", "fold")
-    return oof, regression_metrics(oof, "beta", "pred", ["alpha"]).orderBy("rmse", "alpha")
+    direction = binary_metrics(oof.withColumn("risk", (F.col("beta") > 0).cast("int")), "risk", "pred", ["alpha"]).select("alpha", F.col("auroc").alias("auroc_direction"))
+    m = regression_metrics(oof, "beta", "pred", ["alpha"]).join(direction, "alpha")
+    return oof, m.orderBy(F.desc("auroc_direction"), F.desc("sign_accuracy"), "rmse", "alpha")
 
 
 def module_subgraph(edges: DataFrame, modules: DataFrame, top: int = 80) -> DataFrame:

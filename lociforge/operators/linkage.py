@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import reduce
@@ -13,13 +14,15 @@ from .select import best_per_key
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a table in the folder that the cluster shares (spark.checkpoint.dir; a temporary one where it is unset)."""
+    """Cuts the lineage by a table in the folder that the cluster shares (spark.checkpoint.dir; a temporary one where it is unset on a local master)."""
     spark: SparkSession = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         have = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = have.get() if have.isDefined() else None
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lociforge-")
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/step-{uuid.uuid4().hex}"

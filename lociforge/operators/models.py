@@ -2,52 +2,67 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import to_prob
+from .graph import rwr, rwr_predict
 from .linkage import checkpointed
-from .select import assign_folds, avg_rank, best_per_key, binned_curve
+from .select import assign_folds, avg_rank, best_per_key, binned_curve, permute_labels
 from .stats import binary_metrics, regression_metrics
 
 
-def _gram(df: DataFrame, features: list[str], y: str, w: str | None, by: str) -> dict:
-    """Weighted sums of products of [1, features, y] for each value of `by`: what a ridge fit needs, in one grouped pass."""
-    z = [F.lit(1.0), *(F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features), F.col(y).cast("double")]
-    weight = F.col(w).cast("double") if w else F.lit(1.0)
-    n = len(z)
-    sums = [F.sum(weight * z[i] * z[j]).alias(f"g{i}_{j}") for i in range(n) for j in range(i, n)]
-    out = {}
-    for r in df.where(F.col(y).isNotNull()).groupBy(by).agg(*sums).collect():  # one row a fold
-        g = np.zeros((n, n))
-        for i in range(n):
-            for j in range(i, n):
-                g[i, j] = g[j, i] = r[f"g{i}_{j}"] or 0.0
-        out[r[by]] = g
-    return out
-
-
-def _solve(g: np.ndarray, alpha: float) -> tuple[float, np.ndarray, np.ndarray]:
-    """Intercept, raw and standardised coefficients of the ridge on standardised features, from Gram sums."""
-    n = g[0, 0]
-    k = len(g) - 2
-    if n <= 0:
+def _gram(df: DataFrame, features: list[str], y: str, w: str | None, by: str) -> dict[int, np.ndarray]:
+    """For each value of the whole number `by` the sums of products of [1, features, y], weighted and plain: what a ridge fit
+    needs, in one pass. Tasks sum whole batches; their sums are added as vectors before and after the shuffle."""
+    n = len(features) + 2
+    z = F.array(F.lit(1.0), *(F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features), F.col(y).cast("double"))
+    rows = df.where(F.col(y).isNotNull() & F.col(by).isNotNull()).select(F.col(by).cast("int").alias("k"), z.alias("z"), (F.col(w).cast("double") if w else F.lit(1.0)).alias("w"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            k, w = b.column("k").to_numpy(), np.nan_to_num(b.column("w").to_numpy(zero_copy_only=False))
+            x = b.column("z").flatten().to_numpy().reshape(-1, n)
+            for i in np.unique(k).tolist():
+                mine = x[k == i]
+                sums[i] = sums.get(i, 0.0) + np.concatenate(((mine.T @ (mine * w[k == i, None])).ravel(), (mine.T @ mine).ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], ["k", "g"])
+
+    parts = rows.mapInArrow(run, "k int, g array<double>").groupBy("k").agg(vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("g"))
+    return {r["k"]: np.array(r["g"]).reshape(2, n, n) for r in parts.collect()}  # one row a fold
+
+
+def _solve(grams: np.ndarray, alpha: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Intercept, raw and standardised coefficients of the weighted ridge on features scaled by their plain deviation, from Gram sums."""
+    g, plain = grams
+    n, k = g[0, 0], g.shape[0] - 2
+    if n <= 0 or plain[0, 0] <= 0:
         return 0.0, np.zeros(k), np.zeros(k)
     mean = g[0, 1:] / n
     cov = g[1:, 1:] - n * np.outer(mean, mean)
-    sd = np.sqrt(np.maximum(0, np.diag(cov)[:k]) / n)
+    sd = np.sqrt(np.maximum(0, np.diag(plain)[1:-1] / plain[0, 0] - (plain[0, 1:-1] / plain[0, 0]) ** 2))
     inv = np.where(sd > 1e-12, 1 / np.where(sd > 1e-12, sd, 1), 0.0)
     b = np.linalg.solve((cov[:k, :k] * inv) * inv[:, None] + alpha * np.eye(k), cov[:k, k] * inv)
     raw = b * inv
     return float(mean[k] - raw @ mean[:k]), raw, b
 
 
+def _label_sd(grams: np.ndarray) -> float:
+    """The plain population deviation of the labels, 1 if they don't vary."""
+    plain = grams[1]
+    return float(np.sqrt(max(0.0, plain[-1, -1] / plain[0, 0] - (plain[0, -1] / plain[0, 0]) ** 2))) or 1.0
+
+
 def _linear(features: list[str], cut: float, coef: np.ndarray):
     return reduce(lambda a, b: a + b, (F.lit(float(c)) * F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f, c in zip(features, coef, strict=True)), F.lit(cut))
 
@@ -58,7 +73,7 @@ def weighted_ridge(df: DataFrame, features: list[str], y: str, w: str | None = N
     labelled = assign_folds(df.where(F.col(y).isNotNull()), list(id_cols), k, 1, seed).drop("repeat")
     d = checkpointed(labelled.unionByName(df.where(F.col(y).isNull()), allowMissingColumns=True))
     per = _gram(d, features, y, w, "fold")
-    whole = sum(per.values()) if per else np.zeros((len(features) + 2,) * 2)
+    whole = sum(per.values()) if per else np.zeros((2, len(features) + 2, len(features) + 2))
     fits = {f: _solve(whole - g, alpha) for f, g in sorted(per.items())}
     oof = F.lit(None).cast("double")
     for f, (cut, raw, _) in fits.items():
@@ -68,6 +83,88 @@ def weighted_ridge(df: DataFrame, features: list[str], y: str, w: str | None = N
     return d.withColumns({"oof_pred": oof, "pred": _linear(features, cut, raw)}), df.sparkSession.createDataFrame(rows, "fold int, feature string, coefficient double")
 
 
+def walk_ridge(edges: DataFrame, features: DataFrame, labels: DataFrame, names: list[str], walk_alpha: float = 0.3, alpha: float = 10.0, k: int = 5, repeats: int = 5, seed: int = 1, **how) -> tuple[DataFrame, DataFrame]:
+    """Repeated cross-validation of the ridge with the walk inside each fold: the training labels walk, their signed result
+    and its mass join the features, and weights are the training confidences (1 where there is none).
+
+    Returns (repeat, fold, gene, beta, oof_pred, oof_prob), whose probability is the logistic of the prediction over the
+    deviation of the training labels, and (repeat, fold, feature, coefficient). All folds walk and are summed together.
+    """
+    folds = checkpointed(assign_folds(labels.where("beta is not null").select("gene", "beta", F.coalesce("confidence", F.lit(0.0)).alias("confidence")), ["gene"], k, repeats, seed))
+    rows = folds.withColumn("held", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    walk = rwr_predict(edges, rows.where("held <> fold").drop("fold"), [walk_alpha], ["repeat", "held"], with_mass=True, **how)
+    walk = walk.select("repeat", "held", "gene", F.col("pred").alias("rwr_pred_beta"), F.col("mass").alias("rwr_confidence"))
+    every = [*names, "rwr_pred_beta", "rwr_confidence"]
+    x = rows.join(features.select("gene", *names), "gene", "left").join(walk, ["repeat", "held", "gene"], "left")
+    x = checkpointed(x.withColumns({"key": F.col("repeat") * k + F.col("held"), "w": F.when(F.col("confidence") > 0, F.col("confidence")).otherwise(1.0)}))
+    fits = {key: (_solve(g, alpha), _label_sd(g)) for key, g in _gram(x.where("held <> fold"), every, "beta", "w", "key").items()}
+    spark = labels.sparkSession
+    table = spark.createDataFrame([(key, cut, raw.tolist(), sd) for key, ((cut, raw, _), sd) in sorted(fits.items())], "key int, cut double, coef array<double>, sd double")
+    values = F.array(*(F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in every))
+    oof = x.where("held = fold").join(F.broadcast(table), "key")  # one row a fold
+    oof = oof.withColumn("oof_pred", F.aggregate(F.zip_with(values, "coef", lambda a, b: a * b), F.col("cut"), lambda s, v: s + v))
+    coef = [(key // k, key % k, n, float(c)) for key, ((_, _, std), _) in sorted(fits.items()) for n, c in zip(every, std, strict=True)]
+    return oof.select("repeat", "fold", "gene", "beta", "oof_pred", to_prob(F.col("oof_pred"), F.col("sd")).alias("oof_prob")), spark.createDataFrame(coef, "repeat int, fold int, feature string, coefficient double")
+
+
+#: Labelled genes that a permutation control takes at most; its tasks hold a matrix of so many rows and columns.
+MAX_LABELLED = 3000
+
+
+def _auroc(positive: np.ndarray, score: np.ndarray) -> float:
+    kinds, of, n = np.unique(score, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(n) - (n - 1) / 2)[of]
+    p = int(positive.sum())
+    return float((rank[positive].sum() - p * (p + 1) / 2) / (p * (len(score) - p))) if 0 < p < len(score) else float("nan")
+
+
+def permutation_control(edges: DataFrame, features: DataFrame, labels: DataFrame, names: list[str], observed: float, n: int = 1000, walk_alpha: float = 0.3, alpha: float = 10.0, k: int = 5, seed: int = 1, **how) -> tuple[DataFrame, DataFrame]:
+    """The direction AUROC of the cross-validated walk and ridge, refitted on labels whose signs are dealt anew.
+
+    Returns (permutation, auroc, sign_accuracy), measured against the true signs, and one row of observed, mean_permuted,
+    sd_permuted, empirical_p = (1 + how many reach the observed one) / (n + 1) and n_permutations. The walk is linear in its
+    seeds, so it is made once, from each labelled gene alone (all together); permutations are dealt to tasks, which hold the
+    influence of labelled genes on each other. More than MAX_LABELLED labelled genes are an error.
+    """
+    rows = labels.where("beta is not null and beta <> 0").select("gene", F.col("beta").cast("double").alias("beta"), F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)).alias("confidence"))
+    rows = assign_folds(rows.withColumn("sign", F.col("beta") > 0).dropDuplicates(["gene"]), ["gene"], k, 1, seed, ["sign"]).join(features.select("gene", *names), "gene", "left")
+    rows = rows.limit(MAX_LABELLED + 1).collect()
+    if len(rows) > MAX_LABELLED:
+        raise ValueError(f"more than {MAX_LABELLED} labelled genes")
+    rows.sort(key=lambda x: x["gene"])
+    spark, genes = edges.sparkSession, {x["gene"]: i for i, x in enumerate(rows)}
+    own = spark.createDataFrame([(g, g, 1.0) for g in genes], "seed string, gene string, s double")
+    met = rwr(edges, own, [walk_alpha], ["s"], ["seed"], **how).join(F.broadcast(own.select("gene")), "gene", "left_semi")
+    reach = np.zeros((len(rows), len(rows)))
+    for x in met.select("gene", "seed", "s").toLocalIterator():
+        reach[genes[x["gene"]], genes[x["seed"]]] = x["s"]
+    base = np.array([[float(x[f] or 0.0) for f in names] for x in rows]).reshape(len(rows), len(names))
+    beta, conf, fold = (np.array([x[c] for x in rows], float) for c in ("beta", "confidence", "fold"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = np.where(conf > 0, conf, 1.0)
+        for b in batches:
+            out = []
+            for i in b.column(0).to_pylist():
+                y = np.abs(beta) * np.random.default_rng([seed, i]).permutation(np.sign(beta))
+                pred, prob = np.zeros(len(y)), np.zeros(len(y))
+                for f in np.unique(fold):
+                    tr, te = fold != f, fold == f
+                    mass = reach[:, tr] @ conf[tr]
+                    z = np.column_stack((np.ones(len(y)), base, reach[:, tr] @ (conf[tr] * y[tr]) / (mass + 1e-12), mass, y))
+                    g = np.stack((z[tr].T @ (z[tr] * w[tr, None]), z[tr].T @ z[tr]))
+                    cut, raw, _ = _solve(g, alpha)
+                    pred[te] = cut + z[te][:, 1:-1] @ raw
+                    prob[te] = 1 / (1 + np.exp(-pred[te] / _label_sd(g)))
+                out.append((i, _auroc(beta > 0, prob), float(((pred > 0) == (beta > 0)).mean()) if len(y) else float("nan")))
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate((pa.int64(), pa.float64(), pa.float64()))], ["permutation", "auroc", "sign_accuracy"])
+
+    null = checkpointed(spark.range(1, n + 1).repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, "permutation long, auroc double, sign_accuracy double"))
+    seen = F.lit(float(observed))
+    p = (1 + F.count_if(F.col("auroc") >= seen)) / (F.count("*") + 1)
+    return null, null.agg(seen.alias("observed"), F.avg("auroc").alias("mean_permuted"), F.stddev_samp("auroc").alias("sd_permuted"), p.alias("empirical_p"), F.count("*").alias("n_permutations"))
+
+
 def _vector(df: DataFrame, features: list[str]) -> DataFrame:
     return df.withColumn("__x", array_to_vector(F.array(*(F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features))))
 
@@ -89,18 +186,18 @@ def cv_models(df: DataFrame, groups: dict[str, list[str]], y: str, id_cols: list
     return regression_metrics(reduce(DataFrame.union, parts), "y", "p", ["model"])
 
 
-def sensitivity_model(df: DataFrame, features: list[str], y: str, id_cols: list[str] = ("gene",), seed: int = 1, iterations: int = 50) -> tuple[DataFrame, DataFrame]:
-    """Boosted trees on all labelled rows: predictions, and each feature's importance as the rise of the squared error when its values are dealt anew."""
+def sensitivity_model(df: DataFrame, features: list[str], y: str, id_cols: list[str] = ("gene",), seed: int = 1, iterations: int = 50, shuffles: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Boosted trees on all labelled rows: predictions, and each feature's importance: mean and population deviation of the
+    rise of the squared error over `shuffles` shuffles of its values, all made in one pass a feature."""
     d = checkpointed(_vector(df.where(F.col(y).isNotNull()), features))
     m = GBTRegressor(featuresCol="__x", labelCol=y, maxIter=iterations, seed=seed, predictionCol="pred").fit(d)
-    mse = lambda x: m.transform(x).agg(F.avg(F.pow(F.col(y) - F.col("pred"), F.lit(2.0)))).first()[0]
-    base, rows = mse(d), []
-    order = Window.orderBy(*id_cols)
+    error = F.avg(F.pow(F.col(y) - F.col("pred"), F.lit(2.0)))
+    base, rows = m.transform(d).agg(error).first()[0], []
     for i, f in enumerate(features):
-        a = d.withColumn("__i", F.row_number().over(order))
-        b = d.select(F.col(f).alias("__f"), F.row_number().over(Window.orderBy(F.xxhash64(*id_cols, F.lit(seed + i)), *id_cols)).alias("__i"))
-        rows.append((f, float(mse(_vector(a.drop("__x", f).join(b.withColumnRenamed("__f", f), "__i"), features)) - base)))
-    return m.transform(d).drop("__x"), df.sparkSession.createDataFrame(rows, "feature string, importance double")
+        moved = permute_labels(d.drop("__x"), list(id_cols), f, shuffles, seed + 1000 * i)
+        rises = [x[1] - base for x in m.transform(_vector(moved, features)).groupBy("perm").agg(error).collect()]  # one row a shuffle
+        rows.append((f, float(np.mean(rises)), float(np.std(rises))))
+    return m.transform(d).drop("__x"), df.sparkSession.createDataFrame(rows, "feature string, importance_mean double, importance_std double")
 
 
 def calibrate(df: DataFrame, score: str, y: str, sd: float | None = None, bins: int = 10) -> tuple[DataFrame, DataFrame]:
@@ -134,28 +231,72 @@ def value_profile(df: DataFrame, cols: list[str], digits: int = 6) -> DataFrame:
     return g.withColumn("fraction", F.col("n") / F.sum("n").over(Window.partitionBy("column")))
 
 
-def support_tiers(df: DataFrame, q1: float = 0.9, q2: float = 0.75, source: str = "raw", seed_col: str = "is_seed", min_magnitude: float | None = None) -> DataFrame:
-    """Adds pred_direction, direction_pct (average rank in its direction among genes that aren't seeds) and support_tier.
+def value_ranges(df: DataFrame, cols: list[str], digits: int = 6) -> DataFrame:
+    """Per column n, min, q01, q05, q25, median, q75, q95, q99, max and how many rounded values differ, over finite values."""
+    qs = {"q01": 0.01, "q05": 0.05, "q25": 0.25, "median": 0.5, "q75": 0.75, "q95": 0.95, "q99": 0.99}
+    long = df.select(*(F.col(c).cast("double") for c in cols)).unpivot([], cols, "column", "value").where("value is not null and not isnan(value) and abs(value) < double('infinity')")
+    g = long.groupBy("column").agg(
+        F.count("*").alias("n"), F.min("value").alias("min"), F.percentile("value", list(qs.values())).alias("q"), F.max("value").alias("max"), F.countDistinct(F.bround("value", digits)).alias("n_unique"),
+    )
+    return g.select("column", "n", "min", *(F.get("q", i).alias(n) for i, n in enumerate(qs)), "max", "n_unique")
 
-    Tier 1: at least q1 with peak support, agreement of the walk and a contribution of 0.20 or more; tier 2: q1, or q2 with
-    peak support or agreement; tier 3: q2; else unsupported. Seeds are their own tier.
-    """
-    score = "raw_pred_beta_score" if source == "raw" else "calibrated_prob_risk"
-    x = F.col(score) if source == "raw" else F.col(score) - 0.5
-    d = df.withColumns({"pred_direction": F.when(x > 0, "risk").when(x < 0, "protective").otherwise("neutral"), "__a": F.abs(x)})
-    new = avg_rank(d.where(~F.col(seed_col)), "__a", ["pred_direction"], pct=True, name="direction_pct")
-    d = new.unionByName(d.where(F.col(seed_col)), allowMissingColumns=True)
-    pct = F.col("direction_pct")
-    dhs, agree = F.coalesce("has_dhs_support", F.lit(False)), F.coalesce(F.signum("rwr_pred_beta") == F.signum(x), F.lit(False))
-    strong = F.coalesce(F.col("top_contribution") >= 0.20, F.lit(False))
-    big = F.lit(True) if min_magnitude is None else F.col("__a") >= min_magnitude
-    tier = F.when(F.col(seed_col), "seed").when((pct >= q1) & dhs & agree & strong & big, "tier1").when(((pct >= q1) | ((pct >= q2) & (dhs | agree))) & big, "tier2").when(pct >= q2, "tier3").otherwise("unsupported")
-    return d.withColumn("support_tier", tier).drop("__a")
+
+def reciprocity(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """Per method, from the probability of risk and that of protection fitted apart: how far the one is from one less the other."""
+    delta = lambda a, b: F.abs(F.col(a) - (1 - F.col(b)))
+    long = df.select(*(delta(a, b).alias(m) for m, (a, b) in pairs.items())).unpivot([], list(pairs), "method", "d").where("d is not null")
+    return long.groupBy("method").agg(
+        F.count("*").alias("n"), F.avg("d").alias("mean_abs_delta"), F.median("d").alias("median_abs_delta"), F.percentile("d", F.lit(0.95)).alias("q95_abs_delta"), F.max("d").alias("max_abs_delta"),
+        F.count_if(F.col("d") > 0.05).alias("n_above_0p05"), F.count_if(F.col("d") > 0.10).alias("n_above_0p10"),
+    )
 
 
-def tier_balance(df: DataFrame, tier: str = "support_tier", direction: str = "pred_direction") -> DataFrame:
-    g = df.groupBy(tier).agg(F.count("*").alias("n"), F.count_if(F.col(direction) == "risk").alias("n_risk"), F.count_if(F.col(direction) == "protective").alias("n_protective"))
-    return g.withColumn("risk_ratio", F.try_divide("n_risk", "n_protective"))
+def support_tiers(df: DataFrame, q1: float = 0.9, q2: float = 0.75, source: str = "raw", seed_col: str = "is_seed", min_abs_raw_score_q: float | None = None) -> DataFrame:
+    """Adds pred_direction, direction_confidence, rwr_direction, rwr_agree, brain_dhs_supported, variant_contribution_supported,
+    tier_score, direction_confidence_percentile and support_tier.
+
+    The direction is risk where calibrated_prob_risk is 0.5 or more, else protective. The score (raw, platt or calibrated)
+    is taken for the predicted direction and ranked among the genes of that direction that aren't seeds. Both upper tiers
+    need brain peaks: tier 1 also the walk's agreement, a relative contribution of 0.20 or more (if the column is there) and
+    percentile q1; tier 2 percentile q2 with agreement, or q1. With `min_abs_raw_score_q` both also need that percentile of
+    the score's size in the direction. Other genes are tier 3, seeds their own.
+    """
+    have = set(df.columns)
+    seed = F.coalesce(F.col(seed_col), F.lit(False))
+    protective = F.col("calibrated_prob_protective") if "calibrated_prob_protective" in have else 1 - F.col("calibrated_prob_risk")
+    risk = F.coalesce(F.col("calibrated_prob_risk") >= 0.5, F.lit(False))
+    dhs = F.lit(False)
+    if "n_brain_or_neural_dhs_snvs" in have:
+        dhs = dhs | (F.coalesce(F.col("n_brain_or_neural_dhs_snvs"), F.lit(0)) > 0)
+    if "top_dhs_tissue" in have:
+        dhs = dhs | F.coalesce(F.col("top_dhs_tissue").rlike("(?i)brain|neural|neuron|cns"), F.lit(False))
+    strong = F.coalesce(F.col("top_relative_contribution"), F.lit(0.0)) >= 0.20 if "top_relative_contribution" in have else F.lit(True)
+    other = F.col("platt_prob_protective") if "platt_prob_protective" in have else 1 - F.col("platt_prob_risk") if "platt_prob_risk" in have else None
+    scores = {"raw": (F.col("raw_pred_beta_score"), -F.col("raw_pred_beta_score")), "calibrated": (F.col("calibrated_prob_risk"), protective)}
+    if other is not None:
+        scores["platt"] = (F.col("platt_prob_risk"), other)
+    if source not in scores:
+        raise ValueError(f"no score {source}")
+    walk = F.when(F.coalesce(F.col("rwr_pred_beta"), F.lit(0.0)) > 0, "risk").otherwise("protective")
+    d = df.withColumns({"pred_direction": F.when(risk, "risk").otherwise("protective"), "direction_confidence": F.greatest("calibrated_prob_risk", protective), "rwr_direction": walk, "brain_dhs_supported": dhs, "variant_contribution_supported": strong})
+    d = d.withColumns({"rwr_agree": F.col("pred_direction") == F.col("rwr_direction"), "tier_score": F.when(F.col("pred_direction") == "risk", scores[source][0]).otherwise(scores[source][1])})
+    new = avg_rank(d.where(~seed), "tier_score", ["pred_direction"], pct=True, name="direction_confidence_percentile")
+    big = F.lit(True)
+    if min_abs_raw_score_q is not None:
+        new = avg_rank(new.withColumn("abs_raw_pred_beta_score", F.abs("raw_pred_beta_score")), "abs_raw_pred_beta_score", ["pred_direction"], pct=True, name="abs_raw_score_percentile")
+        big = F.col("abs_raw_score_percentile") >= min_abs_raw_score_q
+    pct = F.col("direction_confidence_percentile")
+    tier1 = F.col("brain_dhs_supported") & F.col("rwr_agree") & F.col("variant_contribution_supported") & big & (pct >= q1)
+    tier2 = F.col("brain_dhs_supported") & big & (pct >= q2) & (F.col("rwr_agree") | (pct >= q1))
+    new = new.withColumn("support_tier", F.when(tier1, "Tier 1").when(tier2, "Tier 2").otherwise("Tier 3"))
+    return new.unionByName(d.where(seed).withColumn("support_tier", F.lit("MR seed")), allowMissingColumns=True)
+
+
+def tier_balance(df: DataFrame, seed_col: str = "is_seed") -> DataFrame:
+    """Per tier of the genes that aren't seeds: risk and protective genes, total, fractions and their ratio."""
+    side = lambda n: F.count_if(F.col("pred_direction") == n).alias(n)
+    g = df.where(~F.coalesce(F.col(seed_col), F.lit(False))).groupBy("support_tier").agg(side("risk"), side("protective")).withColumn("total", F.col("risk") + F.col("protective"))
+    return g.withColumns({"risk_fraction": F.try_divide("risk", "total"), "protective_fraction": F.try_divide("protective", "total"), "risk_to_protective_ratio": F.try_divide("risk", "protective")})
 
 
 def label_stats(nodes: DataFrame, label: str = "beta") -> DataFrame:
@@ -163,16 +304,30 @@ def label_stats(nodes: DataFrame, label: str = "beta") -> DataFrame:
     return nodes.groupBy(F.col(label).isNotNull().alias("labelled")).agg(F.count("*").alias("n"), F.avg("degree").alias("mean_degree"), F.avg(label).alias("mean_label"), F.stddev_samp(label).alias("sd_label"))
 
 
-def ensemble(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Mean, deviation, least and largest over model columns, the share that agrees with the mean's sign, and its class."""
-    x = F.filter(F.array(*(F.col(c).cast("double") for c in cols)), lambda v: v.isNotNull())
-    n = F.size(x)
-    mean = F.try_divide(F.aggregate(x, F.lit(0.0), lambda s, v: s + v), n)
-    d = df.withColumns({"__x": x, "ens_mean": mean})
-    sd = F.sqrt(F.try_divide(F.aggregate("__x", F.lit(0.0), lambda s, v: s + (v - F.col("ens_mean")) * (v - F.col("ens_mean"))), F.size("__x") - 1))
-    agree = F.try_divide(F.size(F.filter("__x", lambda v: F.signum(v) == F.signum("ens_mean"))), F.size("__x"))
-    d = d.withColumns({"ens_sd": sd, "ens_min": F.array_min("__x"), "ens_max": F.array_max("__x"), "agreement": agree}).drop("__x")
-    return d.withColumn("ens_class", F.when(F.col("agreement") < 1, "mixed").when(F.col("ens_mean") > 0, "risk").when(F.col("ens_mean") < 0, "protective").otherwise("neutral"))
+def ensemble(df: DataFrame, cols: list[str], walk: str | None = None) -> DataFrame:
+    """Adds over the model columns (missing ones count as 0) pred_beta_mean, _sd (population), _median, _q025, _q975 (linear
+    between neighbours), prob_risk and prob_protective (shares of positive and negative ones), model_agreement (the larger),
+    pred_direction and, with the walk's column, confidence_class."""
+    n = len(cols)
+    x = F.array_sort(F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols)))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+
+    def quantile(q: float) -> Column:
+        at = q * (n - 1)
+        low = F.get("__x", int(at))
+        return low + (F.get("__x", min(int(at) + 1, n - 1)) - low) * (at - int(at))
+
+    d = df.withColumn("__x", x).withColumn("pred_beta_mean", total(F.col("__x")) / n)
+    d = d.withColumns({
+        "pred_beta_sd": F.sqrt(total(F.transform("__x", lambda v: (v - F.col("pred_beta_mean")) * (v - F.col("pred_beta_mean")))) / n), "pred_beta_median": quantile(0.5), "pred_beta_q025": quantile(0.025),
+        "pred_beta_q975": quantile(0.975), "prob_risk": F.size(F.filter("__x", lambda v: v > 0)) / n, "prob_protective": F.size(F.filter("__x", lambda v: v < 0)) / n,
+    }).drop("__x")
+    up, down = (F.col("prob_risk") >= 0.8) & (F.col("pred_beta_q025") > 0), (F.col("prob_protective") >= 0.8) & (F.col("pred_beta_q975") < 0)
+    d = d.withColumns({"model_agreement": F.greatest("prob_risk", "prob_protective"), "pred_direction": F.when(up, "risk").when(down, "protective").otherwise("ambiguous")})
+    if walk is None:
+        return d
+    c = F.when(up & (F.col(walk) > 0), "high_confidence_risk").when(down & (F.col(walk) < 0), "high_confidence_protective")
+    return d.withColumn("confidence_class", c.when(F.col("model_agreement") >= 0.7, "moderate_confidence").otherwise("ambiguous"))
 
 
 def attach_top_contribution(pred: DataFrame, contrib: DataFrame, tissue: str = "brain", gene: str = "gene") -> DataFrame:

@@ -101,27 +101,33 @@ def correlate(df: DataFrame, keys: list[str], x: str, y: str, method: str = "spe
 def fisher_2x2(df: DataFrame, a: str = "a", b: str = "b", c: str = "c", d: str = "d") -> DataFrame:
     """Adds odds_ratio and p (two-sided) to rows of counts [[a, b], [c, d]]: the hypergeometric terms not above the observed one.
 
-    Neighbouring terms differ by a ratio, so logs of terms are running sums from the least possible count.
+    Neighbouring terms differ by a ratio, so two passes over the possible counts do: the first finds the logs of the
+    observed and the largest term, the second sums, both with a few running values and no list of terms.
     """
     A, B, C, D = (F.col(x).cast("double") for x in (a, b, c, d))
     r1, c1, n = A + B, A + C, A + B + C + D
     lo, hi = F.greatest(F.lit(0.0), r1 + c1 - n), F.least(r1, c1)
-    ks = F.sequence(lo.cast("int"), hi.cast("int"))
-    first = F.array(F.struct(lo.alias("k"), F.lit(0.0).alias("l")))
+    ks = F.sequence(lo.cast("long"), hi.cast("long"))
+    none = F.lit(0.0)
 
-    def step(acc: Column, k: Column) -> Column:
+    def term(prev: Column, k: Column) -> Column:
+        return F.when(k == lo, none).otherwise(prev + F.log((r1 - k + 1) * (c1 - k + 1)) - F.log(k * (n - r1 - c1 + k)))
+
+    def look(acc: Column, k: Column) -> Column:
         k = k.cast("double")
-        prev = F.element_at(acc, -1)["l"]
-        new = prev + F.log((r1 - k + 1) * (c1 - k + 1)) - F.log(k * (n - r1 - c1 + k))
-        return F.when(k == lo, acc).otherwise(F.concat(acc, F.array(F.struct(k.alias("k"), new.alias("l")))))
+        new = term(acc["l"], k)
+        return F.struct(new.alias("l"), F.greatest(acc["top"], new).alias("top"), F.when(k == A, new).otherwise(acc["seen"]).alias("seen"))
+
+    out = df.withColumn("__s", F.aggregate(ks, F.struct(none.alias("l"), none.alias("top"), none.alias("seen")), look))
+
+    def add(acc: Column, k: Column) -> Column:
+        new = term(acc["l"], k.cast("double"))
+        mass = F.exp(new - F.col("__s.top"))
+        return F.struct(new.alias("l"), (acc["all"] + mass).alias("all"), (acc["rare"] + F.when(new <= F.col("__s.seen") + 1e-7, mass).otherwise(0.0)).alias("rare"))
 
-    out = df.withColumn("__t", F.aggregate(ks, first, step))
-    seen = F.filter("__t", lambda t: t["k"] == A)[0]["l"]
-    top = F.array_max(F.transform("__t", lambda t: t["l"]))
-    mass = lambda keep: F.aggregate(F.filter("__t", keep), F.lit(0.0), lambda s, t: s + F.exp(t["l"] - top))
-    out = out.withColumns({"__seen": seen, "__top": top})
-    p = F.least(F.lit(1.0), mass(lambda t: t["l"] <= F.col("__seen") + 1e-7) / mass(lambda t: F.lit(True)))
-    return out.withColumns({"odds_ratio": F.when(B * C > 0, A * D / F.nullif(B * C, F.lit(0.0))).when(A * D > 0, F.lit(float("inf"))), "p": p}).drop("__t", "__seen", "__top")
+    out = out.withColumn("__m", F.aggregate(ks, F.struct(none.alias("l"), none.alias("all"), none.alias("rare")), add))
+    p = F.least(F.lit(1.0), F.col("__m.rare") / F.col("__m.all"))
+    return out.withColumns({"odds_ratio": F.when(B * C > 0, A * D / F.nullif(B * C, F.lit(0.0))).when(A * D > 0, F.lit(float("inf"))), "p": p}).drop("__s", "__m")
 
 
 def cliffs_delta(df: DataFrame, keys: list[str], group: str, value: str, case: str = "case", control: str = "control") -> DataFrame:
@@ -232,10 +238,3 @@ def regression_metrics(df: DataFrame, y: str, yhat: str, keys: list[str] = ()) -
         F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), (1 - F.try_divide(F.avg(e * e), F.nullif(F.var_pop(y), F.lit(0.0)))).alias("r2"),
         F.when(varied, F.corr(y, yhat)).alias("pearson"), F.when(varied, F.corr("__ry", "__rh")).alias("spearman"), F.avg((F.signum(y) == F.signum(yhat)).cast("double")).alias("sign_accuracy"),
     )
-
-
-def permutation_control(df: DataFrame, id_cols: list[str], y: str, score: str, n: int = 1000, seed: int = 1) -> DataFrame:
-    """The correlation of a score with its labels, against labels dealt anew: observed, null mean and sd, empirical p."""
-    observed = df.agg(F.corr(y, score).alias("observed"))
-    null = permute_labels(df.select(*id_cols, y, score), id_cols, y, n, seed).groupBy("perm").agg(F.corr(y, score).alias("r"))
-    return null.crossJoin(F.broadcast(observed)).groupBy("observed").agg(F.avg("r").alias("null_mean"), F.stddev_samp("r").alias("null_sd"), ((F.count_if(F.abs("r") >= F.abs("observed")) + 1.0) / (F.count("*") + 1)).alias("p"))

@@ -69,29 +69,33 @@ def a37_captured_counts(v):
 
 
 def _mr_rows(v):
-    q = v("v_qtl").where("beta <> 0 and type = 'NO'").groupBy("rsid", "gene").agg(F.min("beta").alias("beta"), F.min("se").alias("se"), F.min("vid").alias("vid"))
+    q = v("v_qtl").where("beta <> 0").groupBy("rsid", "gene").agg(F.min("beta").alias("beta"), F.min("se").alias("se"), F.min("vid").alias("vid"))
     g = v("v_variant").groupBy("rsid").agg(F.min("beta").alias("gb"), F.min("se").alias("gs"))
     return q.join(g, "rsid").select("gene", F.col("rsid").alias("snp"), F.col("beta").alias("beta_exposure"), F.col("se").alias("se_exposure"), F.col("gb").alias("beta_outcome"), F.col("gs").alias("se_outcome"))
 
 
-MR_ROWS = """q as (select rsid, gene, min(beta) as bx0, min(se) as sx from v_qtl where beta <> 0 and type = 'NO' group by 1, 2),
+MR_ROWS = """q as (select rsid, gene, min(beta) as bx0, min(se) as sx from v_qtl where beta <> 0 group by 1, 2),
  g as (select rsid, min(beta) as gb, min(se) as gs from v_variant group by 1),
  d as (select gene, rsid as snp, abs(bx0) as bx, gb * sign(bx0) as bo, 1 / (gs * gs) as w, gs from q join g using (rsid)),
  m as (select gene, count(*) as n, sum(w) as sw, sum(w * bx) as sx, sum(w * bo) as sy, sum(w * bx * bx) as sxx, sum(w * bx * bo) as sxy, sum(w * bo * bo) as syy from d group by 1 having count(*) >= 3)"""
 
 
-@query(f"""with {MR_ROWS},
- e as (select *, (sw * sxy - sx * sy) / (sw * sxx - sx * sx) as slope from m), f as (select *, (sy - slope * sx) / sw as cut from e)
-select gene, n as nsnp, 'Inverse variance weighted' as method, {r('sxy / sxx', 'b')}, {r('sqrt(1 / sxx) * greatest(1e0, sqrt(greatest(0e0, syy - sxy / sxx * sxy) / (n - 1)))', 'se')} from m
-union all
-select gene, n, 'MR Egger', round(slope, 6) + 0e0, round(sqrt(sw / (sw * sxx - sx * sx)) * greatest(1e0, sqrt(greatest(0e0, syy - cut * sy - slope * sxy) / (n - 2))), 6) + 0e0 from f""")
+@query(f"""with {MR_ROWS.replace(' having count(*) >= 3', '')},
+ e as (select *, (sw * sxy - sx * sy) / (sw * sxx - sx * sx) as slope from m where n >= 3), f as (select *, (sy - slope * sx) / sw as cut from e),
+ i as (select gene, n, sxy / sxx as b, sqrt(1 / sxx) * greatest(1e0, sqrt(greatest(0e0, syy - sxy / sxx * sxy) / (n - 1))) as se from m where n >= 2),
+ w as (select d.gene, n, case when n = 2 then snp end as single_snp, bo / bx as b, gs / bx as se from d join m on m.gene = d.gene where n <= 2)
+select gene, n as nsnp, 'Inverse variance weighted' as method, cast(null as varchar) as single_snp, {r('b', 'b')}, {r('se', 'se')}, {r(two_sided_p_sql('(b / se)'), 'pval')} from i
+union all select gene, n, 'Wald ratio', single_snp, round(b, 6) + 0e0, round(se, 6) + 0e0, round({two_sided_p_sql('(b / se)')}, 6) + 0e0 from w
+union all select gene, n, 'MR Egger', null, round(slope, 6) + 0e0, round(sqrt(sw / (sw * sxx - sx * sx)) * greatest(1e0, sqrt(greatest(0e0, syy - cut * sy - slope * sxy) / (n - 2))), 6) + 0e0, null from f""")
 def t14_mr_estimate(v):
-    return meta.mr_estimate(_mr_rows(v), boot=1).where("nsnp >= 3 and method <> 'Weighted median'").select("gene", "nsnp", "method", "b", "se")
+    """All but the weighted median, which has a query of its own; the p of Egger's t has no SQL."""
+    d = meta.mr_estimate(_mr_rows(v), boot=1).where("method <> 'Weighted median'").select("gene", "nsnp", "method", "single_snp", "b", "se", "pval")
+    return d.withColumn("pval", F.when(F.col("method") != "MR Egger", F.col("pval")))
 
 
 @query()
 def t14_mr_all(v):
-    """Every number of SNPs, every method and its error; t14_mr_estimate and its SQL begin at three SNPs, without medians."""
+    """All methods with all columns."""
     return meta.mr_estimate(_mr_rows(v))
 
 
@@ -117,9 +121,9 @@ def j2_window_overlap(v):
     return ranges.window_overlap_join(v("v_variant"), v("v_gene"), 100, 99, bin_size=256).select("rsid", "chrom", "pos", "window_start", "window_end", "gene")
 
 
-@query("select q.rsid, q.gene, round(q.beta, 6) + 0e0 as beta, q.pvalue is not null and v.ref < 'C' as low_ref from v_qtl q join v_variant v on v.rsid = q.rsid where q.vid = v.vid and q.type = 'NO'")
+@query("select q.rsid, q.gene, round(q.beta, 6) + 0e0 as beta, q.pvalue is not null and v.ref < 'C' as low_ref from v_qtl q join v_variant v on v.rsid = q.rsid where q.vid = v.vid")
 def j3_join_checked(v):
-    d = linkage.join_checked(v("v_qtl").where("type = 'NO'"), v("v_variant").select("rsid", F.col("vid").alias("vid2"), "ref"), ["rsid"], [("vid", "vid2")])
+    d = linkage.join_checked(v("v_qtl"), v("v_variant").select("rsid", F.col("vid").alias("vid2"), "ref"), ["rsid"], [("vid", "vid2")])
     return d.select("rsid", "gene", "beta", (F.col("pvalue").isNotNull() & (F.col("ref") < "C")).alias("low_ref"))
 
 
@@ -253,15 +257,15 @@ def r1_balanced_sizes(v):
     return select.balanced_sample(v("v_cell"), ["cell_type"], "grp", ["event_id"], cap=200).groupBy("cell_type").agg(F.count("*").alias("n"))
 
 
-@query("with c as (select cell_type, count(case when grp = 'case' then 1 end) as a, count(case when grp = 'control' then 1 end) as b from v_cell where event_id % 3 <> 0 or grp = 'control' group by 1) select cell_type, a as n_case, least(a, b) as n_control from c")
+@query("with c as (select cell_type, count(case when grp = 'case' then 1 end) as a, count(case when grp = 'control' then 1 end) as b from v_cell group by 1) select cell_type, a as n_case, least(a, b) as n_control from c")
 def r2_matched_sizes(v):
-    d = select.match_controls(v("v_cell").where("event_id % 3 <> 0 or grp = 'control'"), ["cell_type"], "grp", ["event_id"])
+    d = select.match_controls(v("v_cell"), ["cell_type"], "grp", ["event_id"])
     return d.groupBy("cell_type").agg(F.count_if(F.col("grp") == "case").alias("n_case"), F.count_if(F.col("grp") == "control").alias("n_control"))
 
 
 @query()
 def r2_matched_sizes_all(v):
-    """All cells; r2_matched_sizes and its SQL leave out cases."""
+    """As r2_matched_sizes, under the name that it has in the tests."""
     d = select.match_controls(v("v_cell"), ["cell_type"], "grp", ["event_id"])
     return d.groupBy("cell_type").agg(F.count_if(F.col("grp") == "case").alias("n_case"), F.count_if(F.col("grp") == "control").alias("n_control"))
 
@@ -372,19 +376,19 @@ def t4_spearman(v):
     return stats.correlate(v("v_variant"), ["chrom"], "beta", "pval").drop("p")
 
 
-FISHER = """t as (select cell_type, count(case when grp = 'case' and score > 60 then 1 end) as a, count(case when grp = 'case' and score <= 60 then 1 end) as b, count(case when grp = 'control' and score > 60 then 1 end) as c, count(case when grp = 'control' and score <= 60 then 1 end) as d from v_cell where event_id % 20 = 0 group by 1)"""
+FISHER = """t as (select cell_type, count(case when grp = 'case' and score > 60 then 1 end) as a, count(case when grp = 'case' and score <= 60 then 1 end) as b, count(case when grp = 'control' and score > 60 then 1 end) as c, count(case when grp = 'control' and score <= 60 then 1 end) as d from v_cell group by 1)"""
 
 
 @query(f"""with {FISHER}, k as (select *, unnest(generate_series(greatest(0, (a + b) + (a + c) - (a + b + c + d)), least(a + b, a + c))) as x from t),
  l as (select *, -(lgamma(x + 1) + lgamma(a + b - x + 1) + lgamma(a + c - x + 1) + lgamma(d - a + x + 1)) as lp from k), o as (select cell_type, max(case when x = a then lp end) as seen, max(lp) as top from l group by 1)
 select l.cell_type, a, b, c, d, round(case when b * c > 0 then a * d * 1e0 / (b * c) end, 6) + 0e0 as odds_ratio, round(least(1e0, sum(case when lp <= seen + 1e-7 then exp(lp - top) else 0 end) / sum(exp(lp - top))), 6) + 0e0 as p from l join o using (cell_type) group by 1, 2, 3, 4, 5""")
 def t5_fisher(v):
-    return _fisher(v("v_cell").where("event_id % 20 = 0"))
+    return _fisher(v("v_cell"))
 
 
 @query()
 def t5_fisher_all(v):
-    """All events; t5_fisher and its SQL read one in twenty."""
+    """As t5_fisher, under the name that it has in the tests."""
     return _fisher(v("v_cell"))
 
 
@@ -468,12 +472,15 @@ def m7_calibrated(v):
     return models.calibrate(d, "score", "y")[1]
 
 
-@query("""with d as (select gene, avg(case when tissue = 'brain' then beta end) as a, avg(case when tissue = 'blood' then beta end) as b, min(beta) as c from v_mr group by 1), e as (select *, (a + b + c) / 3 as m from d where a is not null and b is not null)
-select gene, round(m, 6) + 0e0 as ens_mean, round(least(a, b, c), 6) + 0e0 as ens_min, round(greatest(a, b, c), 6) + 0e0 as ens_max, round((case when sign(a) = sign(m) then 1 else 0 end + case when sign(b) = sign(m) then 1 else 0 end + case when sign(c) = sign(m) then 1 else 0 end) / 3e0, 6) + 0e0 as agreement from e""")
+@query("""with d as (select gene, avg(case when tissue = 'brain' then beta end) as a, avg(case when tissue = 'blood' then beta end) as b, min(beta) as c from v_mr group by 1), l as (select gene, unnest([coalesce(a, 0), coalesce(b, 0), coalesce(c, 0)]) as x from d),
+ e as (select gene, avg(x) as m, stddev_pop(x) as sd, median(x) as med, quantile_cont(x, 0.025) as lo, quantile_cont(x, 0.975) as hi, count(case when x > 0 then 1 end) / 3e0 as up, count(case when x < 0 then 1 end) / 3e0 as down from l group by 1)
+select e.gene, round(m, 6) + 0e0 as pred_beta_mean, round(sd, 6) + 0e0 as pred_beta_sd, round(med, 6) + 0e0 as pred_beta_median, round(lo, 6) + 0e0 as pred_beta_q025, round(hi, 6) + 0e0 as pred_beta_q975, round(up, 6) + 0e0 as prob_risk, round(down, 6) + 0e0 as prob_protective, round(greatest(up, down), 6) + 0e0 as model_agreement,
+ case when up >= 0.8e0 and lo > 0 then 'risk' when down >= 0.8e0 and hi < 0 then 'protective' else 'ambiguous' end as pred_direction,
+ case when up >= 0.8e0 and lo > 0 and a > 0 then 'high_confidence_risk' when down >= 0.8e0 and hi < 0 and a < 0 then 'high_confidence_protective' when greatest(up, down) >= 0.7e0 then 'moderate_confidence' else 'ambiguous' end as confidence_class from e join d using (gene)""")
 def m10_ensemble(v):
     side = lambda t: F.avg(F.when(F.col("tissue") == t, F.col("beta")))
-    d = v("v_mr").groupBy("gene").agg(side("brain").alias("a"), side("blood").alias("b"), F.min("beta").alias("c")).where("a is not null and b is not null")
-    return models.ensemble(d, ["a", "b", "c"]).select("gene", "ens_mean", "ens_min", "ens_max", "agreement")
+    d = v("v_mr").groupBy("gene").agg(side("brain").alias("a"), side("blood").alias("b"), F.min("beta").alias("c"))
+    return models.ensemble(d, ["a", "b", "c"], "a").drop("a", "b", "c")
 
 
 # --- cells and programs

@@ -29,6 +29,10 @@ VIEWS = {
     "v_cell": """select user_id as sample_id, user_id as donor_id, event_type as cell_type, case when user_id % 2 = 0 then 'case' else 'control' end as grp,
         case when user_id % 2 = 0 then 'PD' else 'normal' end as disease, value as score, event_id from events""",
     "v_expr": """select user_id as sample_id, concat('g', cast(event_id % 40 as string)) as gene, sum(floor(value)) as value from events group by 1, 2""",
+    "v_pred": """select concat('P', cast(p_partkey as string)) as gene, p_partkey % 7 = 0 as is_seed, ((p_partkey * 37) % 101 - 50) / 25e0 as raw_pred_beta_score,
+        ((p_partkey * 37 + p_size) % 101) / 100e0 as calibrated_prob_risk, 1e0 - ((p_partkey * 37 + p_size) % 101) / 100e0 as calibrated_prob_protective,
+        ((p_partkey * 41) % 91) / 90e0 as platt_prob_risk, ((p_partkey * 11) % 21 - 10) / 10e0 as rwr_pred_beta, p_size % 4 as n_brain_or_neural_dhs_snvs,
+        case when p_partkey % 9 = 0 then 'Frontal_Neuron' when p_partkey % 5 = 0 then 'Liver' end as top_dhs_tissue, ((p_partkey * 29) % 100) / 200e0 as top_relative_contribution from part""",
     "v_track": """select vec_id, embedding as d from embeddings where embedding is not null""",
     "v_program": """select concat('g', cast(r_regionkey * 3 + 1 as string)) as gene, 'risk' as program, 'risk' as direction from region
         union all select concat('g', cast(r_regionkey * 3 + 20 as string)), 'protective', 'protective' from region""",
