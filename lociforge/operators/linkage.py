@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 from .select import best_per_key
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a table in the folder that the cluster shares (spark.checkpoint.dir; a temporary one where it is unset on a local master)."""
-    spark: SparkSession = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares: spark.checkpoint.dir; a temporary one where it is unset on a local master."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         have = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -25,9 +24,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lociforge-")
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/step-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage by a table in the shared folder."""
+    path = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def join_checked(left: DataFrame, right: DataFrame, on: list[str], checks: list[tuple[str, str]], null_ok: bool = False) -> DataFrame:
