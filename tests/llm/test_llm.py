@@ -319,6 +319,35 @@ def test_nearest_neighbours(spark):
     assert ann.search(df.limit(0)).count() == 0
 
 
+def test_kd_tree_gives_points_by_rising_distance():
+    r = np.random.default_rng(4)
+    for n in (0, 1, 64, 65, 3000):
+        y = np.round(r.standard_normal((n, 5)), 1)
+        rows, d2 = (np.concatenate(c) if c else np.empty(0) for c in ([x[i] for x in ann.KdTree(y).nearest(np.zeros(5))] for i in (0, 1)))
+        assert sorted(rows.tolist()) == list(range(n)) and np.array_equal(d2, np.sort((y * y).sum(axis=1)))
+
+
+def test_search_stops_before_all_rows_are_verified():
+    r = np.random.default_rng(8)
+    x = r.standard_normal((20_000, 32))
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    norm2, m = float((x * x).sum(axis=1).max()), 16
+    pr, hit = ann.projection(32, m, 5), 0
+    block = ann.Block(np.arange(len(x)), x, pr, norm2)
+    for i in range(40):
+        got = block.search(i, x[i], ann.projected(x[i : i + 1], pr, None)[0], 20, norm2, ann.chi2_quantile(0.93, m), -np.inf)
+        s = ann.inner(x, x[i])
+        s[i] = -np.inf
+        hit += len({v for v, _ in got} & set(np.argsort(-s)[:20].tolist()))
+    assert hit >= 0.9 * 40 * 20 and block.verified < 0.6 * 40 * len(x)
+
+
+def test_every_row_of_a_repeated_query_id_is_answered(spark):
+    df = spark.createDataFrame([(20, [1.0, 0.0]), (20, [0.0, 1.0]), (3, [1.0, 0.1]), (4, [0.1, 1.0])], "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, ann.search(df).collect()))
+    assert got == [(20, 1, 3, 1.0), (20, 1, 4, 1.0), (20, 2, 3, 0.1), (20, 2, 4, 0.1)]
+
+
 def test_chi2_quantile():
     assert ann.chi2_quantile(0.95, 8) == pytest.approx(15.507, abs=1e-3) and ann.chi2_quantile(0.5, 2) == pytest.approx(1.38629, abs=1e-4)
 
