@@ -15,7 +15,36 @@ from tests.conftest import SF
 from tests.llm.test_llm import WORDS, brute_groups, library_ids
 
 
-@pytest.mark.skipif("PIPELINE_TEST" not in os.environ, reason="takes minutes: set PIPELINE_TEST=1")
+def check_packing(packed, rows):
+    """Every id of every row in exactly one piece, as the library gives it."""
+    texts = [x["text"] for x in rows]
+    tokens = dict(zip((x["doc_id"] for x in rows), library_ids(texts, 2), strict=True))
+    want, have = Counter(), Counter()
+    for x in rows:
+        want[x["doc_id"]] += len(tokens[x["doc_id"]])
+    for x in packed:
+        have[x["doc_id"]] += x["length"]
+        assert x["ids_crc32"] == zlib.crc32(tokens[x["doc_id"]][x["start"] : x["start"] + x["length"]].tobytes())
+    assert have == want and tokenizer_path()
+
+
+def test_toxicity_mixing_and_packing_in_turn(spark):
+    """The stages that end in seconds; quality and near duplicates have brute-force tests of their own in test_llm."""
+    stages, docs = dict(p.STAGES), documents(spark, SF)
+    chain = toxicity.fit_chain(docs, labels(spark, SF))
+    clean = written(stages["toxicity"](spark, docs, SF), "toxicity")
+    rows = clean.collect()
+    assert clean.columns == docs.columns
+    assert Counter(x["doc_id"] for x in rows) == Counter(x["doc_id"] for x in docs.collect() if chain.score((x["text"] or "").encode())[1] < 0.5)
+    mixed = written(stages["mixing"](spark, clean, SF), "mixing")
+    text = {x["doc_id"]: x["text"] for x in rows}
+    got = mixed.collect()
+    assert mixed.columns == docs.columns and got and all(text[x["doc_id"]] == x["text"] for x in got)
+    assert max(Counter(x["doc_id"] for x in got).values()) <= 2
+    check_packing(stages["packing"](spark, mixed, SF).collect(), got)
+
+
+@pytest.mark.skipif("PIPELINE_TEST" not in os.environ, reason="takes ten minutes: set PIPELINE_TEST=1")
 def test_stages_in_turn(spark):
     docs, steps = documents(spark, SF), {}
     for name, f in p.STAGES:
@@ -49,13 +78,4 @@ def test_stages_in_turn(spark):
         largest[x["source"]] = max(largest[x["source"]], size[x["doc_id"]])
     assert all(abs(taken[s] - t) <= largest[s] / 2 + 1 for s, t in goal.items())
 
-    want = Counter()
-    texts = [x["text"] for x in rows["packing"]]
-    for x, t in zip(rows["packing"], library_ids(texts, 2), strict=True):
-        want[x["doc_id"]] += len(t)
-    have = Counter()
-    tokens = dict(zip((x["doc_id"] for x in rows["packing"]), library_ids(texts, 2), strict=True))
-    for x in rows["end"]:
-        have[x["doc_id"]] += x["length"]
-        assert x["ids_crc32"] == zlib.crc32(tokens[x["doc_id"]][x["start"] : x["start"] + x["length"]].tobytes())
-    assert have == want and tokenizer_path()
+    check_packing(rows["end"], rows["packing"])
