@@ -415,3 +415,19 @@ def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 75) -> Dat
     met = own.join(first, (F.col("own.k") == F.col("first.k")) & F.col("own.doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("own.sid") == F.col("first.sid")), "left")
     stays = met.where("own.sid is null or first.sid is not null").select("own.*").dropDuplicates(["k", "doc_id", "sid"])
     return stays.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
+
+
+#: The groups by brute force: every pair of texts that share a shingle is counted. Rows are told apart by number.
+ORACLE = r"""
+with recursive w as (
+  select row_number() over () as k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents
+), s as (
+  select k, doc_id, case when len(ws) >= 5 then list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end as sh from w
+), p as (select k, unnest(sh) as x from s),
+j as (select a.k as a, b.k as b, count(*) as c from p a join p b on a.x = b.x and a.k < b.k group by 1, 2),
+l as (select a, b from j join s x on x.k = j.a join s y on y.k = j.b where 100 * c >= 75 * (len(x.sh) + len(y.sh) - c)),
+e as (select a, b from l union all select b, a from l),
+reach as (select k, k as root from s union select e.b, r.root from reach r join e on e.a = r.k),
+g as (select r.k, min(s.doc_id) as component_id, count(*) as component_size from reach r join s on s.k = r.root group by 1)
+select s.doc_id, cast(len(sh) as bigint) as n_shingles, g.component_id, g.component_size from s join g using (k)
+"""

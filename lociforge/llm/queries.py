@@ -11,6 +11,7 @@ from .common import documents, tokenizer_path
 from .decision_list import judge, labelled, learn
 from .licences import scan_licences
 from .mixing import mix_words
+from .ngram_join import ORACLE as JACCARD_ORACLE
 from .ngram_join import jaccard_groups
 from .packing import pack
 from .repair import round_trip
@@ -86,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_ngram_jaccard": JACCARD_ORACLE,
     "op4_warc_chunks": WARC_ORACLE,
     "op7_url_filter": URL_ORACLE,
 }
