@@ -263,7 +263,7 @@ def r2_matched_sizes(v):
     return d.groupBy("cell_type").agg(F.count_if(F.col("grp") == "case").alias("n_case"), F.count_if(F.col("grp") == "control").alias("n_control"))
 
 
-@query()
+@query("with c as (select cell_type, count(case when grp = 'case' then 1 end) as a, count(case when grp = 'control' then 1 end) as b from v_cell group by 1) select cell_type, a as n_case, least(a, b) as n_control from c")
 def r2_matched_sizes_all(v):
     """As r2_matched_sizes, under the name that it has in the tests."""
     d = select.match_controls(v("v_cell"), ["cell_type"], "grp", ["event_id"])
@@ -386,7 +386,9 @@ def t5_fisher(v):
     return _fisher(v("v_cell"))
 
 
-@query()
+@query(f"""with {FISHER}, k as (select *, unnest(generate_series(greatest(0, (a + b) + (a + c) - (a + b + c + d)), least(a + b, a + c))) as x from t),
+ l as (select *, -(lgamma(x + 1) + lgamma(a + b - x + 1) + lgamma(a + c - x + 1) + lgamma(d - a + x + 1)) as lp from k), o as (select cell_type, max(case when x = a then lp end) as seen, max(lp) as top from l group by 1)
+select l.cell_type, a, b, c, d, round(case when b * c > 0 then a * d * 1e0 / (b * c) end, 6) + 0e0 as odds_ratio, round(least(1e0, sum(case when lp <= seen + 1e-7 then exp(lp - top) else 0 end) / sum(exp(lp - top))), 6) + 0e0 as p from l join o using (cell_type) group by 1, 2, 3, 4, 5""")
 def t5_fisher_all(v):
     """As t5_fisher, under the name that it has in the tests."""
     return _fisher(v("v_cell"))
@@ -553,11 +555,20 @@ def t17_gsva(v):
     return programs.gsva(e, v("v_program"), min_size=3)
 
 
-@query()
+@query("""with u as (select count(distinct gene) as total from v_expr), d as (select sample_id, gene, row_number() over (partition by sample_id order by value desc, gene) - 1 as r, count(*) over (partition by sample_id) as n from v_expr where value > 0),
+ s as (select sample_id, program, ((max(n) - 1) / 2e0 - avg(r)) / (max(n) / 2e0) as score from d join (select distinct program, gene from v_program) p using (gene), u where n >= 0.2e0 * total group by 1, 2),
+ t as (select sample_id, max(case when program = 'risk' then score end) as risk, max(case when program = 'protective' then score end) as protective from s group by 1)
+select sample_id, round(risk, 6) + 0e0 as risk, round(protective, 6) + 0e0 as protective, round(risk - protective, 6) + 0e0 as rstar from t where risk is not null and protective is not null""")
 def t16_cell_rank_score(v):
     return programs.cell_rank_score(v("v_expr"), v("v_program"), min_hits=1)
 
 
+@query("""with z as (select sample_id, gene, (value - avg(value) over g) / nullif(stddev_pop(value) over g, 0) as z from v_expr window g as (partition by gene))
+select sample_id, program, round(sum(z) / sqrt(count(*)), 6) + 0e0 as score from z join (select distinct program, gene from v_program) p using (gene) where z is not null group by 1, 2 having count(*) >= 2""")
+def t17_gsva_zscore(v):
+    return programs.gsva(v("v_expr").withColumn("value", F.col("value").cast("double")), v("v_program"), method="zscore", min_size=2)
+
+
 @query()
 def t10_gsea(v):
     g = v("v_qtl").groupBy("gene").agg(F.sum("beta").alias("score"))
