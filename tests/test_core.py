@@ -305,8 +305,9 @@ def test_entry_points_have_matching_names(spark):
 
 def test_queries_read_whole_views(spark):
     from lociforge.plans import queries as q
+    from lociforge.plans import views
 
-    cells_ = q.view(spark, SF, "v_cell").select("cell_type", "grp", "score").collect()
+    cells_ = views.view(spark, SF, "v_cell").select("cell_type", "grp", "score").collect()
     table = {t: [sum(x["cell_type"] == t and x["grp"] == g and (x["score"] > 60) == hi for x in cells_) for g in ("case", "control") for hi in (True, False)] for t in {x["cell_type"] for x in cells_}}
     fisher = {x["cell_type"]: x for x in q.QUERIES["t5_fisher_all"](spark, SF).collect()}
     assert {t: [x[k] for k in "abcd"] for t, x in fisher.items()} == table
@@ -316,17 +317,18 @@ def test_queries_read_whole_views(spark):
     sizes = {x["cell_type"]: (x["n_case"], x["n_control"]) for x in q.QUERIES["r2_matched_sizes_all"](spark, SF).collect()}
     assert sizes == {t: (a + b, min(a + b, c_ + d)) for t, (a, b, c_, d) in table.items()}
     labels = {}
-    for x in q.view(spark, SF, "v_mr").select("gene", "beta").collect():
+    for x in views.view(spark, SF, "v_mr").select("gene", "beta").collect():
         labels.setdefault(x["gene"], []).append(x["beta"])
-    got = {x["gene"]: x["y"] for x in q._features(lambda v: q.view(spark, SF, v)).collect()}
+    got = {x["gene"]: x["y"] for x in q._features(lambda v: views.view(spark, SF, v)).collect()}
     assert got == pytest.approx({g: sum(b) / len(b) for g, b in labels.items()})
 
 
 def test_walk_and_mr_queries_are_whole(spark):
     from lociforge.plans import queries as q
+    from lociforge.plans import views
 
-    edges = {(x["u"], x["v"]) for x in graph.build_graph(q.view(spark, SF, "v_ppi"))[0].collect()}
-    seed = {x["gene"]: float(x["tx_start"] % 7 == 0) for x in q.view(spark, SF, "v_gene").collect()}
+    edges = {(x["u"], x["v"]) for x in graph.build_graph(views.view(spark, SF, "v_ppi"))[0].collect()}
+    seed = {x["gene"]: float(x["tx_start"] % 7 == 0) for x in views.view(spark, SF, "v_gene").collect()}
     names = sorted({g for e in edges for g in e} | set(seed))
     a, s = np.zeros((len(names), len(names))), np.array([seed.get(g, 0.0) for g in names])
     for u, w in edges:
@@ -336,7 +338,7 @@ def test_walk_and_mr_queries_are_whole(spark):
     got = {x["gene"]: x["f"] for x in q.QUERIES["m2_rwr"](spark, SF).collect()}
     assert got == pytest.approx({g: want[g] for g in got}, abs=2e-6) and all(want[g] == 0 for g in set(names) - set(got))
     snps = {}
-    for x in q._mr_rows(lambda v: q.view(spark, SF, v)).collect():
+    for x in q._mr_rows(lambda v: views.view(spark, SF, v)).collect():
         snps[x["gene"]] = snps.get(x["gene"], 0) + 1
     mr = q.QUERIES["t14_mr_all"](spark, SF).collect()
     assert {x["gene"]: x["nsnp"] for x in mr} == snps
@@ -345,10 +347,11 @@ def test_walk_and_mr_queries_are_whole(spark):
 
 def test_queries_call_operators_in_full(monkeypatch):
     from lociforge.plans import queries as q
+    from lociforge.plans import registry
 
     seen, df = {}, MagicMock()
-    monkeypatch.setattr(q, "tidy", lambda x: x)
-    monkeypatch.setattr(q, "view", lambda *a: df)
+    monkeypatch.setattr(registry, "tidy", lambda x: x)
+    monkeypatch.setattr(registry, "view", lambda *a: df)
     monkeypatch.setattr(q, "F", MagicMock())
     monkeypatch.setattr(graph, "build_graph", lambda *a: (df, df))
     monkeypatch.setattr(linkage, "flag_member", lambda *a: df)
@@ -357,3 +360,27 @@ def test_queries_call_operators_in_full(monkeypatch):
     q.QUERIES["m3_rwr_cross_validation"](None, SF)
     q.QUERIES["t10_gsea"](None, SF)
     assert seen == {"m3": (([0.1, 0.2, 0.3, 0.5, 0.7], 5, 5), {}), "t10": {}}
+
+
+def test_walk_ridge_and_permutation_control(spark):
+    genes = [f"G{i}" for i in range(12)]
+    edges = spark.createDataFrame([(genes[i], genes[(i + d) % 12]) for i in range(12) for d in (1, 3)], "u string, v string")
+    features = spark.createDataFrame([(g, float(i % 5), None if i == 2 else float(i)) for i, g in enumerate(genes)], "gene string, x double, z double")
+    labels = spark.createDataFrame([(g, (-1.0) ** i * (1 + i / 7), None if i == 3 else 1.0) for i, g in enumerate(genes[:10])] + [("G11", None, 1.0)], "gene string, beta double, confidence double")
+    oof, coef = models.walk_ridge(edges, features, labels, ["x", "z"], k=2, repeats=2, max_iter=20)
+    got = oof.collect()
+    assert len(got) == 20 and all(0 < x["oof_prob"] < 1 and (x["oof_prob"] > 0.5) == (x["oof_pred"] > 0) for x in got)
+    assert coef.count() == 2 * 2 * 4
+    null, seen = models.permutation_control(edges, features, labels, ["x", "z"], 0.9, n=20, k=2, max_iter=20)
+    rows, s = null.collect(), seen.first()
+    assert sorted(x["permutation"] for x in rows) == list(range(1, 21)) and s["n_permutations"] == 20
+    assert s["empirical_p"] == pytest.approx((1 + sum(x["auroc"] >= 0.9 for x in rows)) / 21)
+
+
+def test_support_tiers_without_optional_columns(spark):
+    d = spark.createDataFrame([("a", False, 2.0, 0.9, 1.0), ("b", False, -1.0, None, None), ("c", None, 0.5, 0.5, -1.0), ("d", True, 3.0, 0.8, 1.0)], "gene string, is_seed boolean, raw_pred_beta_score double, calibrated_prob_risk double, rwr_pred_beta double")
+    got = {x["gene"]: (x["pred_direction"], x["support_tier"], x["rwr_agree"]) for x in models.support_tiers(d).collect()}
+    assert got == {"a": ("risk", "Tier 3", True), "b": ("protective", "Tier 3", True), "c": ("risk", "Tier 3", False), "d": ("risk", "MR seed", True)}
+    full = models.support_tiers(d.selectExpr("*", "1 as n_brain_or_neural_dhs_snvs"))
+    assert {x["gene"]: x["support_tier"] for x in full.collect()} == {"a": "Tier 1", "b": "Tier 1", "c": "Tier 3", "d": "MR seed"}
+    assert models.support_tiers(d.limit(0)).count() == 0
