@@ -88,6 +88,15 @@ def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(lean, schema)
 
 
+def bounded(rows: DataFrame, key: str, text: str, most: int) -> DataFrame:
+    """Labelled rows, of which there are at most `most` keys: where keys repeat so that there are more rows than that, one
+    row of each key stays, with its largest text."""
+    if rows.count() <= most:
+        return rows
+    rest = [c for c in rows.columns if c not in (key, text)]
+    return rows.groupBy(key, *rest).agg(F.max(text).alias(text)).select(*rows.columns)
+
+
 def words(text: Column) -> Column:
     """The words of a text, in order; none for null."""
     inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(GAP_CHARS))

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words, written
+from .common import bounded, words, written
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -136,10 +136,11 @@ class DecisionList:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, bad: str = "quality = 0", max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
-    """Statistics and label (y: 1 for bad) of at most `max_rows` labelled documents, those with the least hash of their id."""
+    """Statistics and label (y: 1 for bad) of at most `max_rows` labelled documents, those with the least hash of their id
+    (rows that repeat an id count too; beyond the bound each id keeps its largest text)."""
     chosen = labels.select(F.col("doc_id").alias("__id"), F.expr(f"cast({bad} as int)").alias("y")).where("__id is not null and y is not null")
     chosen = chosen.dropDuplicates(["__id"]).orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
-    rows = docs.select(F.col("doc_id").alias("__id"), "text").join(F.broadcast(chosen), "__id")  # bounded by max_rows
+    rows = bounded(docs.select(F.col("doc_id").alias("__id"), "text").join(F.broadcast(chosen), "__id"), "__id", "text", max_rows)  # the broadcast too is bounded by max_rows
     return written(statistics(rows), "labelled")
 
 
@@ -162,7 +163,7 @@ def learn(rows: DataFrame, cuts: int = 24, max_rules: int = 8, max_conditions: i
         return F.size(F.filter(cuts_, lambda c: F.expr(FEATURES[name]) >= c))
 
     bins = [bin_of(n).alias(f"b{i}") for i, n in enumerate(names)]
-    left = written(rows.select("y", (F.pmod(F.xxhash64("__id"), F.lit(3)) == 0).alias("prune"), *bins), "binned").cache()
+    left = kept = written(rows.select("y", (F.pmod(F.xxhash64("__id"), F.lit(3)) == 0).alias("prune"), *bins), "binned").cache()
     stack = f"stack({len(names)}, " + ", ".join(f"{i}, b{i}" for i in range(len(names))) + ") as (f, b)"
 
     def counts(df: DataFrame) -> tuple[int, int, dict]:
@@ -210,6 +211,7 @@ def learn(rows: DataFrame, cuts: int = 24, max_rules: int = 8, max_conditions: i
         rule = rule[: keep + 1]
         rules.append(tuple(Condition(names[f], up, points[names[f]][b - 1]) for f, up, b in rule))
         left = left.where(~conjunction(rule))
+    kept.unpersist()
     return DecisionList(tuple(rules))
 
 

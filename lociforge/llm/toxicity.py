@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, texts_of
+from .common import arrow_map, bounded, texts_of
 
 #: Categories of the labels table, in chain order: name and condition.
 CATEGORIES = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"), ("toxic_low_quality", "toxic = 1 and quality = 0"))
@@ -34,12 +34,13 @@ def features(text: bytes) -> set[bytes]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, categories, max_rows: int) -> DataFrame:
-    """(text, y0, y1, ...) of at most `max_rows` labelled documents, those with the least hash of their id."""
+    """(text, y0, y1, ...) of at most `max_rows` labelled documents, those with the least hash of their id (rows that repeat
+    an id count too; beyond the bound each id keeps its largest text)."""
     ys = [F.expr(f"cast({cond} as int)").alias(f"y{i}") for i, (_, cond) in enumerate(categories)]
     chosen = labels.select(F.col("doc_id").alias("__id"), *ys).where("__id is not null and " + " and ".join(f"y{i} is not null" for i in range(len(ys))))
     chosen = chosen.dropDuplicates(["__id"]).orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
     rows = docs.select(F.col("doc_id").alias("__id"), "text")
-    return rows.join(F.broadcast(chosen), "__id").select("__id", "text", *(f"y{i}" for i in range(len(ys))))  # bounded by max_rows
+    return bounded(rows.join(F.broadcast(chosen), "__id").select("__id", "text", *(f"y{i}" for i in range(len(ys)))), "__id", "text", max_rows)  # the broadcast too is bounded by max_rows
 
 
 def feature_counts(rows: DataFrame, n_categories: int) -> DataFrame:

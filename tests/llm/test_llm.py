@@ -118,6 +118,15 @@ def test_toxicity_awkward_rows(spark):
     assert toxicity.score_chain(empty_docs(spark), none).count() == 0
 
 
+def test_labelled_rows_are_bounded_where_ids_repeat(spark):
+    docs = spark.createDataFrame([(1, "b", "en", "s", 1), (1, "c", "en", "s", 1), (1, None, "en", "s", 1), (2, None, "en", "s", 1), (3, "x", "en", "s", 1)], DOC)
+    labs = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, 1, 1)], "doc_id long, quality int, toxic int")
+    got = toxicity.training_rows(docs, labs, toxicity.CATEGORIES, 3).collect()
+    assert sorted((x["__id"], x["text"] or "") for x in got) == [(1, "c"), (2, ""), (3, "x")]
+    assert toxicity.training_rows(docs, labs, toxicity.CATEGORIES, 5).count() == 5
+    assert sorted(x["__id"] for x in decision_list.labelled(docs, labs, max_rows=3).collect()) == [1, 2, 3]
+
+
 # --- 2
 
 
