@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .linkage import semi
 from .select import best_per_key, top_n
+from .linkage import checkpointed
 from .stats import bh_fdr, fisher_2x2, mann_whitney, rank_sum
 
 SOURCES = ("donor_id", "disease", "class", "subclass", "subtype", "cell_type", "author_cell_type")
@@ -96,7 +97,7 @@ def compare_groups(df: DataFrame, keys: list[str], value: str, case: str = "case
     g = d.groupBy(*keys).agg(*aggs).withColumns({"delta_mean": F.col("mean_case") - F.col("mean_control"), "delta_median": F.col("median_case") - F.col("median_control")})
     t = (mann_whitney if test == "mann_whitney" else rank_sum)(d, keys, group, value, case, control).select(*keys, "p")
     g = g.join(t, keys, "left").withColumn("p", F.when(F.least("n_case", "n_control") >= min_n, F.col("p")))
-    return bh_fdr(g, "p")
+    return bh_fdr(checkpointed(g), "p")
 
 
 def donor_mean(df: DataFrame, keys: list[str], value: str, donor: str = "donor_id", group: str = "group") -> DataFrame:

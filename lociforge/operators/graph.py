@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clean_gene
 from .linkage import checkpointed
+from .ordered import value_totals
 from .select import assign_folds, top_n
 from .stats import binary_metrics, regression_metrics
 
@@ -16,7 +17,8 @@ def build_graph(edges: DataFrame, u: str = "gene_u", v: str = "gene_v") -> tuple
     e = edges.select(clean_gene(F.col(u)).alias("a"), clean_gene(F.col(v)).alias("b")).where("a <> b")
     e = e.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
     n = e.select(F.explode(F.array("u", "v")).alias("gene")).groupBy("gene").agg(F.count("*").alias("degree"))
-    return e, n.withColumns({"log_degree": F.log1p("degree"), "node_id": F.row_number().over(Window.orderBy("gene")) - 1})
+    n = value_totals(n, [], "gene", {"degree": F.first("degree"), "__i": F.count("*")})
+    return e, n.select("gene", "degree", F.log1p("degree").alias("log_degree"), (F.col("__i_upto") - 1).alias("node_id"))
 
 
 def rwr(edges: DataFrame, seeds: DataFrame, alphas: list[float] = (0.3,), signals: list[str] = ("s",), keys: list[str] = (), tol: float = 1e-8, max_iter: int = 500, cut_every: int = 10) -> DataFrame:

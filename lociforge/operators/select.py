@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import chrom_order
+from .ordered import joined, numbered, value_totals
 
 
 def _cols(keys) -> list[Column]:
@@ -37,14 +38,12 @@ def melt_components(df: DataFrame, components: list[str], key: str = "rsid") ->
 
 
 def avg_rank(df: DataFrame, col: str, keys: list[str] = (), pct: bool = False, asc: bool = True, name: str = "rank") -> DataFrame:
-    """Average rank of ties, or its share of the group. Nulls have no rank."""
-    order = F.col(col).asc() if asc else F.col(col).desc()
-    valued = F.col(col).isNotNull()
-    group = Window.partitionBy(*keys, valued)
-    ties = F.count("*").over(Window.partitionBy(*keys, col))
-    rank = F.rank().over(group.orderBy(order)) + (ties - 1) / 2.0
-    rank = rank / F.count(col).over(Window.partitionBy(*keys)) if pct else rank
-    return df.withColumn(name, F.when(valued, rank))
+    """Average rank of ties, or its share of the group. Nulls have no rank. Ranks are those of the different values, which
+    are counted first."""
+    t = value_totals(df, keys, col, {"__n": F.count("*")})
+    rank = F.col("__n_upto") - (F.col("__n") - 1) / 2.0 if asc else F.col("__n_all") - F.col("__n_upto") + (F.col("__n") + 1) / 2.0
+    rank = rank / F.col("__n_all") if pct else rank
+    return joined(df, t.select(*keys, col, rank.alias(name)), [*keys, col], "left")
 
 
 def unique_rank(df: DataFrame, col: str, keys: list[str] = (), ties: list[str] = (), name: str = "rank") -> DataFrame:
@@ -120,53 +119,57 @@ def set_overlap(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
     return x.join(y, on, "full").na.fill(False, ["in_a", "in_b"])
 
 
-def _hash_order(id_cols: list[str], seed: int) -> list[Column]:
-    return [F.xxhash64(*id_cols, F.lit(seed)), *map(F.col, id_cols)]
+def _hash(id_cols: list[str], *more: Column) -> Column:
+    return F.xxhash64(*id_cols, *more)
 
 
 def balanced_sample(df: DataFrame, strata: list[str], group: str, id_cols: list[str], cap: int = 10_000, total: int | None = None, seed: int = 1) -> DataFrame:
     """At most `cap` rows of each stratum: an equal quota of each group, what groups leave over is filled from the others
-    in hash order; then at most `total` rows in all, by hash. Sizes are exact, members depend on the seed."""
-    in_group = F.row_number().over(Window.partitionBy(*strata, group).orderBy(*_hash_order(id_cols, seed)))
-    groups = F.size(F.collect_set(group).over(Window.partitionBy(*strata)))
-    d = df.withColumns({"__rn": in_group, "__quota": F.floor(F.lit(cap) / F.greatest(F.lit(1), groups))})
-    over = (F.col("__rn") > F.col("__quota")).cast("int")
-    place = F.row_number().over(Window.partitionBy(*strata).orderBy(over, *_hash_order(id_cols, seed + 1)))
-    d = d.withColumn("__place", place).where(F.col("__place") <= cap)
+    in hash order; then at most `total` rows in all, by hash. Sizes are exact, members depend on the seed. Rows without a group are one."""
+    strata = list(strata)
+    n = df.groupBy(*strata, group).agg(F.count("*").alias("__n"))
+    groups = n.groupBy(*strata).agg(F.floor(F.lit(cap) / F.count("*")).alias("__quota"))
+    base = joined(n, groups, strata).groupBy(*strata).agg(F.first("__quota").alias("__quota"), F.sum(F.least("__n", "__quota")).alias("__base"))
+    d = joined(numbered(df, [*strata, group], _hash(id_cols, F.lit(seed)), id_cols, "__rn"), base, strata)
+    d = d.withColumn("__over", F.col("__rn") >= F.col("__quota"))
+    d = numbered(d, [*strata, "__over"], _hash(id_cols, F.lit(seed + 1)), id_cols, "__place")
+    d = d.where(F.col("__place") + F.when(F.col("__over"), F.col("__base")).otherwise(0) < cap)
     if total is not None:
-        d = d.orderBy(*_hash_order(id_cols, seed + 2)).limit(total)
-    return d.drop("__rn", "__quota", "__place")
+        d = d.orderBy(_hash(id_cols, F.lit(seed + 2)), *id_cols).limit(total)
+    return d.drop("__rn", "__quota", "__base", "__over", "__place")
 
 
 def match_controls(df: DataFrame, target: list[str], group: str, id_cols: list[str], case: str = "case", control: str = "control", seed: int = 1) -> DataFrame:
     """All cases of each target and as many controls, in hash order."""
-    n_case = F.count_if(F.col(group) == case).over(Window.partitionBy(*target))
-    rn = F.row_number().over(Window.partitionBy(*target, group).orderBy(*_hash_order(id_cols, seed)))
-    return df.withColumns({"__n": n_case, "__rn": rn}).where((F.col(group) == case) | ((F.col(group) == control) & (F.col("__rn") <= F.col("__n")))).drop("__n", "__rn")
+    target = list(target)
+    cases = df.groupBy(*target).agg(F.count_if(F.col(group) == case).alias("__n"))
+    d = joined(numbered(df, [*target, group], _hash(id_cols, F.lit(seed)), id_cols, "__rn"), cases, target)
+    return d.where((F.col(group) == case) | ((F.col(group) == control) & (F.col("__rn") < F.col("__n")))).drop("__n", "__rn")
 
 
 def assign_folds(df: DataFrame, id_cols: list[str], k: int = 5, repeats: int = 1, seed: int = 1, strata: list[str] = ()) -> DataFrame:
     """repeat and fold (both from 0): rows in hash order dealt round, inside each stratum, so that fold sizes differ by one at most."""
     d = df.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    order = Window.partitionBy("repeat", *strata).orderBy(F.xxhash64(*id_cols, F.lit(seed), "repeat"), *id_cols)
-    return d.withColumn("fold", F.pmod(F.row_number().over(order) - 1, F.lit(k)))
+    d = numbered(d, ["repeat", *strata], _hash(id_cols, F.lit(seed), F.col("repeat")), id_cols, "__i")
+    return d.withColumn("fold", F.pmod("__i", F.lit(k)).cast("int")).drop("__i")
 
 
-def permute_labels(df: DataFrame, id_cols: list[str], value: str, n: int, seed: int = 1, mode: str = "values") -> DataFrame:
-    """n copies of the rows (perm from 0) whose values are dealt anew; mode signs keeps sizes and deals only the signs."""
+def permute_labels(df: DataFrame, id_cols: list[str], value: str, n: int, seed: int = 1, mode: str = "values", keys: list[str] = ()) -> DataFrame:
+    """n copies of the rows (perm from 0) whose values are dealt anew inside their keys; mode signs keeps sizes and deals only the signs."""
+    keys = list(keys)
     perm = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    a = df.withColumn("perm", perm).withColumn("__i", F.row_number().over(Window.partitionBy("perm").orderBy(*id_cols)))
+    a = numbered(df, keys, _hash(id_cols, F.lit(seed)), id_cols, "__i").withColumn("perm", perm)
     moved = F.signum(value) if mode == "signs" else F.col(value)
-    b = df.select(*id_cols, moved.alias("__v")).withColumn("perm", perm)
-    b = b.select("perm", F.row_number().over(Window.partitionBy("perm").orderBy(F.xxhash64(*id_cols, F.lit(seed), "perm"), *id_cols)).alias("__i"), "__v")
-    out = a.join(b, ["perm", "__i"])
+    b = df.select(*dict.fromkeys([*keys, *id_cols]), moved.alias("__v")).withColumn("perm", perm)
+    b = numbered(b, [*keys, "perm"], _hash(id_cols, F.lit(seed), F.lit("dealt"), F.col("perm")), id_cols, "__i").select(*keys, "perm", "__i", "__v")
+    out = joined(a, b, [*keys, "perm", "__i"])
     return out.withColumn(value, F.abs(value) * F.col("__v") if mode == "signs" else F.col("__v")).drop("__v", "__i")
 
 
 def bootstrap(df: DataFrame, keys: list[str], n: int, id_cols: list[str], seed: int = 1) -> DataFrame:
     """n resamples with replacement of each group (boot from 0), as large as the group: slots draw a member by hash."""
-    w = Window.partitionBy(*keys)
-    d = df.withColumns({"__i": F.row_number().over(w.orderBy(*id_cols)) - 1, "__n": F.count("*").over(w)})
+    keys = list(keys)
+    d = numbered(df, keys, _hash(id_cols, F.lit(seed)), id_cols, "__i", "__n")
     slots = d.select(*keys, F.col("__i").alias("__slot"), "__n").withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    drawn = slots.withColumn("__i", F.pmod(F.xxhash64(*keys, "__slot", "boot", F.lit(seed)), F.col("__n")).cast("int")).drop("__n", "__slot")
-    return drawn.join(d.drop("__n"), [*keys, "__i"]).drop("__i")
+    drawn = slots.withColumn("__i", F.pmod(F.xxhash64(*keys, "__slot", "boot", F.lit(seed)), F.col("__n"))).drop("__n", "__slot")
+    return joined(drawn, d.drop("__n"), [*keys, "__i"]).drop("__i")

@@ -4,27 +4,41 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tails import chi2_tail, t_two_sided_p, two_sided_p
+from .linkage import checkpointed
+from .ordered import joined, least_from_here, value_totals
 from .select import avg_rank, bootstrap, permute_labels, running_es
 
 
-def _ranked(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    d = df.where(F.col(value).isNotNull())
-    d = avg_rank(d, value, keys, name="__r")
-    t = F.count("*").over(Window.partitionBy(*keys, value)).cast("double")
-    return d.withColumn("__tie", t * t - 1)  # summed over rows: the sum of t^3 - t
+def _ranks(df: DataFrame, keys: list[str], value: str, adds: dict[str, Column]) -> DataFrame:
+    """`value_totals` with __n, the rows of a value, and __r, their average rank."""
+    t = value_totals(df, keys, value, {"__n": F.count("*"), **adds})
+    return t.withColumn("__r", F.col("__n_upto") - (F.col("__n") - 1) / 2.0)
+
+
+def _ties() -> Column:
+    n = F.col("__n").cast("double")
+    return F.sum(n * n * n - n)
 
 
 def rank_sums(df: DataFrame, keys: list[str], group: str, value: str, case: str = "case", control: str = "control") -> DataFrame:
-    """Per key: n1, n2, rank sum and U of the cases, tie term, medians."""
-    d = _ranked(df.where(F.col(group).isin(case, control)), keys, value)
-    is_case = F.col(group) == case
-    g = d.groupBy(*keys).agg(
-        F.count_if(is_case).alias("n1"), F.count_if(~is_case).alias("n2"), F.sum(F.when(is_case, F.col("__r"))).alias("r1"), F.sum("__tie").alias("ties"),
-        F.median(F.when(is_case, F.col("__r"))).alias("median_rank_case"), F.median(F.when(~is_case, F.col("__r"))).alias("median_rank_control"),
+    """Per key: n1, n2, rank sum and U of the cases, tie term, medians. All are taken from counts of the different values."""
+    keys = list(keys)
+    sides = df.where(F.col(group).isin(case, control))
+    t = _ranks(sides, keys, value, {"__x": F.count_if(F.col(group) == case)})
+    t = t.withColumns({f"__y{e}": F.col(f"__n{e}") - F.col(f"__x{e}") for e in ("", "_upto", "_all")})
+
+    def middle(c: str) -> Column:
+        """Half the sum of the ranks at the two middle places of a side."""
+        at = lambda place: F.min(F.when(F.col(f"{c}_upto") >= place, F.col("__r")))
+        return F.when(F.max(f"{c}_all") > 0, (at(F.floor((F.col(f"{c}_all") + 1) / 2)) + at(F.floor(F.col(f"{c}_all") / 2) + 1)) / 2.0)
+
+    g = t.groupBy(*keys).agg(
+        F.sum("__x").alias("n1"), F.sum("__y").alias("n2"), F.sum(F.when(F.col("__x") > 0, F.col("__r") * F.col("__x"))).alias("r1"), _ties().alias("ties"),
+        middle("__x").alias("median_rank_case"), middle("__y").alias("median_rank_control"),
     )
     return g.withColumn("u", F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2.0)
 
@@ -74,9 +88,13 @@ def rank_sum(df: DataFrame, keys: list[str], group: str, value: str, case: str =
 
 def kruskal(df: DataFrame, keys: list[str], group: str, value: str) -> DataFrame:
     """H with tie correction over the groups that have values, and its chi-square p; null with fewer than two groups."""
-    d = _ranked(df.where(F.col(group).isNotNull()), keys, value)
-    per = d.groupBy(*keys, group).agg(F.count("*").alias("m"), F.sum("__r").alias("r"), F.sum("__tie").alias("t"))
-    g = per.groupBy(*keys).agg(F.count("*").alias("n_groups"), F.sum("m").alias("n"), F.sum(F.col("r") * F.col("r") / F.col("m")).alias("q"), F.sum("t").alias("t"))
+    keys, d = list(keys), df.where(F.col(group).isNotNull())
+    ranks = _ranks(d, keys, value, {})
+    ties = ranks.groupBy(*keys).agg(_ties().alias("t"))
+    per = d.groupBy(*keys, value, group).agg(F.count("*").alias("__m"))
+    per = joined(per, ranks.select(*keys, value, "__r"), [*keys, value]).groupBy(*keys, group).agg(F.sum("__m").alias("m"), F.sum(F.col("__r") * F.col("__m")).alias("r"))
+    g = per.groupBy(*keys).agg(F.count("*").alias("n_groups"), F.sum("m").alias("n"), F.sum(F.col("r") * F.col("r") / F.col("m")).alias("q"))
+    g = joined(g, ties, keys)
     n = F.col("n")
     h = 12.0 / (n * (n + 1)) * F.col("q") - 3.0 * (n + 1)
     h = F.try_divide(h, F.nullif(1 - F.try_divide(F.col("t"), (n * n * n - n).cast("double")), F.lit(0.0)))
@@ -150,12 +168,9 @@ def bh_fdr(df: DataFrame, p: str, scope: list[str] = (), nan_policy: str = "igno
     """Benjamini-Hochberg within each scope. Missing p: ignored (null result, not counted) or taken as 1."""
     v = F.when(~F.isnan(F.col(p)), F.col(p))
     d = df.withColumn("__p", F.coalesce(v, F.lit(1.0)) if nan_policy == "one" else v)
-    there = F.col("__p").isNotNull()
-    w = Window.partitionBy(*scope, there)
-    rank = F.rank().over(w.orderBy("__p")) + F.count("*").over(Window.partitionBy(*scope, "__p")) - 1
-    d = d.withColumn("__q", F.col("__p") * F.count("__p").over(Window.partitionBy(*scope)) / rank)
-    q = F.min("__q").over(w.orderBy(F.desc("__p")).rangeBetween(Window.unboundedPreceding, 0))
-    return d.withColumn(name, F.when(there, F.least(q, F.lit(1.0)))).drop("__p", "__q")
+    t = value_totals(d, scope, "__p", {"__n": F.count("*")}).withColumn("__q", F.col("__p") * F.col("__n_all") / F.col("__n_upto"))
+    t = least_from_here(t, scope, "__p", "__q", name).withColumn(name, F.least(name, F.lit(1.0)))
+    return joined(d, t.select(*scope, "__p", name), [*scope, "__p"], "left").drop("__p")
 
 
 def effect_sizes(df: DataFrame, keys: list[str], group: str, value: str, id_cols: list[str], pairs: list[tuple[str, str]], n: int = 5000, seed: int = 1) -> DataFrame:
@@ -167,7 +182,7 @@ def effect_sizes(df: DataFrame, keys: list[str], group: str, value: str, id_cols
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
-    return bh_fdr(out.join(kruskal(df, keys, group, value).select(*keys, F.col("p").alias("kruskal_p")), keys, "left"), "p")
+    return bh_fdr(checkpointed(out.join(kruskal(df, keys, group, value).select(*keys, F.col("p").alias("kruskal_p")), keys, "left")), "p")
 
 
 def _peak(es: str) -> Column:
@@ -180,7 +195,7 @@ def gsea(df: DataFrame, score: str, hit: str, gene: str, keys: list[str] = (), n
     (k + 1) / (m + 1) among these."""
     keys = list(keys)
     real = running_es(df, keys, score, hit, gene, weight).groupBy(*keys).agg(_peak("es").alias("es"))
-    moved = permute_labels(df.select(*keys, gene, score, hit), [*keys, gene], score, n, seed) if not keys else _permute_within(df.select(*keys, gene, score, hit), keys, gene, score, n, seed)
+    moved = permute_labels(df.select(*keys, gene, score, hit), [gene], score, n, seed, keys=keys)
     null = running_es(moved, [*keys, "perm"], score, hit, gene, weight).groupBy(*keys, "perm").agg(_peak("es").alias("null_es"))
     both = null.join(real, keys) if keys else null.crossJoin(F.broadcast(real))
     same = F.col("null_es") * F.col("es") > 0
@@ -188,13 +203,6 @@ def gsea(df: DataFrame, score: str, hit: str, gene: str, keys: list[str] = (), n
     return g.select(*keys, "es", F.try_divide("es", "m").alias("nes"), ((F.col("k") + 1.0) / (F.col("n") + 1)).alias("p"))
 
 
-def _permute_within(df: DataFrame, keys: list[str], gene: str, value: str, n: int, seed: int) -> DataFrame:
-    d = df.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    a = d.withColumn("__i", F.row_number().over(Window.partitionBy(*keys, "perm").orderBy(gene))).drop(value)
-    b = d.select(*keys, "perm", F.row_number().over(Window.partitionBy(*keys, "perm").orderBy(F.xxhash64(gene, "perm", F.lit(seed)), gene)).alias("__i"), value)
-    return a.join(b, [*keys, "perm", "__i"]).drop("__i")
-
-
 def ks_set_score(df: DataFrame, score: str, hit: str, gene: str, n: int = 1000, seed: int = 1) -> DataFrame:
     """The largest difference of the hits' and the others' distribution down the ranks, against n permutations: null mean and sd, z, p."""
     real = running_es(df, [], score, hit, gene, 0.0).agg(_peak("es").alias("ks"))
@@ -208,18 +216,18 @@ def binary_metrics(df: DataFrame, y: str, p: str, keys: list[str] = (), bins: in
     """n, n_pos, auroc (by ranks), average precision (ties taken together), brier, ece (equal bins)."""
     keys = list(keys)
     d = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).withColumn("__y", F.col(y).cast("double"))
-    d = avg_rank(d, p, keys, name="__r")
-    down = Window.partitionBy(*keys).orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("__prec", F.sum("__y").over(down) / F.count("*").over(down))
+    gap = F.col("__y") - F.col(p)
+    t = _ranks(d, keys, p, {"__sy": F.sum("__y"), "__ones": F.count_if(F.col("__y") == 1), "__sq": F.sum(gap * gap)})
+    prec = (F.col("__sy_all") - F.col("__sy_upto") + F.col("__sy")) / (F.col("__n_all") - F.col("__n_upto") + F.col("__n"))
     b = F.least(F.floor(F.col(p) * bins), F.lit(bins - 1))
     ece = d.groupBy(*keys, b.alias("b")).agg((F.abs(F.sum("__y") - F.sum(p))).alias("e"), F.count("*").alias("n")).groupBy(*keys).agg((F.sum("e") / F.sum("n")).alias("ece"))
-    g = d.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.sum("__y").alias("n_pos"), F.sum(F.when(F.col("__y") == 1, F.col("__r"))).alias("r"),
-        F.try_divide(F.sum(F.col("__prec") * F.col("__y")), F.sum("__y")).alias("average_precision"), F.avg((F.col("__y") - F.col(p)) * (F.col("__y") - F.col(p))).alias("brier"),
+    g = t.groupBy(*keys).agg(
+        F.coalesce(F.sum("__n"), F.lit(0)).alias("n"), F.sum("__sy").alias("n_pos"), F.sum(F.when(F.col("__ones") > 0, F.col("__r") * F.col("__ones"))).alias("r"),
+        F.try_divide(F.sum(prec * F.col("__sy")), F.sum("__sy")).alias("average_precision"), (F.sum("__sq") / F.sum("__n")).alias("brier"),
     )
     pos, neg = F.col("n_pos"), F.col("n") - F.col("n_pos")
     g = g.withColumn("auroc", F.try_divide(F.col("r") - pos * (pos + 1) / 2.0, pos * neg)).drop("r")
-    return g.join(ece, keys) if keys else g.crossJoin(F.broadcast(ece))
+    return joined(g, ece, keys)
 
 
 def auroc_ci(df: DataFrame, y: str, p: str, id_cols: list[str], n: int = 1000, seed: int = 1) -> DataFrame:
