@@ -15,7 +15,7 @@ Prefixes are SHARED - 1 longer than one common shingle asks for, so two linked s
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,10 @@ from .components import components
 SKETCH_BITS, CHUNK_BITS = 20, 14
 #: Shingles that two linked sets have in common in their prefixes.
 SHARED = 4
+#: Lists that hold more than one in so many of all members are hot: there are at most so many of them.
+HOT_LISTS = 10_000
+#: Parts that a hot list is dealt to where all its members meet.
+HOT_PARTS = 16
 #: Bytes to a batch that goes back, about.
 BATCH_BYTES = 1 << 22
 #: Bits of the filter that spares documents without candidates from being sent.
@@ -322,6 +326,29 @@ def _met(percent: int) -> str:
     )
 
 
+def _hot_lists(members: DataFrame) -> DataFrame:
+    """Keys of the hot lists of a written table of members."""
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
+    return written(sizes.where(F.col("size") * HOT_LISTS > members.count()).select("key"), "hot")
+
+
+def _on_lists(left: DataFrame, right: DataFrame, hot: DataFrame, how: str, then: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+    """Members joined on the key with a table of one row a key. Rows of hot lists meet it by broadcast, of at most HOT_LISTS
+    rows, so that no task reads a whole hot list; the others are dealt by key."""
+    few = F.broadcast(hot)
+    rest = left.join(few, "key", "left_anti").join(right, "key", how)
+    return then(rest).union(then(left.join(F.broadcast(right.join(few, "key", "left_semi")), "key", how)))
+
+
+def _met_within(left: DataFrame, right: DataFrame, hot: DataFrame, then: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All members of a list joined with all; those of hot lists are dealt by key and by a hash of the left one."""
+    few = F.broadcast(hot)
+    rest = left.join(few, "key", "left_anti").join(right, "key")
+    salted = left.join(few, "key", "left_semi").withColumn("salt", F.pmod(F.xxhash64("l.sid"), F.lit(HOT_PARTS)))
+    copies = right.join(few, "key", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(HOT_PARTS - 1).cast("long"))))
+    return then(rest).union(then(salted.join(copies, ["key", "salt"])))
+
+
 def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) enough to give every component of the full join.
 
@@ -329,6 +356,13 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     component; then all pairs of different components that are left in a list are compared outright.
     """
     links = tried = None
+    hot = _hot_lists(members)
+    overlap = f"ceil({percent} * (shiftright(l.np, 32) + shiftright(r.np, 32)) / {100 + percent})"
+
+    def candidates(met: DataFrame) -> DataFrame:
+        met = met.where(f"l.root <> r.root and {_met(percent)}")
+        return met.selectExpr("least(l.sid, r.sid) as a", "greatest(l.sid, r.sid) as b", "key", f"least({SHARED}, {overlap}) as least")
+
     for turn in range(3):
         if turn == 0:
             now = members.withColumn("root", F.col("sid"))
@@ -336,7 +370,7 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             root = components(links)
             now = members.join(root, members.sid == root.node, "left").select("key", "sid", "np", F.coalesce("root", "sid").alias("root"))
             mixed = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-            members = now = written(now.join(mixed, "key", "left_semi"), "members")
+            members = now = written(_on_lists(now, mixed, hot, "left_semi"), "members")
             members = members.drop("root")
             if now.isEmpty():
                 break
@@ -345,11 +379,9 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             turn_of = F.xxhash64("root", F.lit(turn)) if turn else F.lit(0)
             pick = F.struct(turn_of.alias("turn"), "often", "sid", "np", "root")
             right = now.join(often, "sid").groupBy("key").agg(F.max(pick).alias("x")).select("key", "x.sid", "x.np", "x.root")
+            pairs = _on_lists(now.alias("l"), right.alias("r"), hot, "inner", candidates)
         else:
-            right = now
-        pairs = now.alias("l").join(right.alias("r"), "key").where(f"l.root <> r.root and {_met(percent)}")
-        overlap = f"ceil({percent} * (shiftright(l.np, 32) + shiftright(r.np, 32)) / {100 + percent})"
-        pairs = pairs.selectExpr("least(l.sid, r.sid) as a", "greatest(l.sid, r.sid) as b", "key", f"least({SHARED}, {overlap}) as least")
+            pairs = _met_within(now.alias("l"), now.alias("r"), hot, candidates)
         pairs = pairs.groupBy("a", "b").agg(F.countDistinct("key").alias("lists") if turn == 2 else F.count("*").alias("lists"), F.min("least").alias("least")).where("lists >= least").select("a", "b")
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -362,11 +394,12 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _in_enough_lists(members: DataFrame, percent: int) -> DataFrame:
     """Members of sets that are in as many lists as a link takes, in lists that still have two; done twice over."""
+    hot = _hot_lists(members)
     for _ in range(2):
         n = members.groupBy("sid").agg(F.count("*").alias("lists"), F.expr("shiftright(min(np), 32)").alias("n")).where(f"lists >= {least_lists('n', percent)}")
         members = members.join(n.select("sid"), "sid", "left_semi")
         several = members.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi")
-        members = written(members.join(several.select("key"), "key", "left_semi"), "members")
+        members = written(_on_lists(members, several.select("key"), hot, "left_semi"), "members")
     return members
 
 

@@ -599,3 +599,20 @@ def test_upper_and_digit_counts_equal_brute_force(spark):
     docs = some_docs(spark).unionByName(some_docs(spark).limit(1).withColumns({"text": F.lit("A1 ÀB ٣ zZ9 😀 Q\n0"), "doc_id": F.lit(78)}))
     got = sorted(str((x["doc_id"], x["n_upper"], x["n_digits"])) for x in decision_list.statistics(docs).collect())
     assert got == sorted(str((d["doc_id"], len(re.findall("[A-Z]", d["text"] or "")), len(re.findall("[0-9]", d["text"] or "")))) for d in docs.collect())
+
+
+def test_hot_lists_meet_as_others_do(spark):
+    """Joins of lists with hot keys dealt apart give the rows of plain joins, whatever keys are hot."""
+    from lociforge.llm.ngram_join import _met_within, _on_lists
+
+    rng = random.Random(12)
+    rows = [(0 if rng.random() < 0.4 else rng.randrange(1, 40), i % 90, (20 + i % 7) << 32 | i % 5) for i in range(400)]
+    d = spark.createDataFrame(rows, "key long, sid long, np long")
+    one = d.groupBy("key").agg(F.min("sid").alias("sid"), F.min("np").alias("np"))
+    pick = lambda m: m.selectExpr("key", "l.sid as a", "r.sid as b", "l.np as x", "r.np as y")
+    seen = lambda m: sorted(tuple(x) for x in m.collect())
+    for hot in ([], [0, 3, 77], range(40)):
+        h = spark.createDataFrame([(k,) for k in hot], "key long")
+        assert seen(_on_lists(d.alias("l"), one.alias("r"), h, "inner", pick)) == seen(pick(d.alias("l").join(one.alias("r"), "key")))
+        assert seen(_on_lists(d, one.where("key % 3 > 0").select("key"), h, "left_semi")) == seen(d.where("key % 3 > 0"))
+        assert seen(_met_within(d.alias("l"), d.alias("r"), h, pick)) == seen(pick(d.alias("l").join(d.alias("r"), "key")))
