@@ -14,6 +14,8 @@ from .mixing import mix_words
 from .ngram_join import ORACLE as JACCARD_ORACLE
 from .ngram_join import jaccard_groups
 from .packing import pack
+from .prefix_trie import ORACLE as TRIE_ORACLE
+from .prefix_trie import conversation_trie
 from .repair import round_trip
 from .toxicity import fit_chain, score_chain
 from .url_filter import ORACLE as URL_ORACLE
@@ -73,6 +75,10 @@ def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(documents(spark, sf_dir))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_chain": op1_toxicity_chain,
     "op2_mixture_tree": op2_mixture_tree,
@@ -84,10 +90,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repair_shards": op8_repair_shards,
     "op9_licence_scan": op9_licence_scan,
     "op10_decision_list": op10_decision_list,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {
     "op3_ngram_jaccard": JACCARD_ORACLE,
     "op4_warc_chunks": WARC_ORACLE,
     "op7_url_filter": URL_ORACLE,
+    "op11_prefix_trie": TRIE_ORACLE,
 }
