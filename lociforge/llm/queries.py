@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .ann import search
 from .common import documents, tokenizer_path
 from .decision_list import judge, labelled, learn
+from .divergence import ORACLE as DIVERGENCE_ORACLE
+from .divergence import source_divergence
 from .licences import scan_licences
 from .mixing import mix_words
 from .ngram_join import ORACLE as JACCARD_ORACLE
@@ -79,6 +81,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_chain": op1_toxicity_chain,
     "op2_mixture_tree": op2_mixture_tree,
@@ -91,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_licence_scan": op9_licence_scan,
     "op10_decision_list": op10_decision_list,
     "op11_prefix_trie": op11_prefix_trie,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLES: dict[str, str] = {
@@ -98,4 +105,5 @@ ORACLES: dict[str, str] = {
     "op4_warc_chunks": WARC_ORACLE,
     "op7_url_filter": URL_ORACLE,
     "op11_prefix_trie": TRIE_ORACLE,
+    "op13_source_divergence": DIVERGENCE_ORACLE,
 }
