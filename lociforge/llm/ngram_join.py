@@ -5,9 +5,8 @@ set; all work below is on classes. Shingles are ordered rarest first by the coun
 corpus, then by hash: any total order gives exact results, a rare-first one short lists. Two sets of Jaccard similarity
 of at least the threshold share a shingle among the first few of each, so only these prefixes are dealt out and met.
 
-The sets that share a shingle in their prefixes form a list. Each list is first joined to one leader; only members that
-the links found so far leave in other components are paired afterwards, so that a large group of near copies costs few
-more comparisons than it has members. No link between components is lost and no list is cut.
+The sets that share a shingle in their prefixes form a list. Lists are joined to a leader first, and what other components
+remain meet on more common shingles (`lists.py`). No link between components is lost and no list is cut.
 
 Prefixes are SHARED - 1 longer than one common shingle asks for, so two linked sets have at least SHARED of them in common
 (or all that their overlap allows). Sets in fewer lists, as chance makes them, are left out before any comparison.
@@ -15,7 +14,7 @@ Prefixes are SHARED - 1 longer than one common shingle asks for, so two linked s
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,15 +24,12 @@ from pyspark.sql import types as T
 
 from .common import arrow_map, bucketed, mix64, shingle_sets, shuffle_partitions, texts_of, written
 from .components import components
+from .lists import Rules, hot_lists, linked, on_lists
 
 #: Hash buckets whose counts order the shingles, and how many of them travel in one row.
 SKETCH_BITS, CHUNK_BITS = 20, 14
 #: Shingles that two linked sets have in common in their prefixes.
 SHARED = 4
-#: Lists that hold more than one in so many of all members are hot: there are at most so many of them.
-HOT_LISTS = 10_000
-#: Parts that a hot list is dealt to where all its members meet.
-HOT_PARTS = 16
 #: Bytes to a batch that goes back, about.
 BATCH_BYTES = 1 << 22
 #: Bits of the filter that spares documents without candidates from being sent.
@@ -316,90 +312,34 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return arrow_map(both.select("a", "b", "x", "y"), run, "a long, b long")
 
 
-def _met(percent: int) -> str:
-    """The filters of `_meets` in SQL, for two members l and r of a list."""
-    n = {s: f"shiftright({s}.np, 32)" for s in "lr"}
-    at = {s: f"({s}.np & 4294967295)" for s in "lr"}
-    return (
-        f"least({n['l']}, {n['r']}) * 100 >= {percent} * greatest({n['l']}, {n['r']}) and "
-        f"(least({n['l']} - {at['l']}, {n['r']} - {at['r']}) + {SHARED - 1}) * {100 + percent} >= {percent} * ({n['l']} + {n['r']})"
-    )
-
-
-def _hot_lists(members: DataFrame) -> DataFrame:
-    """Keys of the hot lists of a written table of members."""
-    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
-    return written(sizes.where(F.col("size") * HOT_LISTS > members.count()).select("key"), "hot")
-
+def join_rules(percent: int) -> Rules:
+    """The filters in SQL. Of two different sets of sizes n and m, 100 * intersection >= percent * union asks for
+    ceil(percent * (n + m) / (100 + percent)) common shingles: fewer than either has if the sizes are equal. If the d-th
+    shared key stands at pos, d - 1 come before it and at most n - pos from it on; but keys beyond the first SHARED lie
+    outside the prefixes. Up to four shingles, sets of three and four are all that can share fewer than four."""
 
-def _on_lists(left: DataFrame, right: DataFrame, hot: DataFrame, how: str, then: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
-    """Members joined on the key with a table of one row a key. Rows of hot lists meet it by broadcast, of at most HOT_LISTS
-    rows, so that no task reads a whole hot list; the others are dealt by key."""
-    few = F.broadcast(hot)
-    rest = left.join(few, "key", "left_anti").join(right, "key", how)
-    return then(rest).union(then(left.join(F.broadcast(right.join(few, "key", "left_semi")), "key", how)))
+    def pair(d: int) -> str:
+        passed = SHARED - 1 if d == 1 else d - 1  # at first any of the first SHARED may have brought them together
+        return (
+            f"least(l.n, r.n) * 100 >= {percent} * greatest(l.n, r.n) and {percent} * (l.n + r.n) <= {100 + percent} * (least(l.n, r.n) - if(l.n = r.n, 1, 0)) "
+            f"and (least(l.n - l.pos, r.n - r.pos) + {passed}) * {100 + percent} >= {percent} * (l.n + r.n)"
+        )
 
+    def member(d: int) -> str:
+        return f"(n - pos + {SHARED - 1 if d == 1 else d - 1}) * 100 >= {percent} * n"
 
-def _met_within(left: DataFrame, right: DataFrame, hot: DataFrame, then: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """All members of a list joined with all; those of hot lists are dealt by key and by a hash of the left one."""
-    few = F.broadcast(hot)
-    rest = left.join(few, "key", "left_anti").join(right, "key")
-    salted = left.join(few, "key", "left_semi").withColumn("salt", F.pmod(F.xxhash64("l.sid"), F.lit(HOT_PARTS)))
-    copies = right.join(few, "key", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(HOT_PARTS - 1).cast("long"))))
-    return then(rest).union(then(salted.join(copies, ["key", "salt"])))
-
-
-def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) enough to give every component of the full join.
-
-    Two rounds pair the members of each list with one leader, the one that is in most lists, later one of another
-    component; then all pairs of different components that are left in a list are compared outright.
-    """
-    links = tried = None
-    hot = _hot_lists(members)
-    overlap = f"ceil({percent} * (shiftright(l.np, 32) + shiftright(r.np, 32)) / {100 + percent})"
-
-    def candidates(met: DataFrame) -> DataFrame:
-        met = met.where(f"l.root <> r.root and {_met(percent)}")
-        return met.selectExpr("least(l.sid, r.sid) as a", "greatest(l.sid, r.sid) as b", "key", f"least({SHARED}, {overlap}) as least")
-
-    for turn in range(3):
-        if turn == 0:
-            now = members.withColumn("root", F.col("sid"))
-        else:
-            root = components(links)
-            now = members.join(root, members.sid == root.node, "left").select("key", "sid", "np", F.coalesce("root", "sid").alias("root"))
-            mixed = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-            members = now = written(_on_lists(now, mixed, hot, "left_semi"), "members")
-            members = members.drop("root")
-            if now.isEmpty():
-                break
-        if turn < 2:
-            often = now.groupBy("sid").agg(F.count("*").alias("often"))
-            turn_of = F.xxhash64("root", F.lit(turn)) if turn else F.lit(0)
-            pick = F.struct(turn_of.alias("turn"), "often", "sid", "np", "root")
-            right = now.join(often, "sid").groupBy("key").agg(F.max(pick).alias("x")).select("key", "x.sid", "x.np", "x.root")
-            pairs = _on_lists(now.alias("l"), right.alias("r"), hot, "inner", candidates)
-        else:
-            pairs = _met_within(now.alias("l"), now.alias("r"), hot, candidates)
-        pairs = pairs.groupBy("a", "b").agg(F.countDistinct("key").alias("lists") if turn == 2 else F.count("*").alias("lists"), F.min("least").alias("least")).where("lists >= least").select("a", "b")
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        tried = pairs if tried is None else tried.union(pairs)
-        new = written(verified(pairs, sets, percent), "links")
-        links = new if links is None else links.union(new)
-    return links
+    overlap = f"ceil({percent} * (l.n + r.n) / {100 + percent})"
+    return Rules(pair, member, f"least({SHARED}, {overlap})", SHARED, f"n < {SHARED}")
 
 
 def _in_enough_lists(members: DataFrame, percent: int) -> DataFrame:
     """Members of sets that are in as many lists as a link takes, in lists that still have two; done twice over."""
-    hot = _hot_lists(members)
+    hot = hot_lists(members)
     for _ in range(2):
         n = members.groupBy("sid").agg(F.count("*").alias("lists"), F.expr("shiftright(min(np), 32)").alias("n")).where(f"lists >= {least_lists('n', percent)}")
         members = members.join(n.select("sid"), "sid", "left_semi")
         several = members.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi")
-        members = written(_on_lists(members, several.select("key"), hot, "left_semi"), "members")
+        members = written(on_lists(members, several.select("key"), hot, "left_semi"), "members")
     return members
 
 
@@ -410,7 +350,8 @@ def _classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Data
     rarity = rarity_classes(_table(about.where("chunk is not null"), SKETCH_BITS, CHUNK_BITS, parts))
     members = written(meetings(prefixes(docs, width, percent, rarity), percent, parts), "members")
     members = _in_enough_lists(members, percent)
-    links = _links(members, needed_sets(docs, width, members.select("sid"), parts), percent)
+    sets = needed_sets(docs, width, members.select("sid"), parts)
+    links = linked(members, join_rules(percent), lambda pairs: verified(pairs, sets, percent))
     return about.where("chunk is null").select("doc_id", "n", "sid"), components(links)
 
 

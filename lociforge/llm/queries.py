@@ -12,6 +12,8 @@ from .decision_list import judge, labelled, learn
 from .divergence import ORACLE as DIVERGENCE_ORACLE
 from .divergence import source_divergence
 from .licences import scan_licences
+from .minhash import ORACLE as MINHASH_ORACLE
+from .minhash import minhash_groups
 from .mixing import mix_words
 from .ngram_join import ORACLE as JACCARD_ORACLE
 from .ngram_join import jaccard_groups
@@ -81,6 +83,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op12_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_groups(documents(spark, sf_dir))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(documents(spark, sf_dir))
 
@@ -97,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_licence_scan": op9_licence_scan,
     "op10_decision_list": op10_decision_list,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_minhash_bayes": op12_minhash_bayes,
     "op13_source_divergence": op13_source_divergence,
 }
 
@@ -105,5 +112,6 @@ ORACLES: dict[str, str] = {
     "op4_warc_chunks": WARC_ORACLE,
     "op7_url_filter": URL_ORACLE,
     "op11_prefix_trie": TRIE_ORACLE,
+    "op12_minhash_bayes": MINHASH_ORACLE,
     "op13_source_divergence": DIVERGENCE_ORACLE,
 }
