@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import contribution_class, support_class
-from .select import unique_rank
+from .select import share, unique_rank
 
 #: Contexts are sent to every task; a table beyond so many rows is joined by blocks of them instead.
 CONTEXT_ROWS = 10_000
@@ -75,8 +75,7 @@ def deconvolve(contrib: DataFrame, contexts: DataFrame, context: list[str] = ("c
     context = list(context)
     d = cross_context(contrib, contexts).withColumn("value", F.col("contribution") * F.col("cscore"))
     d = d.withColumn("__a", F.abs("value"))
-    w, g = Window.partitionBy(*context), Window.partitionBy(*context, gene)
-    d = d.withColumns({"context_share": F.try_divide(F.col("__a"), F.sum("__a").over(w)), "gene_share": F.try_divide(F.col("__a"), F.sum("__a").over(g))})
+    d = share(share(d, "__a", context, "context_share"), "__a", [*context, gene], "gene_share")
     return unique_rank(d, "__a", context, [gene, "reg_rsid", "gwas_rsid"], "context_rank").drop("__a")
 
 
@@ -84,8 +83,7 @@ def deconvolve_rollup(df: DataFrame, level: list[str], context: list[str] = ("ce
     """Sums by context and level (genes, variants of genes, or peaks) with share and rank in the context."""
     context, level = list(context), list(level)
     g = df.groupBy(*context, *level).agg(F.sum("value").alias("value"), F.sum(F.abs("value")).alias("abs_value"), F.count("*").alias("n_rows"))
-    g = g.withColumn("share", F.try_divide(F.col("abs_value"), F.sum("abs_value").over(Window.partitionBy(*context))))
-    return unique_rank(g, "abs_value", context, level)
+    return unique_rank(share(g, "abs_value", context), "abs_value", context, level)
 
 
 def network_tables(df: DataFrame, context: str = "cell_type") -> tuple[DataFrame, DataFrame]:

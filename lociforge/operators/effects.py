@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import neg_log10, reduced_tracks
+from .quantiles import quantiles
+from .select import unique_rank
 
 
 def reduce_tracks(df: DataFrame, d: str = "d", scale: float = 1.0) -> DataFrame:
@@ -20,7 +22,7 @@ def gwas_weight(df: DataFrame, p: str = "gwas_pval", r2: str = "r2", cap_q: floa
     least = df.agg(F.min(F.when(F.col(p) > 0, F.col(p))).alias("__least"))
     d = df.crossJoin(F.broadcast(least))  # one row
     d = d.withColumn(name, F.col(r2) * neg_log10(F.col(p), F.coalesce("__least", F.lit(1e-300)))).drop("__least")
-    cap = d.where(F.col(name) > 0).agg(F.percentile(name, F.lit(cap_q)).alias("__cap"))
+    cap = quantiles(d.where(F.col(name) > 0), name, {"__cap": cap_q}).agg(F.max("__cap").alias("__cap"))  # one row, also without a weight
     return d.crossJoin(F.broadcast(cap)).withColumn(name, F.least(name, F.coalesce("__cap", name))).drop("__cap")
 
 
@@ -31,10 +33,10 @@ def scale_confidence(df: DataFrame, col: str, name: str | None = None) -> DataFr
 
 
 def robust_z(df: DataFrame, col: str, name: str = "robust_z") -> DataFrame:
-    """(x - median) / MAD; null where the MAD is 0."""
-    med = df.agg(F.median(col).alias("__med"))
+    """(x - median) / MAD; null where the MAD is 0. Both medians are selected by ranges."""
+    med = quantiles(df, col, {"__med": 0.5}).agg(F.max("__med").alias("__med"))  # one row, also without a value
     d = df.crossJoin(F.broadcast(med))
-    mad = d.agg(F.median(F.abs(F.col(col) - F.col("__med"))).alias("__mad"))
+    mad = quantiles(d.select(F.abs(F.col(col) - F.col("__med")).alias("__off")), "__off", {"__mad": 0.5}).agg(F.max("__mad").alias("__mad"))
     d = d.crossJoin(F.broadcast(mad))
     return d.withColumn(name, F.try_divide(F.col(col) - F.col("__med"), F.nullif(F.col("__mad"), F.lit(0.0)))).drop("__med", "__mad")
 
@@ -112,13 +114,14 @@ def gene_scores(df: DataFrame, gene: str = "gene", gwas: str = "gwas_rsid", z_gw
     """Per (gene, GWAS variant) its |z| times the sum of |effect z|; per gene the mean of these, counts and rank."""
     per = df.groupBy(gene, gwas).agg(F.max(F.abs(z_gwas)).alias("z"), F.sum(F.abs(z_effect)).alias("effect"), F.count("*").alias("n_variants"))
     g = per.withColumn("score", F.col("z") * F.col("effect")).groupBy(gene).agg(F.avg("score").alias("score"), F.count("*").alias("n_gwas"), F.sum("n_variants").alias("n_variants"))
-    return g.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), gene)))
+    return unique_rank(g, "score", [], [gene])
 
 
 def selection_stats(df: DataFrame, keys: list[str], item: str) -> DataFrame:
     """metric, value: distinct keys and items, mean, median, least and most items of a key, and keys with more than one."""
     n = df.groupBy(*keys).agg(F.countDistinct(item).alias("n"))
-    g = n.agg(F.count("*").alias("keys"), F.avg("n").alias("mean"), F.median("n").alias("median"), F.min("n").alias("least"), F.max("n").alias("most"), F.count_if(F.col("n") > 1).alias("violations"))
+    g = n.agg(F.count("*").alias("keys"), F.avg("n").alias("mean"), F.min("n").alias("least"), F.max("n").alias("most"), F.count_if(F.col("n") > 1).alias("violations"))
+    g = g.crossJoin(F.broadcast(quantiles(n, "n", {"median": 0.5}).agg(F.max("median").alias("median"))))
     g = g.crossJoin(F.broadcast(df.agg(F.countDistinct(item).alias("items"), F.count("*").alias("rows"))))
     return g.select(*(F.col(c).cast("double") for c in g.columns)).unpivot([], g.columns, "metric", "value")
 

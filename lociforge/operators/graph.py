@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clean_gene
-from .linkage import checkpointed
+from .shared import checkpointed
 from .ordered import value_totals
 from .select import assign_folds, top_n
 from .stats import binary_metrics, regression_metrics

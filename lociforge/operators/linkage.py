@@ -2,36 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .select import best_per_key
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares: spark.checkpoint.dir; a temporary one where it is unset on a local master."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        have = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = have.get() if have.isDefined() else None
-    if not folder:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="lociforge-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a table in the shared folder."""
-    path = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from .shared import checkpointed
 
 
 def join_checked(left: DataFrame, right: DataFrame, on: list[str], checks: list[tuple[str, str]], null_ok: bool = False) -> DataFrame:

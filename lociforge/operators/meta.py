@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,13 +164,13 @@ def mr_harmonise(df: DataFrame, ambiguous: float = 0.08) -> DataFrame:
     return df.withColumn("__sign", sign).where("__sign is not null").withColumn("beta_outcome", F.col("beta_outcome") * F.col("__sign")).drop("__sign")
 
 
-def mr_estimate(df: DataFrame, keys: list[str] = ("gene",), boot: int = 200, seed: int = 1) -> DataFrame:
+def mr_estimate(df: DataFrame, keys: list[str] = ("gene",), boot: int = 1000, seed: int = 1) -> DataFrame:
     """(keys, nsnp, method, single_snp, b, se, pval) from harmonised rows: one SNP: Wald ratio; two: inverse variance and
     each SNP's ratio; three or more: inverse variance, Egger and weighted median.
 
     Inverse variance is the weighted regression through the origin with weights 1 / se_outcome^2 and a standard error
     of at least the fixed-effect one; Egger has an intercept, with exposure effects made positive. The weighted median's
-    error comes from `boot` parametric resamples, normal by sums of hashed uniforms.
+    error comes from `boot` parametric resamples with normal draws, made from one row a gene that packs its instruments.
     """
     keys = list(keys)
     d = df.where("beta_exposure <> 0 and se_outcome > 0").withColumns({"bx": F.abs("beta_exposure"), "by": F.col("beta_outcome") * F.signum("beta_exposure"), "so": F.col("se_outcome"), "sx": F.col("se_exposure")})
@@ -188,22 +190,39 @@ def mr_estimate(df: DataFrame, keys: list[str] = ("gene",), boot: int = 200, see
     se = F.sqrt(F.try_divide(F.col("sw"), det)) * F.greatest(F.lit(1.0), F.sqrt(rss / (F.col("n") - 2)))
     egger = m.where("n >= 3").select(*keys, F.col("n").alias("nsnp"), F.lit("MR Egger").alias("method"), none.alias("single_snp"), slope.alias("b"), se.alias("se"), t_two_sided_p(slope / se, F.col("n") - 2.0).alias("pval"))
 
-    def weighted_median(x: DataFrame, keys: list[str]) -> DataFrame:
-        """Of ratio by weight: linear between the midpoints of the cumulative weights."""
-        over = Window.partitionBy(*keys)
-        up = over.orderBy("ratio", "snp").rowsBetween(Window.unboundedPreceding, 0)
-        x = x.withColumn("at", (F.sum("v").over(up) - F.col("v") / 2) / F.sum("v").over(over))
-        lo, hi = F.max(F.when(F.col("at") < 0.5, F.struct("at", "ratio"))), F.min(F.when(F.col("at") >= 0.5, F.struct("at", "ratio")))
-        g = x.groupBy(*keys).agg(lo.alias("lo"), hi.alias("hi"))
-        between = F.col("lo.ratio") + (F.col("hi.ratio") - F.col("lo.ratio")) * (0.5 - F.col("lo.at")) / (F.col("hi.at") - F.col("lo.at"))
-        return g.select(*keys, F.coalesce(between, F.col("lo.ratio"), F.col("hi.ratio")).alias("b"))
-
-    many = d.where("nsnp >= 3").withColumns({"ratio": b, "v": F.col("bx") * F.col("bx") * F.col("w")})
-    point = weighted_median(many, keys)
-    normal = lambda k: F.aggregate(F.sequence(F.lit(1), F.lit(12)), F.lit(-6.0), lambda s, i: s + F.pmod(F.xxhash64("snp", "boot", i, F.lit(seed + k), *keys), F.lit(1_000_003)) / 1_000_003.0)
-    drawn = many.withColumn("boot", F.explode(F.sequence(F.lit(1), F.lit(boot))))
-    drawn = drawn.withColumns({"ratio": (F.col("by") + F.col("so") * normal(0)) / (F.col("bx") + F.coalesce("sx", F.lit(0.0)) * normal(1))})
-    spread = weighted_median(drawn, [*keys, "boot"]).groupBy(*keys).agg(F.stddev_samp("b").alias("se"))
-    n = many.groupBy(*keys).agg(F.count("*").alias("nsnp"))
-    median = point.join(spread, keys).join(n, keys).select(*keys, "nsnp", F.lit("Weighted median").alias("method"), none.alias("single_snp"), "b", "se", two_sided_p(F.try_divide("b", "se")).alias("pval"))
+    many = d.where("nsnp >= 3")
+    packed = many.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("snp", "bx", "by", F.coalesce("sx", F.lit(0.0)).alias("sx"), "so"))).alias("x"))  # the instruments of one gene
+    packed = packed.withColumn("key", F.xxhash64(*keys, F.lit(seed)))
+
+    @F.pandas_udf("b double, se double")
+    def median_of(key: pd.Series, bx: pd.Series, by: pd.Series, sx: pd.Series, so: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([weighted_median_se(*(np.asarray(c, float) for c in x), boot, int(k)) for k, *x in zip(key, bx, by, sx, so, strict=True)], columns=["b", "se"])
+
+    found = packed.select(*keys, F.size("x").cast("long").alias("nsnp"), median_of("key", *(F.col(f"x.{c}") for c in ("bx", "by", "sx", "so"))).alias("m"))
+    median = found.select(*keys, "nsnp", F.lit("Weighted median").alias("method"), none.alias("single_snp"), "m.b", "m.se", two_sided_p(F.try_divide("m.b", "m.se")).alias("pval"))
     return wald.unionByName(ivw).unionByName(egger).unionByName(median)
+
+
+def weighted_medians(ratio: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """For each row of ratios their median by weight, linear between the midpoints of the cumulative weights; equal ratios in
+    the order given."""
+    order = np.argsort(ratio, axis=1, kind="stable")
+    r, w = np.take_along_axis(ratio, order, 1), weight[order]
+    at = (np.cumsum(w, 1) - w / 2) / w.sum(1, keepdims=True)
+    high = np.minimum((at < 0.5).sum(1), at.shape[1] - 1)
+    low, i = np.maximum(high - 1, 0), np.arange(len(r))
+    share = np.where(at[i, high] > at[i, low], (0.5 - at[i, low]) / np.where(at[i, high] > at[i, low], at[i, high] - at[i, low], 1), 0.0)
+    return np.where((high == low) | (at[i, high] < 0.5), r[i, high], r[i, low] + np.clip(share, 0, 1) * (r[i, high] - r[i, low]))
+
+
+def weighted_median_se(bx: np.ndarray, by: np.ndarray, sx: np.ndarray, so: np.ndarray, boot: int, key: int, block: int = 1 << 20) -> tuple[float, float | None]:
+    """The weighted median ratio of a gene's instruments, weights bx^2 / so^2, and the deviation of `boot` parametric
+    resamples: normal effects around the observed ones, with the observed weights. Resamples are made a block at a time."""
+    weight, rng = bx * bx / (so * so), np.random.default_rng(key & 0xFFFFFFFFFFFFFFFF)
+    point = float(weighted_medians((by / bx)[None, :], weight)[0])
+    step, drawn = max(1, block // len(bx)), []
+    for at in range(0, boot, step):
+        n = (min(step, boot - at), len(bx))
+        drawn.append(weighted_medians((by + so * rng.standard_normal(n)) / (bx + sx * rng.standard_normal(n)), weight))
+    drawn = np.concatenate(drawn) if drawn else np.empty(0)
+    return point, float(drawn.std(ddof=1)) if len(drawn) > 1 else None

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import to_prob
 from .graph import rwr, rwr_predict
-from .linkage import checkpointed
+from .shared import checkpointed
+from .quantiles import quantiles
 from .select import assign_folds, avg_rank, best_per_key, binned_curve, permute_labels
 from .stats import binary_metrics, regression_metrics
 
@@ -235,20 +236,20 @@ def value_ranges(df: DataFrame, cols: list[str], digits: int = 6) -> DataFrame:
     """Per column n, min, q01, q05, q25, median, q75, q95, q99, max and how many rounded values differ, over finite values."""
     qs = {"q01": 0.01, "q05": 0.05, "q25": 0.25, "median": 0.5, "q75": 0.75, "q95": 0.95, "q99": 0.99}
     long = df.select(*(F.col(c).cast("double") for c in cols)).unpivot([], cols, "column", "value").where("value is not null and not isnan(value) and abs(value) < double('infinity')")
-    g = long.groupBy("column").agg(
-        F.count("*").alias("n"), F.min("value").alias("min"), F.percentile("value", list(qs.values())).alias("q"), F.max("value").alias("max"), F.countDistinct(F.bround("value", digits)).alias("n_unique"),
-    )
-    return g.select("column", "n", "min", *(F.get("q", i).alias(n) for i, n in enumerate(qs)), "max", "n_unique")
+    g = long.groupBy("column").agg(F.count("*").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"), F.countDistinct(F.bround("value", digits)).alias("n_unique"))
+    return g.join(quantiles(long, "value", qs, ["column"]), "column").select("column", "n", "min", *qs, "max", "n_unique")
 
 
 def reciprocity(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
     """Per method, from the probability of risk and that of protection fitted apart: how far the one is from one less the other."""
     delta = lambda a, b: F.abs(F.col(a) - (1 - F.col(b)))
     long = df.select(*(delta(a, b).alias(m) for m, (a, b) in pairs.items())).unpivot([], list(pairs), "method", "d").where("d is not null")
-    return long.groupBy("method").agg(
-        F.count("*").alias("n"), F.avg("d").alias("mean_abs_delta"), F.median("d").alias("median_abs_delta"), F.percentile("d", F.lit(0.95)).alias("q95_abs_delta"), F.max("d").alias("max_abs_delta"),
+    q = quantiles(long, "d", {"median_abs_delta": 0.5, "q95_abs_delta": 0.95}, ["method"])
+    g = long.groupBy("method").agg(
+        F.count("*").alias("n"), F.avg("d").alias("mean_abs_delta"), F.max("d").alias("max_abs_delta"),
         F.count_if(F.col("d") > 0.05).alias("n_above_0p05"), F.count_if(F.col("d") > 0.10).alias("n_above_0p10"),
     )
+    return g.join(q, "method").select("method", "n", "mean_abs_delta", "median_abs_delta", "q95_abs_delta", "max_abs_delta", "n_above_0p05", "n_above_0p10")
 
 
 def support_tiers(df: DataFrame, q1: float = 0.9, q2: float = 0.75, source: str = "raw", seed_col: str = "is_seed", min_abs_raw_score_q: float | None = None) -> DataFrame:

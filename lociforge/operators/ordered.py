@@ -7,11 +7,14 @@ among the different ones, so that every run and every retried task cuts at the s
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import checkpointed, shared_folder
+
 #: Ranges of a hash order, and the most bounds of an order by value.
 HASH_RANGES, VALUE_BOUNDS = 1024, 127
 
@@ -64,3 +67,37 @@ def least_from_here(df: DataFrame, keys: list[str], value: str, col: str, name:
     ends = df.groupBy(*keys, "__range").agg(F.min(col).alias("__least")).withColumn("__later", F.min("__least").over(later)).drop("__least")
     down = Window.partitionBy(*keys, "__range").orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, 0)
     return joined(df.withColumn("__here", F.min(col).over(down)), ends, [*keys, "__range"]).withColumn(name, F.least("__here", "__later")).drop("__here", "__later")
+
+
+def in_ranges(df: DataFrame, order: list[Column], by_folder: bool = False, ranges: int | None = None) -> DataFrame:
+    """The rows with __range, their range of the order (numbers rise with it, rows equal in it share one). Spark samples the
+    order and cuts as many ranges as it shuffles partitions, if no number is
+    given; they are written once, since another run may cut elsewhere,
+    with `by_folder` in a folder a range, so that joins on it read only those that they need."""
+    spark = df.sparkSession
+    cut = df.repartitionByRange(ranges or int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("__range", F.spark_partition_id())
+    if not by_folder:
+        return checkpointed(cut)
+    path = f"{shared_folder(spark)}/ranges-{uuid.uuid4().hex}"
+    cut.write.partitionBy("__range").parquet(path)
+    return spark.read.schema(cut.schema).parquet(path)
+
+
+def carried(ranged: DataFrame, keys: list[str], adds: dict[str, tuple[Column, str]]) -> DataFrame:
+    """What earlier ranges of the same keys hand on: (keys, __range, one column an entry of `adds`), an entry being an
+    aggregate of a range and how to go on with it over the ranges before: sum, min, max or last. A row a range and keys."""
+    keys = list(keys)
+    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    how = {"sum": F.sum, "min": F.min, "max": F.max, "last": F.last}
+    t = ranged.groupBy(*keys, "__range").agg(*(a.alias(f"__a_{n}") for n, (a, _) in adds.items()))
+    return t.select(*keys, "__range", *(how[h](f"__a_{n}").over(before).alias(n) for n, (_, h) in adds.items()))
+
+
+def running(df: DataFrame, keys: list[str], order: list[Column], name: str, value: Column, how: str) -> DataFrame:
+    """Adds the running sum or minimum of a value down an order that is total inside the keys, range by range."""
+    keys, fold = list(keys), {"sum": F.sum, "min": F.min}[how]
+    d = in_ranges(df.withColumn("__x", value), [*(F.col(k) for k in keys), *order])
+    up = Window.partitionBy(*keys, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    d = joined(d.withColumn("__here", fold("__x").over(up)), carried(d, keys, {"__b": (fold("__x"), how)}), [*keys, "__range"])
+    both = F.col("__here") + F.coalesce("__b", F.lit(0)) if how == "sum" else F.least("__here", "__b")
+    return d.withColumn(name, F.coalesce(both, F.col("__b")) if how == "sum" else both).drop("__x", "__here", "__b", "__range")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .linkage import semi
 from .meta import collapse_genes
+from .ordered import joined, numbered
 from .select import best_per_key
 
 
@@ -45,8 +46,9 @@ def program_qc(programs: DataFrame, genes: DataFrame, min_genes: int = 5) -> Dat
 
 def zscore_by_gene(expr: DataFrame) -> DataFrame:
     """Adds z: value less its gene's mean over the population deviation; null for genes that don't vary."""
-    w = Window.partitionBy("gene")
-    return expr.withColumn("z", F.try_divide(F.col("value") - F.avg("value").over(w), F.nullif(F.stddev_pop("value").over(w), F.lit(0.0))))
+    m = expr.groupBy("gene").agg(F.avg("value").alias("__mean"), F.stddev_pop("value").alias("__sd"))
+    z = F.try_divide(F.col("value") - F.col("__mean"), F.nullif(F.col("__sd"), F.lit(0.0)))
+    return joined(expr, m, ["gene"]).withColumn("z", z).drop("__mean", "__sd")
 
 
 def mean_z_scores(expr: DataFrame, programs: DataFrame) -> DataFrame:
@@ -127,8 +129,8 @@ def gsva(expr: DataFrame, programs: DataFrame, method: str = "gsva", universe: s
     e = semi(expr, p, ["gene"]) if universe == "programs" else expr
     samples = e.select("sample_id").distinct()
     n_blocks = max(1, -(-samples.count() // block))
-    order = Window.orderBy(F.xxhash64("sample_id", F.lit(seed)), "sample_id")
-    samples = samples.withColumn("block", (F.ntile(n_blocks).over(order) - 1).cast("int")) if n_blocks > 1 else samples.withColumn("block", F.lit(0))
+    samples = numbered(samples, [], F.xxhash64("sample_id", F.lit(seed)), ["sample_id"], "__i", "__of")
+    samples = samples.select("sample_id", F.expr(f"cast(__i * {n_blocks} div __of as int)").alias("block"))
     e = e.select("sample_id", "gene", "value").join(samples, "sample_id")
     genes = e.groupBy("block", "gene").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("c"))
     size = samples.groupBy("block").agg(F.count("*").alias("n"))
@@ -146,16 +148,19 @@ def gsva(expr: DataFrame, programs: DataFrame, method: str = "gsva", universe: s
         weight = F.pow(weight, F.lit(tau))
     present = semi(p, ranked.select("gene").distinct(), ["gene"])
     sized = present.groupBy("program").count().where((F.col("count") >= min_size) & (F.col("count") <= (max_size or 1 << 60))).select("program")
-    present = semi(present, sized, ["program"]).withColumn("hit", F.lit(True))
-    names = sized.agg(F.collect_list("program").alias("ps"))  # one row; programs are a handful
-    walk = ranked.withColumn("w", weight).join(F.broadcast(names))
-    walk = walk.withColumn("program", F.explode("ps")).drop("ps").join(present, ["program", "gene"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    # Only the hits are walked: between them the sum falls evenly, so it is highest at a hit, lowest just before one, or 0.
+    hits = ranked.withColumn("w", weight).join(semi(present, sized, ["program"]), "gene")
     over = Window.partitionBy("sample_id", "program")
-    up = F.when(F.col("hit"), F.col("w")).otherwise(0.0)
-    walk = walk.withColumns({"up": F.try_divide(up, F.sum(up).over(over)), "down": F.try_divide((~F.col("hit")).cast("double"), F.sum((~F.col("hit")).cast("double")).over(over))})
+    if method == "ssgsea":  # the sum over all places: a hit counts at its rank and below, a miss likewise
+        g = hits.groupBy("sample_id", "program").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("rank")).alias("wr"), F.sum("rank").alias("r"), F.count("*").alias("m"), F.max("n").alias("n"))
+        down = F.try_divide(F.col("n") * (F.col("n") + 1) / 2.0 - F.col("r"), F.nullif(F.col("n") - F.col("m"), F.lit(0)).cast("double"))
+        g = g.select("sample_id", "program", (F.coalesce(F.try_divide("wr", "w"), F.lit(0.0)) - F.coalesce(down, F.lit(0.0))).alias("score"))
+        span = g.agg((F.max("score") - F.min("score")).alias("__span"))
+        return g.crossJoin(F.broadcast(span)).withColumn("score", F.try_divide(F.col("score"), F.nullif(F.col("__span"), F.lit(0.0)))).drop("__span")
     down_ranks = over.orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)
-    walk = walk.withColumn("es", F.sum(F.coalesce("up", F.lit(0.0)) - F.coalesce("down", F.lit(0.0))).over(down_ranks))
-    if method == "gsva":
-        return walk.groupBy("sample_id", "program").agg((F.greatest(F.max("es"), F.lit(0.0)) + F.least(F.min("es"), F.lit(0.0))).alias("score"))
-    raw = walk.groupBy("sample_id", "program").agg(F.sum("es").alias("score"))
-    return raw.withColumn("score", F.try_divide(F.col("score"), F.nullif(F.max("score").over(Window.partitionBy()) - F.min("score").over(Window.partitionBy()), F.lit(0.0))))
+    hits = hits.withColumns({"__i": F.row_number().over(over.orderBy(F.desc("rank"))), "__m": F.count("*").over(over), "__w": F.sum("w").over(down_ranks), "__all": F.sum("w").over(over)})
+    misses = F.coalesce(F.try_divide((F.col("n") - F.col("rank") - F.col("__i") + 1).cast("double"), F.nullif(F.col("n") - F.col("__m"), F.lit(0)).cast("double")), F.lit(0.0))
+    at = F.coalesce(F.try_divide("__w", "__all"), F.lit(0.0)) - misses
+    before = F.coalesce(F.try_divide(F.col("__w") - F.col("w"), F.col("__all")), F.lit(0.0)) - misses
+    g = hits.groupBy("sample_id", "program").agg(F.max(at).alias("high"), F.min(before).alias("low"), F.min(F.when(F.col("__all") > 0, 0.0).otherwise(-1.0)).alias("end"))
+    return g.select("sample_id", "program", (F.greatest("high", F.lit(0.0)) + F.least("low", "end", F.lit(0.0))).alias("score"))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import chrom_order
-from .ordered import joined, numbered, value_totals
+from .ordered import carried, in_ranges, joined, numbered, running, value_totals
+from .resample import bootstrap_counts, shuffled_place
 
 
 def _cols(keys) -> list[Column]:
@@ -47,26 +49,33 @@ def avg_rank(df: DataFrame, col: str, keys: list[str] = (), pct: bool = False, a
 
 
 def unique_rank(df: DataFrame, col: str, keys: list[str] = (), ties: list[str] = (), name: str = "rank") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(col).desc_nulls_last(), *ties)))
+    """Places from 1 by falling value, nulls last, ties by the given columns: counted inside ranges of that order, behind
+    what earlier ranges hold."""
+    keys, order = list(keys), [F.col(col).desc_nulls_last(), *(F.col(t) for t in ties)]
+    d = in_ranges(df, [*(F.col(k) for k in keys), *order])
+    d = joined(d.withColumn("__place", F.row_number().over(Window.partitionBy(*keys, "__range").orderBy(*order))), carried(d, keys, {"__b": (F.count("*"), "sum")}), [*keys, "__range"])
+    return d.withColumn(name, (F.col("__place") + F.coalesce("__b", F.lit(0))).cast("int")).drop("__place", "__b", "__range")
 
 
 def share(df: DataFrame, col: str, keys: list[str], name: str = "share") -> DataFrame:
-    return df.withColumn(name, F.try_divide(F.col(col), F.sum(col).over(Window.partitionBy(*keys))))
+    """The value over the sum of its keys, which is summed first and joined."""
+    total = df.groupBy(*keys).agg(F.sum(col).alias("__total"))
+    return joined(df, total, list(keys)).withColumn(name, F.try_divide(F.col(col), F.col("__total"))).drop("__total")
 
 
 def running_min(df: DataFrame, col: str, order: list[Column], keys: list[str] = (), name: str = "running_min") -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.min(col).over(w))
+    """The least value so far; the order must be total inside the keys."""
+    return running(df, list(keys), _cols(order), name, F.col(col), "min")
 
 
 def running_es(df: DataFrame, keys: list[str], score: str, hit: str, gene: str, weight: float = 1.0, name: str = "es") -> DataFrame:
     """The running enrichment sum down the ranked genes: hits add their share of |score|^weight, misses take off one part of theirs."""
-    whole = Window.partitionBy(*keys)
+    keys = list(keys)
     w = F.when(F.col(hit), F.pow(F.abs(F.col(score)), F.lit(float(weight)))).otherwise(0.0)
-    up, misses = F.sum(w).over(whole), F.sum((~F.col(hit)).cast("int")).over(whole)
-    step = F.when(F.col(hit), F.try_divide(w, up)).otherwise(-F.try_divide(F.lit(1.0), misses))
-    order = whole.orderBy(F.col(score).desc(), gene).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("__step", step).withColumn(name, F.sum("__step").over(order)).drop("__step")
+    whole = df.groupBy(*keys).agg(F.sum(w).alias("__up"), F.sum((~F.col(hit)).cast("int")).alias("__misses"))
+    step = F.when(F.col(hit), F.try_divide(w, F.col("__up"))).otherwise(-F.try_divide(F.lit(1.0), F.col("__misses")))
+    d = joined(df, whole, keys).withColumn("__step", step).drop("__up", "__misses")
+    return running(d, keys, [F.col(score).desc(), F.col(gene)], name, F.col("__step"), "sum").drop("__step")
 
 
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, balanced: bool = False, both_tails: list[Column] | None = None) -> DataFrame:
@@ -86,12 +95,20 @@ def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, balanced:
 
 
 def coalesce_positions(df: DataFrame, gap: int = 50_000, chrom: str = "chrom", pos: str = "pos") -> DataFrame:
-    """(chrom, start, end, n): runs of distinct positions at most `gap` apart."""
-    w = Window.partitionBy(chrom).orderBy(pos)
-    new = F.coalesce((F.col(pos) - F.lag(pos).over(w) > gap).cast("int"), F.lit(1))
-    d = df.select(chrom, pos).where(F.col(pos).isNotNull()).distinct().withColumn("__new", new)
-    d = d.withColumn("__island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return d.groupBy(chrom, "__island").agg(F.min(pos).alias("start"), F.max(pos).alias("end"), F.count("*").alias("n")).drop("__island")
+    """(chrom, start, end, n): runs of distinct positions at most `gap` apart. Null positions are left out.
+
+    Ranges of positions are scanned apart. A range learns the last position before it and how many runs began so far from a
+    row a range, so runs that cross borders get one number.
+    """
+    d = in_ranges(df.select(chrom, pos).where(F.col(pos).isNotNull()).distinct(), [F.col(chrom), F.col(pos)])
+    w = Window.partitionBy(chrom, "__range").orderBy(pos)
+    last = carried(d, [chrom], {"__last": (F.max(pos), "last")})
+    d = joined(d.withColumn("__near", F.lag(pos).over(w)), last, [chrom, "__range"])
+    d = d.withColumn("__new", F.coalesce((F.col(pos) - F.coalesce("__near", "__last") > gap).cast("int"), F.lit(1))).drop("__near", "__last")
+    here = d.withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    here = here.groupBy(chrom, "__range", "__run").agg(F.min(pos).alias("start"), F.max(pos).alias("end"), F.count("*").alias("n"), F.sum("__new").alias("__new"))
+    here = joined(here, carried(here, [chrom], {"__b": (F.sum("__new"), "sum")}), [chrom, "__range"]).withColumn("__run", F.col("__run") + F.coalesce("__b", F.lit(0)))
+    return here.groupBy(chrom, "__run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")).drop("__run")
 
 
 def genomic_sort(df: DataFrame, chrom: str = "chrom", pos: str = "pos") -> DataFrame:
@@ -155,21 +172,28 @@ def assign_folds(df: DataFrame, id_cols: list[str], k: int = 5, repeats: int = 1
 
 
 def permute_labels(df: DataFrame, id_cols: list[str], value: str, n: int, seed: int = 1, mode: str = "values", keys: list[str] = ()) -> DataFrame:
-    """n copies of the rows (perm from 0) whose values are dealt anew inside their keys; mode signs keeps sizes and deals only the signs."""
+    """n copies of the rows (perm from 0) whose values are dealt anew inside their keys; mode signs keeps sizes and deals only the signs.
+
+    Rows are numbered once; each permutation is a bijection of the numbers by formula, so only the copies look up their
+    value, in a table as long as the rows.
+    """
     keys = list(keys)
-    perm = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    a = numbered(df, keys, _hash(id_cols, F.lit(seed)), id_cols, "__i").withColumn("perm", perm)
+
+    @F.pandas_udf("long")
+    def place(i: pd.Series, n: pd.Series, key: pd.Series) -> pd.Series:
+        return pd.Series(shuffled_place(i.to_numpy(), n.to_numpy(), key.to_numpy()))
+
+    a = numbered(df, keys, _hash(id_cols, F.lit(seed)), id_cols, "__i", "__n")
     moved = F.signum(value) if mode == "signs" else F.col(value)
-    b = df.select(*dict.fromkeys([*keys, *id_cols]), moved.alias("__v")).withColumn("perm", perm)
-    b = numbered(b, [*keys, "perm"], _hash(id_cols, F.lit(seed), F.lit("dealt"), F.col("perm")), id_cols, "__i").select(*keys, "perm", "__i", "__v")
-    out = joined(a, b, [*keys, "perm", "__i"])
-    return out.withColumn(value, F.abs(value) * F.col("__v") if mode == "signs" else F.col("__v")).drop("__v", "__i")
+    b = a.select(*keys, F.col("__i").alias("__j"), moved.alias("__v"))
+    a = a.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    a = a.withColumn("__j", place("__i", "__n", F.xxhash64("perm", F.lit(seed), *keys))).drop("__i", "__n")
+    out = joined(a, b, [*keys, "__j"])
+    return out.withColumn(value, F.abs(value) * F.col("__v") if mode == "signs" else F.col("__v")).drop("__v", "__j")
 
 
 def bootstrap(df: DataFrame, keys: list[str], n: int, id_cols: list[str], seed: int = 1) -> DataFrame:
-    """n resamples with replacement of each group (boot from 0), as large as the group: slots draw a member by hash."""
-    keys = list(keys)
-    d = numbered(df, keys, _hash(id_cols, F.lit(seed)), id_cols, "__i", "__n")
-    slots = d.select(*keys, F.col("__i").alias("__slot"), "__n").withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    drawn = slots.withColumn("__i", F.pmod(F.xxhash64(*keys, "__slot", "boot", F.lit(seed)), F.col("__n"))).drop("__n", "__slot")
-    return joined(drawn, d.drop("__n"), [*keys, "__i"]).drop("__i")
+    """n resamples with replacement of each group as rows (boot from 0), each as large as the group: `bootstrap_counts` laid
+    out. Statistics that can be taken from counts need no rows; see `resample.py`."""
+    d = bootstrap_counts(df, keys, n, id_cols, seed, "__times").select(*df.columns, F.posexplode("__times").alias("boot", "__k")).where("__k > 0")
+    return d.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__k")))).drop("__k")

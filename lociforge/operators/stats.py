@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tails import chi2_tail, t_two_sided_p, two_sided_p
-from .linkage import checkpointed
 from .ordered import joined, least_from_here, value_totals
-from .select import avg_rank, bootstrap, permute_labels, running_es
+from .resample import resampled_auroc, resampled_medians
+from .select import avg_rank
+from .shared import checkpointed
 
 
 def _ranks(df: DataFrame, keys: list[str], value: str, adds: dict[str, Column]) -> DataFrame:
@@ -154,14 +155,17 @@ def cliffs_delta(df: DataFrame, keys: list[str], group: str, value: str, case: s
 
 
 def median_diff_ci(df: DataFrame, keys: list[str], group: str, value: str, id_cols: list[str], case: str = "case", control: str = "control", n: int = 5000, seed: int = 1, level: float = 0.95) -> DataFrame:
-    """Median of cases less that of controls, with the percentile interval of n resamples of either side."""
-    d = df.where(F.col(group).isin(case, control) & F.col(value).isNotNull())
-    side = lambda k: F.median(F.when(F.col(group) == k, F.col(value)))
-    point = d.groupBy(*keys).agg((side(case) - side(control)).alias("diff"))
-    boots = bootstrap(d, [*keys, group], n, id_cols, seed).groupBy(*keys, "boot").agg((side(case) - side(control)).alias("b"))
+    """Median of cases less that of controls, with the percentile interval of n resamples of either side. Keys without a
+    value have no row, those with one side only nulls. `id_cols` is not read: equal values can stand for each other."""
+    keys = list(keys)
+    d = df.where(F.col(group).isin(case, control)).select(*keys, group, value)
+    m = resampled_medians(d, [*keys, group], value, n, seed)
+    side = lambda k: F.max(F.when(F.col(group) == k, F.col("median")))  # noqa: E731  one row each
+    diff = checkpointed(m.groupBy(*keys, "boot").agg((side(case) - side(control)).alias("b")))
     a = (1 - level) / 2
-    ci = boots.groupBy(*keys).agg(F.percentile("b", F.lit(a)).alias("ci_low"), F.percentile("b", F.lit(1 - a)).alias("ci_high"))
-    return point.join(ci, keys, "left") if keys else point.crossJoin(F.broadcast(ci))
+    point = diff.where("boot < 0").select(*keys, F.col("b").alias("diff"))
+    ci = diff.where("boot >= 0").groupBy(*keys).agg(F.percentile("b", F.lit(a)).alias("ci_low"), F.percentile("b", F.lit(1 - a)).alias("ci_high"))  # n values a key
+    return joined(point, ci, keys, "left")
 
 
 def bh_fdr(df: DataFrame, p: str, scope: list[str] = (), nan_policy: str = "ignore", name: str = "fdr") -> DataFrame:
@@ -185,30 +189,67 @@ def effect_sizes(df: DataFrame, keys: list[str], group: str, value: str, id_cols
     return bh_fdr(checkpointed(out.join(kruskal(df, keys, group, value).select(*keys, F.col("p").alias("kruskal_p")), keys, "left")), "p")
 
 
-def _peak(es: str) -> Column:
-    """The running sum's value farthest from 0."""
-    return F.max_by(es, F.abs(es))
+def walk_peak(places: np.ndarray, weights: np.ndarray, n: int) -> float:
+    """The value farthest from 0 of the running enrichment sum, from the hits alone: their places (from 0, ascending) among
+    n ranked genes and their weights. Between hits the sum falls evenly, so it is farthest just before or at a hit."""
+    m = len(places)
+    up = np.cumsum(weights)
+    up = up / up[-1] if m and up[-1] > 0 else np.zeros(m)
+    down = (places - np.arange(m)) / (n - m) if n > m else np.zeros(m)
+    end = (up[-1] if m else 0.0) - (n > m)
+    at = np.concatenate((up - down, np.concatenate(([0.0], up[:-1])) - down if m else [], [end]))
+    return float(at[np.lexsort((-at, -np.abs(at)))[0]])
+
+
+#: Permutations that a row of packed ranks makes at a time.
+PERMS = 100
+
+
+def _peaks(df: DataFrame, score: str, hit: str, gene: str, keys: list[str], n: int, weight: float, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(keys, es) and (keys, null_es) of n permutations of the scores.
+
+    Each keys' ranked scores are packed once, 8 bytes a gene, with the places of the hits. A permutation of the scores puts
+    the hits at random places, so tasks get the packed row with a number of permutations to make and walk only the hits.
+    """
+    ranked = df.where(F.col(score).isNotNull()).select(*keys, F.struct((-F.col(score).cast("double")).alias("s"), F.col(gene).alias("g"), F.coalesce(F.col(hit), F.lit(False)).alias("h")).alias("x"))
+    packed = ranked.groupBy(*keys).agg(F.sort_array(F.collect_list("x")).alias("x"))  # the genes of one ranking
+    hits = F.expr("filter(transform(x, (e, i) -> if(e.h, i, -1)), i -> i >= 0)").alias("hits")
+    packed = checkpointed(packed.select(*keys, F.xxhash64(*keys, F.lit(seed)).alias("key"), F.expr("transform(x, e -> abs(e.s))").alias("s"), hits))
+
+    @F.pandas_udf("double")
+    def real(s: pd.Series, hits: pd.Series) -> pd.Series:
+        return pd.Series([walk_peak(np.asarray(h, np.int64), np.asarray(x)[np.asarray(h, np.int64)] ** weight, len(x)) for x, h in zip(s, hits, strict=True)])
+
+    @F.pandas_udf("array<double>")
+    def null(s: pd.Series, hits: pd.Series, key: pd.Series, block: pd.Series) -> pd.Series:
+        out = []
+        for x, h, k, b in zip(s, hits, key, block, strict=True):
+            x, rng = np.asarray(x) ** weight, np.random.default_rng([seed & 0xFFFFFFFF, int(k) & 0xFFFFFFFFFFFFFFFF, int(b)])
+            places = (np.sort(rng.choice(len(x), len(h), replace=False, shuffle=False)) for _ in range(min(PERMS, n - b * PERMS)))
+            out.append([walk_peak(p, x[p], len(x)) for p in places])
+        return pd.Series(out)
+
+    dealt = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(-(-n // PERMS) - 1)))).repartition(df.sparkSession.sparkContext.defaultParallelism, "key", "block")
+    return packed.select(*keys, real("s", "hits").alias("es")), dealt.select(*keys, F.explode(null("s", "hits", "key", "block")).alias("null_es"))
 
 
 def gsea(df: DataFrame, score: str, hit: str, gene: str, keys: list[str] = (), n: int = 1000, weight: float = 1.0, seed: int = 1) -> DataFrame:
     """es, nes and p by key: n permutations of the scores; nes divides by the mean of the null of the same sign, p is
-    (k + 1) / (m + 1) among these."""
+    (k + 1) / (m + 1) among these. Genes without a score are left out; null keys are a group; no genes, no row."""
     keys = list(keys)
-    real = running_es(df, keys, score, hit, gene, weight).groupBy(*keys).agg(_peak("es").alias("es"))
-    moved = permute_labels(df.select(*keys, gene, score, hit), [gene], score, n, seed, keys=keys)
-    null = running_es(moved, [*keys, "perm"], score, hit, gene, weight).groupBy(*keys, "perm").agg(_peak("es").alias("null_es"))
-    both = null.join(real, keys) if keys else null.crossJoin(F.broadcast(real))
+    real, null = _peaks(df, score, hit, gene, keys, n, weight, seed)
+    both = joined(null, real, keys)
     same = F.col("null_es") * F.col("es") > 0
-    g = both.groupBy(*keys, "es").agg(F.avg(F.when(same, F.abs("null_es"))).alias("m"), F.count_if(same & (F.abs("null_es") >= F.abs("es"))).alias("k"), F.count_if(same).alias("n"))
-    return g.select(*keys, "es", F.try_divide("es", "m").alias("nes"), ((F.col("k") + 1.0) / (F.col("n") + 1)).alias("p"))
+    g = both.groupBy(*keys, "es").agg(F.avg(F.when(same, F.abs("null_es"))).alias("__m"), F.count_if(same & (F.abs("null_es") >= F.abs("es"))).alias("__k"), F.count_if(same).alias("__n"))
+    return g.select(*keys, "es", F.try_divide("es", "__m").alias("nes"), ((F.col("__k") + 1.0) / (F.col("__n") + 1)).alias("p"))
 
 
 def ks_set_score(df: DataFrame, score: str, hit: str, gene: str, n: int = 1000, seed: int = 1) -> DataFrame:
-    """The largest difference of the hits' and the others' distribution down the ranks, against n permutations: null mean and sd, z, p."""
-    real = running_es(df, [], score, hit, gene, 0.0).agg(_peak("es").alias("ks"))
-    moved = permute_labels(df.select(gene, score, hit), [gene], score, n, seed)
-    null = running_es(moved, ["perm"], score, hit, gene, 0.0).groupBy("perm").agg(_peak("es").alias("e"))
-    g = null.crossJoin(F.broadcast(real)).groupBy("ks").agg(F.avg("e").alias("null_mean"), F.stddev_samp("e").alias("null_sd"), ((F.count_if(F.abs("e") >= F.abs("ks")) + 1.0) / (F.count("*") + 1)).alias("p"))
+    """The largest difference of the hits' and the others' distribution down the ranks, against n permutations: null mean and
+    sd, z, p. Genes without a score are left out."""
+    real, null = _peaks(df, score, hit, gene, [], n, 0.0, seed)
+    g = null.crossJoin(F.broadcast(real.withColumnRenamed("es", "ks"))).groupBy("ks")  # one row
+    g = g.agg(F.avg("null_es").alias("null_mean"), F.stddev_samp("null_es").alias("null_sd"), ((F.count_if(F.abs("null_es") >= F.abs("ks")) + 1.0) / (F.count("*") + 1)).alias("p"))
     return g.withColumn("z", F.try_divide(F.col("ks") - F.col("null_mean"), F.nullif(F.col("null_sd"), F.lit(0.0))))
 
 
@@ -231,8 +272,9 @@ def binary_metrics(df: DataFrame, y: str, p: str, keys: list[str] = (), bins: in
 
 
 def auroc_ci(df: DataFrame, y: str, p: str, id_cols: list[str], n: int = 1000, seed: int = 1) -> DataFrame:
-    boots = binary_metrics(bootstrap(df, [], n, id_cols, seed), y, p, ["boot"])
-    return boots.agg(F.percentile("auroc", F.lit(0.025)).alias("auroc_low"), F.percentile("auroc", F.lit(0.975)).alias("auroc_high"))
+    """The percentile interval of the AUROC over n resamples of the rows. `id_cols` is not read."""
+    boots = resampled_auroc(df, y, p, n, seed)
+    return boots.agg(F.percentile("auroc", F.lit(0.025)).alias("auroc_low"), F.percentile("auroc", F.lit(0.975)).alias("auroc_high"))  # n values
 
 
 def regression_metrics(df: DataFrame, y: str, yhat: str, keys: list[str] = ()) -> DataFrame:

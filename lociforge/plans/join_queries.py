@@ -9,16 +9,17 @@ from ..operators import cells, contrib, effects, graph, linkage, meta, models, p
 from .registry import query
 
 
-@query("""select v.vid, v.pos, round(v.pval, 6) + 0e0 as pval, round(x.beta, 6) + 0e0 as pred from v_variant v join (select chrom, pos, ref, alt, rsid, beta + 1 as beta from v_variant where vid % 3 = 0) x using (chrom, pos, ref, alt, rsid)""")
+@query("""select v.vid, v.pos, round(v.pval, 6) + 0e0 as pval, round(x.beta, 6) + 0e0 as pred from v_variant v join (select chrom, pos, ref, case when vid % 3 = 0 then alt else ref end as alt, rsid, beta + 1 as beta from v_variant) x using (chrom, pos, ref, alt, rsid)""")
 def j9_join_predictions(v):
-    pred = v("v_variant").where("vid % 3 = 0").selectExpr("chrom", "pos", "ref", "alt", "rsid", "beta + 1 as pred")
+    """Two thirds of the predictions are for another allele, and meet no variant."""
+    pred = v("v_variant").selectExpr("chrom", "pos", "ref", "case when vid % 3 = 0 then alt else ref end as alt", "rsid", "beta + 1 as pred")
     return linkage.join_predictions(pred, v("v_variant").select("chrom", "pos", "ref", "alt", "rsid", "vid", "pval")).select("vid", "pos", "pval", "pred")
 
 
-@query("""with n as (select distinct gene_u as gene from v_ppi), f as (select gene, avg(tx_start) as x, count(*) as n_rows from v_gene where tx_start % 2 = 0 group by 1)
+@query("""with n as (select distinct gene_u as gene from v_ppi), f as (select case when tx_start % 2 = 0 then gene else concat('X', gene) end as gene, avg(tx_start) as x, count(*) as n_rows from v_gene group by 1)
 select n.gene, round(coalesce(x, 0), 6) + 0e0 as x, coalesce(n_rows, 0) as n_rows, x is not null as has_features from n left join f on f.gene = n.gene""")
 def j15_attach_features(v):
-    f = v("v_gene").where("tx_start % 2 = 0").groupBy("gene").agg(F.avg("tx_start").alias("x"), F.count("*").alias("n_rows"))
+    f = v("v_gene").withColumn("gene", F.expr("case when tx_start % 2 = 0 then gene else concat('X', gene) end")).groupBy("gene").agg(F.avg("tx_start").alias("x"), F.count("*").alias("n_rows"))
     return linkage.attach_features(v("v_ppi").select(F.col("gene_u").alias("gene")).distinct(), f)
 
 
@@ -29,11 +30,12 @@ def j16_edge_ids(v):
     return linkage.edge_ids(v("v_ppi").toDF("u", "v"), ids)
 
 
-@query("""with a as (select gene, sample_id, value from v_expr where sample_id % 2 = 0), b as (select gene, sample_id, value from v_expr where sample_id % 2 = 1 and gene > 'g2'), c as (select gene from a intersect select gene from b)
+@query("""with a as (select gene, sample_id, value from v_expr), b as (select case when gene > 'g2' then gene else concat('x', gene) end as gene, sample_id + 1000000 as sample_id, value from v_expr), c as (select gene from a intersect select gene from b)
 select gene, sample_id, round(value, 6) + 0e0 as value from (select * from a union all select * from b) t where gene in (select gene from c)""")
 def j17_align_matrices(v):
     e = v("v_expr").withColumn("value", F.col("value").cast("double"))
-    return linkage.align_matrices([e.where("sample_id % 2 = 0"), e.where("sample_id % 2 = 1 and gene > 'g2'")], "inner")
+    other = e.withColumns({"gene": F.expr("case when gene > 'g2' then gene else concat('x', gene) end"), "sample_id": F.col("sample_id") + 1_000_000})
+    return linkage.align_matrices([e, other], "inner")
 
 
 @query("""with d as (select reg_rsid, gene, max(effect) as effect from v_link group by 1, 2), l as (select reg_rsid, gwas_rsid, min(gwas_pval) as p from v_link group by 1, 2), m as (select gene, avg(beta) as pred from v_mr group by 1)
@@ -56,11 +58,11 @@ def j20_join_scores(v):
     return parts[0].union(parts[1])
 
 
-@query("""with s as (select cell_type as dataset, sample_id, avg(score) as score from v_cell group by 1, 2), m as (select cell_type as dataset, sample_id, min(grp) as grp, count(*) as n from v_cell where event_id % 2 = 0 group by 1, 2)
+@query("""with s as (select cell_type as dataset, sample_id, avg(score) as score from v_cell group by 1, 2), m as (select case when event_id % 2 = 0 then cell_type else concat('not ', cell_type) end as dataset, sample_id, min(grp) as grp, count(*) as n from v_cell group by 1, 2)
 select dataset, sample_id, round(score, 6) + 0e0 as score, grp, n from s join m using (dataset, sample_id)""")
 def j21_scores_with_meta(v):
     d = v("v_cell").withColumnRenamed("cell_type", "dataset")
-    m = d.where("event_id % 2 = 0").groupBy("dataset", "sample_id").agg(F.min("grp").alias("grp"), F.count("*").alias("n"))
+    m = d.withColumn("dataset", F.expr("case when event_id % 2 = 0 then dataset else concat('not ', dataset) end")).groupBy("dataset", "sample_id").agg(F.min("grp").alias("grp"), F.count("*").alias("n"))
     return linkage.scores_with_meta(d.groupBy("dataset", "sample_id").agg(F.avg("score").alias("score")), m)
 
 

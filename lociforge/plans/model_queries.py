@@ -133,13 +133,19 @@ def t6_cliffs_delta(v):
 
 @query("select cell_type, round(median(case when grp = 'case' then score end) - median(case when grp = 'control' then score end), 6) + 0e0 as diff, true as ordered from v_cell group by 1")
 def t7_median_difference(v):
-    d = stats.median_diff_ci(v("v_cell"), ["cell_type"], "grp", "score", ["event_id"], n=100)
-    return d.select("cell_type", "diff", ((F.col("ci_low") <= F.col("diff") + 5) & (F.col("diff") <= F.col("ci_high") + 5)).alias("ordered"))
+    """Ordered: the difference lies between the ends of its interval, which has a query of its own."""
+    d = stats.median_diff_ci(v("v_cell"), ["cell_type"], "grp", "score", ["event_id"])
+    return d.select("cell_type", "diff", ((F.col("ci_low") <= F.col("diff")) & (F.col("diff") <= F.col("ci_high"))).alias("ordered"))
+
+
+@query()
+def t7_median_interval(v):
+    return stats.median_diff_ci(v("v_cell"), ["cell_type"], "grp", "score", ["event_id"])
 
 
 @query()
 def t9_effect_sizes(v):
-    return stats.effect_sizes(v("v_cell").where("event_id >= 0"), ["cell_type"], "grp", "score", ["event_id"], [("case", "control")], n=200)
+    return stats.effect_sizes(v("v_cell"), ["cell_type"], "grp", "score", ["event_id"], [("case", "control")])
 
 
 @query("""with g as (select gene, sum(beta) as score, gene in (select gene from v_gene where tx_start % 3 = 0) as hit from v_qtl group by 1), s as (select *, sum(case when hit then 1e0 / h else -1e0 / (n - h) end) over (order by score desc, gene rows unbounded preceding) as es from g, (select count(*) as n, sum(case when hit then 1 else 0 end) as h from g) t)
@@ -149,6 +155,19 @@ def t11_ks_set_score(v):
     return stats.ks_set_score(g, "score", "hit", "gene").select("ks", F.col("p").between(0, 1).alias("valid"))
 
 
+@query()
+def t11_ks_null(v):
+    """The score with its null's mean and deviation, z and p."""
+    g = linkage.flag_member(v("v_qtl").groupBy("gene").agg(F.sum("beta").alias("score")), v("v_gene").where("tx_start % 3 = 0"), ["gene"], "hit")
+    return stats.ks_set_score(g, "score", "hit", "gene")
+
+
+@query()
+def t12_auroc_interval(v):
+    """A thousand resamples of all rows."""
+    return stats.auroc_ci(v("v_cell").select("event_id", (F.col("grp") == "case").cast("int").alias("y"), (F.col("score") / 101).alias("p")), "y", "p", ["event_id"])
+
+
 def _labels(v):
     return v("v_mr").groupBy("gene").agg(F.avg("beta").alias("beta"), F.avg("confidence").alias("confidence"))
 
@@ -179,12 +198,12 @@ def m4_baselines(v):
 
 @query()
 def m6_sensitivity(v):
-    return models.sensitivity_model(_node_features(v).join(_labels(v).withColumnRenamed("beta", "y"), "gene"), ["x1", "x2", "x3"], "y", iterations=20)[1]
+    return models.sensitivity_model(_node_features(v).join(_labels(v).withColumnRenamed("beta", "y"), "gene"), ["x1", "x2", "x3"], "y")[1]
 
 
 @query()
 def m12_pca(v):
-    return effects.pca(v("v_track"), "d", 4).select("vec_id", *(F.get("pcs", i).alias(f"pc{i + 1}") for i in range(4)))
+    return effects.pca(v("v_track"), "d").select("vec_id", *(F.get("pcs", i).alias(f"pc{i + 1}") for i in range(32)))
 
 
 @query("select cast(fold as bigint) as fold, true as even from (select unnest([0, 1, 2, 3, 4]) as fold) t")

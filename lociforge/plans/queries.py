@@ -89,7 +89,7 @@ union all select gene, n, 'Wald ratio', single_snp, round(b, 6) + 0e0, round(se,
 union all select gene, n, 'MR Egger', null, round(slope, 6) + 0e0, round(sqrt(sw / (sw * sxx - sx * sx)) * greatest(1e0, sqrt(greatest(0e0, syy - cut * sy - slope * sxy) / (n - 2))), 6) + 0e0, null from f""")
 def t14_mr_estimate(v):
     """All but the weighted median, which has a query of its own; the p of Egger's t has no SQL."""
-    d = meta.mr_estimate(_mr_rows(v), boot=1).where("method <> 'Weighted median'").select("gene", "nsnp", "method", "single_snp", "b", "se", "pval")
+    d = meta.mr_estimate(_mr_rows(v)).where("method <> 'Weighted median'").select("gene", "nsnp", "method", "single_snp", "b", "se", "pval")
     return d.withColumn("pval", F.when(F.col("method") != "MR Egger", F.col("pval")))
 
 
@@ -104,7 +104,8 @@ def t14_mr_all(v):
  a as (select gene, count(*) as nsnp, max(case when pt < 0.5e0 then row(pt, ratio) end) as lo, min(case when pt >= 0.5e0 then row(pt, ratio) end) as hi from cum group by 1)
 select gene, nsnp, {r('coalesce(lo[2] + (hi[2] - lo[2]) * (0.5e0 - lo[1]) / (hi[1] - lo[1]), lo[2], hi[2])', 'b')} from a""")
 def t14_weighted_median(v):
-    return meta.mr_estimate(_mr_rows(v), boot=2).where("method = 'Weighted median'").select("gene", "nsnp", "b")
+    """Its error and p are drawn; `t14_mr_all` has them."""
+    return meta.mr_estimate(_mr_rows(v)).where("method = 'Weighted median'").select("gene", "nsnp", "b")
 
 
 # --- range and key joins
@@ -147,12 +148,12 @@ def j8_drop_ambiguous(v):
     return linkage.drop_ambiguous(v("v_qtl"), ["rsid"], "type").select("rsid", "gene", "type")
 
 
-@query("""with a as (select vid as k, min(rsid) as x from v_variant where vid % 5 = 0 group by 1), b as (select vid as k, min(rsid) as x from v_variant where vid % 3 = 0 group by 1)
+@query("""with a as (select case when vid % 5 = 0 then vid else -vid end as k, min(rsid) as x from v_variant group by 1), b as (select case when vid % 3 = 0 then vid else -vid end as k, min(rsid) as x from v_variant group by 1)
 select q.vid, q.gene, coalesce(a.x, b.x) as hit, coalesce(a.x, b.x) is not null as linked from (select distinct vid, gene from v_qtl) q left join a on a.k = q.vid left join b on b.k = q.vid + 1""")
 def j10_lookup_two_keys(v):
     q = v("v_qtl").select("vid", "gene").distinct().withColumns({"k1": F.col("vid"), "k2": F.col("vid") + 1})
-    a = v("v_variant").where("vid % 5 = 0").select(F.col("vid").alias("k1"), F.col("rsid").alias("hit"))
-    b = v("v_variant").where("vid % 3 = 0").select(F.col("vid").alias("k2"), F.col("rsid").alias("hit"))
+    side = lambda by, k: v("v_variant").select(F.expr(f"case when vid % {by} = 0 then vid else -vid end").alias(k), F.col("rsid").alias("hit"))
+    a, b = side(5, "k1"), side(3, "k2")
     return linkage.lookup_two_keys(q, a, "k1", b, "k2", ["hit"]).select("vid", "gene", "hit", "linked")
 
 
@@ -549,10 +550,31 @@ def a26_donor_mean(v):
     return cells.donor_mean(v("v_cell"), ["cell_type"], "score", group="grp")
 
 
-@query()
+GSVA_DENSE = """e as (select sample_id, gene, cast(value as double) as value from v_expr), s as (select distinct sample_id from e),
+ g as (select gene from e, (select count(*) as n from s) c group by gene, n having max(value) > min(value) or (count(*) < n and (max(value) <> 0 or min(value) <> 0))),
+ d as (select gene, sample_id, coalesce(value, 0e0) as value from g cross join s left join e using (gene, sample_id))"""
+GSVA_WALK = """p as (select distinct program, gene from v_program where gene in (select gene from g)), z as (select program from p group by 1 having count(*) >= 3),
+ t as (select r.*, z.program, p.gene is not null as hit, {weight} as w from r cross join z left join p on p.program = z.program and p.gene = r.gene),
+ u as (select *, case when hit then w / sum(case when hit then w end) over a else -1e0 / sum(case when hit then 0 else 1 end) over a end as step from t window a as (partition by sample_id, program)),
+ x as (select sample_id, program, sum(step) over (partition by sample_id, program order by rank desc rows unbounded preceding) as es from u)"""
+
+
+@query(f"""with {GSVA_DENSE}, h as (select gene, stddev_samp(value) / 4 as h from d group by 1),
+ k as (select a.gene, a.sample_id, avg(case when a.value >= b.value then 1 - {two_sided_p_sql('((a.value - b.value) / h.h)')} / 2 else {two_sided_p_sql('((a.value - b.value) / h.h)')} / 2 end) as value from d a join d b on b.gene = a.gene join h on h.gene = a.gene group by 1, 2),
+ r as (select *, row_number() over (partition by sample_id order by value, gene) as rank, count(*) over (partition by sample_id) as n from k),
+ {GSVA_WALK.format(weight="abs(rank - n / 2e0)")}
+select sample_id, program, round(greatest(max(es), 0) + least(min(es), 0), 5) + 0e0 as score from x group by 1, 2""")
 def t17_gsva(v):
     e = v("v_expr").withColumn("value", F.col("value").cast("double"))
-    return programs.gsva(e, v("v_program"), min_size=3)
+    return programs.gsva(e, v("v_program"), min_size=3).withColumn("score", F.round("score", 5))
+
+
+@query(f"""with {GSVA_DENSE}, r as (select *, row_number() over (partition by sample_id order by value, gene) as rank, count(*) over (partition by sample_id) as n from d),
+ {GSVA_WALK.format(weight="pow(rank, 0.25e0)")}, y as (select sample_id, program, sum(es) as score from x group by 1, 2)
+select sample_id, program, round(score / (max(score) over () - min(score) over ()), 5) + 0e0 as score from y""")
+def t17_ssgsea(v):
+    e = v("v_expr").withColumn("value", F.col("value").cast("double"))
+    return programs.gsva(e, v("v_program"), method="ssgsea", min_size=3).withColumn("score", F.round("score", 5))
 
 
 @query("""with u as (select count(distinct gene) as total from v_expr), d as (select sample_id, gene, row_number() over (partition by sample_id order by value desc, gene) - 1 as r, count(*) over (partition by sample_id) as n from v_expr where value > 0),

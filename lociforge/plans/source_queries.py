@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.linkage import shared_folder
+from ..operators.shared import shared_folder
 from ..sources import tables
 from .registry import query
 
