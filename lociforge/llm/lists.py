@@ -1,11 +1,13 @@
 """Links between sets that meet on lists: the part that the n-gram join and the MinHash join have in common.
 
 A list holds the sets that show one key. Two turns pair each list's members with one leader, so that a large group of near
-copies costs few more comparisons than it has members; what is left of a list are members of different components. A list
-that has few of them is paired outright. A longer one is split by the next key that its members show: sets that can be
-linked show several common keys, so they meet again under their first two, three or more. Splitting works by set, so no task
-holds a list, and members that can't be linked any more with so many keys passed are left out on the way. No link between
-components is lost.
+copies costs few more comparisons than it has members; what matters of a list then are pairs of different components. Where
+they are few to a member they are formed outright, by the filters that places and sizes allow. Other lists are split by the
+next key that their members show: sets that can be linked show several common keys, so they meet again under their first
+two, three or more. Splitting works by set, so no task holds a list, and members that can't be linked any more with so many
+keys passed are left out on the way. Large sets show too many keys for that, but their places tell them apart well; they are
+paired without splitting. Where keys don't tell members apart enough, all of those lists go another way (`beyond`). No link
+between components is lost.
 """
 
 from __future__ import annotations
@@ -21,19 +23,21 @@ from .components import components
 
 #: Lists that hold more than one in so many of all members are hot: there are at most so many of them.
 HOT_LISTS = 10_000
-#: Members of different components that a list may have to be paired outright.
-FEW = 32
+#: Pairs of different components to a member that a list may have to be paired outright, and the size from which sets
+#: aren't split.
+FEW, LARGE = 32, 256
 
 
 @dataclass(frozen=True)
 class Rules:
     """What two members l and r of a list can have to do with each other, in SQL over their sizes and the places of the key
     in them (l.n, l.pos, r.n, r.pos), if the key is the d-th that they share: `pair(d)`. `member(d)`: whether a set can be
-    linked with any, over n and pos. `least`: how many keys linked sets share at least, `depth` the smallest such number,
+    linked with any, over n and pos, `short(d)`: whether with one that isn't smaller. `least`: how many keys linked sets share at least, `depth` the smallest such number,
     but for pairs that `early` lets meet at depth - 1."""
 
     pair: Callable[[int], str]
     member: Callable[[int], str]
+    short: Callable[[int], str]
     least: str
     depth: int
     early: str = "false"
@@ -69,44 +73,48 @@ def _led(members: DataFrame, hot: DataFrame, rules: Rules, turn: int) -> DataFra
     return pairs.groupBy("a", "b").agg(F.count("*").alias("lists"), F.min("least").alias("least")).where("lists >= least").select("a", "b")
 
 
-def _split(members: DataFrame, rules: Rules) -> DataFrame:
+def split(members: DataFrame, rules: Rules, beyond: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """All pairs of different components that may be linked, of members (key, sid, n, pos, root) whose lists hold several
-    components."""
-    mine = members.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("pos", "key"))).alias("keys"))  # at most a set's own keys
-    now = members.where(rules.member(1)).withColumnRenamed("key", "list")
-    mine = written(mine, "keys")
-    out = None
+    components. `beyond` returns those among the sets (sid, root) of longer lists, instead of splitting the lists."""
+    now, out, mine = members.where(rules.member(1)).withColumnRenamed("key", "list"), None, None
     for d in range(1, rules.depth + 1):
-        now = written(now.select("list", "sid", "n", "pos", "root"), "lists")
-        sizes = now.groupBy("list").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-        sizes = written(sizes.select("list", "size"), "sizes")
-        large = sizes.where(f"size > {FEW}").select("list")
-        small = sizes.where(f"size <= {FEW}").select("list") if d < rules.depth else sizes.select("list")
-        part = now.join(small, "list", "left_semi")
-        rest = now.join(large, "list", "left_semi") if d < rules.depth else None
-        if d == 1:  # the keys that two sets share are in short lists, where they are counted, or in long ones
-            in_large = rest.groupBy("sid").agg(F.count("*").alias("large"))
-            part = part.join(in_large, "sid", "left").withColumn("large", F.coalesce("large", F.lit(0)))
-        met = part.alias("l").join(part.alias("r"), (F.col("l.list") == F.col("r.list")) & (F.col("l.sid") < F.col("r.sid")))
-        if d == 1:
-            pairs = _sides(met, rules, d, f"{rules.least} - least(l.large, r.large) as least")
-            pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("lists"), F.min("least").alias("least")).where("lists >= least").select("a", "b")
+        last = d == rules.depth
+        now = now.select("list", "sid", "n", "pos", "root", F.expr(rules.short(d)).alias("short"))
+        of = now.groupBy("list", "root").agg(F.count("*").alias("m"), F.count_if("short").alias("s")).groupBy("list").agg(F.sum("m").alias("m"), F.sum("s").alias("s"), F.sum(F.col("m") * F.col("m")).alias("same"))
+        of = of.where("m * m > same and s > 0").select("list", F.expr(f"least(s * m, m * m - same) <= {FEW} * m").alias("few"))
+        now = written(now.join(written(of, "sizes"), "list"), "lists")
+        direct = "few" if beyond else "true" if last else f"few or n > {LARGE}"
+        left = now.where("short").where("true" if last or beyond else f"few or n * 2 > {LARGE}")  # linked sets aren't half as large
+        met = left.where(direct if beyond else "true").alias("l").join(now.where(direct).alias("r"), F.col("l.list") == F.col("r.list"))
+        met = met.where("l.n < r.n or (l.n = r.n and l.sid < r.sid)")
+        rest = now.where("not few" if beyond else f"not few and n <= {LARGE}")
+        if d == 1:  # the keys that two sets share are in lists that are paired here, where they are counted, or in the others
+            other = rest.groupBy("sid").agg(F.count("*").alias("other"))
+            pairs = _sides(met, rules, d, f"{rules.least} as least").groupBy("a", "b").agg(F.count("*").alias("lists"), F.min("least").alias("least"))
+            for side in "ab":
+                pairs = pairs.join(other.select(F.col("sid").alias(side), F.col("other").alias(f"other_{side}")), side, "left")
+            pairs = pairs.where("lists + least(coalesce(other_a, 0), coalesce(other_b, 0)) >= least").select("a", "b")
         else:
             pairs = _sides(met, rules, d)
         out = pairs if out is None else out.union(pairs)
-        if rest is None or rest.isEmpty():
+        if last or rest.isEmpty():
+            break
+        if beyond:
+            out = out.union(beyond(written(rest.select("sid", "root").distinct(), "beyond")))
             break
         if d == rules.depth - 1 and rules.early != "false":
             first = rest.where(rules.early)  # at most one a list
-            out = out.union(_sides(rest.alias("l").join(first.alias("r"), F.col("l.list") == F.col("r.list")), rules, d))
+            out = out.union(_sides(first.alias("l").join(rest.alias("r"), F.col("l.list") == F.col("r.list")), rules, d))
+        if mine is None:  # a set's own keys, of at most LARGE shingles
+            mine = written(rest.select("sid").distinct().join(members, "sid").groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("pos", "key"))).alias("keys")), "keys")
         later = rest.join(mine, "sid").select("list", "sid", "n", "root", F.expr("explode(filter(keys, x -> x.pos > pos))").alias("x"))
         now = later.select(F.xxhash64("list", "x.key").alias("list"), "sid", "n", "x.pos", "root").where(rules.member(d + 1))
     return out.distinct()
 
 
-def linked(members: DataFrame, rules: Rules, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked(members: DataFrame, rules: Rules, verified: Callable[[DataFrame], DataFrame], beyond: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Links (a, b) enough to give every component of the full join, from members (key, sid, np), np packing a set's size and
-    the key's place. `verified` returns those of distinct pairs (a, b) that are links."""
+    the key's place. `verified` returns those of distinct pairs (a, b) that are links, `beyond` is that of `split`."""
     links = tried = None
     hot = hot_lists(members)
     members = members.selectExpr("key", "sid", "cast(shiftright(np, 32) as int) as n", "cast(np & 4294967295 as int) as pos")
@@ -121,7 +129,7 @@ def linked(members: DataFrame, rules: Rules, verified: Callable[[DataFrame], Dat
             members = members.drop("root")
             if now.isEmpty():
                 break
-        pairs = _led(now, hot, rules, turn) if turn < 2 else _split(now, rules)
+        pairs = _led(now, hot, rules, turn) if turn < 2 else split(now, rules, beyond)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")

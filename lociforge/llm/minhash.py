@@ -5,8 +5,11 @@ sets meet (`lists.py`). A pair that met is compared a batch of its signatures at
 uniform prior, its similarity is Beta(m + 1, n - m + 1), and the pair is dropped as soon as the chance that it reaches the
 threshold is below the chosen miss probability. Pairs that pass all batches are compared on their whole sets.
 
-Two sets of similarity 0.85 share no band with a probability of 6e-11, and fewer than the three that long lists are split by
-with one of 4e-8 (32 bands of 4 hashes); the more similar, the less.
+Bands don't part sets just below the threshold from those above it, so what the leaders leave of a long list would all meet
+all. Its sets are candidates only if they also share one of their rarest shingles, which sets above the threshold do: the
+prefix filter of `ngram_join.py`, which loses nothing.
+
+Two sets of similarity 0.85 share no band with a probability of 6e-11 (32 bands of 4 hashes); the more similar, the less.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, bucketed, mix64, shingle_sets, shuffle_partitions, texts_of, written
 from .components import components
 from .lists import Rules, linked
-from .ngram_join import BATCH_BYTES, needed_sets, set_id, verified
+from .ngram_join import BATCH_BYTES, needed_sets, prefix_pairs, set_id, verified
 
 #: Hashes of a signature, bands that they form, and hashes to a batch of the comparison.
 HASHES, BANDS, STEP = 128, 32, 32
@@ -127,9 +130,9 @@ def survivors(pairs: DataFrame, sigs: DataFrame, percent: int, miss: float = MIS
 
 
 def band_rules(percent: int) -> Rules:
-    """Sets on one list may be linked if their sizes allow it; a long list is split by the next two bands."""
+    """Sets on one list may be linked if their sizes allow it."""
     size = f"least(l.n, r.n) * 100 >= {percent} * greatest(l.n, r.n) and {percent} * (l.n + r.n) <= {100 + percent} * (least(l.n, r.n) - if(l.n = r.n, 1, 0))"
-    return Rules(lambda d: size, lambda d: "true", "1", 3)
+    return Rules(lambda d: size, lambda d: "true", lambda d: "true", "1", 2)
 
 
 def minhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85, miss: float = MISS) -> DataFrame:
@@ -152,7 +155,8 @@ def minhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sigs = bucketed(about.where("sig is not null").groupBy("sid").agg(F.first("n").alias("n"), F.first("sig").alias("sig")), "sid", parts, "signatures")
     members = banded(sigs)
     sets = needed_sets(docs, width, members.select("sid"), parts)
-    root = components(linked(members, band_rules(percent), lambda pairs: verified(written(survivors(pairs, sigs, percent, miss), "survivors"), sets, percent)))
+    confirm = lambda pairs: verified(written(survivors(pairs, sigs, percent, miss), "survivors"), sets, percent)
+    root = components(linked(members, band_rules(percent), confirm, lambda some: prefix_pairs(some, sets, percent, parts)))
     named = mine.join(root, mine.sid == root.node, "left").select("doc_id", "n", F.coalesce("root", "sid").alias("root"))
     group = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     found = named.join(group, "root", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from .common import arrow_map, bucketed, mix64, shingle_sets, shuffle_partitions, texts_of, written
 from .components import components
-from .lists import Rules, hot_lists, linked, on_lists
+from .lists import Rules, hot_lists, linked, on_lists, split
 
 #: Hash buckets whose counts order the shingles, and how many of them travel in one row.
 SKETCH_BITS, CHUNK_BITS = 20, 14
@@ -178,6 +178,42 @@ def prefixes(docs: DataFrame, width: int, percent: int, rarity: np.ndarray) -> D
     return arrow_map(docs.select("text"), run, "key long, sid long, np long")
 
 
+def bucket_counts(sets: DataFrame, parts: int) -> np.ndarray:
+    """Counts of the hash buckets over the sets of a table (sid, keys)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(1 << SKETCH_BITS, np.int64)
+        for batch in batches:
+            for x in batch.column("keys"):
+                count += np.bincount(np.frombuffer(x.as_buffer(), np.uint64).astype(np.int64) & ((1 << SKETCH_BITS) - 1), minlength=len(count))
+        made = list(_chunks(SKETCH_BITS, CHUNK_BITS, count))
+        yield _rows({"chunk": [x[0] for x in made], "counts": [x[1] for x in made], "itemsize": [x[2] for x in made]}, {"chunk": pa.int32(), "counts": pa.binary(), "itemsize": pa.int32()})
+
+    return _table(arrow_map(sets.select("keys"), run, "chunk int, counts binary, itemsize int"), SKETCH_BITS, CHUNK_BITS, parts)
+
+
+def set_prefixes(sets: DataFrame, percent: int, rarity: np.ndarray) -> DataFrame:
+    """As `prefixes`, of the sets of a table (sid, keys)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for sid, x in zip(batch.column("sid").to_pylist(), batch.column("keys"), strict=True):
+                s = np.frombuffer(x.as_buffer(), np.uint64)
+                p = min(len(s), int(probe_length(len(s), percent)) + SHARED - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(order_keys(s, rarity)[:p].view(np.int64)), pa.array(np.full(p, sid, np.int64)), pa.array((len(s) << 32) | np.arange(p))], ["key", "sid", "np"])
+
+    return arrow_map(sets.select("sid", "keys"), run, "key long, sid long, np long")
+
+
+def prefix_pairs(some: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Pairs (a, b) of different components among classes (sid, root) that may be linked, by their prefixes."""
+    mine = written(sets.join(some.select("sid"), "sid", "left_semi"), "some")
+    rarity = rarity_classes(bucket_counts(mine, parts))
+    members = _in_enough_lists(written(meetings(set_prefixes(mine, percent, rarity), percent, parts), "members"), percent)
+    members = members.join(some, "sid").selectExpr("key", "sid", "cast(shiftright(np, 32) as int) as n", "cast(np & 4294967295 as int) as pos", "root")
+    return split(members, join_rules(percent))
+
+
 def _meets(na, pa_, nb, pb, percent: int):
     """Length, prefix and positional filters for a (not longer) and b at the places of a shared key, if it is among the
     first SHARED that they share: those, and the rest behind the key, bound the overlap."""
@@ -328,8 +364,11 @@ def join_rules(percent: int) -> Rules:
     def member(d: int) -> str:
         return f"(n - pos + {SHARED - 1 if d == 1 else d - 1}) * 100 >= {percent} * n"
 
+    def short(d: int) -> str:
+        return f"(n - pos + {SHARED - 1 if d == 1 else d - 1}) * {100 + percent} >= {2 * percent} * n"
+
     overlap = f"ceil({percent} * (l.n + r.n) / {100 + percent})"
-    return Rules(pair, member, f"least({SHARED}, {overlap})", SHARED, f"n < {SHARED}")
+    return Rules(pair, member, short, f"least({SHARED}, {overlap})", SHARED, f"n < {SHARED}")
 
 
 def _in_enough_lists(members: DataFrame, percent: int) -> DataFrame:
