@@ -2,7 +2,8 @@
 
 Features are the words of a text and the first four and five bytes of its words, A-Z lower-cased, present or not. The
 features that tell a category apart are chosen by Spark over the training rows; a logistic model per category is then
-fitted on them. Later models learn from earlier probabilities made out of fold, as a text will see them at scoring time.
+fitted on them. Later models learn from earlier probabilities made out of fold, as a text will see them at scoring time:
+neither the choice of features nor the weights behind them have seen the text.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bounded, texts_of
+from .common import arrow_map, bounded, texts_of, written
 
 #: Categories of the labels table, in chain order: name and condition.
 CATEGORIES = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"), ("toxic_low_quality", "toxic = 1 and quality = 0"))
@@ -43,26 +44,36 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories, max_rows: int)
     return bounded(rows.join(F.broadcast(chosen), "__id").select("__id", "text", *(f"y{i}" for i in range(len(ys)))), "__id", "text", max_rows)  # the broadcast too is bounded by max_rows
 
 
-def feature_counts(rows: DataFrame, n_categories: int) -> DataFrame:
-    """(feature, n, n0, n1, ...): rows that have the feature, and those of each category; summed per task first."""
+def feature_counts(rows: DataFrame, n_categories: int, folds: int) -> DataFrame:
+    """(fold, feature, n, n0, n1, ...): rows of the fold that have the feature, and those of each category; summed per task
+    first. The empty feature counts all rows."""
     names = ["n", *(f"n{i}" for i in range(n_categories))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = [Counter() for _ in names]
+        seen = [[Counter() for _ in names] for _ in range(folds)]
         for batch in batches:
             ys = list(zip(*(batch.column(f"y{i}").to_pylist() for i in range(n_categories)), strict=True))
-            for text, y in zip(texts_of(batch, "text"), ys, strict=True):
-                found = features(text)
-                seen[0].update(found)
-                for c, on in zip(seen[1:], y, strict=True):
+            for i, text, y in zip(batch.column("__id").to_pylist(), texts_of(batch, "text"), ys, strict=True):
+                found, mine = features(text) | {b""}, seen[hash_fold(i, folds)]
+                mine[0].update(found)
+                for c, on in zip(mine[1:], y, strict=True):
                     if on:
                         c.update(found)
-        kinds = list(seen[0])
-        cols = [pa.array(kinds, pa.binary()), *(pa.array([c[k] for k in kinds], pa.int64()) for c in seen)]
-        yield pa.RecordBatch.from_arrays(cols, ["feature", *names])
+        for fold, mine in enumerate(seen):
+            kinds = list(mine[0])
+            cols = [pa.array([fold] * len(kinds), pa.int32()), pa.array(kinds, pa.binary()), *(pa.array([c[k] for k in kinds], pa.int64()) for c in mine)]
+            yield pa.RecordBatch.from_arrays(cols, ["fold", "feature", *names])
 
-    made = arrow_map(rows, run, "feature binary, " + ", ".join(f"{x} long" for x in names))
-    return made.groupBy("feature").agg(*(F.sum(x).alias(x) for x in names))
+    made = arrow_map(rows, run, "fold int, feature binary, " + ", ".join(f"{x} long" for x in names))
+    return written(made.groupBy("fold", "feature").agg(*(F.sum(x).alias(x) for x in names)), "features")
+
+
+def chosen_without(counts: DataFrame, fold: int | None, n_categories: int, per_category: int) -> list[bytes]:
+    """`choose_features` over all folds but one."""
+    names = ["n", *(f"n{i}" for i in range(n_categories))]
+    rest = (counts if fold is None else counts.where(F.col("fold") != fold)).groupBy("feature").agg(*(F.sum(x).alias(x) for x in names))
+    totals = rest.where(F.col("feature") == F.lit(b"")).first()
+    return choose_features(rest.where(F.col("feature") != F.lit(b"")), [totals[x] for x in names], per_category) if totals else []
 
 
 def choose_features(counts: DataFrame, totals: list[int], per_category: int, min_rows: int = 5, least: float = 20.0) -> list[bytes]:
@@ -138,8 +149,10 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, max_row
     """Fits the chain on at most `max_rows` labelled documents; what comes to the driver is bounded by that and the chosen features."""
     rows = training_rows(docs, labels, categories, max_rows).cache()
     n_cat = len(categories)
-    sums = rows.agg(F.count("*"), *(F.sum(f"y{i}") for i in range(n_cat))).first()
-    words = choose_features(feature_counts(rows, n_cat), [x or 0 for x in sums], per_category)
+    counts = feature_counts(rows, n_cat, folds)
+    # What a fold's model may read is chosen without the fold, like all that it learns.
+    chosen = [set(chosen_without(counts, f, n_cat, per_category)) for f in (*range(folds), None)]
+    words = sorted(set().union(*chosen))
     index = {w: i for i, w in enumerate(words)}
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,16 +168,22 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, max_row
     col = np.array([c for x in got for c in x["cols"]], np.int64)
     y = np.array([[x[f"y{i}"] for i in range(n_cat)] for x in got], float).reshape(len(got), n_cat)
     fold = np.array([hash_fold(x["__id"], folds) for x in got], int)
+    cells = []  # those that each fold's models read, and the final ones, with their columns
+    for mine in chosen:
+        own = np.cumsum([w in mine for w in words]) - 1
+        go = np.array([w in mine for w in words], bool)[col] if len(words) else np.zeros(len(col), bool)
+        cells.append((row[go], own[col[go]] if len(words) else col[go], len(mine)))
     oof, models = np.zeros((len(got), n_cat)), []
     for i in range(n_cat):
         dense = oof[:, :i]
         for f in range(folds):
             a, b = fold != f, fold == f
-            new = np.cumsum(a) - 1
-            part = Logistic(len(words), i).fit(new[row[a[row]]], col[a[row]], dense[a], y[a, i])
-            oof[b, i] = probability(part.margin(row, col, dense))[b]
-        models.append(Logistic(len(words), i).fit(row, col, dense, y[:, i]))
-    return Chain([n for n, _ in categories], index, models)
+            new, (r, c, k) = np.cumsum(a) - 1, cells[f]
+            part = Logistic(k, i).fit(new[r[a[r]]], c[a[r]], dense[a], y[a, i])
+            oof[b, i] = probability(part.margin(r, c, dense))[b]
+        r, c, k = cells[-1]
+        models.append(Logistic(k, i).fit(r, c, dense, y[:, i]))
+    return Chain([n for n, _ in categories], {w: i for i, w in enumerate(sorted(chosen[-1]))}, models)
 
 
 def hash_fold(i: int, folds: int) -> int:
@@ -191,7 +210,8 @@ def score_chain(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col:
 
 
 def reject_toxic(docs: DataFrame, chain: Chain, judged: str = "toxic", threshold: float = 0.5) -> DataFrame:
-    """The rows of `docs`, with all their columns as they are, whose text isn't toxic by the chain."""
+    """The rows of `docs`, with all their columns as they are, whose text isn't toxic by the chain. Null and empty texts have
+    no features, rows that repeat are judged alike, texts are read whole, an empty table gives no rows."""
     at = chain.names.index(judged)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

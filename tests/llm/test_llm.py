@@ -107,6 +107,55 @@ def test_toxicity_chain_on_held_out_rows(spark):
     assert {x["doc_id"] for x in toxicity.reject_toxic(docs, chain).collect()} == {i for i in got if not got[i]["toxic"]}
 
 
+def test_chain_as_brute_force(spark):
+    """Choice of features, folds and ridge models in plain Python, solved by Newton's method: neither features nor weights
+    of a fold's model have seen the fold."""
+    r, rows, labs = random.Random(9), [], []
+    for i in range(240):
+        toxic, low = r.random() < 0.4, r.random() < 0.4
+        ws = [r.choice("abcd") for _ in range(4)] + [r.choice(["bad", "b"])] * (toxic and r.random() < 0.8) + [r.choice(["junk", "c"])] * (low and r.random() < 0.8) + [f"only{i}"]
+        rows.append((i, " ".join(ws), "en", "s", 1))
+        labs.append((i, int(not low), int(toxic)))
+    docs, labels = spark.createDataFrame(rows, DOC), spark.createDataFrame(labs, "doc_id long, quality int, toxic int")
+    chain = toxicity.fit_chain(docs, labels)
+    text = {i: toxicity.features(t.encode()) for i, t, *_ in rows}
+    y = np.array([(q == 0, t == 1, q == 0 and t == 1) for _, q, t in labs], float)
+    fold = np.array([toxicity.hash_fold(i, 3) for i in range(240)])
+
+    def choose(go):
+        chosen, n = set(), go.sum()
+        has = Counter(f for i in np.flatnonzero(go) for f in text[i])
+        for c in range(3):
+            on, pos = Counter(f for i in np.flatnonzero(go) if y[i, c] for f in text[i]), y[go, c].sum()
+            score = {f: n * ((on[f] * n - m * pos) / (pos * (n - pos))) * ((on[f] * n - m * pos) / (m * (n - m + 0.5))) for f, m in has.items() if m >= 5}
+            chosen |= {f for f, s in score.items() if s >= 20}
+        return sorted(chosen)
+
+    def fit(x, t):
+        """Least mean log loss plus 1e-3 / (2 n) times the squared weights, without the intercept."""
+        x, w, n = np.column_stack((x, np.ones(len(x)))), np.zeros(x.shape[1] + 1), len(x)
+        ridge = np.append(np.full(x.shape[1] - 1, 1e-3 / n), 0)
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-x @ w))
+            w = w - 0.7 * np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / n + np.diag(ridge) + 1e-9 * np.eye(len(w)), x.T @ (p - t) / n + ridge * w)
+        return w
+
+    table = lambda names, i: np.array([[f in text[k] for f in names] for k in i], float).reshape(len(i), len(names))
+    every, oof, p = np.arange(240), np.zeros((240, 3)), np.zeros((240, 3))
+    assert sorted(chain.words) == choose(every >= 0)
+    for c in range(3):
+        for f in range(3):
+            names, a, b = choose(fold != f), np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+            w = fit(np.column_stack((table(names, a), oof[a, :c])), y[a, c])
+            oof[b, c] = 1 / (1 + np.exp(-np.column_stack((table(names, b), oof[b, :c], np.ones(len(b)))) @ w))
+    for c in range(3):  # the final models learn from out-of-fold probabilities and are fed each other's
+        names = choose(every >= 0)
+        w = fit(np.column_stack((table(names, every), oof[:, :c])), y[:, c])
+        p[:, c] = 1 / (1 + np.exp(-np.column_stack((table(names, every), p[:, :c], np.ones(240))) @ w))
+    got = np.array([[x[f"p_{n}"] for n, _ in toxicity.CATEGORIES] for x in toxicity.score_chain(docs, chain).orderBy("doc_id").collect()])
+    assert np.abs(got - p).max() < 0.05 and np.abs(got - p).mean() < 0.01
+
+
 def test_toxicity_awkward_rows(spark):
     docs = some_docs(spark)
     labels = spark.createDataFrame([(0, 1, None), (None, 1, 1), (1, 1, 0), (1, 0, 1), (99, 1, 1)], "doc_id long, quality int, toxic int")
