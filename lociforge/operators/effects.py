@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import PCA
+import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
@@ -127,21 +127,59 @@ def selection_stats(df: DataFrame, keys: list[str], item: str) -> DataFrame:
 
 
 def pca(df: DataFrame, vec: str, k: int = 32, scale: bool = False) -> DataFrame:
-    """Adds pcs (array) and explained (array): principal components of centred (and scaled) vectors, the sign such that the
-    largest loading is positive. The covariance of the columns comes to the driver; columns are tracks, a few thousand at most."""
+    """Adds pcs (array) and explained (array, shares of the variance): principal components of centred (and scaled) vectors,
+    the sign such that the largest loading is positive.
+
+    Tasks sum products of whole batches, and their sums are added up in bands of rows of the matrix, so one pass over the
+    vectors gives counts, means and covariance; what comes to the driver is a square of the columns (tracks, a few thousand
+    at most), whatever rows there are. Loadings go back as arrays. Null vectors and null components count as 0 in the sums
+    and get components like any other; without rows or columns the arrays are empty.
+    """
     import numpy as np
+    import pyarrow as pa
 
-    v = df.withColumn("__v", array_to_vector(F.transform(vec, lambda x: x.cast("double"))))
-    m = v.agg(Summarizer.metrics("mean", "std").summary(F.col("__v")).alias("x")).select(vector_to_array("x.mean").alias("m"), vector_to_array("x.std").alias("s")).first()
-    if m is None or not m["m"]:
+    x = F.transform(F.coalesce(F.col(vec), F.array().cast("array<double>")), lambda v: F.coalesce(v.cast("double"), F.lit(0.0)))
+    width = df.agg(F.max(F.size(vec)).alias("w")).first()["w"] or 0
+    if width <= 0:
         return df.withColumns({"pcs": F.array().cast("array<double>"), "explained": F.array().cast("array<double>")})
-    mean, sd = np.array(m["m"]), np.array(m["s"])
-    inv = np.where(sd > 0, 1 / np.where(sd > 0, sd, 1), 0.0) if scale else np.ones(len(mean))
-    lit = lambda a: F.array(*(F.lit(float(x)) for x in a))
-    centred = F.zip_with(F.zip_with(F.transform(vec, lambda x: x.cast("double")), lit(mean), lambda a, b: a - b), lit(inv), lambda a, b: a * b)
-    v = df.withColumn("__v", array_to_vector(centred))
-    model = PCA(k=min(k, len(mean)), inputCol="__v", outputCol="__p").fit(v)
-    load = model.pc.toArray()
-    sign = np.sign(load[np.abs(load).argmax(0), np.arange(load.shape[1])])
-    out = model.transform(v).withColumn("pcs", F.zip_with(vector_to_array("__p"), lit(sign), lambda a, b: a * b))
-    return out.withColumn("explained", lit(model.explainedVariance.toArray())).drop("__v", "__p")
+
+    def table(vectors) -> np.ndarray:
+        flat, ends = vectors.flatten().to_numpy(zero_copy_only=False), np.diff(vectors.offsets.to_numpy())
+        if (ends == width).all():
+            return flat.reshape(-1, width)
+        out = np.zeros((len(ends), width))
+        out[np.repeat(np.arange(len(ends)), ends), np.concatenate([np.arange(n) for n in ends]) if len(ends) else []] = flat
+        return out
+
+    def sums(batches):
+        total = np.zeros((width + 1, width + 1))
+        for b in batches:
+            m = np.column_stack((np.ones(b.num_rows), table(b.column(0))))
+            total += m.T @ m
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width + 1)), pa.array(total.tolist(), pa.list_(pa.float64()))], ["i", "row"])
+
+    made = df.select(x.alias("x")).mapInArrow(sums, "i long, row array<double>").groupBy("i").agg(vector_to_array(Summarizer.sum(array_to_vector("row"))).alias("row"))
+    gram = np.zeros((width + 1, width + 1))
+    for r in made.collect():  # a row a column
+        gram[r["i"]] = r["row"]
+    n = gram[0, 0]
+    mean = gram[0, 1:] / n
+    cov = gram[1:, 1:] / n - np.outer(mean, mean)
+    sd = np.sqrt(np.maximum(np.diag(cov), 0) * n / max(1.0, n - 1))
+    inv = np.where(sd > 0, 1 / np.where(sd > 0, sd, 1), 0.0) if scale else np.ones(width)
+    value, load = np.linalg.eigh(cov * np.outer(inv, inv))
+    k = min(k, width)
+    value, load = np.maximum(value[::-1], 0), load[:, ::-1][:, :k]
+    load = load * np.sign(load[np.abs(load).argmax(0), np.arange(k)])
+    explained = (value[:k] / value.sum() if value.sum() > 0 else np.zeros(k)).tolist()
+    sent = df.sparkSession.sparkContext.broadcast((mean, inv[:, None] * load))  # columns times k
+
+    @F.pandas_udf("array<double>")
+    def project(v: pd.Series) -> pd.Series:
+        centre, back = sent.value
+        m = np.zeros((len(v), width))
+        for i, y in enumerate(v):
+            m[i, : len(y)] = y
+        return pd.Series(list((m - centre) @ back))
+
+    return df.withColumns({"pcs": project(x), "explained": F.array(*map(F.lit, explained))})

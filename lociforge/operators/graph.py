@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clean_gene
-from .shared import checkpointed
+from .shared import bucketed, checkpointed
 from .ordered import value_totals
 from .select import assign_folds, top_n
 from .stats import binary_metrics, regression_metrics
@@ -25,12 +25,13 @@ def rwr(edges: DataFrame, seeds: DataFrame, alphas: list[float] = (0.3,), signal
     """Random walk with restart: f <- alpha s + (1 - alpha) D^-1 A f, for all signals, keys (folds) and alphas in one pass a step.
 
     `seeds` has gene, the keys and the signals. Returns (keys, alpha, gene, signals) of every node reached; stops when the
-    change is below tol times the size of f, or after max_iter steps. The lineage is cut by a shared table every few steps.
+    change is below tol times the size of f, or after max_iter steps. The edges are bucketed by the node that a step reads, so
+    they stay where they are and only f is dealt out; the lineage is cut by a shared table every few steps.
     """
     keys, signals = list(keys), list(signals)
     both = edges.select("u", "v").union(edges.select("v", "u"))
     degree = both.groupBy("u").agg(F.count("*").alias("deg"))
-    steps = checkpointed(both.join(degree, "u").select(F.col("u").alias("gene"), F.col("v").alias("near"), (1.0 / F.col("deg")).alias("share")))
+    steps = bucketed(both.join(degree, "u").select(F.col("u").alias("gene"), F.col("v").alias("near"), (1.0 / F.col("deg")).alias("share")), "near")
     alpha = F.explode(F.array(*map(F.lit, map(float, alphas)))).alias("alpha")
     start = checkpointed(seeds.select(*keys, "gene", *(F.coalesce(F.col(s).cast("double"), F.lit(0.0)).alias(s) for s in signals), alpha))
     k = [*keys, "alpha"]

@@ -28,3 +28,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """As `checkpointed`, as a table bucketed and sorted by the key, a bucket a shuffle partition: joins on the key read it
+    where it is and deal out only the other side."""
+    spark, name = df.sparkSession, f"lociforge_step_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(parts, key).write.format("parquet").bucketBy(parts, key).sortBy(key).option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -45,23 +47,24 @@ def rank_sums(df: DataFrame, keys: list[str], group: str, value: str, case: str
 
 
 def _exact_u(n1: int, n2: int, u: float) -> float:
-    """Two-sided p of U without ties, from the counts of rank subsets."""
-    ways = np.zeros((n1 + 1, n1 * n2 + 1))
-    ways[0, 0] = 1
-    for j in range(1, n1 + n2 + 1):  # subsets of ranks, by size and by sum above the least
-        for k in range(min(j, n1), 0, -1):
-            shift = j - k
-            if shift <= n1 * n2:
-                ways[k, shift:] += ways[k - 1, : n1 * n2 + 1 - shift]
-    p = ways[n1] / ways[n1].sum()
-    top = int(max(u, n1 * n2 - u))
-    return float(min(1.0, 2 * p[top:].sum()))
+    """Two-sided p of U without ties. How many rank subsets have each U are the coefficients of the product over i up to n1 of
+    (1 - q^(n2 + i)) / (1 - q^i); only those of the smaller tail are made."""
+    n1, n2 = sorted((n1, n2))
+    low = int(min(u, n1 * n2 - u))
+    c = np.zeros(low + 1)
+    c[0] = 1
+    for i in range(1, n1 + 1):
+        steps = np.pad(c, (0, -len(c) % i)).reshape(-1, i)
+        c = np.cumsum(steps, 0).ravel()[: low + 1]
+        if n2 + i <= low:
+            c[n2 + i :] -= c[: low + 1 - n2 - i].copy()
+    return float(min(1.0, 2 * c.sum() / comb(n1 + n2, n1)))
 
 
 def mann_whitney(df: DataFrame, keys: list[str], group: str, value: str, case: str = "case", control: str = "control", exact_up_to: int = 8) -> DataFrame:
     """Two-sided U test by key: n1, n2, u, p, rank_biserial, median ranks. The normal form has tie and continuity
-    corrections; groups without ties whose smaller side has at most `exact_up_to` rows get the exact p. Keys with an
-    empty side have a null p."""
+    corrections; groups without ties whose smaller side has at most `exact_up_to` rows get the exact p, however many rows
+    the other side has. Keys with an empty side have a null p."""
     g = rank_sums(df, keys, group, value, case, control)
     n1, n2, n = F.col("n1"), F.col("n2"), F.col("n1") + F.col("n2")
     mean = n1 * n2 / 2.0
@@ -74,7 +77,7 @@ def mann_whitney(df: DataFrame, keys: list[str], group: str, value: str, case: s
     def exact(n1: pd.Series, n2: pd.Series, u: pd.Series) -> pd.Series:
         return pd.Series([_exact_u(int(a), int(b), c) for a, b, c in zip(n1, n2, u, strict=True)])
 
-    small = both & (F.least(n1, n2) <= exact_up_to) & (F.col("ties") == 0) & (n <= 400)
+    small = both & (F.least(n1, n2) <= exact_up_to) & (F.col("ties") == 0)
     few = g.where(small).withColumn("p", exact("n1", "n2", "u"))  # one row a key, only where it applies
     return g.where(~small | small.isNull()).unionByName(few).drop("r1", "ties")
 
