@@ -99,24 +99,37 @@ def ld_adjacency(ld: DataFrame, nodes: DataFrame, r2: float = 0.01) -> DataFrame
     return both.groupBy("u", "v").agg(F.max("r2").alias("r2"))
 
 
-def ld_prune(links: DataFrame, adjacency: DataFrame, keys: list[str], node: str = "gwas_vid", p: str = "pval") -> DataFrame:
-    """Within each key the linked variants fall into connected blocks of the adjacency; the smallest p of each block stays.
+def _star(edges: DataFrame, keys: list[str], large: bool) -> DataFrame:
+    """One star step over edges (keys, u, v), u > v. With m the least of a node and its neighbours, the larger neighbours are
+    linked to m (large), or the smaller ones and the node itself. Minima are combined before the shuffle."""
+    near = edges.select(*keys, "u", "v")
+    if large:
+        near = near.union(edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
+    low = near.groupBy(*keys, "u").agg(F.min("v").alias("m"))
+    met = near.join(low, [*keys, "u"]).withColumn("m", F.least("u", "m"))
+    new = met.where("v > u").select(*keys, F.col("v").alias("u"), F.col("m").alias("v")) if large else met.select(*keys, F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+    return new.where("u <> v").distinct()
+
+
+def keyed_components(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, u, block): the least node that each node with an edge (keys, u, v) reaches inside its keys. Stars are contracted
+    over all keys at once, in a number of rounds that grows as the logarithm of the longest chain."""
+    keys, seen = list(keys), None
+    now = checkpointed(edges.select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    while True:
+        mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*keys, "u", "v").cast("decimal(38,0)")).alias("h")).first()
+        if mark == seen:
+            break
+        seen, now = mark, checkpointed(_star(_star(now, keys, True), keys, False))
+    return now.select(*keys, "u", F.col("v").alias("block")).union(now.select(*keys, F.col("v").alias("u"), F.col("v").alias("block")).distinct())
+
 
-    Least labels spread over the edges of each key, with a jump to the label's own label, until nothing changes.
-    """
+def ld_prune(links: DataFrame, adjacency: DataFrame, keys: list[str], node: str = "gwas_vid", p: str = "pval") -> DataFrame:
+    """Within each key the linked variants fall into connected blocks of the adjacency; the smallest p of each block stays."""
     nodes = links.select(*keys, F.col(node).alias("u")).distinct()
     a, b = nodes.alias("a"), nodes.select(*keys, F.col("u").alias("v"))
-    edges = checkpointed(a.join(adjacency.select("u", "v"), "u").join(b, [*keys, "v"]).select(*keys, "u", "v"))
-    block = checkpointed(nodes.withColumn("block", F.col("u")))
-    while True:
-        near = edges.join(block.select(*keys, F.col("u").alias("v"), F.col("block").alias("other")), [*keys, "v"]).groupBy(*keys, "u").agg(F.min("other").alias("other"))
-        least = block.join(near, [*keys, "u"], "left").select(*keys, "u", "block", F.least("block", "other").alias("low"))
-        jump = least.select(*keys, F.col("u").alias("low"), F.col("low").alias("further"))
-        new = checkpointed(least.join(jump, [*keys, "low"], "left").select(*keys, "u", F.least("low", "further").alias("new"), "block"))
-        changed = new.where("new <> block").isEmpty()
-        block = new.select(*keys, "u", F.col("new").alias("block"))
-        if changed:
-            break
+    edges = a.join(adjacency.select("u", "v"), "u").join(b, [*keys, "v"]).select(*keys, "u", "v")
+    block = nodes.join(keyed_components(edges, keys), [*keys, "u"], "left").withColumn("block", F.coalesce("block", "u"))
     met = links.join(block.withColumnRenamed("u", node), [*keys, node])
     return best_per_key(met, [*keys, "block"], [F.col(p), F.col(node)]).drop("block")
 

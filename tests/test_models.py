@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lociforge.operators import effects, graph, models, stats
+from lociforge.operators import effects, graph, linkage, models, stats
 from lociforge.operators.shared import bucketed
 
 
@@ -150,3 +150,15 @@ def test_exact_u_for_any_size():
         for u in range(n1 * n2 + 1):
             assert abs(stats._exact_u(n1, n2, u) - min(1.0, 2 * np.mean([v <= min(u, n1 * n2 - u) for v in us]))) < 1e-12
     assert 0.9 < stats._exact_u(8, 100_000, 400_000) <= 1 and stats._exact_u(1, 1_000_000, 0) == pytest.approx(2 / 1_000_001)
+
+
+def test_blocks_of_long_chains_in_few_rounds(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(linkage, "checkpointed", lambda d, f=linkage.checkpointed: made.append(1) or f(d))
+    chain = list(range(1000))
+    random.Random(3).shuffle(chain)
+    edges = [("a", u, v) for u, v in itertools.pairwise(chain)] + [("b", 5, 900), ("b", 900, 7), ("b", 30, 31), ("a", 2000, 2001)]
+    got = {(x["k"], x["u"]): x["block"] for x in linkage.keyed_components(spark.createDataFrame(edges, "k string, u long, v long"), ["k"]).collect()}
+    assert got == {**{("a", i): 0 for i in range(1000)}, ("a", 2000): 2000, ("a", 2001): 2000, **{("b", i): 5 for i in (5, 7, 900)}, ("b", 30): 30, ("b", 31): 30}
+    assert len(made) <= 16
+    assert linkage.keyed_components(spark.createDataFrame([], "k string, u long, v long"), ["k"]).count() == 0
