@@ -2,8 +2,9 @@
 
 A block of text that leads to a licence cue, from a line, a sentence or the word where a template holding the cue would
 begin, is compressed alone and with each template as a raw zstandard
-dictionary. Templates are ranked by the bytes they save; in that order they are compared with the block word by word,
-and the first whose wording differs by few enough words is the finding.
+dictionary. Templates are ranked by the bytes they save; those that save enough are compared with the block word by word,
+and the one whose wording differs least, if by few enough words, is the finding. Words with digits may not differ: a notice
+of another version is another notice.
 """
 
 from __future__ import annotations
@@ -26,9 +27,22 @@ TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MIT-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "GPL-2.0-or-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL-2.1-or-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0-or-later": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "GPL-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+    "MPL-1.1": "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in compliance with the License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
@@ -52,9 +66,11 @@ def _cue_kind(cue: str) -> str:
 
 
 def changed_words(a: list[str], b: list[str]) -> int:
-    """Words to be put in, taken out or replaced to make b of a."""
-    ops = difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
-    return sum(max(i2 - i1, j2 - j1) for tag, i1, i2, j1, j2 in ops if tag != "equal")
+    """Words to be put in, taken out or replaced to make b of a; all of both where a word of a that holds a digit is among them."""
+    ops = [op for op in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if op[0] != "equal"]
+    if any(c.isdigit() for _, i, j, _, _ in ops for w in a[i:j] for c in w):
+        return len(a) + len(b)
+    return sum(max(i2 - i1, j2 - j1) for _, i1, i2, j1, j2 in ops)
 
 
 class Scanner:
@@ -93,12 +109,17 @@ class Scanner:
             if saved >= self.min_saved * alone:
                 ranked.append((saved / alone, saved, name, words, n, packer))
         ranked.sort(key=lambda x: (-x[0], -x[1], x[2]))
-        for _, _, name, words, n, packer in ranked:
+        best = None
+        for rank, (_, _, name, words, n, packer) in enumerate(ranked):
             tried = sorted({min(n + more, len(ends)) for more in range(int(self.max_changed * len(words)) + 1)})
             changed, n = min((changed_words(words, plain_words(text[start : ends[k]])), k) for k in tried)
-            if changed <= self.max_changed * len(words):
-                return name, ends[n], *self.sizes(text[start : ends[n]], packer), changed, changed / len(words)
-        return None
+            key = changed / len(words), -len(words), rank
+            if changed <= self.max_changed * len(words) and (best is None or key < best[0]):
+                best = key, name, n, packer, changed
+        if best is None:
+            return None
+        (share, *_), name, n, packer, changed = best
+        return name, ends[n], *self.sizes(text[start : ends[n]], packer), changed, share
 
     def sizes(self, block: str, packer) -> tuple[int, int]:
         """Bytes of a block compressed alone, and how many the template saves."""
@@ -145,9 +166,9 @@ def scan_licences(docs: DataFrame, templates: dict[str, str] = TEMPLATES, min_sa
     """One row per finding: doc_id, start (code points before it), licence, block_bytes (compressed alone), saved_bytes,
     changed_words.
 
-    Whole texts are searched, from each line, sentence or template's first word that leads to a cue. Null and empty texts have no finding, nor
+    Of templates that differ alike the longest is the finding, then the one that saves most. Whole texts are searched, from each line, sentence or template's first word that leads to a cue. Null and empty texts have no finding, nor
     do texts without cues, which don't leave Spark; null ids stay; rows with the same id are searched one by one; of
-    templates that save alike the first by name is tried first; an empty table gives no rows; other columns are not read.
+    templates that save alike the first by name goes first; an empty table gives no rows; other columns are not read.
     """
     rows = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text").where(F.col("text").rlike(CUES))
     kinds = [("doc_id", pa.int64()), ("start", pa.int64()), ("licence", pa.string()), ("block_bytes", pa.int64()), ("saved_bytes", pa.int64()), ("changed_words", pa.int64())]
