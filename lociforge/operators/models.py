@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import to_prob
 from .graph import rwr, rwr_predict
 from .shared import checkpointed
+from .ordered import numbered
 from .quantiles import quantiles
 from .select import assign_folds, avg_rank, best_per_key, binned_curve, permute_labels
 from .stats import binary_metrics, regression_metrics
@@ -108,15 +109,48 @@ def walk_ridge(edges: DataFrame, features: DataFrame, labels: DataFrame, names:
     return oof.select("repeat", "fold", "gene", "beta", "oof_pred", to_prob(F.col("oof_pred"), F.col("sd")).alias("oof_prob")), spark.createDataFrame(coef, "repeat int, fold int, feature string, coefficient double")
 
 
-#: Labelled genes that a permutation control takes at most; its tasks hold a matrix of so many rows and columns.
-MAX_LABELLED = 3000
+#: Labelled genes to a block of a permutation control, and permutations to a block.
+CONTROL_GENES, CONTROL_PERMS = 512, 50
 
 
-def _auroc(positive: np.ndarray, score: np.ndarray) -> float:
-    kinds, of, n = np.unique(score, return_inverse=True, return_counts=True)
-    rank = (np.cumsum(n) - (n - 1) / 2)[of]
-    p = int(positive.sum())
-    return float((rank[positive].sum() - p * (p + 1) / 2) / (p * (len(score) - p))) if 0 < p < len(score) else float("nan")
+def _control_blocks(rows: DataFrame, edges: DataFrame, names: list[str], n: int, walk_alpha: float, k: int, seed: int, **how) -> DataFrame:
+    """What a block of labelled genes of one fold knows for a block of permutations: rows (fold, block, perms, v, genes).
+
+    v has, for each fold, the walk of its genes' permuted signed confidences and of their confidences into this block's
+    genes: products of influence blocks with blocks of labels, summed. `genes` are the block's own (at, gene, up, conf, base
+    features, permuted labels). Influence is walked once from each gene, all together, and kept as files of blocks.
+    """
+    spark, size = rows.sparkSession, CONTROL_GENES
+    placed = numbered(rows, ["fold"], F.xxhash64("gene", F.lit(seed)), ["gene"], "__i")
+    placed = checkpointed(placed.withColumns({"block": (F.col("__i") / size).cast("int"), "at": (F.col("__i") % size).cast("int")}).drop("__i"))
+    moved = permute_labels(placed.select("gene", F.col("beta").alias("y")), ["gene"], "y", n, seed, "signs").withColumn("perms", (F.col("perm") / CONTROL_PERMS).cast("int"))
+    labels = moved.groupBy("gene", "perms").agg(F.sort_array(F.collect_list(F.struct("perm", "y"))).alias("y")).select("gene", "perms", F.col("y.y").alias("y"))  # CONTROL_PERMS of them
+    base = F.array(*(F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in names)).cast("array<double>").alias("base")
+    labels = placed.select("fold", "block", "gene", "at", (F.col("beta") > 0).alias("up"), "confidence", base).join(labels, "gene")
+    labels = checkpointed(labels.groupBy("fold", "block", "perms").agg(F.sort_array(F.collect_list(F.struct("at", "gene", "up", "confidence", "base", "y"))).alias("genes")))  # CONTROL_GENES of them
+    own = placed.select(F.col("gene").alias("seed"), "gene", F.lit(1.0).alias("s"))
+    met = rwr(edges, own, [walk_alpha], ["s"], ["seed"], **how)
+    to, of = placed.select("gene", "fold", "block", "at"), placed.select(F.col("gene").alias("seed"), F.col("fold").alias("sfold"), F.col("block").alias("sblock"), F.col("at").alias("sat"))
+    reach = met.join(to, "gene").join(of, "seed").groupBy("fold", "block", "sfold", "sblock").agg(F.collect_list(F.struct("at", "sat", "s")).alias("r"))  # a square of CONTROL_GENES
+    reach = checkpointed(reach)
+    seeds = labels.select(F.col("fold").alias("sfold"), F.col("block").alias("sblock"), "perms", F.col("genes.confidence").alias("conf"), F.col("genes.y").alias("y"))
+
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for r, conf, y in zip(b.column("r"), b.column("conf").to_pylist(), b.column("y").to_pylist(), strict=True):
+                m, conf = np.zeros((size, size)), np.array(conf)
+                at, sat, s = (r.values.field(i).to_numpy() for i in range(3))
+                m[at, sat] = s
+                m = m[:, : len(conf)]
+                out.append(np.column_stack((m @ (np.array(y) * conf[:, None]), m @ conf)).ravel())
+            kept = [b.column(c) for c in ("fold", "block", "sfold", "perms")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array([x.tolist() for x in out], pa.list_(pa.float64()))], ["fold", "block", "sfold", "perms", "v"])
+
+    parts = reach.join(seeds, ["sfold", "sblock"]).select("fold", "block", "sfold", "perms", "r", "conf", "y").mapInArrow(product, "fold int, block int, sfold int, perms int, v array<double>")
+    parts = parts.groupBy("fold", "block", "perms", "sfold").agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v"))
+    by_fold = parts.groupBy("fold", "block", "perms").agg(F.sort_array(F.collect_list(F.struct("sfold", "v"))).alias("v"))  # a row a fold
+    return checkpointed(labels.join(by_fold, ["fold", "block", "perms"], "left"))
 
 
 def permutation_control(edges: DataFrame, features: DataFrame, labels: DataFrame, names: list[str], observed: float, n: int = 1000, walk_alpha: float = 0.3, alpha: float = 10.0, k: int = 5, seed: int = 1, **how) -> tuple[DataFrame, DataFrame]:
@@ -124,43 +158,62 @@ def permutation_control(edges: DataFrame, features: DataFrame, labels: DataFrame
 
     Returns (permutation, auroc, sign_accuracy), measured against the true signs, and one row of observed, mean_permuted,
     sd_permuted, empirical_p = (1 + how many reach the observed one) / (n + 1) and n_permutations. The walk is linear in its
-    seeds, so it is made once, from each labelled gene alone (all together); permutations are dealt to tasks, which hold the
-    influence of labelled genes on each other. More than MAX_LABELLED labelled genes are an error.
+    seeds, so it is made once, from each labelled gene alone (all together). Refits are sums of products of blocks: no task
+    holds more than a block of genes and of permutations, and nothing but the fits' sums is gathered.
     """
+    spark = edges.sparkSession
     rows = labels.where("beta is not null and beta <> 0").select("gene", F.col("beta").cast("double").alias("beta"), F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)).alias("confidence"))
     rows = assign_folds(rows.withColumn("sign", F.col("beta") > 0).dropDuplicates(["gene"]), ["gene"], k, 1, seed, ["sign"]).join(features.select("gene", *names), "gene", "left")
-    rows = rows.limit(MAX_LABELLED + 1).collect()
-    if len(rows) > MAX_LABELLED:
-        raise ValueError(f"more than {MAX_LABELLED} labelled genes")
-    rows.sort(key=lambda x: x["gene"])
-    spark, genes = edges.sparkSession, {x["gene"]: i for i, x in enumerate(rows)}
-    own = spark.createDataFrame([(g, g, 1.0) for g in genes], "seed string, gene string, s double")
-    met = rwr(edges, own, [walk_alpha], ["s"], ["seed"], **how).join(F.broadcast(own.select("gene")), "gene", "left_semi")
-    reach = np.zeros((len(rows), len(rows)))
-    for x in met.select("gene", "seed", "s").toLocalIterator():
-        reach[genes[x["gene"]], genes[x["seed"]]] = x["s"]
-    base = np.array([[float(x[f] or 0.0) for f in names] for x in rows]).reshape(len(rows), len(names))
-    beta, conf, fold = (np.array([x[c] for x in rows], float) for c in ("beta", "confidence", "fold"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = np.where(conf > 0, conf, 1.0)
+    blocks = _control_blocks(checkpointed(rows.drop("repeat", "sign")), edges, names, n, walk_alpha, k, seed, **how)
+    width = len(names) + 4  # 1, features, walk, mass, label
+
+    def design(genes: list, v: list, held: int) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of a block for the fit without fold `held`, (permutations, genes, width), and their weights."""
+        y = np.array([g["y"] for g in genes])
+        walk = np.zeros((CONTROL_GENES, y.shape[1] + 1))
+        for x in v or []:
+            if x["sfold"] != held:
+                walk += np.array(x["v"]).reshape(walk.shape)
+        mass = walk[: len(genes), -1]
+        base, conf = np.array([g["base"] for g in genes]).reshape(len(genes), len(names)), np.array([g["confidence"] for g in genes])
+        z = np.empty((y.shape[1], len(genes), width))
+        z[:, :, 0], z[:, :, 1:-3], z[:, :, -2], z[:, :, -1] = 1, base, mass, y.T
+        z[:, :, -3] = (walk[: len(genes), :-1] / (mass + 1e-12)[:, None]).T
+        return z, np.where(conf > 0, conf, 1.0)
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for i in b.column(0).to_pylist():
-                y = np.abs(beta) * np.random.default_rng([seed, i]).permutation(np.sign(beta))
-                pred, prob = np.zeros(len(y)), np.zeros(len(y))
-                for f in np.unique(fold):
-                    tr, te = fold != f, fold == f
-                    mass = reach[:, tr] @ conf[tr]
-                    z = np.column_stack((np.ones(len(y)), base, reach[:, tr] @ (conf[tr] * y[tr]) / (mass + 1e-12), mass, y))
-                    g = np.stack((z[tr].T @ (z[tr] * w[tr, None]), z[tr].T @ z[tr]))
-                    cut, raw, _ = _solve(g, alpha)
-                    pred[te] = cut + z[te][:, 1:-1] @ raw
-                    prob[te] = 1 / (1 + np.exp(-pred[te] / _label_sd(g)))
-                out.append((i, _auroc(beta > 0, prob), float(((pred > 0) == (beta > 0)).mean()) if len(y) else float("nan")))
-            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate((pa.int64(), pa.float64(), pa.float64()))], ["permutation", "auroc", "sign_accuracy"])
-
-    null = checkpointed(spark.range(1, n + 1).repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, "permutation long, auroc double, sign_accuracy double"))
+            held_, perms, out = [], [], []
+            for fold, p, genes, v in zip(*(b.column(c).to_pylist() for c in ("fold", "perms", "genes", "v")), strict=True):
+                for held in range(k):
+                    if held != fold:
+                        z, w = design(genes, v, held)
+                        zt = z.transpose(0, 2, 1)
+                        held_.append(held)
+                        perms.append(p)
+                        out.append(np.stack((zt @ (z * w[:, None]), zt @ z), 1).ravel().tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(held_, pa.int32()), pa.array(perms, pa.int32()), pa.array(out, pa.list_(pa.float64()))], ["held", "perms", "g"])
+
+    sums = blocks.mapInArrow(grams, "held int, perms int, g array<double>").groupBy("held", "perms").agg(vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("g"))
+
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols: list[list] = [[], [], [], []]
+            for fold, p, genes, v, g in zip(*(b.column(c).to_pylist() for c in ("fold", "perms", "genes", "v", "g")), strict=True):
+                z, _ = design(genes, v, fold)
+                up = [x["up"] for x in genes]
+                for i, pair in enumerate(np.array(g).reshape(-1, 2, width, width)):
+                    cut, raw, _ = _solve(pair, alpha)
+                    pred = cut + z[i][:, 1:-1] @ raw
+                    prob = 1 / (1 + np.exp(-pred / _label_sd(pair)))
+                    for c, x in zip(cols, ([p * CONTROL_PERMS + i + 1] * len(up), up, pred.tolist(), prob.tolist()), strict=True):
+                        c += x
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.bool_(), pa.float64(), pa.float64()), strict=True)], ["permutation", "up", "pred", "prob"])
+
+    held = blocks.join(sums.withColumnRenamed("held", "fold"), ["fold", "perms"]).select("fold", "perms", "genes", "v", "g")
+    seen_ = checkpointed(held.mapInArrow(predict, "permutation long, up boolean, pred double, prob double").withColumn("y", F.col("up").cast("int")))
+    right = seen_.groupBy("permutation").agg(F.avg(((F.col("pred") > 0) == F.col("up")).cast("double")).alias("sign_accuracy"))
+    null = checkpointed(binary_metrics(seen_, "y", "prob", ["permutation"]).select("permutation", "auroc").join(right, "permutation"))
     seen = F.lit(float(observed))
     p = (1 + F.count_if(F.col("auroc") >= seen)) / (F.count("*") + 1)
     return null, null.agg(seen.alias("observed"), F.avg("auroc").alias("mean_permuted"), F.stddev_samp("auroc").alias("sd_permuted"), p.alias("empirical_p"), F.count("*").alias("n_permutations"))

@@ -162,3 +162,46 @@ def test_blocks_of_long_chains_in_few_rounds(spark, monkeypatch):
     assert got == {**{("a", i): 0 for i in range(1000)}, ("a", 2000): 2000, ("a", 2001): 2000, **{("b", i): 5 for i in (5, 7, 900)}, ("b", 30): 30, ("b", 31): 30}
     assert len(made) <= 16
     assert linkage.keyed_components(spark.createDataFrame([], "k string, u long, v long"), ["k"]).count() == 0
+
+
+def test_permutation_control_as_a_plain_loop(spark, monkeypatch):
+    """Blocks of few genes and permutations, against refitting each permutation on whole arrays."""
+    monkeypatch.setattr(models, "CONTROL_GENES", 4)
+    monkeypatch.setattr(models, "CONTROL_PERMS", 3)
+    dealt = []
+    monkeypatch.setattr(models, "permute_labels", lambda *a, f=models.permute_labels: dealt.append(f(*a)) or dealt[-1])
+    genes, p, edges = _graph(spark, 26, 8)
+    r = random.Random(2)
+    labels = [(g, r.choice([-2.0, -1.0, 0.5, 1.5]), r.choice([0.5, 1.0, None])) for g in genes[:22]]
+    feats = [(g, r.gauss(0, 1), None if i == 3 else r.gauss(0, 1)) for i, g in enumerate(genes)]
+    args = edges, spark.createDataFrame(feats, "gene string, x double, z double"), spark.createDataFrame([*labels, ("G25", None, 1.0), ("G24", 0.0, 1.0)], "gene string, beta double, confidence double"), ["x", "z"]
+    null, seen = models.permutation_control(*args, 0.6, n=8, k=3, tol=1e-12)
+    got = {x["permutation"]: x for x in null.collect()}
+    fold = {x["gene"]: x["fold"] for x in models.assign_folds(args[2].where("beta is not null and beta <> 0").withColumn("sign", F.col("beta") > 0), ["gene"], 3, 1, 1, ["sign"]).collect()}
+    mine = sorted(fold)
+    f, beta = np.array([fold[g] for g in mine]), np.array([dict((a, b) for a, b, _ in labels)[g] for g in mine])
+    conf = np.array([dict((a, c) for a, _, c in labels)[g] or 0.0 for g in mine])
+    w = np.where(conf > 0, conf, 1.0)
+    base = np.array([[dict((a, (b, c)) for a, b, c in feats)[g][j] or 0.0 for j in range(2)] for g in mine])
+    at = [genes.index(g) for g in mine]
+    reach = (0.3 * np.linalg.inv(np.eye(26) - 0.7 * p))[np.ix_(at, at)]
+    signs = {(x["gene"], x["perm"]): x["y"] for x in dealt[0].collect()}
+    assert sorted(got) == list(range(1, 9))
+    for perm in range(8):
+        y, prob = np.array([signs[g, perm] for g in mine]), np.zeros(22)
+        assert sorted(np.sign(y)) == sorted(np.sign(beta)) and (np.abs(y) == np.abs(beta)).all()
+        for k in range(3):
+            tr, te = f != k, f == k
+            mass = reach[:, tr] @ conf[tr]
+            x = np.column_stack((base, reach[:, tr] @ (conf[tr] * y[tr]) / (mass + 1e-12), mass))
+            sd = x[tr].std(0)
+            z, m = x[tr] / sd, np.average(y[tr], weights=w[tr])
+            c = z - np.average(z, axis=0, weights=w[tr])
+            b = np.linalg.solve((c * w[tr, None]).T @ c + 10 * np.eye(4), (c * w[tr, None]).T @ (y[tr] - m))
+            pred = m + (x[te] / sd - np.average(z, axis=0, weights=w[tr])) @ b
+            prob[te] = 1 / (1 + np.exp(-pred / y[tr].std()))
+        wins = sum((a > d) + (a == d) / 2 for a in prob[beta > 0] for d in prob[beta < 0])
+        assert abs(got[perm + 1]["auroc"] - wins / ((beta > 0).sum() * (beta < 0).sum())) < 1e-6
+        assert abs(got[perm + 1]["sign_accuracy"] - np.mean((prob > 0.5) == (beta > 0))) < 1e-9
+    s = seen.first()
+    assert s["n_permutations"] == 8 and s["empirical_p"] == pytest.approx((1 + sum(x["auroc"] >= 0.6 for x in got.values())) / 9)
