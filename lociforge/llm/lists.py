@@ -6,8 +6,8 @@ they are few to a member they are formed outright, by the filters that places an
 next key that their members show: sets that can be linked show several common keys, so they meet again under their first
 two, three or more. Splitting works by set, so no task holds a list, and members that can't be linked any more with so many
 keys passed are left out on the way. Large sets show too many keys for that, but their places tell them apart well; they are
-paired without splitting. Where keys don't tell members apart enough, all of those lists go another way (`beyond`). No link
-between components is lost.
+paired without splitting. Where keys don't tell members apart enough, the sets of longer lists are handed back, to meet on
+lists of another kind. No link between components is lost.
 """
 
 from __future__ import annotations
@@ -73,9 +73,9 @@ def _led(members: DataFrame, hot: DataFrame, rules: Rules, turn: int) -> DataFra
     return pairs.groupBy("a", "b").agg(F.count("*").alias("lists"), F.min("least").alias("least")).where("lists >= least").select("a", "b")
 
 
-def split(members: DataFrame, rules: Rules, beyond: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def split(members: DataFrame, rules: Rules, only_few: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """All pairs of different components that may be linked, of members (key, sid, n, pos, root) whose lists hold several
-    components. `beyond` returns those among the sets (sid, root) of longer lists, instead of splitting the lists."""
+    components. With `only_few` longer lists are not split: the sets (sid) on them are returned as well."""
     now, out, mine = members.where(rules.member(1)).withColumnRenamed("key", "list"), None, None
     for d in range(1, rules.depth + 1):
         last = d == rules.depth
@@ -83,11 +83,11 @@ def split(members: DataFrame, rules: Rules, beyond: Callable[[DataFrame], DataFr
         of = now.groupBy("list", "root").agg(F.count("*").alias("m"), F.count_if("short").alias("s")).groupBy("list").agg(F.sum("m").alias("m"), F.sum("s").alias("s"), F.sum(F.col("m") * F.col("m")).alias("same"))
         of = of.where("m * m > same and s > 0").select("list", F.expr(f"least(s * m, m * m - same) <= {FEW} * m").alias("few"))
         now = written(now.join(written(of, "sizes"), "list"), "lists")
-        direct = "few" if beyond else "true" if last else f"few or n > {LARGE}"
-        left = now.where("short").where("true" if last or beyond else f"few or n * 2 > {LARGE}")  # linked sets aren't half as large
-        met = left.where(direct if beyond else "true").alias("l").join(now.where(direct).alias("r"), F.col("l.list") == F.col("r.list"))
+        direct = "few" if only_few else "true" if last else f"few or n > {LARGE}"
+        left = now.where("short").where("true" if last or only_few else f"few or n * 2 > {LARGE}")  # linked sets aren't half as large
+        met = left.where(direct if only_few else "true").alias("l").join(now.where(direct).alias("r"), F.col("l.list") == F.col("r.list"))
         met = met.where("l.n < r.n or (l.n = r.n and l.sid < r.sid)")
-        rest = now.where("not few" if beyond else f"not few and n <= {LARGE}")
+        rest = now.where("not few" if only_few else f"not few and n <= {LARGE}")
         if d == 1:  # the keys that two sets share are in lists that are paired here, where they are counted, or in the others
             other = rest.groupBy("sid").agg(F.count("*").alias("other"))
             pairs = _sides(met, rules, d, f"{rules.least} as least").groupBy("a", "b").agg(F.count("*").alias("lists"), F.min("least").alias("least"))
@@ -99,9 +99,8 @@ def split(members: DataFrame, rules: Rules, beyond: Callable[[DataFrame], DataFr
         out = pairs if out is None else out.union(pairs)
         if last or rest.isEmpty():
             break
-        if beyond:
-            out = out.union(beyond(written(rest.select("sid", "root").distinct(), "beyond")))
-            break
+        if only_few:
+            return out.distinct(), written(rest.select("sid").distinct(), "long")
         if d == rules.depth - 1 and rules.early != "false":
             first = rest.where(rules.early)  # at most one a list
             out = out.union(_sides(first.alias("l").join(rest.alias("r"), F.col("l.list") == F.col("r.list")), rules, d))
@@ -109,17 +108,18 @@ def split(members: DataFrame, rules: Rules, beyond: Callable[[DataFrame], DataFr
             mine = written(rest.select("sid").distinct().join(members, "sid").groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("pos", "key"))).alias("keys")), "keys")
         later = rest.join(mine, "sid").select("list", "sid", "n", "root", F.expr("explode(filter(keys, x -> x.pos > pos))").alias("x"))
         now = later.select(F.xxhash64("list", "x.key").alias("list"), "sid", "n", "x.pos", "root").where(rules.member(d + 1))
-    return out.distinct()
+    return out.distinct(), None
 
 
-def linked(members: DataFrame, rules: Rules, verified: Callable[[DataFrame], DataFrame], beyond: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def linked(members: DataFrame, rules: Rules, verified: Callable[[DataFrame], DataFrame], links: DataFrame | None = None, only_few: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """Links (a, b) enough to give every component of the full join, from members (key, sid, np), np packing a set's size and
-    the key's place. `verified` returns those of distinct pairs (a, b) that are links, `beyond` is that of `split`."""
-    links = tried = None
+    the key's place, and from links that are known already. `verified` returns those of distinct pairs (a, b) that are links.
+    With `only_few` the links don't tell components apart on longer lists, and the sets (sid) that those hold come with them."""
+    tried = long = None
     hot = hot_lists(members)
     members = members.selectExpr("key", "sid", "cast(shiftright(np, 32) as int) as n", "cast(np & 4294967295 as int) as pos")
     for turn in range(3):
-        if turn == 0:
+        if links is None:
             now = members.withColumn("root", F.col("sid"))
         else:
             root = written(components(links), "roots")
@@ -129,11 +129,14 @@ def linked(members: DataFrame, rules: Rules, verified: Callable[[DataFrame], Dat
             members = members.drop("root")
             if now.isEmpty():
                 break
-        pairs = _led(now, hot, rules, turn) if turn < 2 else split(now, rules, beyond)
+        if turn < 2:
+            pairs = _led(now, hot, rules, turn if links is None else turn + 1)
+        else:
+            pairs, long = split(now, rules, only_few)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         tried = pairs if tried is None else tried.union(pairs)
         new = written(verified(pairs), "links")
         links = new if links is None else links.union(new)
-    return links
+    return links, long

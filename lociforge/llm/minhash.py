@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, bucketed, mix64, shingle_sets, shuffle_partitions, texts_of, written
 from .components import components
 from .lists import Rules, linked
-from .ngram_join import BATCH_BYTES, needed_sets, prefix_pairs, set_id, verified
+from .ngram_join import BATCH_BYTES, join_rules, needed_sets, prefix_members, set_id, verified
 
 #: Hashes of a signature, bands that they form, and hashes to a batch of the comparison.
 HASHES, BANDS, STEP = 128, 32, 32
@@ -156,7 +156,10 @@ def minhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     members = banded(sigs)
     sets = needed_sets(docs, width, members.select("sid"), parts)
     confirm = lambda pairs: verified(written(survivors(pairs, sigs, percent, miss), "survivors"), sets, percent)
-    root = components(linked(members, band_rules(percent), confirm, lambda some: prefix_pairs(some, sets, percent, parts)))
+    links, long = linked(members, band_rules(percent), confirm, only_few=True)
+    if long is not None:
+        links, _ = linked(prefix_members(long, sets, percent, parts), join_rules(percent), confirm, links)
+    root = components(links)
     named = mine.join(root, mine.sid == root.node, "left").select("doc_id", "n", F.coalesce("root", "sid").alias("root"))
     group = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     found = named.join(group, "root", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from .common import arrow_map, bucketed, mix64, shingle_sets, shuffle_partitions, texts_of, written
 from .components import components
-from .lists import Rules, hot_lists, linked, on_lists, split
+from .lists import Rules, hot_lists, linked, on_lists
 
 #: Hash buckets whose counts order the shingles, and how many of them travel in one row.
 SKETCH_BITS, CHUNK_BITS = 20, 14
@@ -205,13 +205,11 @@ def set_prefixes(sets: DataFrame, percent: int, rarity: np.ndarray) -> DataFrame
     return arrow_map(sets.select("sid", "keys"), run, "key long, sid long, np long")
 
 
-def prefix_pairs(some: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Pairs (a, b) of different components among classes (sid, root) that may be linked, by their prefixes."""
-    mine = written(sets.join(some.select("sid"), "sid", "left_semi"), "some")
+def prefix_members(some: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Members of the prefix lists (key, sid, np) of some classes (sid)."""
+    mine = written(sets.join(some, "sid", "left_semi"), "some")
     rarity = rarity_classes(bucket_counts(mine, parts))
-    members = _in_enough_lists(written(meetings(set_prefixes(mine, percent, rarity), percent, parts), "members"), percent)
-    members = members.join(some, "sid").selectExpr("key", "sid", "cast(shiftright(np, 32) as int) as n", "cast(np & 4294967295 as int) as pos", "root")
-    return split(members, join_rules(percent))
+    return _in_enough_lists(written(meetings(set_prefixes(mine, percent, rarity), percent, parts), "members"), percent)
 
 
 def _meets(na, pa_, nb, pb, percent: int):
@@ -390,7 +388,7 @@ def _classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Data
     members = written(meetings(prefixes(docs, width, percent, rarity), percent, parts), "members")
     members = _in_enough_lists(members, percent)
     sets = needed_sets(docs, width, members.select("sid"), parts)
-    links = linked(members, join_rules(percent), lambda pairs: verified(pairs, sets, percent))
+    links, _ = linked(members, join_rules(percent), lambda pairs: verified(pairs, sets, percent))
     return about.where("chunk is null").select("doc_id", "n", "sid"), components(links)
 
 
