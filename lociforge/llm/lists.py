@@ -25,7 +25,7 @@ from .components import components
 HOT_LISTS = 10_000
 #: Pairs of different components to a member that a list may have to be paired outright, and the size from which sets
 #: aren't split.
-FEW, LARGE = 32, 256
+FEW, LARGE = 32, 32
 
 
 @dataclass(frozen=True)
