@@ -157,16 +157,15 @@ def test_posterior_bounds_keep_what_reaches_the_threshold():
     assert kept[0.85] == 1 and kept[0.5] < 0.01 and kept[0.7] < 0.95
 
 
-@pytest.mark.parametrize("percent", [75, 85])
-def test_long_lists_are_split(spark, monkeypatch, percent):
+def test_long_lists_are_split(spark, monkeypatch):
     """Lists beyond a few members are split by their next keys: near copies around the threshold and short sets, all pairs."""
     monkeypatch.setattr(lists, "FEW", 4)
     rows = near_copies(120, 60, 12, 21, 0) + near_copies(80, 9, 3, 22, 200)
     r = random.Random(7)
     rows += [(400 + i, f"a{r.randrange(3)} b{r.randrange(3)} c c c c d{r.randrange(3)}" + f" e{r.randrange(3)}" * r.randrange(2)) for i in range(80)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    got = ngram_join.jaccard_groups(d, percent=percent).collect()
-    assert sorted(((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got), key=str) == groups(rows, percent)
+    got = ngram_join.jaccard_groups(d).collect()
+    assert sorted(((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got), key=str) == groups(rows, 75)
 
 
 def test_templated_short_texts_make_few_candidates(spark, monkeypatch):
