@@ -1,6 +1,6 @@
 """Links between sets that meet on lists: the part that the n-gram join and the MinHash join have in common.
 
-A list holds the sets that show one key. Two turns pair each list's members with one leader, so that a large group of near
+A list holds the sets that show one key. A few turns pair each list's members with one leader, so that a large group of near
 copies costs few more comparisons than it has members; what matters of a list then are pairs of different components. Where
 they are few to a member they are formed outright, by the filters that places and sizes allow. Other lists are split by the
 next key that their members show: sets that can be linked show several common keys, so they meet again under their first
@@ -26,6 +26,8 @@ HOT_LISTS = 10_000
 #: Pairs of different components to a member that a list may have to be paired outright, and the size from which sets
 #: aren't split.
 FEW, LARGE = 32, 32
+#: Turns in which lists meet a leader.
+LEADERS = 3
 
 
 @dataclass(frozen=True)
@@ -118,7 +120,7 @@ def linked(members: DataFrame, rules: Rules, verified: Callable[[DataFrame], Dat
     tried = long = None
     hot = hot_lists(members)
     members = members.selectExpr("key", "sid", "cast(shiftright(np, 32) as int) as n", "cast(np & 4294967295 as int) as pos")
-    for turn in range(3):
+    for turn in range(LEADERS + 1):
         if links is None:
             now = members.withColumn("root", F.col("sid"))
         else:
@@ -129,7 +131,7 @@ def linked(members: DataFrame, rules: Rules, verified: Callable[[DataFrame], Dat
             members = members.drop("root")
             if now.isEmpty():
                 break
-        if turn < 2:
+        if turn < LEADERS:
             pairs = _led(now, hot, rules, turn if links is None else turn + 1)
         else:
             pairs, long = split(now, rules, only_few)
