@@ -27,7 +27,7 @@ HOT_LISTS = 10_000
 #: aren't split.
 FEW, LARGE = 32, 32
 #: Turns in which lists meet a leader.
-LEADERS = 3
+LEADERS = 2
 
 
 @dataclass(frozen=True)
