@@ -6,7 +6,8 @@ they are few to a member they are formed outright, by the filters that places an
 next key that their members show: sets that can be linked show several common keys, so they meet again under their first
 two, three or more. Splitting works by set, so no task holds a list, and members that can't be linked any more with so many
 keys passed are left out on the way. Large sets show too many keys for that, but their places tell them apart well; they are
-paired without splitting. Where keys don't tell members apart enough, the sets of longer lists are handed back, to meet on
+paired without splitting. Pairs also have to agree on the parity bits of their whole sets, which can differ in no more bits than
+the sets do in elements. Where keys don't tell members apart enough, the sets of longer lists are handed back, to meet on
 lists of another kind. No link between components is lost.
 """
 
@@ -28,6 +29,8 @@ HOT_LISTS = 10_000
 FEW, LARGE = 32, 32
 #: Turns in which lists meet a leader.
 LEADERS = 2
+#: Columns of a set's parity bits, 64 to each.
+BITS = ("m0", "m1", "m2", "m3")
 
 
 @dataclass(frozen=True)
@@ -35,13 +38,14 @@ class Rules:
     """What two members l and r of a list can have to do with each other, in SQL over their sizes and the places of the key
     in them (l.n, l.pos, r.n, r.pos), if the key is the d-th that they share: `pair(d)`. `member(d)`: whether a set can be
     linked with any, over n and pos, `short(d)`: whether with one that isn't smaller. `least`: how many keys linked sets share at least, `depth` the smallest such number,
-    but for pairs that `early` lets meet at depth - 1."""
+    but for pairs that `early` lets meet at depth - 1. `apart`: how many elements at most are in one of two linked sets only."""
 
     pair: Callable[[int], str]
     member: Callable[[int], str]
     short: Callable[[int], str]
     least: str
     depth: int
+    apart: str
     early: str = "false"
 
 
@@ -59,9 +63,11 @@ def on_lists(left: DataFrame, right: DataFrame, hot: DataFrame, how: str, then:
     return then(rest).union(then(left.join(F.broadcast(right.join(few, "key", "left_semi")), "key", how)))
 
 
-def _sides(met: DataFrame, rules: Rules, d: int, also: str = "") -> DataFrame:
-    """The pairs (a, b) that pass the filters, of members l and r that met."""
+def _sides(met: DataFrame, rules: Rules, d: int, also: str = "", bits: bool = True) -> DataFrame:
+    """The pairs (a, b) that pass the filters, of members l and r that met, with their parity bits or without."""
     met = met.where(f"l.root <> r.root and {rules.pair(d)}")
+    if bits:
+        met = met.where(" + ".join(f"bit_count(l.{m} ^ r.{m})" for m in BITS) + f" <= {rules.apart}")
     return met.selectExpr("least(l.sid, r.sid) as a", "greatest(l.sid, r.sid) as b", *([also] if also else []))
 
 
@@ -71,17 +77,17 @@ def _led(members: DataFrame, hot: DataFrame, rules: Rules, turn: int) -> DataFra
     turn_of = F.xxhash64("root", F.lit(turn)) if turn else F.lit(0)
     pick = F.struct(turn_of.alias("turn"), "often", "sid", "n", "pos", "root")
     lead = members.join(often, "sid").groupBy("key").agg(F.max(pick).alias("x")).select("key", "x.sid", "x.n", "x.pos", "x.root")
-    pairs = on_lists(members.alias("l"), lead.alias("r"), hot, "inner", lambda met: _sides(met, rules, 1, f"{rules.least} as least"))
+    pairs = on_lists(members.alias("l"), lead.alias("r"), hot, "inner", lambda met: _sides(met, rules, 1, f"{rules.least} as least", bits=False))
     return pairs.groupBy("a", "b").agg(F.count("*").alias("lists"), F.min("least").alias("least")).where("lists >= least").select("a", "b")
 
 
 def split(members: DataFrame, rules: Rules, only_few: bool = False) -> tuple[DataFrame, DataFrame | None]:
-    """All pairs of different components that may be linked, of members (key, sid, n, pos, root) whose lists hold several
+    """All pairs of different components that may be linked, of members (key, sid, n, pos, root, BITS) whose lists hold several
     components. With `only_few` longer lists are not split: the sets (sid) on them are returned as well."""
     now, out, mine = members.where(rules.member(1)).withColumnRenamed("key", "list"), None, None
     for d in range(1, rules.depth + 1):
         last = d == rules.depth
-        now = now.select("list", "sid", "n", "pos", "root", F.expr(rules.short(d)).alias("short"))
+        now = now.select("list", "sid", "n", "pos", "root", *BITS, F.expr(rules.short(d)).alias("short"))
         of = now.groupBy("list", "root").agg(F.count("*").alias("m"), F.count_if("short").alias("s")).groupBy("list").agg(F.sum("m").alias("m"), F.sum("s").alias("s"), F.sum(F.col("m") * F.col("m")).alias("same"))
         of = of.where("m * m > same and s > 0").select("list", F.expr(f"least(s * m, m * m - same) <= {FEW} * m").alias("few"))
         now = written(now.join(written(of, "sizes"), "list"), "lists")
@@ -108,14 +114,14 @@ def split(members: DataFrame, rules: Rules, only_few: bool = False) -> tuple[Dat
             out = out.union(_sides(first.alias("l").join(rest.alias("r"), F.col("l.list") == F.col("r.list")), rules, d))
         if mine is None:  # a set's own keys, of at most LARGE shingles
             mine = written(rest.select("sid").distinct().join(members, "sid").groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("pos", "key"))).alias("keys")), "keys")
-        later = rest.join(mine, "sid").select("list", "sid", "n", "root", F.expr("explode(filter(keys, x -> x.pos > pos))").alias("x"))
-        now = later.select(F.xxhash64("list", "x.key").alias("list"), "sid", "n", "x.pos", "root").where(rules.member(d + 1))
+        later = rest.join(mine, "sid").select("list", "sid", "n", "root", *BITS, F.expr("explode(filter(keys, x -> x.pos > pos))").alias("x"))
+        now = later.select(F.xxhash64("list", "x.key").alias("list"), "sid", "n", "x.pos", "root", *BITS).where(rules.member(d + 1))
     return out.distinct(), None
 
 
-def linked(members: DataFrame, rules: Rules, verified: Callable[[DataFrame], DataFrame], links: DataFrame | None = None, only_few: bool = False) -> tuple[DataFrame, DataFrame | None]:
+def linked(members: DataFrame, bits: DataFrame, rules: Rules, verified: Callable[[DataFrame], DataFrame], links: DataFrame | None = None, only_few: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """Links (a, b) enough to give every component of the full join, from members (key, sid, np), np packing a set's size and
-    the key's place, and from links that are known already. `verified` returns those of distinct pairs (a, b) that are links.
+    the key's place, from `bits` (sid, BITS) of all sets, and from links that are known already. `verified` returns those of distinct pairs (a, b) that are links.
     With `only_few` the links don't tell components apart on longer lists, and the sets (sid) that those hold come with them."""
     tried = long = None
     hot = hot_lists(members)
@@ -134,7 +140,7 @@ def linked(members: DataFrame, rules: Rules, verified: Callable[[DataFrame], Dat
         if turn < LEADERS:
             pairs = _led(now, hot, rules, turn if links is None else turn + 1)
         else:
-            pairs, long = split(now, rules, only_few)
+            pairs, long = split(now.join(bits, "sid"), rules, only_few)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")

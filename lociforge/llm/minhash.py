@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, bucketed, mix64, shingle_sets, shuffle_partitions, texts_of, written
 from .components import components
 from .lists import Rules, linked
-from .ngram_join import BATCH_BYTES, join_rules, needed_sets, prefix_members, set_id, verified
+from .ngram_join import BATCH_BYTES, join_rules, most_apart, needed_sets, parity_bits, prefix_members, set_id, verified
 
 #: Hashes of a signature, bands that they form, and hashes to a batch of the comparison.
 HASHES, BANDS, STEP = 128, 32, 32
@@ -132,7 +132,7 @@ def survivors(pairs: DataFrame, sigs: DataFrame, percent: int, miss: float = MIS
 def band_rules(percent: int) -> Rules:
     """Sets on one list may be linked if their sizes allow it."""
     size = f"least(l.n, r.n) * 100 >= {percent} * greatest(l.n, r.n) and {percent} * (l.n + r.n) <= {100 + percent} * (least(l.n, r.n) - if(l.n = r.n, 1, 0))"
-    return Rules(lambda d: size, lambda d: "true", lambda d: "true", "1", 2)
+    return Rules(lambda d: size, lambda d: "true", lambda d: "true", "1", 2, most_apart(percent))
 
 
 def minhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85, miss: float = MISS) -> DataFrame:
@@ -156,9 +156,10 @@ def minhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     members = banded(sigs)
     sets = needed_sets(docs, width, members.select("sid"), parts)
     confirm = lambda pairs: verified(written(survivors(pairs, sigs, percent, miss), "survivors"), sets, percent)
-    links, long = linked(members, band_rules(percent), confirm, only_few=True)
+    bits = parity_bits(sets, parts)
+    links, long = linked(members, bits, band_rules(percent), confirm, only_few=True)
     if long is not None:
-        links, _ = linked(prefix_members(long, sets, percent, parts), join_rules(percent), confirm, links)
+        links, _ = linked(prefix_members(long, sets, percent, parts), bits, join_rules(percent), confirm, links)
     root = components(links)
     named = mine.join(root, mine.sid == root.node, "left").select("doc_id", "n", F.coalesce("root", "sid").alias("root"))
     group = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))

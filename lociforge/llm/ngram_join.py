@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from .common import arrow_map, bucketed, mix64, shingle_sets, shuffle_partitions, texts_of, written
 from .components import components
-from .lists import Rules, hot_lists, linked, on_lists
+from .lists import BITS, Rules, hot_lists, linked, on_lists
 
 #: Hash buckets whose counts order the shingles, and how many of them travel in one row.
 SKETCH_BITS, CHUNK_BITS = 20, 14
@@ -315,6 +315,23 @@ def needed_sets(docs: DataFrame, width: int, sids: DataFrame, parts: int) -> Dat
     return bucketed(found.groupBy("sid").agg(F.first("keys").alias("keys")), "sid", parts, "sets")
 
 
+def parity_bits(sets: DataFrame, parts: int) -> DataFrame:
+    """For every set of a table (sid, keys) the BITS of how many of its shingles fall to each of as many places, odd or even.
+    A shingle that only one of two sets has turns one bit, so sets differ in at least as many shingles as bits."""
+    places = 64 * len(BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            odd = np.zeros((len(batch), places), np.uint8)
+            for i, x in enumerate(batch.column("keys")):
+                s = mix64(np.frombuffer(x.as_buffer(), np.uint64))
+                odd[i] = np.bincount((s & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+            bits = np.packbits(odd, axis=1).view("<i8")
+            yield pa.RecordBatch.from_arrays([batch.column("sid"), *(pa.array(bits[:, i]) for i in range(len(BITS)))], ["sid", *BITS])
+
+    return bucketed(arrow_map(sets.select("sid", "keys"), run, "sid long, " + ", ".join(f"{m} long" for m in BITS)), "sid", parts, "bits")
+
+
 def may_overlap(x: np.ndarray, y: np.ndarray, least: int, depth: int = 3) -> bool:
     """Suffix filter: split both sorted sets at the middle key of one; sizes on either side bound what they can share."""
 
@@ -346,6 +363,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return arrow_map(both.select("a", "b", "x", "y"), run, "a long, b long")
 
 
+def most_apart(percent: int) -> str:
+    """SQL of how many shingles at most are in one of two linked sets only: what the least overlap leaves of both."""
+    return f"l.n + r.n - 2 * ceil({percent} * (l.n + r.n) / {100 + percent})"
+
+
 def join_rules(percent: int) -> Rules:
     """The filters in SQL. Of two different sets of sizes n and m, 100 * intersection >= percent * union asks for
     ceil(percent * (n + m) / (100 + percent)) common shingles: fewer than either has if the sizes are equal. If the d-th
@@ -366,7 +388,7 @@ def join_rules(percent: int) -> Rules:
         return f"(n - pos + {SHARED - 1 if d == 1 else d - 1}) * {100 + percent} >= {2 * percent} * n"
 
     overlap = f"ceil({percent} * (l.n + r.n) / {100 + percent})"
-    return Rules(pair, member, short, f"least({SHARED}, {overlap})", SHARED, f"n < {SHARED}")
+    return Rules(pair, member, short, f"least({SHARED}, {overlap})", SHARED, most_apart(percent), f"n < {SHARED}")
 
 
 def _in_enough_lists(members: DataFrame, percent: int) -> DataFrame:
@@ -388,7 +410,7 @@ def _classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Data
     members = written(meetings(prefixes(docs, width, percent, rarity), percent, parts), "members")
     members = _in_enough_lists(members, percent)
     sets = needed_sets(docs, width, members.select("sid"), parts)
-    links, _ = linked(members, join_rules(percent), lambda pairs: verified(pairs, sets, percent))
+    links, _ = linked(members, parity_bits(sets, parts), join_rules(percent), lambda pairs: verified(pairs, sets, percent))
     return about.where("chunk is null").select("doc_id", "n", "sid"), components(links)
 
 

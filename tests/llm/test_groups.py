@@ -37,10 +37,12 @@ def trie(rows):
     for n in nodes:
         if n:
             kids[n[:-1]].add(n)
-    for n, m in nodes.items():
-        for d in range(len(n) + 1):
-            leaves[n[:d]] += not kids[n]
-            saved[n[:d]] += (len(m) - 1) * len(n[-1][1]) if n else 0
+    for n in sorted(nodes, key=len, reverse=True):
+        leaves[n] += not kids[n]
+        saved[n] += (len(nodes[n]) - 1) * len(n[-1][1]) if n else 0
+        if n:
+            leaves[n[:-1]] += leaves[n]
+            saved[n[:-1]] += saved[n]
     ends = {n: ",".join(map(str, sorted(c for c in m if len(built[c]) == len(n)))) for n, m in nodes.items()}
     return sorted((min(m), len(n), min(nodes[n[:-1]]) if n else -1, len(m), len(kids[n]), leaves[n], saved[n], hashlib.sha256(ends[n].encode()).hexdigest()) for n, m in nodes.items())
 
@@ -178,6 +180,21 @@ def test_templated_short_texts_make_few_candidates(spark, monkeypatch):
     assert got == len({t for _, t in rows}) and sum(made) < 1000
 
 
+def test_parity_bits_bound_what_two_sets_differ_in(spark):
+    """They never differ in more bits than elements, so no link at the threshold is lost; unlike sets differ in more."""
+    rng = np.random.default_rng(2)
+    made = [np.unique(rng.integers(0, 2**64, n, np.uint64)) for n in (1, 2, 7, 40, 150, 3000)]
+    rows = [(2 * i, s.tobytes()) for i, s in enumerate(made)]
+    rows += [(2 * i + 1, np.sort(np.concatenate((s[len(s) // 7 :], rng.integers(0, 2**64, len(s) // 7, np.uint64)))).tobytes()) for i, s in enumerate(made)]
+    got = {x["sid"]: x for x in ngram_join.parity_bits(spark.createDataFrame(rows, "sid long, keys binary"), 4).collect()}
+    sets = {k: set(np.frombuffer(x, np.uint64).tolist()) for k, x in rows}
+    apart = {(a, b): sum(bin((got[a][m] ^ got[b][m]) & (2**64 - 1)).count("1") for m in lists.BITS) for a in sets for b in sets}
+    assert all(n <= len(sets[a] ^ sets[b]) and n % 2 == len(sets[a] ^ sets[b]) % 2 for (a, b), n in apart.items())
+    most = lambda a, b: len(sets[a]) + len(sets[b]) - 2 * -(-75 * (len(sets[a]) + len(sets[b])) // 175)
+    assert all(apart[a, a + 1] <= most(a, a + 1) for a in (6, 8, 10)) and apart[6, 7] > 0
+    assert apart[8, 6] > most(8, 6)
+
+
 # --- source divergence
 
 
