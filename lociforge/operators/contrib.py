@@ -86,6 +86,16 @@ def deconvolve_rollup(df: DataFrame, level: list[str], context: list[str] = ("ce
     return unique_rank(share(g, "abs_value", context), "abs_value", context, level)
 
 
+def deconvolve_sums(contrib: DataFrame, contexts: DataFrame, level: list[str], context: list[str] = ("cell_type", "disease")) -> DataFrame:
+    """`deconvolve_rollup` of `deconvolve`, without a row a contribution and context: a context scales all contributions of
+    a level alike, so they are summed by level first and only the sums meet the contexts."""
+    context, level = list(context), list(level)
+    s = contrib.groupBy(*level).agg(F.sum("contribution").alias("__s"), F.sum(F.abs("contribution")).alias("__a"), F.count("*").alias("__n"))
+    g = cross_context(s, contexts).groupBy(*context, *level)
+    g = g.agg(F.sum(F.col("__s") * F.col("cscore")).alias("value"), F.sum(F.col("__a") * F.abs("cscore")).alias("abs_value"), F.sum("__n").alias("n_rows"))
+    return unique_rank(share(g, "abs_value", context), "abs_value", context, level)
+
+
 def network_tables(df: DataFrame, context: str = "cell_type") -> tuple[DataFrame, DataFrame]:
     """Typed nodes and summed edges of variant -> gene -> context."""
     kind = lambda t, c: F.concat(F.lit(f"{t}:"), F.col(c))
