@@ -99,9 +99,9 @@ def kruskal(df: DataFrame, keys: list[str], group: str, value: str) -> DataFrame
     per = joined(per, ranks.select(*keys, value, "__r"), [*keys, value]).groupBy(*keys, group).agg(F.sum("__m").alias("m"), F.sum(F.col("__r") * F.col("__m")).alias("r"))
     g = per.groupBy(*keys).agg(F.count("*").alias("n_groups"), F.sum("m").alias("n"), F.sum(F.col("r") * F.col("r") / F.col("m")).alias("q"))
     g = joined(g, ties, keys)
-    n = F.col("n")
+    n = F.col("n").cast("double")  # its cube is beyond whole numbers from 2.1 million rows
     h = 12.0 / (n * (n + 1)) * F.col("q") - 3.0 * (n + 1)
-    h = F.try_divide(h, F.nullif(1 - F.try_divide(F.col("t"), (n * n * n - n).cast("double")), F.lit(0.0)))
+    h = F.try_divide(h, F.nullif(1 - F.try_divide(F.col("t"), n * n * n - n), F.lit(0.0)))
     h = F.when(F.col("n_groups") > 1, h)
     return g.select(*keys, "n_groups", "n", h.alias("h"), chi2_tail(h, (F.col("n_groups") - 1).cast("double")).alias("p"))
 
