@@ -126,12 +126,14 @@ def retention(df: DataFrame, source: str, kept: Column) -> DataFrame:
 
 def gene_context_summary(df: DataFrame, gene: str = "gene", context: str = "context", top: int = 30) -> DataFrame:
     """Genes over contexts: each (gene, context) is merged by inverse variance, then each gene over its contexts, with the
-    number of contexts, of positive and negative ones, and consistency; the first `top` of each direction by p."""
+    number of contexts, of positive and negative ones, and consistency; the first `top` of each direction by |beta / se|, which goes on where p is 0. It counts to nine places, so
+    that genes of equal rows, summed in another order, are in the order of their names."""
     per = ivw_merge(df, [gene, context])
     n = per.groupBy(gene).agg(F.count("*").alias("n_contexts"), F.count_if(F.col("beta") > 0).alias("n_pos"), F.count_if(F.col("beta") < 0).alias("n_neg"))
     m = ivw_merge(per, [gene]).drop("n_merged").join(n, gene)
     m = m.withColumns({"consistent": F.least("n_pos", "n_neg") == 0, "direction": F.when(F.col("beta") > 0, "risk").otherwise("protective")})
-    rn = F.row_number().over(Window.partitionBy("direction").orderBy("pvalue", gene))
+    z = F.round(F.abs(F.col("beta") / F.col("se")), 9)
+    rn = F.row_number().over(Window.partitionBy("direction").orderBy(z.desc_nulls_last(), gene))
     return m.withColumn("rank", rn).where(F.col("rank") <= top)
 
 
