@@ -236,3 +236,9 @@ def reduced_tracks(d: Column, scale: float = 1.0) -> dict[str, Column]:
         "top_track": -top["i"] + 1,
         "top_value": F.get(x, -top["i"]),
     }
+
+
+def exact_sum(c: Column) -> Column:
+    """The sum at 18 decimal places, which no order of the rows changes; so equal values have equal sums. For sums up
+    to 1e20."""
+    return F.sum(c.cast("decimal(38,18)")).cast("double")

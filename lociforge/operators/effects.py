@@ -8,7 +8,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import neg_log10, reduced_tracks
+from ..functions.columns import exact_sum, neg_log10, reduced_tracks
 from .quantiles import quantiles
 from .select import unique_rank
 
@@ -101,7 +101,7 @@ def dhs_tissue_summary(deltas: DataFrame, reg: DataFrame, blood: list[str], brai
     x = deltas.join(reg.select(key, bucket.alias("bucket")).distinct(), key)
     names = ("blood", "brain", "other")
     aggs = [F.countDistinct(F.when(F.col("bucket") == n, F.col(key))).alias(f"n_{n}") for n in names]
-    aggs += [F.coalesce(F.sum(F.when(F.col("bucket") == n, F.col(value))), F.lit(0.0)).alias(f"strength_{n}") for n in names]
+    aggs += [F.coalesce(exact_sum(F.when(F.col("bucket") == n, F.col(value))), F.lit(0.0)).alias(f"strength_{n}") for n in names]
     top = F.greatest(*(f"strength_{n}" for n in names))
     g = x.groupBy(gene).agg(*aggs)
     label = F.when(top <= 0, None)
