@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache
 from math import erfc, sqrt
 
@@ -10,10 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tails import ERFC
 from .linkage import semi
 from .meta import collapse_genes
 from .ordered import joined, numbered
 from .select import best_per_key
+from .shared import checkpointed
 
 
 def build_programs(mr: DataFrame, model: DataFrame, p: float = 0.05, tiers: tuple[str, ...] = ("tier1", "tier2"), policy: str = "strongest_p") -> DataFrame:
@@ -102,6 +105,17 @@ def _normal_table() -> tuple[np.ndarray, np.ndarray]:
     return grid, np.array([0.5 * erfc(-z / sqrt(2.0)) for z in grid])
 
 
+def _upper(z: np.ndarray) -> np.ndarray:
+    """The normal distribution at z, by the fit of `tails.two_sided_p`."""
+    x = np.abs(z) / np.sqrt(2.0)
+    t = 1 / (1 + 0.5 * x)
+    poly = np.full_like(t, ERFC[-1])
+    for c in reversed(ERFC[:-1]):
+        poly = poly * t + c
+    p = t * np.exp(-x * x + poly) / 2
+    return np.where(z >= 0, 1 - p, p)
+
+
 def _kernel_cdf(t: pa.Table) -> pa.Table:
     """For one gene: the Gaussian kernel estimate of its distribution at every sample of the block."""
     x = t.column("value").to_numpy().astype(float)
@@ -112,10 +126,38 @@ def _kernel_cdf(t: pa.Table) -> pa.Table:
     return pa.table({"sample_id": t.column("sample_id"), "gene": t.column("gene"), "block": t.column("block"), "value": out})
 
 
-def gsva(expr: DataFrame, programs: DataFrame, method: str = "gsva", universe: str = "all", block: int = 1500, min_size: int = 5, max_size: int | None = None, tau: float | None = None, seed: int = 1) -> DataFrame:
+#: Different values of a gene to a block of a kernel's sums.
+KERNEL_VALUES = 2048
+
+
+def kernel_cdf(expr: DataFrame, per: int = KERNEL_VALUES) -> DataFrame:
+    """Each gene's Gaussian kernel distribution over all its rows, at each of them, instead of the value. A gene's different
+    values are counted and dealt to blocks; pairs of blocks are summed apart, so that a task holds two blocks at most. The
+    work is the square of the different values."""
+    h = expr.groupBy("gene").agg((F.stddev_samp("value") / 4).alias("h"), F.count("*").alias("all"))
+    counts = expr.groupBy("gene", "value").agg(F.count("*").alias("n"))
+    counts = numbered(counts, ["gene"], F.xxhash64("value"), ["value"], "__i").withColumn("b", (F.col("__i") / per).cast("int")).drop("__i")
+    packed = checkpointed(counts.groupBy("gene", "b").agg(F.collect_list("value").alias("x"), F.collect_list(F.col("n").cast("double")).alias("n")))  # `per` of them
+    pairs = packed.select("gene", "b", "x").join(packed.select("gene", F.col("b").alias("o"), F.col("x").alias("y"), "n"), "gene").join(h, "gene")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            for i in range(t.num_rows):
+                x, y, n = (t.column(c)[i].values.to_numpy().astype(float) for c in ("x", "y", "n"))
+                h = t.column("h")[i].as_py() or 1e-3
+                out = np.concatenate([_upper((x[at : at + 64, None] - y[None, :]) / h) @ n for at in range(0, len(x), 64)]) / t.column("all")[i].as_py()
+                yield pa.RecordBatch.from_arrays([pa.array([t.column("gene")[i].as_py()] * len(x), t.schema.field("gene").type), pa.array(x), pa.array(out)], ["gene", "value", "k"])
+
+    sums = pairs.select("gene", "x", "y", "n", "h", "all").mapInArrow(run, f"gene {dict(expr.dtypes)['gene']}, value double, k double")
+    sums = sums.groupBy("gene", "value").agg(F.sum("k").alias("__k"))
+    rest = [c for c in expr.columns if c != "value"]
+    return expr.join(sums, ["gene", "value"]).select(*rest, F.col("__k").alias("value"))
+
+
+def gsva(expr: DataFrame, programs: DataFrame, method: str = "gsva", universe: str = "all", block: int | None = None, min_size: int = 5, max_size: int | None = None, tau: float | None = None, seed: int = 1) -> DataFrame:
     """(sample_id, program, score) for programs with min_size to max_size genes present.
 
-    gsva: a kernel distribution of each gene over the samples of a block (at most `block` of them, dealt by hash), genes
+    gsva: a kernel distribution of each gene over all samples, or with `block` over those of a block (at most so many of them, dealt by hash), genes
     ranked in each sample by it, a weighted walk down the ranks, and the sum of its largest rise and fall. ssgsea: ranks of
     the values, walk with weight tau (0.25), sum of the differences, scaled by the range of all scores. zscore: sum of z
     over the root of the number of genes. universe `programs` keeps only genes of programs, `all` those that vary. Genes
@@ -128,7 +170,7 @@ def gsva(expr: DataFrame, programs: DataFrame, method: str = "gsva", universe: s
         return g.where(F.col("m") >= min_size).select("sample_id", "program", (F.col("s") / F.sqrt(F.col("m").cast("double"))).alias("score"))
     e = semi(expr, p, ["gene"]) if universe == "programs" else expr
     samples = e.select("sample_id").distinct()
-    n_blocks = max(1, -(-samples.count() // block))
+    n_blocks = max(1, -(-samples.count() // block)) if block else 1
     samples = numbered(samples, [], F.xxhash64("sample_id", F.lit(seed)), ["sample_id"], "__i", "__of")
     samples = samples.select("sample_id", F.expr(f"cast(__i * {n_blocks} div __of as int)").alias("block"))
     e = e.select("sample_id", "gene", "value").join(samples, "sample_id")
@@ -136,7 +178,9 @@ def gsva(expr: DataFrame, programs: DataFrame, method: str = "gsva", universe: s
     size = samples.groupBy("block").agg(F.count("*").alias("n"))
     varied = genes.join(size, "block").where("hi > lo or (c < n and (hi <> 0 or lo <> 0))").select("block", "gene")
     dense = varied.join(samples, "block").join(e, ["block", "sample_id", "gene"], "left").select("block", "sample_id", "gene", F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value"))
-    if method == "gsva":
+    if method == "gsva" and not block:
+        dense = kernel_cdf(dense)
+    elif method == "gsva":
         kind = dict(dense.dtypes)
         schema = f"sample_id {kind['sample_id']}, gene {kind['gene']}, block int, value double"
         dense = dense.groupBy("block", "gene").applyInArrow(_kernel_cdf, schema)
