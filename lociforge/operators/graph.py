@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.columns import clean_gene
-from .shared import bucketed, checkpointed
+from .shared import checkpointed
 from .ordered import value_totals
 from .select import assign_folds, top_n
 from .stats import binary_metrics, regression_metrics
+from .walk import packed_walk
 
 
 def build_graph(edges: DataFrame, u: str = "gene_u", v: str = "gene_v") -> tuple[DataFrame, DataFrame]:
@@ -21,35 +27,33 @@ def build_graph(edges: DataFrame, u: str = "gene_u", v: str = "gene_v") -> tuple
     return e, n.select("gene", "degree", F.log1p("degree").alias("log_degree"), (F.col("__i_upto") - 1).alias("node_id"))
 
 
-def rwr(edges: DataFrame, seeds: DataFrame, alphas: list[float] = (0.3,), signals: list[str] = ("s",), keys: list[str] = (), tol: float = 1e-8, max_iter: int = 500, cut_every: int = 10) -> DataFrame:
-    """Random walk with restart: f <- alpha s + (1 - alpha) D^-1 A f, for all signals, keys (folds) and alphas in one pass a step.
+def rwr(edges: DataFrame, seeds: DataFrame, alphas: list[float] = (0.3,), signals: list[str] = ("s",), keys: list[str] = (), tol: float = 1e-8, max_iter: int = 500) -> DataFrame:
+    """Random walk with restart: f <- alpha s + (1 - alpha) D^-1 A f, for all signals, keys (folds: few) and alphas together.
 
-    `seeds` has gene, the keys and the signals. Returns (keys, alpha, gene, signals) of every node reached; stops when the
-    change is below tol times the size of f, or after max_iter steps. The edges are bucketed by the node that a step reads, so
-    they stay where they are and only f is dealt out; the lineage is cut by a shared table every few steps.
+    `seeds` has gene, the keys and the signals. Returns (keys, alpha, gene, signals) of every node that any key reached, to
+    within tol times the size of f, or after max_iter steps if those are too few for that. A node has all its numbers in
+    one vector, whose walk is `walk.packed_walk`.
     """
-    keys, signals = list(keys), list(signals)
-    both = edges.select("u", "v").union(edges.select("v", "u"))
-    degree = both.groupBy("u").agg(F.count("*").alias("deg"))
-    steps = bucketed(both.join(degree, "u").select(F.col("u").alias("gene"), F.col("v").alias("near"), (1.0 / F.col("deg")).alias("share")), "near")
-    alpha = F.explode(F.array(*map(F.lit, map(float, alphas)))).alias("alpha")
-    start = checkpointed(seeds.select(*keys, "gene", *(F.coalesce(F.col(s).cast("double"), F.lit(0.0)).alias(s) for s in signals), alpha))
-    k = [*keys, "alpha"]
-    f = start
-    for i in range(1, max_iter + 1):
-        walk = steps.join(f.withColumnRenamed("gene", "near"), "near").select(*k, "gene", *((F.col("share") * F.col(s) * (1 - F.col("alpha"))).alias(s) for s in signals))
-        again = start.select(*k, "gene", *((F.col(s) * F.col("alpha")).alias(s) for s in signals))
-        new = walk.union(again).groupBy(*k, "gene").agg(*(F.sum(s).alias(s) for s in signals))
-        if i % cut_every == 0 or i == max_iter:
-            new = checkpointed(new)
-            old = f.select(*k, "gene", *(F.col(s).alias(f"o_{s}") for s in signals))
-            d = new.join(old, [*k, "gene"], "left").agg(*(F.sum(F.pow(F.col(s) - F.coalesce(f"o_{s}", F.lit(0.0)), F.lit(2.0))).alias(f"d{j}") for j, s in enumerate(signals)), *(F.sum(F.col(s) * F.col(s)).alias(f"n{j}") for j, s in enumerate(signals))).first()
-            f = new
-            if all((d[f"d{j}"] or 0) ** 0.5 <= tol * (d[f"n{j}"] or 0) ** 0.5 for j in range(len(signals))):
-                break
-        else:
-            f = new
-    return f
+    keys, signals, alphas, spark = list(keys), list(signals), list(map(float, alphas)), edges.sparkSession
+    n = len(signals)
+    groups = [tuple(r) for r in seeds.select(*keys).distinct().orderBy(*keys).collect()] if keys else [()]
+    place = spark.createDataFrame([(*g, i) for i, g in enumerate(groups)], StructType([*(seeds.schema[k] for k in keys), StructField("__k", IntegerType())]))
+    s = seeds.join(F.broadcast(place), keys) if keys else seeds.withColumn("__k", F.lit(0))  # a row a fold
+    s = s.groupBy("gene").agg(F.collect_list(F.struct("__k", *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"s{j}") for j, c in enumerate(signals)))).alias("r"))  # a row a fold
+    width = len(groups) * n
+
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            r = b.column("r")
+            row, at, x = r.value_parent_indices().to_numpy(), r.flatten().field(0).to_numpy(), np.zeros((len(r), width))
+            for j in range(n):
+                np.add.at(x, (row, at * n + j), r.flatten().field(j + 1).to_numpy())
+            yield pa.RecordBatch.from_arrays([b.column("gene"), pa.array(list(np.tile(x, len(alphas))), pa.list_(pa.float64()))], ["gene", "vec"])
+
+    f = packed_walk(edges, s.mapInArrow(dense, "gene string, vec array<double>"), np.repeat(alphas, width).tolist(), tol, max_iter)
+    rows = F.explode(F.transform(F.sequence(F.lit(0), F.lit(len(groups) * len(alphas) - 1)), lambda i: F.struct(i.alias("i"), *(F.get("vec", i * n + j).alias(f"s{j}") for j in range(n)))))
+    f = f.select("gene", rows.alias("r")).select("gene", F.pmod("r.i", F.lit(len(groups))).alias("__k"), F.get(F.array(*map(F.lit, alphas)), F.floor(F.col("r.i") / len(groups)).cast("int")).alias("alpha"), *(F.col(f"r.s{j}").alias(c) for j, c in enumerate(signals)))
+    return (f.join(F.broadcast(place), "__k") if keys else f).select(*keys, "alpha", "gene", *signals)
 
 
 def rwr_predict(edges: DataFrame, labels: DataFrame, alphas: list[float] = (0.3,), keys: list[str] = (), eps: float = 1e-12, with_mass: bool = False, **how) -> DataFrame:
