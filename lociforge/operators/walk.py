@@ -14,6 +14,8 @@ from .shared import bucketed, checkpointed
 
 #: Edges to a block, and numbers of its nodes' vectors, at most about.
 BLOCK_EDGES, BLOCK_CELLS = 1 << 18, 1 << 24
+#: Busy nodes whose links may lie in one task as a matrix, and numbers of each of their vectors there.
+CORE_NODES, CORE_PLACES = 1024, 256
 
 
 def _sums(at: np.ndarray, of: np.ndarray, x: np.ndarray, size: int) -> np.ndarray:
@@ -46,7 +48,7 @@ def _lists(x: np.ndarray) -> pa.Array:
 class _Block:
     """A block's nodes and links, with what came for its nodes: vectors and, as the last column, whether there is one."""
 
-    def __init__(self, t: pa.Table, vectors: pa.Table) -> None:
+    def __init__(self, t: pa.Table, vectors: pa.Table | None = None) -> None:
         t = t.take(pa.array(np.argsort(t["at"].to_numpy())))
         self.genes, self.deg, busy = t["gene"].combine_chunks(), t["deg"].to_numpy().astype(float)[:, None], t["busy"].to_numpy()
         near = t["near"].combine_chunks()
@@ -54,6 +56,8 @@ class _Block:
         hi = near.flatten().to_numpy()
         q = ~busy[lo]
         self.quiet, self.loud, self.is_quiet = (lo[q], hi[q]), (lo[~q], hi[~q]), ~busy
+        if vectors is None:
+            return
         v = _matrix(vectors["vec"], len(vectors))
         self.x = np.zeros((len(t), v.shape[1] + 1))
         self.x[vectors["place"].to_numpy()] = np.column_stack((v, np.ones(len(v))))
@@ -61,6 +65,26 @@ class _Block:
     def rows(self, x: np.ndarray, keep: np.ndarray) -> pa.Table:
         return pa.table([self.genes.filter(pa.array(keep)), _lists(x[keep])], ["gene", "vec"])
 
+    def links(self) -> pa.Table:
+        """P between busy nodes (near) and P P by way of the block's quiet ones (far), where they aren't 0."""
+        ends = np.flatnonzero(~self.is_quiet)
+        near, far = np.zeros((2, len(ends), len(ends)))
+        lo, hi = (np.searchsorted(ends, e) for e in self.loud)
+        np.add.at(near, (lo, hi), 1.0)
+        np.add.at(near, (hi, lo), 1.0)
+        order = np.argsort(self.quiet[0], kind="stable")
+        lo, hi = self.quiet[0][order], np.searchsorted(ends, self.quiet[1][order])
+        for i in range(0, len(self.deg), 4096):
+            at = slice(*np.searchsorted(lo, (i, i + 4096)))
+            if at.start < at.stop:
+                rows, r = np.unique(lo[at], return_inverse=True)
+                m = np.zeros((len(rows), len(ends)))
+                np.add.at(m, (r, hi[at]), 1.0)
+                far += m.T @ (m / self.deg[rows])
+        u, v = np.nonzero(near + far)
+        genes, deg = self.genes.take(pa.array(ends)), self.deg[ends[u], 0]
+        return pa.table([genes.take(pa.array(u)), genes.take(pa.array(v)), pa.array(near[u, v] / deg), pa.array(far[u, v] / deg)], ["u", "v", "near", "far"])
+
 
 def _blocks(edges: DataFrame, columns: int) -> tuple[DataFrame, DataFrame, int]:
     """The graph as blocks (block, at, gene, deg, busy, near), the degrees, and how many blocks there are.
@@ -110,6 +134,44 @@ def _orders(c: np.ndarray, tol: float, max_iter: int) -> list[tuple[np.ndarray,
     return out
 
 
+def _core_walk(blocks: DataFrame, state: DataFrame, c: np.ndarray, steps: list, lagged: bool) -> DataFrame:
+    """All steps of `packed_walk` at once, for at most CORE_NODES busy nodes: their links are summed over the blocks to a
+    matrix, which meets CORE_PLACES numbers of each of their vectors (gene, b, x, old) in a task."""
+    width = len(c)
+    links = blocks.groupBy("block").applyInArrow(lambda t: _Block(t).links(), "u string, v string, near double, far double")
+    links = checkpointed(links.groupBy("u", "v").agg(F.sum("near").alias("near"), F.sum("far").alias("far")))
+    parts = F.explode(F.sequence(F.lit(0), F.lit((width - 1) // CORE_PLACES))).alias("part")
+    cut = (F.slice(F.col(f), F.col("part") * CORE_PLACES + 1, F.lit(CORE_PLACES)).alias(f) for f in ("b", "x", "old"))
+    cut = state.select("*", parts).select("part", "gene", *cut)
+
+    def run(t: pa.Table, e: pa.Table) -> pa.Table:
+        genes = pa.concat_arrays([k.combine_chunks() for k in (t["gene"], e["u"], e["v"])]).dictionary_encode()
+        at, size = genes.indices.to_numpy(), len(genes.dictionary)
+        own, u, v = np.split(at, [len(t), len(t) + len(e)])
+        near, far = np.zeros((2, size, size))
+        near[u, v], far[u, v] = e["near"].to_numpy(), e["far"].to_numpy()
+        first = (t["part"][0].as_py() if len(t) else 0) * CORE_PLACES
+        mine = slice(first, first + CORE_PLACES)
+        b, x, old = np.zeros((3, size, len(c[mine])))
+        for m, name in ((b, "b"), (x, "x"), (old, "old")):
+            if len(t):
+                m[own] = _matrix(t[name], len(t))
+        met, linked, d = np.zeros(size, bool), near + far > 0, c[mine]
+        met[own] = True
+        for i, (omega, kappa) in enumerate(steps):
+            total = d * (near @ x)
+            if i or not lagged:
+                total += d**2 * (far @ (old if lagged else x))
+            x, old = omega[mine] * (b + total) + (kappa[mine] if np.ndim(kappa) else kappa) * old, x
+            met |= linked @ met
+        return pa.table([pa.array(np.full(met.sum(), first // CORE_PLACES, np.int32)), genes.dictionary.filter(pa.array(met)), _lists(x[met]), _lists(old[met])], ["part", "gene", "x", "old"])
+
+    every = links.select("*", parts)
+    done = cut.groupBy("part").cogroup(every.groupBy("part")).applyInArrow(run, "part int, gene string, x array<double>, old array<double>")
+    done = done.groupBy("gene").agg(F.sort_array(F.collect_list(F.struct("part", "x", "old"))).alias("r"))  # a row a part
+    return checkpointed(done.select("gene", F.flatten("r.x").alias("x"), F.flatten("r.old").alias("old")))
+
+
 def packed_walk(edges: DataFrame, seeds: DataFrame, alphas: list[float], tol: float = 1e-8, max_iter: int = 500) -> DataFrame:
     """(gene, vec) of every node reached by f <- alpha s + (1 - alpha) D^-1 A f, from seeds (gene, vec) of one row a gene, with an
     alpha for each place of vec.
@@ -117,6 +179,7 @@ def packed_walk(edges: DataFrame, seeds: DataFrame, alphas: list[float], tol: fl
     Quiet nodes (see `_blocks`) are eliminated: f of a quiet node follows from its busy neighbours, so a step sends the
     vectors of busy nodes to the blocks that link to them, and back sums of what they get from there. If max_iter plain steps
     reach tol, what they tend to is found to within tol by Chebyshev steps, else the iterate after max_iter steps is returned.
+    Where few nodes are busy, their links are a small matrix and all steps are made in one pass (`_core_walk`).
     """
     alpha = np.array(alphas, float)
     c, width = 1 - alpha, len(alpha)
@@ -178,7 +241,10 @@ def packed_walk(edges: DataFrame, seeds: DataFrame, alphas: list[float], tol: fl
     own = seeds.join(seats.where("busy").select("gene").distinct(), "gene", "left_semi")
     state = combined(["vec"], begun)(over_blocks(at_home, shares), own)
     one = np.ones(width)
-    for i, (omega, kappa) in enumerate(orders or [(one, one), *[(one, 0.0)] * (max_iter - 1)]):
+    steps = orders or [(one, one), *[(one, 0.0)] * (max_iter - 1)]
+    if seats.where("busy").select("gene").distinct().limit(CORE_NODES + 1).count() <= CORE_NODES:
+        state, steps = _core_walk(blocks, state, c, steps, not orders), []
+    for i, (omega, kappa) in enumerate(steps):
         second = [] if orders else ["old"] if i else [F.transform("x", lambda v: F.lit(0.0))]
         sent = state.join(seats.where("busy"), "gene").select(F.col("block").alias("to"), F.col("at").alias("place"), F.concat("x", *second).alias("vec"))
         state = combined(["b", "x", "old"], lambda total, b, x, old, omega=omega, kappa=kappa: (b, omega * (b + total) + kappa * old, x))(over_blocks(sent, step), state)
