@@ -15,12 +15,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import to_prob
-from .graph import rwr, rwr_predict
-from .shared import checkpointed
-from .ordered import numbered
+from .graph import rwr_predict
+from .shared import bucketed, checkpointed
 from .quantiles import quantiles
 from .select import assign_folds, avg_rank, best_per_key, binned_curve, permute_labels
 from .stats import binary_metrics, regression_metrics
+from .walk import packed_walk
 
 
 def _gram(df: DataFrame, features: list[str], y: str, w: str | None, by: str) -> dict[int, np.ndarray]:
@@ -109,109 +109,99 @@ def walk_ridge(edges: DataFrame, features: DataFrame, labels: DataFrame, names:
     return oof.select("repeat", "fold", "gene", "beta", "oof_pred", to_prob(F.col("oof_pred"), F.col("sd")).alias("oof_prob")), spark.createDataFrame(coef, "repeat int, fold int, feature string, coefficient double")
 
 
-#: Labelled genes to a block of a permutation control, and permutations to a block.
+#: Labelled genes of a permutation control whose refits a task sums at once, and permutations to a row.
 CONTROL_GENES, CONTROL_PERMS = 512, 50
 
 
-def _control_blocks(rows: DataFrame, edges: DataFrame, names: list[str], n: int, walk_alpha: float, k: int, seed: int, **how) -> DataFrame:
-    """What a block of labelled genes of one fold knows for a block of permutations: rows (fold, block, perms, v, genes).
-
-    v has, for each fold, the walk of its genes' permuted signed confidences and of their confidences into this block's
-    genes: products of influence blocks with blocks of labels, summed. `genes` are the block's own (at, gene, up, conf, base
-    features, permuted labels). Influence is walked once from each gene, all together, and kept as files of blocks.
+def _control_rows(rows: DataFrame, edges: DataFrame, names: list[str], n: int, walk_alpha: float, k: int, seed: int, **how) -> DataFrame:
+    """A row (fold, up, confidence, base, perms, y, walk, mass) for each labelled gene and CONTROL_PERMS permutations: its
+    permuted labels, and the walks of permuted signed confidences (walk, fold after fold) and of confidences (mass) from the
+    genes outside of each fold. All permutations and folds walk together, as k * (n + 1) numbers of a gene's vector.
     """
-    spark, size = rows.sparkSession, CONTROL_GENES
-    placed = numbered(rows, ["fold"], F.xxhash64("gene", F.lit(seed)), ["gene"], "__i")
-    placed = checkpointed(placed.withColumns({"block": (F.col("__i") / size).cast("int"), "at": (F.col("__i") % size).cast("int")}).drop("__i"))
-    moved = permute_labels(placed.select("gene", F.col("beta").alias("y")), ["gene"], "y", n, seed, "signs").withColumn("perms", (F.col("perm") / CONTROL_PERMS).cast("int"))
-    labels = moved.groupBy("gene", "perms").agg(F.sort_array(F.collect_list(F.struct("perm", "y"))).alias("y")).select("gene", "perms", F.col("y.y").alias("y"))  # CONTROL_PERMS of them
     base = F.array(*(F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in names)).cast("array<double>").alias("base")
-    labels = placed.select("fold", "block", "gene", "at", (F.col("beta") > 0).alias("up"), "confidence", base).join(labels, "gene")
-    labels = checkpointed(labels.groupBy("fold", "block", "perms").agg(F.sort_array(F.collect_list(F.struct("at", "gene", "up", "confidence", "base", "y"))).alias("genes")))  # CONTROL_GENES of them
-    own = placed.select(F.col("gene").alias("seed"), "gene", F.lit(1.0).alias("s"))
-    met = rwr(edges, own, [walk_alpha], ["s"], ["seed"], **how)
-    to, of = placed.select("gene", "fold", "block", "at"), placed.select(F.col("gene").alias("seed"), F.col("fold").alias("sfold"), F.col("block").alias("sblock"), F.col("at").alias("sat"))
-    reach = met.join(to, "gene").join(of, "seed").groupBy("fold", "block", "sfold", "sblock").agg(F.collect_list(F.struct("at", "sat", "s")).alias("r"))  # a square of CONTROL_GENES
-    reach = checkpointed(reach)
-    seeds = labels.select(F.col("fold").alias("sfold"), F.col("block").alias("sblock"), "perms", F.col("genes.confidence").alias("conf"), F.col("genes.y").alias("y"))
-
-    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for r, conf, y in zip(b.column("r"), b.column("conf").to_pylist(), b.column("y").to_pylist(), strict=True):
-                m, conf = np.zeros((size, size)), np.array(conf)
-                at, sat, s = (r.values.field(i).to_numpy() for i in range(3))
-                m[at, sat] = s
-                m = m[:, : len(conf)]
-                out.append(np.column_stack((m @ (np.array(y) * conf[:, None]), m @ conf)).ravel())
-            kept = [b.column(c) for c in ("fold", "block", "sfold", "perms")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array([x.tolist() for x in out], pa.list_(pa.float64()))], ["fold", "block", "sfold", "perms", "v"])
-
-    parts = reach.join(seeds, ["sfold", "sblock"]).select("fold", "block", "sfold", "perms", "r", "conf", "y").mapInArrow(product, "fold int, block int, sfold int, perms int, v array<double>")
-    parts = parts.groupBy("fold", "block", "perms", "sfold").agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v"))
-    by_fold = parts.groupBy("fold", "block", "perms").agg(F.sort_array(F.collect_list(F.struct("sfold", "v"))).alias("v"))  # a row a fold
-    return checkpointed(labels.join(by_fold, ["fold", "block", "perms"], "left"))
+    moved = permute_labels(rows.select("gene", F.col("beta").alias("y")), ["gene"], "y", n, seed, "signs")
+    moved = moved.groupBy("gene").agg(F.sort_array(F.collect_list(F.struct("perm", "y"))).alias("y")).select("gene", F.col("y.y").alias("y"))  # n of them
+    labels = bucketed(rows.select("gene", "fold", (F.col("beta") > 0).alias("up"), "confidence", base).join(moved, "gene"), "gene")
+    signed = F.concat(F.transform("y", lambda y: y * F.col("confidence")), F.array("confidence"))
+    seeds = labels.select("gene", F.flatten(F.array(*(F.when(F.col("fold") != h, signed).otherwise(F.array_repeat(F.lit(0.0), n + 1)) for h in range(k)))).alias("vec"))
+    met = packed_walk(edges, seeds, [walk_alpha] * (k * (n + 1)), by_gene=True, **how)
+    at = F.col("perms") * CONTROL_PERMS
+    part = lambda c, start: F.slice(c, start + at + 1, F.least(F.lit(CONTROL_PERMS), F.lit(n) - at))
+    d = labels.join(met, "gene", "left").withColumn("vec", F.coalesce("vec", F.array_repeat(F.lit(0.0), k * (n + 1))))
+    d = d.withColumn("perms", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // CONTROL_PERMS))))
+    walk = F.flatten(F.array(*(part("vec", h * (n + 1)) for h in range(k)))).alias("walk")
+    return d.select("fold", "up", "confidence", "base", "perms", part("y", 0).alias("y"), walk, F.array(*(F.get("vec", F.lit(h * (n + 1) + n)) for h in range(k))).alias("mass"))
 
 
 def permutation_control(edges: DataFrame, features: DataFrame, labels: DataFrame, names: list[str], observed: float, n: int = 1000, walk_alpha: float = 0.3, alpha: float = 10.0, k: int = 5, seed: int = 1, **how) -> tuple[DataFrame, DataFrame]:
     """The direction AUROC of the cross-validated walk and ridge, refitted on labels whose signs are dealt anew.
 
     Returns (permutation, auroc, sign_accuracy), measured against the true signs, and one row of observed, mean_permuted,
-    sd_permuted, empirical_p = (1 + how many reach the observed one) / (n + 1) and n_permutations. The walk is linear in its
-    seeds, so it is made once, from each labelled gene alone (all together). Refits are sums of products of blocks: no task
-    holds more than a block of genes and of permutations, and nothing but the fits' sums is gathered.
+    sd_permuted, empirical_p = (1 + how many reach the observed one) / (n + 1) and n_permutations. All permutations walk
+    together. Refits are sums of products of blocks: no task holds more than a block of genes and of permutations, and
+    nothing but the fits' sums is gathered.
     """
-    spark = edges.sparkSession
     rows = labels.where("beta is not null and beta <> 0").select("gene", F.col("beta").cast("double").alias("beta"), F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)).alias("confidence"))
     rows = assign_folds(rows.withColumn("sign", F.col("beta") > 0).dropDuplicates(["gene"]), ["gene"], k, 1, seed, ["sign"]).join(features.select("gene", *names), "gene", "left")
-    blocks = _control_blocks(checkpointed(rows.drop("repeat", "sign")), edges, names, n, walk_alpha, k, seed, **how)
+    blocks = _control_rows(checkpointed(rows.drop("repeat", "sign")), edges, names, n, walk_alpha, k, seed, **how)
     width = len(names) + 4  # 1, features, walk, mass, label
-
-    def design(genes: list, v: list, held: int) -> tuple[np.ndarray, np.ndarray]:
-        """The rows of a block for the fit without fold `held`, (permutations, genes, width), and their weights."""
-        y = np.array([g["y"] for g in genes])
-        walk = np.zeros((CONTROL_GENES, y.shape[1] + 1))
-        for x in v or []:
-            if x["sfold"] != held:
-                walk += np.array(x["v"]).reshape(walk.shape)
-        mass = walk[: len(genes), -1]
-        base, conf = np.array([g["base"] for g in genes]).reshape(len(genes), len(names)), np.array([g["confidence"] for g in genes])
-        z = np.empty((y.shape[1], len(genes), width))
-        z[:, :, 0], z[:, :, 1:-3], z[:, :, -2], z[:, :, -1] = 1, base, mass, y.T
-        z[:, :, -3] = (walk[: len(genes), :-1] / (mass + 1e-12)[:, None]).T
-        return z, np.where(conf > 0, conf, 1.0)
+    matrix = lambda b, c: b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1)
+
+    def parts(b: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+        """A batch's rows of the same permutations, CONTROL_GENES of them."""
+        perms = b.column("perms").to_numpy()
+        for p in np.unique(perms).tolist():
+            at = np.flatnonzero(perms == p)
+            for i in range(0, len(at), CONTROL_GENES):
+                yield p, b.take(pa.array(at[i : i + CONTROL_GENES]))
+
+    def design(b: pa.RecordBatch, held: int) -> np.ndarray:
+        """The rows for the fit without fold `held`, (permutations, genes, width)."""
+        y, mass = matrix(b, "y"), matrix(b, "mass")[:, held]
+        z = np.empty((y.shape[1], len(b), width))
+        z[:, :, 0], z[:, :, -2], z[:, :, -1] = 1, mass, y.T
+        if names:
+            z[:, :, 1:-3] = matrix(b, "base")
+        z[:, :, -3] = (matrix(b, "walk")[:, held * y.shape[1] : (held + 1) * y.shape[1]] / (mass + 1e-12)[:, None]).T
+        return z
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            held_, perms, out = [], [], []
-            for fold, p, genes, v in zip(*(b.column(c).to_pylist() for c in ("fold", "perms", "genes", "v")), strict=True):
+        sums: dict[tuple[int, int], np.ndarray] = {}  # k * n fits
+        for batch in batches:
+            for p, b in parts(batch):
+                fold, conf = b.column("fold").to_numpy(), b.column("confidence").to_numpy()
+                w = np.where(conf > 0, conf, 1.0)
                 for held in range(k):
-                    if held != fold:
-                        z, w = design(genes, v, held)
-                        zt = z.transpose(0, 2, 1)
-                        held_.append(held)
-                        perms.append(p)
-                        out.append(np.stack((zt @ (z * w[:, None]), zt @ z), 1).ravel().tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(held_, pa.int32()), pa.array(perms, pa.int32()), pa.array(out, pa.list_(pa.float64()))], ["held", "perms", "g"])
+                    keep = fold != held
+                    if not keep.any():
+                        continue
+                    z = design(b, held)[:, keep]
+                    zt = z.transpose(0, 2, 1)
+                    sums[held, p] = sums.get((held, p), 0.0) + np.stack((zt @ (z * w[keep, None]), zt @ z), 1).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in sums], pa.int32()), pa.array([p for _, p in sums], pa.int32()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], ["held", "perms", "g"])
 
     sums = blocks.mapInArrow(grams, "held int, perms int, g array<double>").groupBy("held", "perms").agg(vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("g"))
 
+    fits = {(r["held"], r["perms"]): np.array(r["g"]).reshape(-1, 2, width, width) for r in sums.collect()}  # k * n of them
+    table = {at: [(*_solve(pair, alpha)[:2], _label_sd(pair)) for pair in g] for at, g in fits.items()}
+
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for batch in batches:
             cols: list[list] = [[], [], [], []]
-            for fold, p, genes, v, g in zip(*(b.column(c).to_pylist() for c in ("fold", "perms", "genes", "v", "g")), strict=True):
-                z, _ = design(genes, v, fold)
-                up = [x["up"] for x in genes]
-                for i, pair in enumerate(np.array(g).reshape(-1, 2, width, width)):
-                    cut, raw, _ = _solve(pair, alpha)
-                    pred = cut + z[i][:, 1:-1] @ raw
-                    prob = 1 / (1 + np.exp(-pred / _label_sd(pair)))
-                    for c, x in zip(cols, ([p * CONTROL_PERMS + i + 1] * len(up), up, pred.tolist(), prob.tolist()), strict=True):
-                        c += x
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.bool_(), pa.float64(), pa.float64()), strict=True)], ["permutation", "up", "pred", "prob"])
-
-    held = blocks.join(sums.withColumnRenamed("held", "fold"), ["fold", "perms"]).select("fold", "perms", "genes", "v", "g")
-    seen_ = checkpointed(held.mapInArrow(predict, "permutation long, up boolean, pred double, prob double").withColumn("y", F.col("up").cast("int")))
+            for p, b in parts(batch):
+                fold = b.column("fold").to_numpy()
+                for held in (h for h in np.unique(fold).tolist() if (h, p) in table):
+                    mine = b.take(pa.array(np.flatnonzero(fold == held)))
+                    z, fit = design(mine, held)[:, :, 1:-1], table[held, p]
+                    pred = np.array([cut for cut, _, _ in fit])[:, None] + (z @ np.array([raw for _, raw, _ in fit])[:, :, None])[:, :, 0]
+                    prob = 1 / (1 + np.exp(-pred / np.array([sd for _, _, sd in fit])[:, None]))
+                    up = np.tile(mine.column("up").to_numpy(zero_copy_only=False), len(fit))
+                    for c, x in zip(cols, (np.repeat(p * CONTROL_PERMS + 1 + np.arange(len(fit)), len(mine)), up, pred.ravel(), prob.ravel()), strict=True):
+                        c.append(x)
+            if cols[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(cols, (pa.int64(), pa.bool_(), pa.float64(), pa.float64()), strict=True)], ["permutation", "up", "pred", "prob"])
+
+    seen_ = checkpointed(blocks.mapInArrow(predict, "permutation long, up boolean, pred double, prob double").withColumn("y", F.col("up").cast("int")))
     right = seen_.groupBy("permutation").agg(F.avg(((F.col("pred") > 0) == F.col("up")).cast("double")).alias("sign_accuracy"))
     null = checkpointed(binary_metrics(seen_, "y", "prob", ["permutation"]).select("permutation", "auroc").join(right, "permutation"))
     seen = F.lit(float(observed))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .shared import bucketed, checkpointed
 
 #: Edges to a block, and numbers of its nodes' vectors, at most about.
-BLOCK_EDGES, BLOCK_CELLS = 1 << 18, 1 << 24
+BLOCK_EDGES, BLOCK_CELLS = 1 << 18, 1 << 23
 #: Busy nodes whose links may lie in one task as a matrix, and numbers of each of their vectors there.
 CORE_NODES, CORE_PLACES = 1024, 256
 
@@ -172,7 +172,7 @@ def _core_walk(blocks: DataFrame, state: DataFrame, c: np.ndarray, steps: list,
     return checkpointed(done.select("gene", F.flatten("r.x").alias("x"), F.flatten("r.old").alias("old")))
 
 
-def packed_walk(edges: DataFrame, seeds: DataFrame, alphas: list[float], tol: float = 1e-8, max_iter: int = 500) -> DataFrame:
+def packed_walk(edges: DataFrame, seeds: DataFrame, alphas: list[float], tol: float = 1e-8, max_iter: int = 500, by_gene: bool = False) -> DataFrame:
     """(gene, vec) of every node reached by f <- alpha s + (1 - alpha) D^-1 A f, from seeds (gene, vec) of one row a gene, with an
     alpha for each place of vec.
 
@@ -180,6 +180,7 @@ def packed_walk(edges: DataFrame, seeds: DataFrame, alphas: list[float], tol: fl
     vectors of busy nodes to the blocks that link to them, and back sums of what they get from there. If max_iter plain steps
     reach tol, what they tend to is found to within tol by Chebyshev steps, else the iterate after max_iter steps is returned.
     Where few nodes are busy, their links are a small matrix and all steps are made in one pass (`_core_walk`).
+    The rows are bucketed by gene if asked for.
     """
     alpha = np.array(alphas, float)
     c, width = 1 - alpha, len(alpha)
@@ -250,4 +251,5 @@ def packed_walk(edges: DataFrame, seeds: DataFrame, alphas: list[float], tol: fl
         state = combined(["b", "x", "old"], lambda total, b, x, old, omega=omega, kappa=kappa: (b, omega * (b + total) + kappa * old, x))(over_blocks(sent, step), state)
     last = state.join(seats.where("busy"), "gene").select(F.col("block").alias("to"), F.col("at").alias("place"), F.col("x" if orders else "old").alias("vec"))
     apart = seeds.join(degree, "gene", "left_anti").select("gene", F.zip_with("vec", F.lit(alpha.tolist()), lambda s, a: s * a).alias("vec"))
-    return checkpointed(over_blocks(at_home.unionByName(last), ends).unionByName(state.select("gene", F.col("x").alias("vec"))).unionByName(apart))
+    every = over_blocks(at_home.unionByName(last), ends).unionByName(state.select("gene", F.col("x").alias("vec"))).unionByName(apart)
+    return bucketed(every, "gene") if by_gene else checkpointed(every)
