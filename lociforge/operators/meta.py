@@ -175,7 +175,8 @@ def mr_estimate(df: DataFrame, keys: list[str] = ("gene",), boot: int = 1000, se
     error comes from `boot` parametric resamples with normal draws, made from one row a gene that packs its instruments.
     """
     keys = list(keys)
-    d = df.where("beta_exposure <> 0 and se_outcome > 0").withColumns({"bx": F.abs("beta_exposure"), "by": F.col("beta_outcome") * F.signum("beta_exposure"), "so": F.col("se_outcome"), "sx": F.col("se_exposure")})
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, since resamples take longer than their rows' size tells
+    d = df.where("beta_exposure <> 0 and se_outcome > 0").repartition(n, *keys).withColumns({"bx": F.abs("beta_exposure"), "by": F.col("beta_outcome") * F.signum("beta_exposure"), "so": F.col("se_outcome"), "sx": F.col("se_exposure")})
     d = d.withColumns({"w": 1 / (F.col("so") * F.col("so")), "nsnp": F.count("*").over(Window.partitionBy(*keys))})
     b, s = F.col("by") / F.col("bx"), F.col("so") / F.col("bx")
     none = F.lit(None).cast("string")
@@ -207,14 +208,40 @@ def mr_estimate(df: DataFrame, keys: list[str] = ("gene",), boot: int = 1000, se
 
 def weighted_medians(ratio: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """For each row of ratios their median by weight, linear between the midpoints of the cumulative weights; equal ratios in
-    the order given."""
+    the order given. Of many long rows, only what lies about the medians of the first 32 is sorted, behind the weight of what
+    lies below; rows whose median isn't there are sorted whole."""
+    n, m = ratio.shape
+    if n < 96 or m < 64:
+        return _medians(ratio, weight, 0.0, weight.sum())[0]
+    out, total = np.empty(n), weight.sum()
+    out[:32] = _medians(ratio[:32], weight, 0.0, total)[0]
+    mid, reach = np.median(out[:32]), 3.5 * out[:32].std()
+    rest = ratio[32:]
+    under = rest <= mid - reach
+    inside = (rest <= mid + reach) & ~under
+    count = inside.sum(1)
+    row, col = np.nonzero(inside)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    r, w = np.full((n - 32, max(2, count.max())), np.inf), np.zeros((n - 32, max(2, count.max())))
+    r[row, place], w[row, place] = rest[row, col], weight[col]
+    out[32:], high = _medians(r, w, (under @ weight)[:, None], total)
+    whole = 32 + np.flatnonzero((high < 1) | (high >= count))
+    if len(whole):
+        out[whole] = _medians(ratio[whole], weight, 0.0, total)[0]
+    return out
+
+
+def _medians(ratio: np.ndarray, weight: np.ndarray, below: np.ndarray | float, total: float) -> tuple[np.ndarray, np.ndarray]:
+    """`weighted_medians` of rows behind a weight below them, and how many midpoints of each lie under a half."""
     order = np.argsort(ratio, axis=1, kind="stable")
-    r, w = np.take_along_axis(ratio, order, 1), weight[order]
-    at = (np.cumsum(w, 1) - w / 2) / w.sum(1, keepdims=True)
-    high = np.minimum((at < 0.5).sum(1), at.shape[1] - 1)
+    r, w = np.take_along_axis(ratio, order, 1), weight[order] if weight.ndim == 1 else np.take_along_axis(weight, order, 1)
+    at = (below + np.cumsum(w, 1) - w / 2) / total
+    first = (at < 0.5).sum(1)
+    high = np.minimum(first, at.shape[1] - 1)
     low, i = np.maximum(high - 1, 0), np.arange(len(r))
-    share = np.where(at[i, high] > at[i, low], (0.5 - at[i, low]) / np.where(at[i, high] > at[i, low], at[i, high] - at[i, low], 1), 0.0)
-    return np.where((high == low) | (at[i, high] < 0.5), r[i, high], r[i, low] + np.clip(share, 0, 1) * (r[i, high] - r[i, low]))
+    with np.errstate(invalid="ignore"):  # rows without their median in them
+        share = np.where(at[i, high] > at[i, low], (0.5 - at[i, low]) / np.where(at[i, high] > at[i, low], at[i, high] - at[i, low], 1), 0.0)
+        return np.where((high == low) | (at[i, high] < 0.5), r[i, high], r[i, low] + np.clip(share, 0, 1) * (r[i, high] - r[i, low])), first
 
 
 def weighted_median_se(bx: np.ndarray, by: np.ndarray, sx: np.ndarray, so: np.ndarray, boot: int, key: int, block: int = 1 << 20) -> tuple[float, float | None]:
@@ -225,6 +252,12 @@ def weighted_median_se(bx: np.ndarray, by: np.ndarray, sx: np.ndarray, so: np.nd
     step, drawn = max(1, block // len(bx)), []
     for at in range(0, boot, step):
         n = (min(step, boot - at), len(bx))
-        drawn.append(weighted_medians((by + so * rng.standard_normal(n)) / (bx + sx * rng.standard_normal(n)), weight))
+        ratio, under = rng.standard_normal(n), rng.standard_normal(n)
+        ratio *= so
+        ratio += by
+        under *= sx
+        under += bx
+        ratio /= under
+        drawn.append(weighted_medians(ratio, weight))
     drawn = np.concatenate(drawn) if drawn else np.empty(0)
     return point, float(drawn.std(ddof=1)) if len(drawn) > 1 else None
