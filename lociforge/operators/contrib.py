@@ -26,8 +26,11 @@ def coalesce_cols(df: DataFrame, candidates: dict[str, list[str]]) -> DataFrame:
 
 
 def contribution_rows(delta: DataFrame, links: DataFrame, pred: DataFrame) -> DataFrame:
-    """Variant, gene and GWAS variant together: deltas by regulatory variant, predictions by gene."""
-    return delta.join(links, "reg_rsid").join(pred, "gene")
+    """Variant, gene and GWAS variant together: deltas by regulatory variant, predictions by gene. Predictions meet the deltas
+    before links multiply them, so the rows of the result are not dealt out."""
+    rest = lambda d, *keys: [c for c in d.columns if c not in keys]
+    d = delta.join(pred, "gene").join(links, "reg_rsid")
+    return d.select("gene", "reg_rsid", *rest(delta, "gene", "reg_rsid"), *rest(links, "reg_rsid"), *rest(pred, "gene"))
 
 
 def decompose(df: DataFrame, gene: str = "gene", weight: str = "weight", effect: str = "effect", pred: str = "pred") -> DataFrame:
