@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import allele_pair_ok, clean_null, is_snv, num, palindromic
 from ..functions.tails import t_two_sided_p, two_sided_p
+from .ordered import joined
 from .select import best_per_key
 
 
@@ -100,15 +101,17 @@ def union_labels(df: DataFrame, policy: str = "exclude", tissues: tuple[str, str
 
 
 def collapse_genes(df: DataFrame, policy: str = "strongest_p", gene: str = "gene", beta: str = "beta", p: str = "pvalue") -> DataFrame:
-    """One row a gene, with conflict (both signs occur) and reason. Policies: strongest_p, largest_abs_beta, exclude (conflicting genes go)."""
-    w = Window.partitionBy(gene)
-    d = df.withColumns({"n_rows": F.count("*").over(w), "conflict": F.min(F.signum(beta)).over(w) * F.max(F.signum(beta)).over(w) < 0})
-    if policy == "exclude":
-        d = d.where(~F.col("conflict"))
-    elif policy not in ("strongest_p", "largest_abs_beta"):
+    """One row a gene, with conflict (both signs occur) and reason. Policies: strongest_p, largest_abs_beta, exclude (conflicting genes go).
+
+    Tasks combine each gene's first value of the order, counts and signs; only rows that have that value are sorted."""
+    if policy not in ("strongest_p", "largest_abs_beta", "exclude"):
         raise ValueError(f"unknown policy {policy}")
-    order = [F.abs(F.col(beta)).desc(), F.col(p)] if policy == "largest_abs_beta" else [F.col(p), F.abs(F.col(beta)).desc()]
-    out = best_per_key(d, [gene], [*order, F.col(beta)])
+    size, largest = F.abs(F.col(beta)), policy == "largest_abs_beta"
+    lead, first = (size, F.max(size)) if largest else (F.col(p), F.when(F.count_if(F.col(p).isNull()) == 0, F.min(p)))  # nulls come last, and first
+    g = df.groupBy(gene).agg(F.count("*").alias("n_rows"), (F.min(F.signum(beta)) * F.max(F.signum(beta)) < 0).alias("conflict"), first.alias("__lead"))
+    g = g.where(~F.col("conflict")) if policy == "exclude" else g
+    d = joined(df, g.hint("shuffle_hash"), [gene]).where(lead.eqNullSafe(F.col("__lead"))).drop("__lead")
+    out = best_per_key(d, [gene], [*([size.desc(), F.col(p)] if largest else [F.col(p), size.desc()]), F.col(beta)])
     return out.withColumn("reason", F.when(F.col("n_rows") == 1, "single").when(F.col("conflict"), policy).otherwise("concordant"))
 
 
