@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import contribution_class, support_class
+from .ordered import joined
 from .select import share, unique_rank
+from .shared import checkpointed, dealt
 
 #: Contexts are sent to every task; a table beyond so many rows is joined by blocks of them instead.
 CONTEXT_ROWS = 10_000
@@ -36,26 +38,31 @@ def contribution_rows(delta: DataFrame, links: DataFrame, pred: DataFrame) -> Da
 def decompose(df: DataFrame, gene: str = "gene", weight: str = "weight", effect: str = "effect", pred: str = "pred") -> DataFrame:
     """Each row's share of its gene's weight (equal shares if all are 0), signed and relative contribution, and whether its
     effect agrees with the prediction."""
-    w = Window.partitionBy(gene)
-    total, n = F.sum(weight).over(w), F.count("*").over(w)
-    d = df.withColumn("share", F.when(total > 0, F.col(weight) / total).otherwise(1.0 / n))
-    d = d.withColumn("contribution", F.col("share") * F.col(effect))
-    size = F.sum(F.abs("contribution")).over(w)
+    w, e = F.col(weight), F.col(effect)
+    t = df.groupBy(gene).agg(F.sum(w).alias("__total"), F.count("*").alias("__n"), F.sum(F.abs(w * e)).alias("__weighed"), F.sum(F.abs(e)).alias("__equal"))
+    d = joined(df, t.hint("shuffle_hash"), [gene])
+    by_weight = F.col("__total") > 0
+    d = d.withColumn("share", F.when(by_weight, w / F.col("__total")).otherwise(1.0 / F.col("__n")))
+    d = d.withColumn("contribution", F.col("share") * e)
+    size = F.when(by_weight, F.col("__weighed") / F.col("__total")).otherwise(F.col("__equal") / F.col("__n"))
     return d.withColumns({
         "relative": F.coalesce(F.try_divide(F.col("contribution"), F.nullif(size, F.lit(0.0))), F.lit(0.0)), "aligned": F.col("contribution") * F.signum(pred),
         "contribution_class": contribution_class(F.col("share")), "support": support_class(F.col(effect), F.col(pred)),
-    })
+    }).drop("__total", "__n", "__weighed", "__equal")
 
 
 def decompose_summary(df: DataFrame, gene: str = "gene") -> DataFrame:
     """Per gene: rows, variants, loci, the largest contribution, effective number 1 / sum of squared shares, entropy, share that agrees."""
     p = F.col("share")
+    df = checkpointed(df.select(gene, "reg_rsid", "gwas_rsid", "share", "contribution", "support"))
     top = F.max(F.struct(F.abs("contribution").alias("a"), "reg_rsid", "contribution"))
     g = df.groupBy(gene).agg(
-        F.count("*").alias("n_rows"), F.countDistinct("reg_rsid").alias("n_variants"), F.countDistinct("gwas_rsid").alias("n_loci"), top.alias("top"),
+        F.count("*").alias("n_rows"), top.alias("top"),
         F.try_divide(F.lit(1.0), F.sum(p * p)).alias("effective_n"), (-F.sum(F.when(p > 0, p * F.ln(p)).otherwise(0.0))).alias("entropy"), F.sum("contribution").alias("total"),
         F.avg((F.col("support") == "concordant").cast("double")).alias("concordant_fraction"),
     )
+    for name, c in (("n_variants", "reg_rsid"), ("n_loci", "gwas_rsid")):  # different ones apart, in tasks of a size
+        g = joined(g, dealt(df.select(gene, c), [gene, c]).distinct().groupBy(gene).agg(F.count(c).alias(name)), [gene])
     return g.select(gene, "n_rows", "n_variants", "n_loci", F.col("top.reg_rsid").alias("top_rsid"), F.col("top.contribution").alias("top_contribution"), "effective_n", "entropy", "total", "concordant_fraction")
 
 

@@ -23,6 +23,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Rows to a task of a deal whose tasks hold what they get.
+DEALT_ROWS = 1 << 20
+
+
+def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows by the keys in as many partitions as they need to hold DEALT_ROWS each on average, a shuffle's usual number at least."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(parts, -(-df.count() // DEALT_ROWS)), *keys)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage by a table in the shared folder."""
     path = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
