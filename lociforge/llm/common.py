@@ -247,7 +247,7 @@ class WordTokenizer:
     of file.
     """
 
-    def __init__(self, path: str, room: int = 500_000):
+    def __init__(self, path: str, room: int = 1_000_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.t, self.room = Tokenizer.from_file(path), room
@@ -352,7 +352,7 @@ class WordTokenizer:
             at = end
         return np.concatenate(parts) if parts else np.empty(0, np.uint32), count
 
-    def encode(self, texts: list[bytes], end_id: int | None = None, block: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[bytes], end_id: int | None = None, block: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
         """Ids (uint32) of all texts one after the other, each with `end_id` behind it if there is one, and where each text ends."""
         # Marks from U+0300 on may join an upper-case letter otherwise than a lower-case one, so those texts aren't lower-cased here.
         whole = [i for i, x in enumerate(texts) if not self.by_word or b"\xcc" in x or b"\xcd" in x or (self.mark in x and self.special.search(x))]
@@ -371,7 +371,7 @@ class WordTokenizer:
             return ids, ends
         return np.insert(ids, ends, np.uint32(end_id)), ends + np.arange(1, len(ends) + 1)
 
-    def batches(self, texts: Iterator[bytes], end_id: int, size: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def batches(self, texts: Iterator[bytes], end_id: int, size: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """`encode` for texts in turn, about `size` bytes together."""
         held, n = [], 0
         for x in texts:

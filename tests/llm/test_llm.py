@@ -705,3 +705,21 @@ def test_hot_lists_meet_as_others_do(spark):
         assert seen(_on_lists(d.alias("l"), one.alias("r"), h, "inner", pick)) == seen(pick(d.alias("l").join(one.alias("r"), "key")))
         assert seen(_on_lists(d, one.where("key % 3 > 0").select("key"), h, "left_semi")) == seen(d.where("key % 3 > 0"))
         assert seen(_met_within(d.alias("l"), d.alias("r"), h, pick)) == seen(pick(d.alias("l").join(d.alias("r"), "key")))
+
+
+def test_word_tokenizer_looks_words_up_in_large_blocks(monkeypatch):
+    """Round 3, op8: 3 MB of texts are at most two lookups, in which repeated words are learned once, with the library's ids."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from lociforge.llm.common import WordTokenizer
+
+    path, r = public_tokenizers.path("word_bpe_49k.json"), random.Random(9)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randrange(1, 9))) for _ in range(3000)]
+    texts = [" ".join(r.choices(words, k=2000)) for _ in range(280)]
+    t, seen, plain = WordTokenizer(path), [], WordTokenizer._slots
+    monkeypatch.setattr(WordTokenizer, "_slots", lambda self, *a: seen.append(1) or plain(self, *a))
+    made = list(t.batches(iter([x.encode() for x in texts]), 1))
+    assert sum(map(len, texts)) > 2_800_000 and len(made) == 1 and len(seen) == 2
+    library = Tokenizer.from_file(path)
+    assert made[0][0][: made[0][1][9]].tolist() == [i for x in texts[:10] for i in [*library.encode(x, add_special_tokens=False).ids, 1]]
